@@ -1,10 +1,12 @@
 """The queries of this subpackage and their DuckDB equivalents where SQL can express them."""
 
-from larkspur.llm import mixing, quality
+from larkspur.llm import bpe, mixing, near_dups, quality
 
 QUERIES = {
     "op3_source_mixing": mixing.op3_source_mixing,
+    "op4_byte_bpe": bpe.op4_byte_bpe,
     "op6_quality_rules": quality.op6_quality_rules,
+    "op10_minhash_near_dedup": near_dups.op10_minhash_near_dedup,
 }
 ORACLES = {
     "op3_source_mixing": mixing.ORACLE,
