@@ -1,11 +1,13 @@
 """The queries of this subpackage and their DuckDB equivalents where SQL can express them."""
 
-from larkspur.llm import bpe, mixing, near_dups, quality
+from larkspur.llm import bpe, language, mixing, near_dups, quality, secrets
 
 QUERIES = {
     "op3_source_mixing": mixing.op3_source_mixing,
     "op4_byte_bpe": bpe.op4_byte_bpe,
     "op6_quality_rules": quality.op6_quality_rules,
+    "op8_secret_scan": secrets.op8_secret_scan,
+    "op9_language_id": language.op9_language_id,
     "op10_minhash_near_dedup": near_dups.op10_minhash_near_dedup,
 }
 ORACLES = {
