@@ -1,11 +1,12 @@
 """The queries of this subpackage and their DuckDB equivalents where SQL can express them."""
 
-from larkspur.llm import bpe, language, mixing, near_dups, quality, secrets
+from larkspur.llm import bpe, language, line_dedup, mixing, near_dups, quality, secrets
 
 QUERIES = {
     "op3_source_mixing": mixing.op3_source_mixing,
     "op4_byte_bpe": bpe.op4_byte_bpe,
     "op6_quality_rules": quality.op6_quality_rules,
+    "op7_line_dedup": line_dedup.op7_line_dedup,
     "op8_secret_scan": secrets.op8_secret_scan,
     "op9_language_id": language.op9_language_id,
     "op10_minhash_near_dedup": near_dups.op10_minhash_near_dedup,
@@ -13,4 +14,5 @@ QUERIES = {
 ORACLES = {
     "op3_source_mixing": mixing.ORACLE,
     "op6_quality_rules": quality.ORACLE,
+    "op7_line_dedup": line_dedup.ORACLE,
 }
