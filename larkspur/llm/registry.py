@@ -1,8 +1,9 @@
 """The queries of this subpackage and their DuckDB equivalents where SQL can express them."""
 
-from larkspur.llm import bpe, language, line_dedup, mixing, near_dups, quality, secrets
+from larkspur.llm import bpe, hamming, language, line_dedup, mixing, near_dups, quality, secrets
 
 QUERIES = {
+    "op2_hamming_topk": hamming.op2_hamming_topk,
     "op3_source_mixing": mixing.op3_source_mixing,
     "op4_byte_bpe": bpe.op4_byte_bpe,
     "op6_quality_rules": quality.op6_quality_rules,
@@ -12,6 +13,7 @@ QUERIES = {
     "op10_minhash_near_dedup": near_dups.op10_minhash_near_dedup,
 }
 ORACLES = {
+    "op2_hamming_topk": hamming.ORACLE,
     "op3_source_mixing": mixing.ORACLE,
     "op6_quality_rules": quality.ORACLE,
     "op7_line_dedup": line_dedup.ORACLE,
