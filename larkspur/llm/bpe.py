@@ -176,18 +176,22 @@ def tokenizer(path: str) -> Tokenizer:
 
 
 def encoded(docs: DataFrame, path: str, *, id_col="doc_id", text_col="text") -> DataFrame:
-    """doc_id and ids (array<int>) of each text."""
+    """doc_id, n_tokens, ids (array<int>) and exact (the ids decode to the text's bytes) of each row."""
 
     def run(batches):
         tok = tokenizer(path)
         for batch in batches:
             for at in range(0, batch.num_rows, 512):
                 part = batch.slice(at, 512)
-                ids = [tok.encode(t or "") for t in part.column(1).to_pylist()]
-                offsets = pa.array(np.concatenate([[0], np.cumsum([len(x) for x in ids])]).astype(np.int32))
-                yield pa.RecordBatch.from_arrays([part.column(0), pa.ListArray.from_arrays(offsets, pa.array(np.concatenate(ids).astype(np.int32)))], ["doc_id", "ids"])
-
-    return docs.select(docs[id_col].alias("doc_id"), docs[text_col].alias("text")).mapInArrow(run, f"doc_id {docs.schema[id_col].dataType.simpleString()}, ids array<int>")
+                texts = [t or "" for t in part.column(1).to_pylist()]
+                ids = [tok.encode(t) for t in texts]
+                sizes = [len(x) for x in ids]
+                exact = [tok.decode(x) == t.encode() for x, t in zip(ids, texts, strict=True)]
+                offsets = pa.array(np.concatenate([[0], np.cumsum(sizes)]).astype(np.int32))
+                lists = pa.ListArray.from_arrays(offsets, pa.array(np.concatenate(ids).astype(np.int32)))
+                yield pa.RecordBatch.from_arrays([part.column(0), pa.array(sizes, pa.int64()), lists, pa.array(exact)], ["doc_id", "n_tokens", "ids", "exact"])
+
+    return docs.select(docs[id_col].alias("doc_id"), docs[text_col].alias("text")).mapInArrow(run, f"doc_id {docs.schema[id_col].dataType.simpleString()}, n_tokens long, ids array<int>, exact boolean")
 
 
 def round_trip(docs: DataFrame, path: str, *, id_col="doc_id", text_col="text") -> DataFrame:

@@ -1,8 +1,9 @@
 """The queries of this subpackage and their DuckDB equivalents where SQL can express them."""
 
-from larkspur.llm import bpe, hamming, language, line_dedup, mixing, near_dups, quality, secrets
+from larkspur.llm import bpe, hamming, language, line_dedup, mixing, near_dups, quality, secrets, suffix_dedup
 
 QUERIES = {
+    "op1_suffix_dedup": suffix_dedup.op1_suffix_dedup,
     "op2_hamming_topk": hamming.op2_hamming_topk,
     "op3_source_mixing": mixing.op3_source_mixing,
     "op4_byte_bpe": bpe.op4_byte_bpe,
