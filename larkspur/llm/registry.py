@@ -1,12 +1,13 @@
 """The queries of this subpackage and their DuckDB equivalents where SQL can express them."""
 
-from larkspur.llm import bpe, hamming, language, line_dedup, mixing, near_dups, quality, secrets, suffix_dedup
+from larkspur.llm import bpe, hamming, language, line_dedup, mixing, near_dups, quality, secrets, suffix_dedup, token_files
 
 QUERIES = {
     "op1_suffix_dedup": suffix_dedup.op1_suffix_dedup,
     "op2_hamming_topk": hamming.op2_hamming_topk,
     "op3_source_mixing": mixing.op3_source_mixing,
     "op4_byte_bpe": bpe.op4_byte_bpe,
+    "op5_token_files": token_files.op5_token_files,
     "op6_quality_rules": quality.op6_quality_rules,
     "op7_line_dedup": line_dedup.op7_line_dedup,
     "op8_secret_scan": secrets.op8_secret_scan,
