@@ -1,30 +1,104 @@
-"""Vector retrieval: similarity to every owner's references, best per owner, top owners."""
+"""Vector retrieval: similarity to every owner's references, best per owner, top owners, and its evaluation."""
 
 from __future__ import annotations
 
 from pyspark.sql import Window
 from pyspark.sql import functions as F
 
-from larkspur.functions.vectors import dot
+from larkspur.functions import vectors as V
+from larkspur.operators import search
+from larkspur.plans.shared import Catalogue
 from larkspur.storage import table
 
+C = Catalogue()
+QUERIES, ORACLES, COVERS = C.QUERIES, C.ORACLES, C.COVERS
 
+_BEST = "SELECT a.vec_id AS q, a.label AS truth, b.label AS owner, round(max(DOT(a.embedding, b.embedding)), 6) AS sim FROM {embeddings} a JOIN {embeddings} b ON a.vec_id <> b.vec_id WHERE a.vec_id < 40 GROUP BY a.vec_id, a.label, b.label"
+_RANKED = f"SELECT *, row_number() OVER (PARTITION BY q ORDER BY sim DESC, owner) AS rk FROM ({_BEST}) best"
+
+
+@C.query("owner_max_topk", "A8 C13 D11 F2", """
+WITH scored AS (
+  SELECT q.vec_id AS qid, r.label AS owner, round(max(DOT(q.embedding, r.embedding)), 6) AS score
+  FROM embeddings q CROSS JOIN embeddings r WHERE q.vec_id < 20 GROUP BY 1, 2)
+SELECT qid, owner, score, CAST(rank AS INTEGER) AS rank FROM (SELECT *, row_number() OVER (PARTITION BY qid ORDER BY score DESC, owner) AS rank FROM scored) x WHERE rank <= 3""")
 def owner_max_topk(spark, sf_dir, n_queries=20, k=3):
     """Maximum similarity over each owner's references, then the k best owners a query."""
     refs = table(spark, sf_dir, "embeddings")
     queries = refs.where(F.col("vec_id") < n_queries).select(F.col("vec_id").alias("qid"), F.col("embedding").alias("q"))
-    scored = refs.join(F.broadcast(queries)).select("qid", F.col("label").alias("owner"), dot("q", "embedding").alias("sim"))
-    best = scored.groupBy("qid", "owner").agg(F.round(F.max("sim"), 6).alias("score"))
+    best = search.owner_scores(queries, refs.select(F.col("label").alias("owner"), F.col("embedding").alias("v")))
     rank = F.row_number().over(Window.partitionBy("qid").orderBy(F.desc("score"), "owner"))
     return best.withColumn("rank", rank).where(F.col("rank") <= k)
 
 
-QUERIES = {"owner_max_topk": owner_max_topk}
-ORACLES = {
-    "owner_max_topk": """
-WITH scored AS (
-  SELECT q.vec_id AS qid, r.label AS owner, round(max(list_dot_product(q.embedding::DOUBLE[], r.embedding::DOUBLE[])), 6) AS score
-  FROM embeddings q CROSS JOIN embeddings r WHERE q.vec_id < 20 GROUP BY 1, 2)
-SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY qid ORDER BY score DESC, owner) AS rank FROM scored) WHERE rank <= 3
-"""
-}
+C.sql("recall_curve", "D14 D13", f"""
+WITH r AS ({_RANKED}), t AS (SELECT q, min(CASE WHEN owner = truth THEN rk END) AS rk FROM r GROUP BY q)
+SELECT k, round(avg(CASE WHEN rk <= k THEN 1.0e0 ELSE 0.0e0 END), 6) AS recall FROM t CROSS JOIN (SELECT x.k FROM (SELECT 1 AS one) o, EACH(RANGE_LIST(1, 10)) AS x(k)) ks GROUP BY k""")
+C.sql("weight_grid", "D28", f"""
+WITH b AS ({_BEST}), g AS (SELECT x.w / 4.0e0 AS w FROM (SELECT 1 AS one) o, EACH(RANGE_LIST(0, 4)) AS x(w)),
+s AS (SELECT q, truth, owner, w, row_number() OVER (PARTITION BY q, w ORDER BY round(sim - w * owner / 100.0e0, 6) DESC, owner) AS rk FROM b CROSS JOIN g)
+SELECT w, round(avg(CASE WHEN owner = truth THEN 1.0e0 ELSE 0.0e0 END), 6) AS accuracy FROM s WHERE rk = 1 GROUP BY w""")
+C.sql("hard_negatives", "J26 C24", """
+WITH s AS (SELECT a.vec_id AS q, b.vec_id AS r, round(DOT(a.embedding, b.embedding), 6) AS sim FROM {embeddings} a JOIN {embeddings} b ON a.label <> b.label WHERE a.vec_id < 40)
+SELECT q, r, sim FROM (SELECT *, row_number() OVER (PARTITION BY q ORDER BY sim DESC, r) AS rk FROM s) x WHERE rk <= 5""")
+C.sql("knn_vote", "J25 F3", """
+WITH s AS (SELECT a.vec_id AS q, b.label AS owner, round(DOT(a.embedding, b.embedding), 6) AS sim, row_number() OVER (PARTITION BY a.vec_id ORDER BY round(DOT(a.embedding, b.embedding), 6) DESC, b.vec_id) AS rk FROM {embeddings} a JOIN {embeddings} b ON a.vec_id <> b.vec_id WHERE a.vec_id < 40),
+v AS (SELECT q, owner, round(sum(sim), 5) AS votes FROM s WHERE rk <= 15 GROUP BY q, owner)
+SELECT q, owner, votes FROM (SELECT *, row_number() OVER (PARTITION BY q ORDER BY votes DESC, owner) AS rn FROM v) x WHERE rn = 1""")
+C.sql("ranking_metrics", "D20", f"""
+WITH r AS ({_RANKED}), h AS (SELECT q, rk, CASE WHEN owner % 3 = truth % 3 THEN 1 ELSE 0 END AS rel FROM r),
+c AS (SELECT *, sum(rel) OVER (PARTITION BY q ORDER BY rk ROWS UNBOUNDED PRECEDING) AS hits, sum(rel) OVER (PARTITION BY q) AS total, count(*) OVER (PARTITION BY q) AS n FROM h)
+SELECT q, round(sum(rel * hits * 1.0e0 / rk) / nullif(max(total), 0), 6) AS ap, round(sum(CASE WHEN rk <= 3 THEN rel ELSE 0 END) / 3.0e0, 6) AS p_at_3,
+  round((sum(rel * (n - rk + 1)) - max(total) * (max(total) + 1) / 2.0e0) / nullif(max(total) * (max(n) - max(total)), 0), 6) AS auc FROM c GROUP BY q""")
+
+
+@C.query("centroid_index", "D12", """
+WITH p AS (SELECT label, generate_subscripts(embedding, 1) AS i, unnest(embedding)::DOUBLE AS x FROM {embeddings}),
+m AS (SELECT label, i, avg(x) AS x FROM p GROUP BY label, i), n AS (SELECT label, sqrt(sum(x * x)) AS len FROM m GROUP BY label)
+SELECT m.label AS owner, CAST(i AS INTEGER) AS i, round(x / len, 5) AS x FROM m JOIN n USING (label)""")
+def centroid_index(spark, sf_dir):
+    """Mean of each owner's unit vectors, made a unit again, in long form."""
+    means = search.centroids(table(spark, sf_dir, "embeddings").select(F.col("label").alias("owner"), F.col("embedding").alias("v")))
+    return means.select("owner", F.posexplode("v").alias("i", "x")).select("owner", (F.col("i") + 1).alias("i"), F.round("x", 5).alias("x"))
+
+
+@C.query("vector_fusion", "H24 H23", """
+SELECT a.vec_id, round(sqrt((1 + DOT(a.embedding, b.embedding)) / 2), 4) AS agreement FROM {embeddings} a JOIN {embeddings} b ON b.vec_id = a.vec_id + 1""")
+def vector_fusion(spark, sf_dir):
+    """Cosine of each vector's successor with the even fusion of both."""
+    v = table(spark, sf_dir, "embeddings").select("vec_id", F.col("embedding").alias("v"))
+    nxt = v.select((F.col("vec_id") - 1).alias("vec_id"), F.col("v").alias("w"))
+    return v.join(nxt, "vec_id").select("vec_id", F.round(V.dot(V.fused("v", "w", 0.5), "w"), 4).alias("agreement"))
+
+
+@C.query("query_expansion", "H25", """
+WITH s AS (SELECT a.vec_id AS q, b.vec_id AS r, greatest(DOT(a.embedding, b.embedding), 0) AS sim FROM {embeddings} a JOIN {embeddings} b ON a.vec_id <> b.vec_id WHERE a.vec_id < 10),
+t AS (SELECT q, r, sim FROM (SELECT *, row_number() OVER (PARTITION BY q ORDER BY round(sim, 9) DESC, r) AS rk FROM s) x WHERE rk <= 5 UNION ALL SELECT vec_id, vec_id, 1 FROM {embeddings} WHERE vec_id < 10),
+p AS (SELECT q, generate_subscripts(embedding, 1) AS i, sim ** 3 * unnest(embedding)::DOUBLE AS x FROM t JOIN {embeddings} ON vec_id = r),
+m AS (SELECT q, i, sum(x) AS x FROM p GROUP BY q, i), n AS (SELECT q, sqrt(sum(x * x)) AS len FROM m GROUP BY q)
+SELECT q, CAST(i AS INTEGER) AS i, round(x / len, 5) AS x FROM m JOIN n USING (q)""")
+def query_expansion(spark, sf_dir):
+    """Each query plus its 5 nearest, weighted by similarity cubed."""
+    refs = table(spark, sf_dir, "embeddings").select(F.col("vec_id").alias("r"), F.col("embedding").alias("v"))
+    expanded = search.expand_queries(refs.where("r < 10").select(F.col("r").alias("q"), F.col("v").alias("qv")), refs, k=5, power=3)
+    return expanded.select("q", F.posexplode("v").alias("i", "x")).select("q", (F.col("i") + 1).alias("i"), F.round("x", 5).alias("x"))
+
+
+@C.query("whitening", "D32 H25")
+def whitening(spark, sf_dir):
+    """Vectors on their principal axes, each axis of unit variance."""
+    return search.whitened(table(spark, sf_dir, "embeddings").select("vec_id", F.col("embedding").alias("v")), k=16)
+
+
+@C.query("blocked_search", "C13 C19 C24")
+def blocked_search(spark, sf_dir):
+    """Exact top 5 by blocks of matrix products: queries are ids divisible by 50."""
+    refs = table(spark, sf_dir, "embeddings").select(F.col("vec_id").alias("id"), F.col("embedding").alias("v"))
+    return search.blocked_topk(refs.where("id % 50 = 0"), refs, k=5)
+
+
+@C.query("bootstrap_interval", "D19")
+def bootstrap_interval(spark, sf_dir):
+    """95 % interval of the mean of l_discount by 200 Poisson resamples drawn from a hash."""
+    rows = table(spark, sf_dir, "lineitem").select(F.xxhash64("l_orderkey", "l_linenumber", "l_partkey").alias("h"), F.col("l_discount").alias("x"))
+    return search.bootstrap_mean(rows, rounds=200)
