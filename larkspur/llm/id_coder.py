@@ -45,12 +45,12 @@ class _Models:
         self.follow1 = np.full((blocks, size + 1), size, np.int32)
         self.follow2 = np.full((blocks, TABLE), size, np.int32)
         self.trust = np.full((2, blocks), 400, np.int64)  # odds of a guess, of 4096 for even
-        self.last = np.full((2, blocks), size, np.int64)
+        self.last = np.full((2, blocks), -1, np.int64)  # -1: none yet, the same whatever blocks run beside
 
     def predict(self, n: int, step: int, sizes: np.ndarray):
         """(order-0 total, guesses, weights of the guesses) for the first n blocks."""
         rows = self.rows[:n]
-        self.slot = (self.last[0, :n] * 31 + self.last[1, :n] * 977) % TABLE
+        self.slot = ((self.last[0, :n] + 1) * 31 + (self.last[1, :n] + 1) * 977) % TABLE
         guess = np.stack([self.follow1[rows, self.last[0, :n]], self.follow2[rows, self.slot]])
         total = sizes + step * STEP
         weight = np.where(guess < self.none, (total * self.trust[:, :n]) >> 12, 0)

@@ -12,8 +12,8 @@ otherwise.
 
 Edge cases: a null text has no lines and stays null; lines are compared without blanks at their ends;
 blank lines are never dropped; rows without a host form one host of their own; repeated rows are
-pages of their own; an empty table gives an empty result; other columns pass through, the working
-columns are named with a leading underscore.
+pages of their own; an empty table gives an empty result; other columns pass through whatever
+their names.
 """
 
 from __future__ import annotations
@@ -21,6 +21,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from larkspur.llm.rows import field, packed, unpacked
 from larkspur.storage import table
 
 RATIO_PERCENT = 10
@@ -53,41 +54,41 @@ def _key(line: Column) -> Column:
 
 
 def boilerplate(pages: DataFrame, *, ratio_percent=RATIO_PERCENT, min_pages=MIN_PAGES) -> DataFrame:
-    """(_host, _keys): hashes of each host's boilerplate lines, from columns _host and _text."""
-    full = F.filter(F.split("_text", "\n", -1), lambda x: _bare(x) != "")
-    lines = pages.select("_host", F.explode(F.array_distinct(F.transform(full, _key))).alias("_line"))
-    counts = lines.groupBy("_host", "_line").agg(F.count("*").alias("_n")).where(F.col("_n") >= min_pages)
-    totals = pages.groupBy("_host").agg(F.count("*").alias("_pages"))
-    often = counts.join(totals, "_host").where(100 * F.col("_n") > ratio_percent * F.col("_pages"))
-    return often.groupBy("_host").agg(F.collect_list("_line").alias("_keys"))
-
-
-def drop_boilerplate(pages: DataFrame, *, text: Column, host: Column, **options) -> DataFrame:
-    """The input with _text (what is left), _n_lines and _n_dropped."""
-    held = pages.withColumns({"_text": text, "_host": F.coalesce(F.concat(F.lit("."), host), F.lit(""))})
-    lists = boilerplate(held.select("_host", "_text"), **options)
-    joined = held.join(lists, "_host", "left")
-    lines = F.split("_text", "\n", -1)
-    left = F.when(F.col("_keys").isNull(), lines).otherwise(F.filter(lines, lambda x: (_bare(x) == "") | ~F.array_contains("_keys", _key(x))))
-    counted = joined.withColumns({"_n_lines": F.coalesce(F.size(lines), F.lit(0)).cast("long"), "_left": left})
-    return counted.withColumns({"_n_dropped": F.when(F.col("_text").isNull(), F.lit(0).cast("long")).otherwise(F.col("_n_lines") - F.size("_left")), "_text": F.array_join("_left", "\n")}).drop("_left", "_keys", "_host")
+    """(host, keys): hashes of each host's boilerplate lines, from columns host and text."""
+    full = F.filter(F.split("text", "\n", -1), lambda x: _bare(x) != "")
+    lines = pages.select("host", F.explode(F.array_distinct(F.transform(full, _key))).alias("line"))
+    counts = lines.groupBy("host", "line").agg(F.count("*").alias("n")).where(F.col("n") >= min_pages)
+    totals = pages.groupBy("host").agg(F.count("*").alias("pages"))
+    often = counts.join(totals, "host").where(100 * F.col("n") > ratio_percent * F.col("pages"))
+    return often.groupBy("host").agg(F.collect_list("line").alias("keys"))
+
+
+def drop_boilerplate(docs: DataFrame, *, text, host, **options) -> DataFrame:
+    """(row, text, n_lines, n_dropped): input rows, packed, with the text that is left; text and host map the packed row to columns."""
+    held = packed(docs).select("row", text(field).alias("text"), F.coalesce(F.concat(F.lit("."), host(field)), F.lit("")).alias("host"))
+    lists = boilerplate(held.select("host", "text"), **options)
+    joined = held.join(lists, "host", "left")
+    lines = F.split("text", "\n", -1)
+    left = F.when(F.col("keys").isNull(), lines).otherwise(F.filter(lines, lambda x: (_bare(x) == "") | ~F.array_contains("keys", _key(x))))
+    counted = joined.select("row", "text", F.when(F.col("text").isNull(), 0).otherwise(F.size(lines)).cast("long").alias("n_lines"), left.alias("left"))
+    dropped = F.when(F.col("text").isNull(), F.lit(0).cast("long")).otherwise(F.col("n_lines") - F.size("left"))
+    return counted.select("row", F.array_join("left", "\n").alias("text"), "n_lines", dropped.alias("n_dropped"))
 
 
 def clean_documents(docs: DataFrame, *, text_col="text", host_col="source", length_col="n_chars", **options) -> DataFrame:
-    """Documents without their sites' boilerplate, columns as in the input; a text left without a word goes."""
-    left = drop_boilerplate(docs, text=F.col(text_col), host=F.col(host_col).cast("string"), **options)
-    left = left.where((F.col("_n_dropped") == 0) | F.col("_text").rlike(r"[^\x20\x09-\x0D]"))
-    new = {text_col: F.col("_text")}
+    """Documents without their sites' boilerplate, columns as in the input; a text that loses all its words goes."""
+    left = drop_boilerplate(docs, text=lambda f: f(text_col), host=lambda f: f(host_col).cast("string"), **options)
+    left = left.where((F.col("n_dropped") == 0) | F.col("text").rlike(r"[^\x20\x09-\x0D]"))
+    new = {text_col: F.col("text")}
     if length_col in docs.columns:
-        new[length_col] = F.when(F.col("_n_dropped") > 0, F.length("_text").cast(docs.schema[length_col].dataType)).otherwise(F.col(length_col))
-    return left.withColumns(new).select(*docs.columns)
+        new[length_col] = F.when(F.col("n_dropped") > 0, F.length("text").cast(docs.schema[length_col].dataType)).otherwise(field(length_col))
+    return unpacked(left, docs.columns, **new)
 
 
 def op7_line_dedup(spark, sf_dir):
     pages = table(spark, sf_dir, "pages")
-    host = host_of(F.col("url"))
-    done = drop_boilerplate(pages, text=visible_text(F.col("html")), host=host)
-    return done.select("page_id", host.alias("host"), F.col("_n_lines").alias("n_lines"), F.col("_n_dropped").alias("n_dropped"), F.sha2("_text", 256).alias("kept_sha256"))
+    done = drop_boilerplate(pages, text=lambda f: visible_text(f("html")), host=lambda f: host_of(f("url")))
+    return done.select(field("page_id").alias("page_id"), host_of(field("url")).alias("host"), "n_lines", "n_dropped", F.sha2("text", 256).alias("kept_sha256"))
 
 
 ORACLE = rf"""

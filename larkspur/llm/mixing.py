@@ -11,7 +11,8 @@ totals are summed first, so no source has to fit one task.
 
 Edge cases: a null or blank text has size 0 and takes nothing; a null source is a source of its own,
 last in order; a null id shuffles first; repeated rows count each; an empty table gives an empty
-plan; other columns of the input pass through mixed_documents() and are ignored by mixing_plan().
+plan; other columns of the input pass through mixed_documents() whatever their names and are not
+read by mixing_plan().
 """
 
 from __future__ import annotations
@@ -19,6 +20,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from larkspur.llm.rows import field, packed, unpacked
 from larkspur.storage import materialize, table
 
 WORD = r"[^\x20\x09-\x0D]+"
@@ -53,30 +55,29 @@ def source_targets(sizes: DataFrame, weights=WEIGHT_CYCLE, budget_ratio=BUDGET_R
     return clocks.withColumn("clock", clock).select("source", "source_size", "weight", F.least("cap", F.col("weight") * F.col("clock")).alias("target"), "clock")
 
 
-def mixing_plan(docs: DataFrame, *, id_col="doc_id", text_col="text", source_col="source", weights=WEIGHT_CYCLE, budget_ratio=BUDGET_RATIO, max_repeats=MAX_REPEATS) -> DataFrame:
-    """One row a document: doc_id, source, shuffle_key, size, source_size, weight, target, clock, begin, taken.
+def mixing_plan(docs: DataFrame, *, id_col="doc_id", text_col="text", source_col="source", weights=WEIGHT_CYCLE, budget_ratio=BUDGET_RATIO, max_repeats=MAX_REPEATS, carry=False) -> DataFrame:
+    """One row a document: doc_id, source, shuffle_key, size, source_size, weight, target, clock, begin, taken; with carry also the input row.
 
     begin: the source's words before it in a pass. taken: words of all its copies that the mix serves.
     """
-    sizes = materialize(
-        docs.select(
-            F.col(id_col).alias("doc_id"),
-            F.col(source_col).alias("source"),
-            F.md5(F.coalesce(F.col(id_col).cast("string"), F.lit(""))).alias("shuffle_key"),
-            word_count(F.col(text_col)).alias("size"),
-        ).withColumn("bucket", F.substring("shuffle_key", 1, BUCKET_DIGITS)),
-        "sizes",
-    )
+    keyed = packed(docs).select(
+        field(id_col).alias("doc_id"),
+        field(source_col).alias("source"),
+        F.md5(F.coalesce(field(id_col).cast("string"), F.lit(""))).alias("shuffle_key"),
+        word_count(field(text_col)).alias("size"),
+        *["row"] * carry,
+    ).withColumn("bucket", F.substring("shuffle_key", 1, BUCKET_DIGITS))
+    sizes = materialize(keyed.drop("row"), "sizes")
     by_bucket = Window.partitionBy("source").orderBy("bucket").rowsBetween(Window.unboundedPreceding, -1)
     offsets = sizes.groupBy("source", "bucket").agg(F.sum("size").alias("words")).select("source", "bucket", F.coalesce(F.sum("words").over(by_bucket), F.lit(0)).alias("offset"))
     sources = source_targets(sizes, weights, budget_ratio, max_repeats)
     ranges = offsets.alias("o").join(sources.alias("s"), F.col("o.source").eqNullSafe(F.col("s.source"))).select("o.source", "bucket", "offset", "source_size", "weight", "target", "clock")
     within = Window.partitionBy("source", "bucket").orderBy("shuffle_key", "doc_id", "size").rowsBetween(Window.unboundedPreceding, -1)
-    local = sizes.withColumn("inner", F.coalesce(F.sum("size").over(within), F.lit(0)))
+    local = (keyed if carry else sizes).withColumn("inner", F.coalesce(F.sum("size").over(within), F.lit(0)))
     placed = (
         local.alias("d")
         .join(ranges.alias("r"), F.col("d.source").eqNullSafe(F.col("r.source")) & (F.col("d.bucket") == F.col("r.bucket")))
-        .select("d.doc_id", "d.source", "d.shuffle_key", "d.size", "source_size", "weight", "target", "clock", (F.col("inner") + F.col("offset")).alias("begin"))
+        .select("d.doc_id", "d.source", "d.shuffle_key", "d.size", "source_size", "weight", "target", "clock", (F.col("inner") + F.col("offset")).alias("begin"), *["row"] * carry)
     )
     return placed.withColumn("taken", _served(placed, max_repeats))
 
@@ -91,19 +92,21 @@ def _served(plan: DataFrame, passes: int):
     return total.cast("long")
 
 
-def mixed_documents(docs: DataFrame, *, id_col="doc_id", text_col="text", source_col="source", max_repeats=MAX_REPEATS, **options) -> DataFrame:
+def mixed_documents(docs: DataFrame, *, text_col="text", length_col="n_chars", max_repeats=MAX_REPEATS, **options) -> DataFrame:
     """The mix itself: the documents' columns, a row for each copy served, globally range-sorted by virtual finish time.
 
-    The copy that the budget cuts keeps its first words. Rows must have distinct ids.
+    The copy that the budget cuts keeps its first words.
     """
-    plan = mixing_plan(docs, id_col=id_col, text_col=text_col, source_col=source_col, max_repeats=max_repeats, **options)
-    copies = plan.select("*", F.explode(F.array(*[F.lit(k) for k in range(max_repeats)])).alias("_pass"))
-    ahead = F.col("begin") + F.col("_pass") * F.col("source_size")
-    copies = copies.withColumns({"_words": F.least(F.col("size"), F.floor("target").cast("long") - ahead), "_finish": (ahead + F.col("size")) / F.col("weight")})
-    copies = copies.where("_words > 0").select(F.col("doc_id").alias("_id"), "_words", "_finish", F.col("size").alias("_size"), "_pass")
-    cut = _first_words(F.col(text_col), F.col("_words"))
-    joined = docs.join(copies, docs[id_col] == copies["_id"]).withColumn(text_col, F.when(F.col("_words") < F.col("_size"), cut).otherwise(F.col(text_col)))
-    return joined.orderBy("_finish", id_col, "_pass").select(*docs.columns)
+    plan = mixing_plan(docs, text_col=text_col, max_repeats=max_repeats, carry=True, **options)
+    copies = plan.where("taken > 0").select("*", F.explode(F.array(*[F.lit(k) for k in range(max_repeats)])).alias("copy"))
+    ahead = F.col("begin") + F.col("copy") * F.col("source_size")
+    served = copies.select("row", "doc_id", "size", "copy", F.least(F.col("size"), F.floor("target").cast("long") - ahead).alias("words"), ((ahead + F.col("size")) / F.col("weight")).alias("finish")).where("words > 0")
+    cut = F.col("words") < F.col("size")
+    text = F.when(cut, _first_words(field(text_col), F.col("words"))).otherwise(field(text_col))
+    new = {text_col: text}
+    if length_col in docs.columns:
+        new[length_col] = F.when(cut, F.length(text).cast(docs.schema[length_col].dataType)).otherwise(field(length_col))
+    return unpacked(served.orderBy("finish", "doc_id", "copy"), docs.columns, **new)
 
 
 def _first_words(text, n):

@@ -26,6 +26,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from larkspur.llm.components import connected_components
+from larkspur.llm.rows import field, packed, unpacked
 from larkspur.storage import materialize, table
 
 SHINGLE_WORDS = 5
@@ -167,8 +168,8 @@ def near_duplicates(docs: DataFrame, *, id_col="doc_id", text_col="text") -> Dat
 
 def deduplicate(docs: DataFrame, *, id_col="doc_id", text_col="text") -> DataFrame:
     """The documents that stay: one of each group of near-duplicates, columns as in the input."""
-    gone = near_duplicates(docs, id_col=id_col, text_col=text_col).where("not kept").select(F.col("doc_id").alias("_gone")).distinct()
-    return docs.join(gone, F.col(id_col).cast("long") == F.col("_gone"), "left_anti")
+    gone = near_duplicates(docs, id_col=id_col, text_col=text_col).where("not kept").select(F.col("doc_id").alias("gone")).distinct()
+    return unpacked(packed(docs).join(gone, field(id_col).cast("long") == F.col("gone"), "left_anti"), docs.columns)
 
 
 def op10_minhash_near_dedup(spark, sf_dir):

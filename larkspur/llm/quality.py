@@ -11,8 +11,7 @@ texts where some hash occurs twice. No shuffle.
 
 Edge cases: a null or blank text has no words and is rejected; lines are compared as they are, a
 blank line is neither a duplicate nor removed; repeated rows are judged alike; an empty table gives
-an empty result; other columns pass through clean_documents() and never clash, as the working
-columns live in one struct named `_quality`.
+an empty result; other columns pass through clean_documents() whatever their names.
 """
 
 from __future__ import annotations
@@ -20,6 +19,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from larkspur.llm.rows import field, packed, unpacked
 from larkspur.storage import table
 
 WORD = r"[^\x20\x09-\x0D]+"
@@ -143,25 +143,26 @@ def _judged(text: Column, max_lost_percent: int) -> Column:
     return _let(counts, lambda c: _let(_let(lines, per_line), lambda m: verdict(c, m)))
 
 
-def quality_measures(docs: DataFrame, *, text_col="text", max_lost_percent=MAX_LOST_PERCENT) -> DataFrame:
-    """The input with a struct `_quality`: counts, base_failed, kept, and what its failing lines hold."""
-    return docs.withColumn("_quality", _let(F.coalesce(F.col(text_col), F.lit("")), lambda text: _judged(text, max_lost_percent)))
+def quality_of(text: Column, *, max_lost_percent=MAX_LOST_PERCENT) -> Column:
+    """A struct of counts, base_failed, kept, and what the failing lines hold."""
+    return _let(F.coalesce(text, F.lit("")), lambda t: _judged(t, max_lost_percent))
 
 
 def clean_documents(docs: DataFrame, *, text_col="text", length_col: str | None = "n_chars", **options) -> DataFrame:
     """Kept documents with failing lines removed, columns as in the input."""
-    kept = quality_measures(docs, text_col=text_col, **options).where("_quality.kept")
-    text = F.col(text_col)
-    cleaned = F.when(F.col("_quality.n_lines_removed") == 0, text).otherwise(F.array_join(F.filter(F.split(text, "\n", -1), lambda line: ~line_fails(line)), "\n"))
-    new = {text_col: cleaned}
+    text = field(text_col)
+    kept = packed(docs).withColumn("quality", quality_of(text, **options)).where("quality.kept")
+    left = F.when(F.col("quality.n_lines_removed") == 0, text).otherwise(F.array_join(F.filter(F.split(text, "\n", -1), lambda line: ~line_fails(line)), "\n"))
+    new = {text_col: left}
     if length_col in docs.columns:
-        new[length_col] = F.length(cleaned).cast(docs.schema[length_col].dataType)
-    return kept.withColumns(new).select(*docs.columns)
+        new[length_col] = F.length(left).cast(docs.schema[length_col].dataType)
+    return unpacked(kept, docs.columns, **new)
 
 
 def op6_quality_rules(spark, sf_dir):
     names = ("n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept", "n_lines_removed", "n_words_left")
-    return quality_measures(table(spark, sf_dir, "documents").select("doc_id", "text")).select("doc_id", *[f"_quality.{n}" for n in names])
+    judged = table(spark, sf_dir, "documents").select("doc_id", quality_of(F.col("text")).alias("quality"))
+    return judged.select("doc_id", *[f"quality.{n}" for n in names])
 
 
 _W = r"[^\x20\x09-\x0D]+"
