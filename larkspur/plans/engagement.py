@@ -40,7 +40,7 @@ C.sql("open_set_rejection", "B12", """
 SELECT q, CASE WHEN top_score >= 0.60 THEN owner END AS answer, round(top_score, 6) AS score FROM (
   SELECT a.vec_id AS q, b.label AS owner, max(DOT(a.embedding, b.embedding)) AS top_score,
          row_number() OVER (PARTITION BY a.vec_id ORDER BY max(DOT(a.embedding, b.embedding)) DESC, b.label) AS rn
-  FROM {embeddings} a JOIN {embeddings} b ON a.vec_id <> b.vec_id WHERE a.vec_id < 20 GROUP BY a.vec_id, b.label) x WHERE rn = 1""")
+  FROM {embeddings} a JOIN {embeddings} b ON a.vec_id <> b.vec_id WHERE a.vec_id % 50 = 0 GROUP BY a.vec_id, b.label) x WHERE rn = 1""")
 C.sql("role_by_rules", "B13 B16", """
 SELECT p.p_partkey, coalesce(CASE WHEN s.s_suppkey IS NOT NULL THEN 'decided' END, CASE WHEN MATCHES(p_name, '(ring|widget)$') THEN 'front' WHEN MATCHES(p_name, '^(red|blue)') THEN 'colour' ELSE 'other' END) AS role
 FROM {part} p LEFT JOIN {supplier} s ON p.p_partkey = s.s_suppkey""")
@@ -50,12 +50,12 @@ FROM {customer} LEFT JOIN (SELECT o_custkey, count(*) AS n FROM {orders} GROUP B
 C.sql("visible_rows", "B17 B18", """
 SELECT o_orderkey, o_totalprice BETWEEN 0 AND 1000000 AS valid FROM {orders} WHERE o_orderstatus = 'F' OR o_custkey = 7""")
 C.sql("unseen_items", "B20 C6", f"""
-SELECT p.p_partkey FROM {{part}} p WHERE NOT EXISTS (SELECT 1 FROM {_RATED} r WHERE r.item = p.p_partkey AND r.rating <= 2 AND r.profile < 50)""")
+SELECT p.p_partkey FROM {{part}} p WHERE NOT EXISTS (SELECT 1 FROM {_RATED} r WHERE r.item = p.p_partkey AND r.rating <= 2)""")
 C.sql("liked_level_guard", "B21", f"""
-WITH liked AS (SELECT r.profile, p.p_type AS level, count(*) AS n FROM {_RATED} r JOIN {{part}} p ON p.p_partkey = r.item WHERE r.rating >= 4 AND r.profile < 30 GROUP BY 1, 2),
+WITH liked AS (SELECT r.profile, p.p_type AS level, count(*) AS n FROM {_RATED} r JOIN {{part}} p ON p.p_partkey = r.item WHERE r.rating >= 4 AND r.profile % 50 = 0 GROUP BY 1, 2),
 total AS (SELECT profile, CAST(sum(n) AS BIGINT) AS evidence FROM liked GROUP BY profile)
 SELECT t.profile, p.p_partkey, CASE WHEN t.evidence >= 2 AND l.level IS NULL THEN 1.0e0 ELSE 0.0e0 END AS penalty
-FROM total t JOIN {{part}} p ON p.p_size <= 3 LEFT JOIN liked l ON l.profile = t.profile AND l.level = p.p_type""")
+FROM total t CROSS JOIN {{part}} p LEFT JOIN liked l ON l.profile = t.profile AND l.level = p.p_type""")
 C.sql("pair_membership", "B22 C7", """
 SELECT l_orderkey, l_linenumber, l_partkey FROM {lineitem} l WHERE EXISTS (SELECT 1 FROM {orders} o WHERE o.o_orderkey = l.l_orderkey AND o.o_orderstatus = l.l_linestatus)""")
 C.sql("genuine_scans", "B23", """
@@ -69,7 +69,7 @@ SELECT s.s_suppkey, count(l.l_orderkey) AS n, count(DISTINCT l.l_partkey) AS ite
 C.sql("discussion_rows", "C5 E12", """
 SELECT m.conv_id, m.turn, m.role, coalesce(r.role, 'none') AS reply_to, length(m.text) AS chars
 FROM {conversations} m LEFT JOIN {conversations} r ON r.conv_id = m.conv_id AND r.turn = m.turn - 1
-WHERE m.conv_id < 100 ORDER BY m.conv_id DESC, m.turn DESC LIMIT 51""")
+ORDER BY m.conv_id DESC, m.turn DESC LIMIT 51""")
 C.sql("left_on_predicate", "C9 F6", """
 SELECT p_partkey, count(DISTINCT o.o_custkey) AS saves FROM {part} LEFT JOIN {lineitem} l ON l.l_partkey = p_partkey AND l.l_quantity > 45 LEFT JOIN {orders} o ON o.o_orderkey = l.l_orderkey AND o.o_orderstatus = 'O'
 GROUP BY p_partkey ORDER BY saves DESC, p_partkey LIMIT 50""")
@@ -80,7 +80,7 @@ C.sql("same_hash_other_key", "C11 G7", """
 WITH h AS (SELECT doc_id, source, SHA(lower(text)) AS h FROM {documents})
 SELECT h, count(*) AS files, count(DISTINCT source) AS keys FROM h GROUP BY h HAVING count(DISTINCT source) > 1""")
 C.sql("cards_lookup", "C12", """
-SELECT l_orderkey, l_linenumber, p_name, s_name, n_name FROM {lineitem} JOIN {part} ON p_partkey = l_partkey JOIN {supplier} ON s_suppkey = l_suppkey JOIN {nation} ON n_nationkey = s_nationkey WHERE l_quantity = 50""")
+SELECT l_orderkey, l_linenumber, p_name, s_name, n_name FROM {lineitem} JOIN {part} ON p_partkey = l_partkey JOIN {supplier} ON s_suppkey = l_suppkey JOIN {nation} ON n_nationkey = s_nationkey""")
 C.sql("paired_predictions", "C20 D17", """
 WITH a AS (SELECT l_orderkey AS q, max(CASE WHEN l_quantity > 25 THEN 1 ELSE 0 END) AS ok FROM {lineitem} GROUP BY 1),
 b AS (SELECT o_orderkey AS q, CASE WHEN o_totalprice > 200000 THEN 1 ELSE 0 END AS ok FROM {orders}),

@@ -11,7 +11,7 @@ from larkspur.storage import table
 C = Catalogue()
 QUERIES, ORACLES, COVERS = C.QUERIES, C.ORACLES, C.COVERS
 
-_RATED = "(SELECT o_custkey AS profile, l_partkey AS item, 1 + CAST(l_quantity AS INTEGER) % 5 AS rating FROM {lineitem} JOIN {orders} ON l_orderkey = o_orderkey WHERE o_custkey < 40)"
+_RATED = "(SELECT o_custkey AS profile, l_partkey AS item, 1 + CAST(l_quantity AS INTEGER) % 5 AS rating FROM {lineitem} JOIN {orders} ON l_orderkey = o_orderkey)"
 # blocks: style 3, producer 2, size bucket 1; each block has unit length times its weight, then the item is a unit
 _VECTORS = """(SELECT item, feature, block, CAST(w AS DOUBLE) / sqrt(14.0e0) AS x FROM (
   SELECT p_partkey AS item, concat('style:', p_type) AS feature, 'style' AS block, 3 AS w FROM {part} UNION ALL
@@ -19,16 +19,16 @@ _VECTORS = """(SELECT item, feature, block, CAST(w AS DOUBLE) / sqrt(14.0e0) AS
   SELECT p_partkey, concat('size:', CAST(p_size % 10 AS VARCHAR(5))), 'size', 1 FROM {part}) f)"""
 _EVIDENCE = f"(SELECT profile, item, max(CASE WHEN rating = 5 THEN 1.0e0 WHEN rating = 4 THEN 0.6e0 WHEN rating = 3 THEN 0.1e0 WHEN rating = 2 THEN -0.5e0 ELSE -0.9e0 END) AS w FROM {_RATED} r GROUP BY profile, item)"
 _SEEDS = f"(SELECT profile, item, w FROM (SELECT *, row_number() OVER (PARTITION BY profile, CASE WHEN w > 0 THEN 1 ELSE 0 END ORDER BY abs(w) DESC, item) AS rn FROM {_EVIDENCE} e) x WHERE rn <= 10)"
-_SIMS = f"(SELECT s.profile, s.item AS seed, s.w, b.item, sum(a.x * b.x) AS sim FROM {_SEEDS} s JOIN {_VECTORS} a ON a.item = s.item JOIN {_VECTORS} b ON b.feature = a.feature AND b.item <> s.item WHERE s.profile < 6 GROUP BY s.profile, s.item, s.w, b.item)"
+_SIMS = f"(SELECT s.profile, s.item AS seed, s.w, b.item, sum(a.x * b.x) AS sim FROM {_SEEDS} s JOIN {_VECTORS} a ON a.item = s.item JOIN {_VECTORS} b ON b.feature = a.feature AND b.item <> s.item WHERE s.profile % 50 = 0 GROUP BY s.profile, s.item, s.w, b.item)"
 
 C.sql("item_vectors", "J1 H23", f"SELECT item, count(*) AS features, round(sqrt(sum(x * x)), 6) AS len FROM {_VECTORS} v GROUP BY item")
 C.sql("partial_similarity", "J2 J3", f"""
 WITH v AS (SELECT * FROM {_VECTORS} v WHERE block <> 'size'), n AS (SELECT item, sqrt(sum(x * x)) AS len FROM v GROUP BY item)
-SELECT a.item AS q, b.item, round(sum(a.x * b.x) / (max(n.len) * max(m.len)), 6) AS sim FROM v a JOIN v b ON a.feature = b.feature AND a.item <> b.item JOIN n ON n.item = a.item JOIN n m ON m.item = b.item WHERE a.item < 5 GROUP BY a.item, b.item""")
+SELECT a.item AS q, b.item, round(sum(a.x * b.x) / (max(n.len) * max(m.len)), 6) AS sim FROM v a JOIN v b ON a.feature = b.feature AND a.item <> b.item JOIN n ON n.item = a.item JOIN n m ON m.item = b.item WHERE a.item % 50 = 0 GROUP BY a.item, b.item""")
 C.sql("taste_signals", "J4", """
 WITH u AS (SELECT o_custkey AS profile, l_partkey AS item, 1 + CAST(l_quantity AS INTEGER) % 5 AS rating, 0 AS opened, 0 AS wished FROM {lineitem} JOIN {orders} ON l_orderkey = o_orderkey
 UNION ALL SELECT user_id, CAST(JSON_K(props) AS BIGINT), 0, CASE WHEN event_type = 'purchase' THEN 1 ELSE 0 END, CASE WHEN event_type = 'click' THEN 1 ELSE 0 END FROM {events})
-SELECT profile, item, CAST(max(rating) AS BIGINT) AS rating, CAST(sum(opened) AS BIGINT) AS opened, CAST(max(wished) AS BIGINT) AS wished FROM u WHERE profile < 50 GROUP BY profile, item""")
+SELECT profile, item, CAST(max(rating) AS BIGINT) AS rating, CAST(sum(opened) AS BIGINT) AS opened, CAST(max(wished) AS BIGINT) AS wished FROM u GROUP BY profile, item""")
 C.sql("evidence_weights", "J5", f"SELECT profile, item, w FROM {_EVIDENCE} e WHERE w <> 0.1e0")
 C.sql("personal_scores", "J6 D25", f"""
 WITH p AS (SELECT *, row_number() OVER (PARTITION BY profile, item ORDER BY round(sim * w, 9) DESC, seed) AS rn FROM {_SIMS} s WHERE w > 0),
@@ -40,27 +40,27 @@ WITH s AS (SELECT profile, item, max(sim * w) AS fit FROM {_SIMS} s WHERE w > 0
 k AS (SELECT s.profile, s.item, round(fit + HEX_BYTE(left(SHA(concat('j:', CAST(s.item AS VARCHAR(20)))), 2)) / 2550, 6) AS score FROM s WHERE NOT EXISTS (SELECT 1 FROM {_EVIDENCE} e WHERE e.profile = s.profile AND e.item = s.item))
 SELECT profile, item, score FROM (SELECT *, row_number() OVER (PARTITION BY profile ORDER BY score DESC, item) AS rn FROM k) x WHERE rn <= 20""")
 C.sql("taste_neighbours", "J10", """
-SELECT a.p_partkey AS a, b.p_partkey AS b, abs(a.p_size - b.p_size) / 10.0e0 AS distance, CASE WHEN a.p_brand = b.p_brand THEN 1 ELSE 0 END AS bonus FROM {part} a JOIN {part} b ON a.p_type = b.p_type AND a.p_partkey <> b.p_partkey AND abs(a.p_size - b.p_size) <= 1 WHERE a.p_partkey < 50""")
+SELECT a.p_partkey AS a, b.p_partkey AS b, abs(a.p_size - b.p_size) / 10.0e0 AS distance, CASE WHEN a.p_brand = b.p_brand THEN 1 ELSE 0 END AS bonus FROM {part} a JOIN {part} b ON a.p_type = b.p_type AND a.p_partkey <> b.p_partkey AND abs(a.p_size - b.p_size) <= 1""")
 C.sql("explore_new", "J11 J12", f"""
 WITH known AS (SELECT DISTINCT r.profile, p.p_brand FROM {_RATED} r JOIN {{part}} p ON p.p_partkey = r.item), rare AS (SELECT p_brand, count(*) AS n FROM {{part}} GROUP BY p_brand)
-SELECT c.c_custkey AS profile, r.p_brand, r.n FROM {{customer}} c JOIN rare r ON 1 = 1 LEFT JOIN known k ON k.profile = c.c_custkey AND k.p_brand = r.p_brand WHERE c.c_custkey < 40 AND k.p_brand IS NULL""")
+SELECT c.c_custkey AS profile, r.p_brand, r.n FROM {{customer}} c JOIN rare r ON 1 = 1 LEFT JOIN known k ON k.profile = c.c_custkey AND k.p_brand = r.p_brand WHERE k.p_brand IS NULL""")
 C.sql("cellar_for_dish", "J13 J23", f"""
 SELECT r.profile, r.item, max(CASE p.p_type WHEN 'ECONOMY' THEN 2 WHEN 'STANDARD' THEN 1 ELSE 0 END) AS fit FROM {_RATED} r JOIN {{part}} p ON p.p_partkey = r.item WHERE r.rating >= 3 GROUP BY r.profile, r.item HAVING max(CASE p.p_type WHEN 'ECONOMY' THEN 2 WHEN 'STANDARD' THEN 1 ELSE 0 END) > 0""")
 C.sql("refill", "J14 D5", """
 WITH f AS (SELECT o_custkey AS profile, l_partkey AS item, max(o_orderdate) AS latest FROM {lineitem} JOIN {orders} ON l_orderkey = o_orderkey WHERE l_linestatus = 'F' GROUP BY 1, 2)
 SELECT profile, item FROM (SELECT *, row_number() OVER (PARTITION BY profile ORDER BY latest DESC, item) AS rn FROM f) x WHERE rn <= 3""")
 C.sql("list_fit", "J15 J27", f"""
-WITH m AS (SELECT DISTINCT l_orderkey AS list, l_partkey AS item FROM {{lineitem}} WHERE l_orderkey < 50), c AS (SELECT DISTINCT p_partkey AS item FROM {{part}} WHERE p_partkey < 100),
-s AS (SELECT m.list, m.item AS member, b.item, sum(a.x * b.x) AS sim FROM m JOIN {_VECTORS} a ON a.item = m.item JOIN {_VECTORS} b ON b.feature = a.feature JOIN c ON c.item = b.item WHERE b.item <> m.item GROUP BY 1, 2, 3)
+WITH m AS (SELECT DISTINCT l_orderkey AS list, l_partkey AS item FROM {{lineitem}} WHERE l_orderkey % 50 = 0),
+s AS (SELECT m.list, m.item AS member, b.item, sum(a.x * b.x) AS sim FROM m JOIN {_VECTORS} a ON a.item = m.item JOIN {_VECTORS} b ON b.feature = a.feature WHERE b.item <> m.item GROUP BY 1, 2, 3)
 SELECT list, item, round(6 * max(sim), 6) AS cohesion, count(*) AS members FROM s GROUP BY list, item""")
 C.sql("match_percent", "J18", """
-SELECT c_custkey, p_partkey, CAST(least(99, greatest(10, floor(100 * (0.6e0 * (1 - abs(c_nationkey - p_size % 25) / 25.0e0) + 0.25e0 * (CASE WHEN p_partkey % 3 = c_custkey % 3 THEN 1 ELSE 0 END) + 0.15e0 * (CASE WHEN p_type = 'PROMO' THEN 1 ELSE 0 END))))) AS BIGINT) AS percent FROM {customer} JOIN {part} ON p_partkey < 40 AND c_custkey < 40""")
+SELECT c_custkey, p_partkey, CAST(least(99, greatest(10, floor(100 * (0.6e0 * (1 - abs(c_nationkey - p_size % 25) / 25.0e0) + 0.25e0 * (CASE WHEN p_partkey % 3 = c_custkey % 3 THEN 1 ELSE 0 END) + 0.15e0 * (CASE WHEN p_type = 'PROMO' THEN 1 ELSE 0 END))))) AS BIGINT) AS percent FROM {customer} JOIN {part} ON c_custkey % 50 = 0""")
 C.sql("swipe_deck", "J19 K7", """
 WITH v AS (SELECT user_id, CAST(JSON_K(props) AS BIGINT) AS item, event_type, row_number() OVER (PARTITION BY user_id, JSON_K(props) ORDER BY ts DESC, event_id DESC) AS rn FROM {events} WHERE event_type IN ('click', 'error'))
 SELECT user_id, item, CASE WHEN event_type = 'click' THEN 'like' ELSE 'nope' END AS verdict FROM v WHERE rn = 1""")
 C.sql("why_explained", "J21", f"""
 SELECT q, item, feature, product FROM (SELECT a.item AS q, b.item, a.feature, round(a.x * b.x, 6) AS product, row_number() OVER (PARTITION BY a.item, b.item ORDER BY round(a.x * b.x, 6) DESC, a.feature) AS rn
-FROM {_VECTORS} a JOIN {_VECTORS} b ON a.feature = b.feature AND a.item <> b.item WHERE a.item < 10) x WHERE rn <= 3""")
+FROM {_VECTORS} a JOIN {_VECTORS} b ON a.feature = b.feature AND a.item <> b.item WHERE a.item % 50 = 0) x WHERE rn <= 3""")
 
 
 @C.query("diversified_feed", "J8 J16 E6")

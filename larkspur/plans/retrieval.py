@@ -13,19 +13,19 @@ from larkspur.storage import table
 C = Catalogue()
 QUERIES, ORACLES, COVERS = C.QUERIES, C.ORACLES, C.COVERS
 
-_BEST = "SELECT a.vec_id AS q, a.label AS truth, b.label AS owner, round(max(DOT(a.embedding, b.embedding)), 6) AS sim FROM {embeddings} a JOIN {embeddings} b ON a.vec_id <> b.vec_id WHERE a.vec_id < 40 GROUP BY a.vec_id, a.label, b.label"
+_BEST = "SELECT a.vec_id AS q, a.label AS truth, b.label AS owner, round(max(DOT(a.embedding, b.embedding)), 6) AS sim FROM {embeddings} a JOIN {embeddings} b ON a.vec_id <> b.vec_id WHERE a.vec_id % 50 = 0 GROUP BY a.vec_id, a.label, b.label"
 _RANKED = f"SELECT *, row_number() OVER (PARTITION BY q ORDER BY sim DESC, owner) AS rk FROM ({_BEST}) best"
 
 
 @C.query("owner_max_topk", "A8 C13 D11 F2", """
 WITH scored AS (
   SELECT q.vec_id AS qid, r.label AS owner, round(max(DOT(q.embedding, r.embedding)), 6) AS score
-  FROM embeddings q CROSS JOIN embeddings r WHERE q.vec_id < 20 GROUP BY 1, 2)
+  FROM embeddings q CROSS JOIN embeddings r WHERE q.vec_id % 50 = 0 GROUP BY 1, 2)
 SELECT qid, owner, score, CAST(rank AS INTEGER) AS rank FROM (SELECT *, row_number() OVER (PARTITION BY qid ORDER BY score DESC, owner) AS rank FROM scored) x WHERE rank <= 3""")
-def owner_max_topk(spark, sf_dir, n_queries=20, k=3):
+def owner_max_topk(spark, sf_dir, k=3):
     """Maximum similarity over each owner's references, then the k best owners a query."""
     refs = table(spark, sf_dir, "embeddings")
-    queries = refs.where(F.col("vec_id") < n_queries).select(F.col("vec_id").alias("qid"), F.col("embedding").alias("q"))
+    queries = refs.where("vec_id % 50 = 0").select(F.col("vec_id").alias("qid"), F.col("embedding").alias("q"))
     best = search.owner_scores(queries, refs.select(F.col("label").alias("owner"), F.col("embedding").alias("v")))
     rank = F.row_number().over(Window.partitionBy("qid").orderBy(F.desc("score"), "owner"))
     return best.withColumn("rank", rank).where(F.col("rank") <= k)
@@ -39,10 +39,10 @@ WITH b AS ({_BEST}), g AS (SELECT x.w / 4.0e0 AS w FROM (SELECT 1 AS one) o, EAC
 s AS (SELECT q, truth, owner, w, row_number() OVER (PARTITION BY q, w ORDER BY round(sim - w * owner / 100.0e0, 6) DESC, owner) AS rk FROM b CROSS JOIN g)
 SELECT w, round(avg(CASE WHEN owner = truth THEN 1.0e0 ELSE 0.0e0 END), 6) AS accuracy FROM s WHERE rk = 1 GROUP BY w""")
 C.sql("hard_negatives", "J26 C24", """
-WITH s AS (SELECT a.vec_id AS q, b.vec_id AS r, round(DOT(a.embedding, b.embedding), 6) AS sim FROM {embeddings} a JOIN {embeddings} b ON a.label <> b.label WHERE a.vec_id < 40)
+WITH s AS (SELECT a.vec_id AS q, b.vec_id AS r, round(DOT(a.embedding, b.embedding), 6) AS sim FROM {embeddings} a JOIN {embeddings} b ON a.label <> b.label WHERE a.vec_id % 50 = 0)
 SELECT q, r, sim FROM (SELECT *, row_number() OVER (PARTITION BY q ORDER BY sim DESC, r) AS rk FROM s) x WHERE rk <= 5""")
 C.sql("knn_vote", "J25 F3", """
-WITH s AS (SELECT a.vec_id AS q, b.label AS owner, round(DOT(a.embedding, b.embedding), 6) AS sim, row_number() OVER (PARTITION BY a.vec_id ORDER BY round(DOT(a.embedding, b.embedding), 6) DESC, b.vec_id) AS rk FROM {embeddings} a JOIN {embeddings} b ON a.vec_id <> b.vec_id WHERE a.vec_id < 40),
+WITH s AS (SELECT a.vec_id AS q, b.label AS owner, round(DOT(a.embedding, b.embedding), 6) AS sim, row_number() OVER (PARTITION BY a.vec_id ORDER BY round(DOT(a.embedding, b.embedding), 6) DESC, b.vec_id) AS rk FROM {embeddings} a JOIN {embeddings} b ON a.vec_id <> b.vec_id WHERE a.vec_id % 50 = 0),
 v AS (SELECT q, owner, round(sum(sim), 5) AS votes FROM s WHERE rk <= 15 GROUP BY q, owner)
 SELECT q, owner, votes FROM (SELECT *, row_number() OVER (PARTITION BY q ORDER BY votes DESC, owner) AS rn FROM v) x WHERE rn = 1""")
 C.sql("ranking_metrics", "D20", f"""
@@ -72,15 +72,15 @@ def vector_fusion(spark, sf_dir):
 
 
 @C.query("query_expansion", "H25", """
-WITH s AS (SELECT a.vec_id AS q, b.vec_id AS r, greatest(DOT(a.embedding, b.embedding), 0) AS sim FROM {embeddings} a JOIN {embeddings} b ON a.vec_id <> b.vec_id WHERE a.vec_id < 10),
-t AS (SELECT q, r, sim FROM (SELECT *, row_number() OVER (PARTITION BY q ORDER BY round(sim, 9) DESC, r) AS rk FROM s) x WHERE rk <= 5 UNION ALL SELECT vec_id, vec_id, 1 FROM {embeddings} WHERE vec_id < 10),
+WITH s AS (SELECT a.vec_id AS q, b.vec_id AS r, greatest(DOT(a.embedding, b.embedding), 0) AS sim FROM {embeddings} a JOIN {embeddings} b ON a.vec_id <> b.vec_id WHERE a.vec_id % 50 = 0),
+t AS (SELECT q, r, sim FROM (SELECT *, row_number() OVER (PARTITION BY q ORDER BY round(sim, 9) DESC, r) AS rk FROM s) x WHERE rk <= 5 UNION ALL SELECT vec_id, vec_id, 1 FROM {embeddings} WHERE vec_id % 50 = 0),
 p AS (SELECT q, generate_subscripts(embedding, 1) AS i, sim ** 3 * unnest(embedding)::DOUBLE AS x FROM t JOIN {embeddings} ON vec_id = r),
 m AS (SELECT q, i, sum(x) AS x FROM p GROUP BY q, i), n AS (SELECT q, sqrt(sum(x * x)) AS len FROM m GROUP BY q)
 SELECT q, CAST(i AS INTEGER) AS i, round(x / len, 5) AS x FROM m JOIN n USING (q)""")
 def query_expansion(spark, sf_dir):
     """Each query plus its 5 nearest, weighted by similarity cubed."""
     refs = table(spark, sf_dir, "embeddings").select(F.col("vec_id").alias("r"), F.col("embedding").alias("v"))
-    expanded = search.expand_queries(refs.where("r < 10").select(F.col("r").alias("q"), F.col("v").alias("qv")), refs, k=5, power=3)
+    expanded = search.expand_queries(refs.where("r % 50 = 0").select(F.col("r").alias("q"), F.col("v").alias("qv")), refs, k=5, power=3)
     return expanded.select("q", F.posexplode("v").alias("i", "x")).select("q", (F.col("i") + 1).alias("i"), F.round("x", 5).alias("x"))
 
 
