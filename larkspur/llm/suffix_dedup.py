@@ -249,6 +249,7 @@ def _cut(batches):
 
 def repeated_substrings(docs: DataFrame, *, id_col="doc_id", text_col="text", least=LEAST, gram=None, group=GROUP) -> DataFrame:
     """doc_id, n_bytes, n_removed, spans (byte runs [a, b) removed), kept_sha256: one row an input row."""
+    group = max(group, 2 * least)  # two copies of one window always fit, so refinement ends
     gram = gram or min(GRAM, 1 << max(0, (least // 2).bit_length() - 1))
     kind = docs.schema[id_col].dataType.simpleString()
     source = docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text"))
