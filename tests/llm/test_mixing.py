@@ -57,7 +57,8 @@ def test_repeated_windows_by_brute_force(spark, make):
 
     random.seed(2)
     texts = [" ".join(random.choice("abc") for _ in range(n)) for n in (5, 8, 9, 40, 60, 200)] + ["same words here again " * 12]
-    got = make(texts).select("doc_id", quality.quality_of(make(texts).text).alias("q")).collect()
+    docs = make(texts)
+    got = docs.select("doc_id", quality.quality_of(docs.text).alias("q")).collect()
     for r in got:
         w = texts[r.doc_id].split()
         seen = defaultdict(list)
