@@ -52,10 +52,12 @@ SELECT o_orderkey, o_totalprice BETWEEN 0 AND 1000000 AS valid FROM {orders} WHE
 C.sql("unseen_items", "B20 C6", f"""
 SELECT p.p_partkey FROM {{part}} p WHERE NOT EXISTS (SELECT 1 FROM {_RATED} r WHERE r.item = p.p_partkey AND r.rating <= 2)""")
 C.sql("liked_level_guard", "B21", f"""
-WITH liked AS (SELECT r.profile, p.p_type AS level, count(*) AS n FROM {_RATED} r JOIN {{part}} p ON p.p_partkey = r.item WHERE r.rating >= 4 AND r.profile % 50 = 0 GROUP BY 1, 2),
-total AS (SELECT profile, CAST(sum(n) AS BIGINT) AS evidence FROM liked GROUP BY profile)
-SELECT t.profile, p.p_partkey, CASE WHEN t.evidence >= 2 AND l.level IS NULL THEN 1.0e0 ELSE 0.0e0 END AS penalty
-FROM total t CROSS JOIN {{part}} p LEFT JOIN liked l ON l.profile = t.profile AND l.level = p.p_type""")
+WITH liked AS (SELECT r.profile, p.p_type AS level, count(*) AS n FROM {_RATED} r JOIN {{part}} p ON p.p_partkey = r.item WHERE r.rating >= 4 GROUP BY 1, 2),
+total AS (SELECT profile, CAST(sum(n) AS BIGINT) AS evidence FROM liked GROUP BY profile),
+levels AS (SELECT DISTINCT p_type AS level FROM {{part}}),
+g AS (SELECT t.profile, v.level, CASE WHEN t.evidence >= 2 AND l.level IS NULL THEN 1.0e0 ELSE 0.0e0 END AS penalty
+FROM total t CROSS JOIN levels v LEFT JOIN liked l ON l.profile = t.profile AND l.level = v.level)
+SELECT g.profile, p.p_partkey, g.penalty FROM g JOIN {{part}} p ON p.p_type IS NOT DISTINCT FROM g.level""")
 C.sql("pair_membership", "B22 C7", """
 SELECT l_orderkey, l_linenumber, l_partkey FROM {lineitem} l WHERE EXISTS (SELECT 1 FROM {orders} o WHERE o.o_orderkey = l.l_orderkey AND o.o_orderstatus = l.l_linestatus)""")
 C.sql("genuine_scans", "B23", """

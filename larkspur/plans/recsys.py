@@ -19,25 +19,44 @@ _VECTORS = """(SELECT item, feature, block, CAST(w AS DOUBLE) / sqrt(14.0e0) AS
   SELECT p_partkey, concat('size:', CAST(p_size % 10 AS VARCHAR(5))), 'size', 1 FROM {part}) f)"""
 _EVIDENCE = f"(SELECT profile, item, max(CASE WHEN rating = 5 THEN 1.0e0 WHEN rating = 4 THEN 0.6e0 WHEN rating = 3 THEN 0.1e0 WHEN rating = 2 THEN -0.5e0 ELSE -0.9e0 END) AS w FROM {_RATED} r GROUP BY profile, item)"
 _SEEDS = f"(SELECT profile, item, w FROM (SELECT *, row_number() OVER (PARTITION BY profile, CASE WHEN w > 0 THEN 1 ELSE 0 END ORDER BY abs(w) DESC, item) AS rn FROM {_EVIDENCE} e) x WHERE rn <= 10)"
-_SIMS = f"(SELECT s.profile, s.item AS seed, s.w, b.item, sum(a.x * b.x) AS sim FROM {_SEEDS} s JOIN {_VECTORS} a ON a.item = s.item JOIN {_VECTORS} b ON b.feature = a.feature AND b.item <> s.item WHERE s.profile % 50 = 0 GROUP BY s.profile, s.item, s.w, b.item)"
+# items of one style, producer and size bucket have one vector: similarities are between kinds, each named by its first item
+_KINDS = "(SELECT p_partkey AS item, min(p_partkey) OVER (PARTITION BY p_type, p_brand, p_size % 10) AS kind FROM {part})"
+
+
+def _near(blocks="true"):
+    """Kinds u and v that share a feature of the given blocks, and their dot product."""
+    one = f"(SELECT v.* FROM {_VECTORS} v JOIN {_KINDS} k ON k.item = v.item AND k.kind = v.item WHERE {blocks})"
+    return f"(SELECT a.item AS u, b.item AS v, sum(a.x * b.x) AS sim FROM {one} a JOIN {one} b ON b.feature = a.feature GROUP BY a.item, b.item)"
+
+
+_SIMS = f"(SELECT s.profile, s.item AS seed, s.w, n.v AS kind, n.sim FROM {_SEEDS} s JOIN {_KINDS} k ON k.item = s.item JOIN {_near()} n ON n.u = k.kind)"
 
 C.sql("item_vectors", "J1 H23", f"SELECT item, count(*) AS features, round(sqrt(sum(x * x)), 6) AS len FROM {_VECTORS} v GROUP BY item")
 C.sql("partial_similarity", "J2 J3", f"""
-WITH v AS (SELECT * FROM {_VECTORS} v WHERE block <> 'size'), n AS (SELECT item, sqrt(sum(x * x)) AS len FROM v GROUP BY item)
-SELECT a.item AS q, b.item, round(sum(a.x * b.x) / (max(n.len) * max(m.len)), 6) AS sim FROM v a JOIN v b ON a.feature = b.feature AND a.item <> b.item JOIN n ON n.item = a.item JOIN n m ON m.item = b.item WHERE a.item % 50 = 0 GROUP BY a.item, b.item""")
+WITH n AS {_near("block <> 'size'")}, k AS {_KINDS}, l AS (SELECT u, sqrt(sim) AS len FROM n WHERE u = v),
+s AS (SELECT n.u, n.v, round(n.sim / (a.len * b.len), 6) AS sim FROM n JOIN l a ON a.u = n.u JOIN l b ON b.u = n.v)
+SELECT a.item AS q, b.item, s.sim FROM s JOIN k a ON a.kind = s.u JOIN k b ON b.kind = s.v WHERE a.item <> b.item""")
 C.sql("taste_signals", "J4", """
 WITH u AS (SELECT o_custkey AS profile, l_partkey AS item, 1 + CAST(l_quantity AS INTEGER) % 5 AS rating, 0 AS opened, 0 AS wished FROM {lineitem} JOIN {orders} ON l_orderkey = o_orderkey
 UNION ALL SELECT user_id, CAST(JSON_K(props) AS BIGINT), 0, CASE WHEN event_type = 'purchase' THEN 1 ELSE 0 END, CASE WHEN event_type = 'click' THEN 1 ELSE 0 END FROM {events})
 SELECT profile, item, CAST(max(rating) AS BIGINT) AS rating, CAST(sum(opened) AS BIGINT) AS opened, CAST(max(wished) AS BIGINT) AS wished FROM u GROUP BY profile, item""")
 C.sql("evidence_weights", "J5", f"SELECT profile, item, w FROM {_EVIDENCE} e WHERE w <> 0.1e0")
+# the best three seeds of a kind and the worst two: an item that is a seed itself is scored by the others
 C.sql("personal_scores", "J6 D25", f"""
-WITH p AS (SELECT *, row_number() OVER (PARTITION BY profile, item ORDER BY round(sim * w, 9) DESC, seed) AS rn FROM {_SIMS} s WHERE w > 0),
-g AS (SELECT profile, item, max(CASE WHEN rn = 1 THEN sim * w ELSE 0 END) AS best, max(CASE WHEN rn = 2 THEN sim * w ELSE 0 END) AS second, min(CASE WHEN rn = 1 THEN seed END) AS source FROM p GROUP BY profile, item),
-n AS (SELECT profile, item, max(-w * sim) AS penalty FROM {_SIMS} s WHERE w < 0 GROUP BY profile, item)
-SELECT g.profile, g.item, g.source, round(best + 0.25e0 * second - 0.8e0 * coalesce(penalty, 0), 6) AS score FROM g LEFT JOIN n ON n.profile = g.profile AND n.item = g.item""")
+WITH s AS {_SIMS}, k AS {_KINDS},
+p AS (SELECT *, row_number() OVER (PARTITION BY profile, kind ORDER BY round(sim * w, 9) DESC, seed) AS rn FROM s WHERE w > 0),
+g AS (SELECT profile, kind, max(CASE WHEN rn = 1 THEN seed END) AS s1, max(CASE WHEN rn = 2 THEN seed END) AS s2, max(CASE WHEN rn = 1 THEN sim * w END) AS v1, max(CASE WHEN rn = 2 THEN sim * w END) AS v2, max(CASE WHEN rn = 3 THEN sim * w END) AS v3 FROM p WHERE rn <= 3 GROUP BY profile, kind),
+d AS (SELECT *, row_number() OVER (PARTITION BY profile, kind ORDER BY round(-w * sim, 9) DESC, seed) AS rn FROM s WHERE w < 0),
+n AS (SELECT profile, kind, max(CASE WHEN rn = 1 THEN seed END) AS n1, max(CASE WHEN rn = 1 THEN -w * sim END) AS p1, max(CASE WHEN rn = 2 THEN -w * sim END) AS p2 FROM d WHERE rn <= 2 GROUP BY profile, kind),
+b AS (SELECT g.profile, g.kind, s1, s2, v1, v2, v3, n1, p1, p2 FROM g LEFT JOIN n ON n.profile = g.profile AND n.kind = g.kind)
+SELECT profile, item, CASE WHEN item = s1 THEN s2 ELSE s1 END AS source, round(CASE WHEN item = s1 THEN v2 ELSE v1 END + 0.25e0 * coalesce(CASE WHEN item = s1 OR item = s2 THEN v3 ELSE v2 END, 0) - 0.8e0 * coalesce(CASE WHEN item = n1 THEN p2 ELSE p1 END, 0), 6) AS score
+FROM b JOIN k ON k.kind = b.kind WHERE item <> s1 OR s2 IS NOT NULL""")
 C.sql("feed_ranking", "J7 J9 B20", f"""
-WITH s AS (SELECT profile, item, max(sim * w) AS fit FROM {_SIMS} s WHERE w > 0 GROUP BY profile, item),
-k AS (SELECT s.profile, s.item, round(fit + HEX_BYTE(left(SHA(concat('j:', CAST(s.item AS VARCHAR(20)))), 2)) / 2550, 6) AS score FROM s WHERE NOT EXISTS (SELECT 1 FROM {_EVIDENCE} e WHERE e.profile = s.profile AND e.item = s.item))
+WITH e AS (SELECT e.profile, k.kind, COLLECT(e.item) AS seen FROM {_EVIDENCE} e JOIN {_KINDS} k ON k.item = e.item GROUP BY e.profile, k.kind),
+s AS (SELECT profile, kind, max(sim * w) AS fit FROM {_SIMS} s WHERE w > 0 GROUP BY profile, kind),
+b AS (SELECT s.profile, s.kind, s.fit, e.seen FROM s LEFT JOIN e ON e.profile = s.profile AND e.kind = s.kind),
+j AS (SELECT item, kind, HEX_BYTE(left(SHA(concat('j:', CAST(item AS VARCHAR(20)))), 2)) / 2550 AS jitter FROM {_KINDS} i),
+k AS (SELECT b.profile, j.item, round(fit + jitter, 6) AS score FROM b JOIN j ON j.kind = b.kind WHERE b.seen IS NULL OR NOT HAS(b.seen, j.item))
 SELECT profile, item, score FROM (SELECT *, row_number() OVER (PARTITION BY profile ORDER BY score DESC, item) AS rn FROM k) x WHERE rn <= 20""")
 C.sql("taste_neighbours", "J10", """
 SELECT a.p_partkey AS a, b.p_partkey AS b, abs(a.p_size - b.p_size) / 10.0e0 AS distance, CASE WHEN a.p_brand = b.p_brand THEN 1 ELSE 0 END AS bonus FROM {part} a JOIN {part} b ON a.p_type = b.p_type AND a.p_partkey <> b.p_partkey AND abs(a.p_size - b.p_size) <= 1""")
@@ -50,11 +69,14 @@ C.sql("refill", "J14 D5", """
 WITH f AS (SELECT o_custkey AS profile, l_partkey AS item, max(o_orderdate) AS latest FROM {lineitem} JOIN {orders} ON l_orderkey = o_orderkey WHERE l_linestatus = 'F' GROUP BY 1, 2)
 SELECT profile, item FROM (SELECT *, row_number() OVER (PARTITION BY profile ORDER BY latest DESC, item) AS rn FROM f) x WHERE rn <= 3""")
 C.sql("list_fit", "J15 J27", f"""
-WITH m AS (SELECT DISTINCT l_orderkey AS list, l_partkey AS item FROM {{lineitem}} WHERE l_orderkey % 50 = 0),
-s AS (SELECT m.list, m.item AS member, b.item, sum(a.x * b.x) AS sim FROM m JOIN {_VECTORS} a ON a.item = m.item JOIN {_VECTORS} b ON b.feature = a.feature WHERE b.item <> m.item GROUP BY 1, 2, 3)
-SELECT list, item, round(6 * max(sim), 6) AS cohesion, count(*) AS members FROM s GROUP BY list, item""")
+WITH k AS {_KINDS}, m AS (SELECT DISTINCT l_orderkey AS list, k.item, k.kind FROM {{lineitem}} JOIN k ON k.item = l_partkey),
+s AS (SELECT m.list, n.v AS kind, m.item AS member, CASE WHEN m.kind = n.v THEN m.item END AS own, n.sim FROM m JOIN {_near()} n ON n.u = m.kind),
+r AS (SELECT *, row_number() OVER (PARTITION BY list, kind ORDER BY round(sim, 9) DESC, member) AS rn FROM s),
+t AS (SELECT list, kind, max(CASE WHEN rn = 1 THEN member END) AS s1, max(CASE WHEN rn = 1 THEN sim END) AS v1, max(CASE WHEN rn = 2 THEN sim END) AS v2, count(*) AS n, COLLECT(own) AS owned FROM r GROUP BY list, kind)
+SELECT list, item, round(6 * CASE WHEN item = s1 THEN v2 ELSE v1 END, 6) AS cohesion, n - CASE WHEN HAS(owned, item) THEN 1 ELSE 0 END AS members
+FROM t JOIN k ON k.kind = t.kind WHERE item <> s1 OR n > 1""")
 C.sql("match_percent", "J18", """
-SELECT c_custkey, p_partkey, CAST(least(99, greatest(10, floor(100 * (0.6e0 * (1 - abs(c_nationkey - p_size % 25) / 25.0e0) + 0.25e0 * (CASE WHEN p_partkey % 3 = c_custkey % 3 THEN 1 ELSE 0 END) + 0.15e0 * (CASE WHEN p_type = 'PROMO' THEN 1 ELSE 0 END))))) AS BIGINT) AS percent FROM {customer} JOIN {part} ON c_custkey % 50 = 0""")
+SELECT c_custkey, p_partkey, CAST(least(99, greatest(10, floor(100 * (0.6e0 * (1 - abs(c_nationkey - p_size % 25) / 25.0e0) + 0.25e0 * (CASE WHEN p_partkey % 3 = c_custkey % 3 THEN 1 ELSE 0 END) + 0.15e0 * (CASE WHEN p_type = 'PROMO' THEN 1 ELSE 0 END))))) AS BIGINT) AS percent FROM {customer} CROSS JOIN {part}""")
 C.sql("swipe_deck", "J19 K7", """
 WITH v AS (SELECT user_id, CAST(JSON_K(props) AS BIGINT) AS item, event_type, row_number() OVER (PARTITION BY user_id, JSON_K(props) ORDER BY ts DESC, event_id DESC) AS rn FROM {events} WHERE event_type IN ('click', 'error'))
 SELECT user_id, item, CASE WHEN event_type = 'click' THEN 'like' ELSE 'nope' END AS verdict FROM v WHERE rn = 1""")
