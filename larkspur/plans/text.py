@@ -4,8 +4,8 @@ from pyspark.sql import functions as F
 
 from larkspur.functions import text as T
 from larkspur.operators import graph, matching
-from larkspur.plans.shared import Catalogue
-from larkspur.storage import table
+from larkspur.plans.shared import Catalogue, translate
+from larkspur.storage import materialize, table
 
 C = Catalogue()
 QUERIES, ORACLES, COVERS = C.QUERIES, C.ORACLES, C.COVERS
@@ -46,13 +46,6 @@ SELECT p_partkey, round(greatest(0, 1 - abs(v - 1) / 1.5e0), 6) AS lo, round(gre
 C.sql("idf_terms", "D22", f"""
 WITH t AS ({_TOKENS}), n AS (SELECT count(*) AS docs FROM {{documents}}), f AS (SELECT CASE WHEN length(w) > 5 THEN left(w, 5) ELSE w END AS stem, count(DISTINCT doc_id) AS df FROM t GROUP BY 1)
 SELECT stem, df, round(ln(docs * 1.0e0 / df), 6) AS idf FROM f CROSS JOIN n WHERE df >= 2 AND df <= 0.25 * docs""")
-C.sql("tfidf_neighbours", "C14 J2 J25", f"""
-WITH t AS ({_TOKENS}), n AS (SELECT count(*) AS docs FROM {{documents}}), f AS (SELECT w, count(*) AS df FROM t GROUP BY w),
-x AS (SELECT t.doc_id, t.w, ln(docs * 1.0e0 / df) AS v FROM t JOIN f ON f.w = t.w CROSS JOIN n WHERE df >= 2 AND df <= 0.05 * docs),
-l AS (SELECT doc_id, sqrt(sum(v * v)) AS len FROM x GROUP BY doc_id),
-s AS (SELECT a.doc_id AS q, b.doc_id AS d, sum(a.v * b.v) AS dot FROM x a JOIN x b ON a.w = b.w AND a.doc_id <> b.doc_id WHERE a.doc_id % 50 = 0 GROUP BY 1, 2),
-c AS (SELECT q, d, round(dot / (la.len * lb.len), 5) AS sim FROM s JOIN l la ON la.doc_id = q JOIN l lb ON lb.doc_id = d)
-SELECT q, d, sim FROM (SELECT *, row_number() OVER (PARTITION BY q ORDER BY sim DESC, d) AS rn FROM c) y WHERE rn <= 5""")
 C.sql("blocked_match", "C15 C23 H13", """
 WITH p AS (SELECT p_partkey, p_brand, WORDS(p_name) AS ws, p_size, p_retailprice FROM {part}),
 s AS (SELECT a.p_partkey AS target, b.p_partkey AS product, SIZE(COMMON(a.ws, b.ws)) * 1.0e0 / SIZE(a.ws) AS coverage, abs(a.p_retailprice - b.p_retailprice) AS gap FROM p a JOIN p b ON a.p_brand = b.p_brand AND a.p_partkey <> b.p_partkey),
@@ -78,6 +71,24 @@ WITH m AS (SELECT l_orderkey, JOINED(SORTED_ITEMS(COLLECT(concat(CAST(l_partkey
 SELECT l_orderkey, SHA(body) AS version FROM m""")
 
 
+@C.query("tfidf_neighbours", "C14 J2 J25", f"""
+WITH t AS ({_TOKENS}), n AS (SELECT count(*) AS docs FROM {{documents}}), f AS (SELECT w, count(*) AS df FROM t GROUP BY w),
+x AS (SELECT t.doc_id, t.w, ln(docs * 1.0e0 / df) AS v FROM t JOIN f ON f.w = t.w CROSS JOIN n WHERE df >= 2 AND df <= 0.25 * docs),
+l AS (SELECT doc_id, sqrt(sum(v * v)) AS len FROM x GROUP BY doc_id),
+s AS (SELECT a.doc_id AS q, b.doc_id AS d, sum(a.v * b.v) AS dot FROM x a JOIN x b ON a.w = b.w AND a.doc_id <> b.doc_id WHERE a.doc_id % 50 = 0 GROUP BY 1, 2),
+c AS (SELECT q, d, round(dot / (la.len * lb.len), 5) AS sim FROM s JOIN l la ON la.doc_id = q JOIN l lb ON lb.doc_id = d)
+SELECT q, d, sim FROM (SELECT *, row_number() OVER (PARTITION BY q ORDER BY sim DESC, d) AS rn FROM c) y WHERE rn <= 5""")
+def tfidf_neighbours(spark, sf_dir):
+    """The 5 documents nearest to each one whose id divides by 50, by words in at most a quarter of the documents."""
+    docs = table(spark, sf_dir, "documents")
+    tokens = spark.sql(translate(_TOKENS, 0), documents=docs)
+    n = docs.count()
+    words = tokens.groupBy("w").agg(F.count("*").alias("df")).where((F.col("df") >= 2) & (F.col("df") <= 0.25 * n))
+    words = materialize(words.select("w", F.monotonically_increasing_id().alias("term"), F.log(n / F.col("df")).alias("v")), "words")
+    held = tokens.join(words, "w").groupBy(F.col("doc_id").alias("id")).agg(F.collect_list("term").alias("terms"), F.collect_list("v").alias("values"))
+    return matching.sparse_topk(materialize(held, "weights"), k=5, asked="id % 50 = 0").withColumnRenamed("id", "d")
+
+
 @C.query("components", "I1 I2", """
 WITH RECURSIVE e AS (SELECT DISTINCT l_partkey AS p, l_orderkey AS o FROM {lineitem} WHERE l_quantity = 50),
 edges AS (SELECT DISTINCT a.p AS u, b.p AS v FROM e a JOIN e b ON a.o = b.o),

@@ -50,3 +50,12 @@ def test_match_percent_of_every_customer(spark, sf_dir):
 def test_best_source_need_not_divide_by_50(spark, sf_dir):
     found = ranking.best_and_second(spark, sf_dir)
     assert found.where("source % 50 <> 0").count() > 0 and found.count() == connect(sf_dir).sql("SELECT count(*) FROM embeddings").fetchall()[0][0]
+
+
+def test_neighbours_by_words_of_a_fifth_of_the_documents(spark, tmp_path):
+    """40 documents: 'common' stands in 8 of them, more than 5 % and less than 25 %, and alone ties documents together."""
+    rows = [(i, f"own{i} own{i}x " + ("common" if i % 5 == 0 else "")) for i in range(40)]
+    spark.createDataFrame(rows, "doc_id long, text string").write.parquet(f"{tmp_path}/documents.parquet")
+    found = registry.QUERIES["tfidf_neighbours"](spark, str(tmp_path)).collect()
+    assert [(r.q, r.d) for r in sorted(found, key=lambda r: r.d)] == [(0, d) for d in (5, 10, 15, 20, 25)]
+    assert all(r.sim == 1 for r in found)
