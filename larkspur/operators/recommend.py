@@ -5,10 +5,10 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from larkspur.operators.selection import diversify
+from larkspur.operators.selection import diversify, pool_for
 
 
-def diversified(scores: DataFrame, items: DataFrame, *, n: int, pool_size: int = 120) -> DataFrame:
+def diversified(scores: DataFrame, items: DataFrame, *, n: int) -> DataFrame:
     """(profile, slot, item): greedy feed from (profile, item, score) and the item table."""
     described = items.select(
         F.col("p_partkey").alias("item"),
@@ -17,4 +17,4 @@ def diversified(scores: DataFrame, items: DataFrame, *, n: int, pool_size: int =
         F.array((F.col("p_size") / 50.0).cast("double"), (F.col("p_retailprice") / 2000.0).cast("double"), F.lit(0.5)).alias("features"),
     )
     pool = scores.join(described, "item").select("profile", "item", "producer", "duplicate_of", "score", "features")
-    return diversify(pool, n=n, pool_size=pool_size, producer_cap=2)
+    return diversify(pool, n=n, pool_size=pool_for(n), producer_cap=2)

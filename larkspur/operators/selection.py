@@ -13,6 +13,11 @@ def top_per_group(df: DataFrame, group: list[str], order: list, n: int) -> DataF
     return df.withColumn("_rn", F.row_number().over(Window.partitionBy(*group).orderBy(*order))).where(F.col("_rn") <= n).drop("_rn")
 
 
+def pool_for(n: int) -> int:
+    """How many of the best compete for n slots: the reference's pool."""
+    return max(40 * n, 300)
+
+
 def diversify(pool: DataFrame, *, n: int, pool_size: int, producer_cap: int, weight: float = 0.35) -> DataFrame:
     """(profile, slot, item): greedy pick by score less weight * highest similarity to the items picked.
 

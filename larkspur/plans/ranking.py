@@ -100,7 +100,7 @@ def greedy_mmr(spark, sf_dir):
     """Diversified pick of 20 items a brand family: score less 0.35 of the highest similarity to those picked."""
     part = table(spark, sf_dir, "part")
     pool = part.select(F.pmod("p_size", F.lit(5)).alias("profile"), F.col("p_partkey").alias("item"), F.col("p_brand").alias("producer"), F.col("p_name").alias("duplicate_of"), (F.col("p_retailprice") / 2000).alias("score"), F.array(F.col("p_size") / 50.0, F.length("p_name") / 20.0, F.lit(0.5)).alias("features"))
-    return selection.diversify(pool, n=20, pool_size=200, producer_cap=2)
+    return selection.diversify(pool, n=20, pool_size=selection.pool_for(20), producer_cap=2)
 
 
 @C.query("near_duplicate_keep", "E9")

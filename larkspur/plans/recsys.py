@@ -18,7 +18,7 @@ _VECTORS = """(SELECT item, feature, block, CAST(w AS DOUBLE) / sqrt(14.0e0) AS
   SELECT p_partkey, concat('producer:', p_brand), 'producer', 2 FROM {part} UNION ALL
   SELECT p_partkey, concat('size:', CAST(p_size % 10 AS VARCHAR(5))), 'size', 1 FROM {part}) f)"""
 _EVIDENCE = f"(SELECT profile, item, max(CASE WHEN rating = 5 THEN 1.0e0 WHEN rating = 4 THEN 0.6e0 WHEN rating = 3 THEN 0.1e0 WHEN rating = 2 THEN -0.5e0 ELSE -0.9e0 END) AS w FROM {_RATED} r GROUP BY profile, item)"
-_SEEDS = f"(SELECT profile, item, w FROM (SELECT *, row_number() OVER (PARTITION BY profile, CASE WHEN w > 0 THEN 1 ELSE 0 END ORDER BY abs(w) DESC, item) AS rn FROM {_EVIDENCE} e) x WHERE rn <= 10)"
+_SEEDS = f"(SELECT profile, item, w FROM (SELECT *, row_number() OVER (PARTITION BY profile, CASE WHEN w > 0 THEN 1 ELSE 0 END ORDER BY abs(w) DESC, item) AS rn FROM {_EVIDENCE} e) x WHERE rn <= 40)"
 # items of one style, producer and size bucket have one vector: similarities are between kinds, each named by its first item
 _KINDS = "(SELECT p_partkey AS item, min(p_partkey) OVER (PARTITION BY p_type, p_brand, p_size % 10) AS kind FROM {part})"
 

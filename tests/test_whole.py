@@ -5,6 +5,7 @@ import re
 import pytest
 from oracle import connect, same
 
+from larkspur.operators import recommend
 from larkspur.plans import ranking, recsys, registry
 from larkspur.plans.shared import translate
 
@@ -59,3 +60,24 @@ def test_neighbours_by_words_of_a_fifth_of_the_documents(spark, tmp_path):
     found = registry.QUERIES["tfidf_neighbours"](spark, str(tmp_path)).collect()
     assert [(r.q, r.d) for r in sorted(found, key=lambda r: r.d)] == [(0, d) for d in (5, 10, 15, 20, 25)]
     assert all(r.sim == 1 for r in found)
+
+
+def test_forty_seeds_a_profile(spark, tmp_path):
+    """Item 99 is like item 12 alone, the last of twelve equally liked ones."""
+    liked = list(range(1, 13))
+    parts = [(i, f"type{i}", f"brand{i}", i % 10) for i in liked] + [(99, "type12", "brand12", 2)]
+    spark.createDataFrame(parts, "p_partkey long, p_type string, p_brand string, p_size int").write.parquet(f"{tmp_path}/part.parquet")
+    spark.createDataFrame([(1, 7)], "o_orderkey long, o_custkey long").write.parquet(f"{tmp_path}/orders.parquet")
+    spark.createDataFrame([(1, i, 4.0) for i in liked], "l_orderkey long, l_partkey long, l_quantity double").write.parquet(f"{tmp_path}/lineitem.parquet")
+    found = {r["item"]: (r.source, r.score) for r in registry.QUERIES["personal_scores"](spark, str(tmp_path)).collect()}
+    assert found[99] == (12, round(1 + 0.25 / 14, 6))
+
+
+def test_pools_reach_beyond_a_large_group_of_duplicates(spark, tmp_path):
+    """250 copies of one item lead; 20 others follow."""
+    rows = [(i, "brand0" if i < 250 else f"brand{i}", "copy" if i < 250 else f"name{i}", 5, 2000.0 - i) for i in range(270)]
+    parts = spark.createDataFrame(rows, "p_partkey long, p_brand string, p_name string, p_size int, p_retailprice double")
+    parts.write.parquet(f"{tmp_path}/part.parquet")
+    assert registry.QUERIES["greedy_mmr"](spark, str(tmp_path)).count() == 20
+    scores = parts.selectExpr("1 AS profile", "p_partkey AS item", "p_retailprice / 2000 AS score")
+    assert recommend.diversified(scores, parts, n=12).count() == 12
