@@ -12,7 +12,7 @@ otherwise.
 
 Edge cases: a null text has no lines and stays null; lines are compared without blanks at their ends;
 blank lines are never dropped; rows without a host form one host of their own; repeated rows are
-pages of their own; an empty table gives an empty result; other columns pass through whatever
+pages of their own in op7, and one text in clean_documents(); an empty table gives an empty result; other columns pass through whatever
 their names.
 """
 
@@ -53,12 +53,21 @@ def _key(line: Column) -> Column:
     return F.struct(F.xxhash64(_bare(line)).alias("a"), F.hash(_bare(line)).alias("b"))
 
 
-def boilerplate(pages: DataFrame, *, ratio_percent=RATIO_PERCENT, min_pages=MIN_PAGES) -> DataFrame:
-    """(host, keys): hashes of each host's boilerplate lines, from columns host and text."""
+def boilerplate(pages: DataFrame, *, ratio_percent=RATIO_PERCENT, min_pages=MIN_PAGES, copies_once=False) -> DataFrame:
+    """(host, keys): hashes of each host's boilerplate lines, from columns host and text.
+
+    copies_once: pages of one host whose texts are equal but for blanks count as one text; the ratio is
+    one of texts, and a line that a single text holds, however often, is no boilerplate.
+    """
     full = F.filter(F.split("text", "\n", -1), lambda x: _bare(x) != "")
-    lines = pages.select("host", F.explode(F.array_distinct(F.transform(full, _key))).alias("line"))
-    counts = lines.groupBy("host", "line").agg(F.count("*").alias("n")).where(F.col("n") >= min_pages)
-    totals = pages.groupBy("host").agg(F.count("*").alias("pages"))
+    held = pages.select("host", F.transform(full, _key).alias("lines"), F.lit(1).cast("long").alias("copies"))
+    if copies_once:
+        held = held.groupBy("host", F.xxhash64("lines").alias("a"), F.hash("lines").alias("b")).agg(F.first("lines").alias("lines"), F.sum("copies").alias("copies"))
+    lines = held.select("host", "copies", F.explode(F.array_distinct("lines")).alias("line"))
+    counts = lines.groupBy("host", "line").agg(F.count("*").alias("n"), F.sum("copies").alias("held_by")).where(F.col("held_by") >= min_pages)
+    if copies_once:
+        counts = counts.where("n > 1")
+    totals = held.groupBy("host").agg(F.count("*").alias("pages"))
     often = counts.join(totals, "host").where(100 * F.col("n") > ratio_percent * F.col("pages"))
     return often.groupBy("host").agg(F.collect_list("line").alias("keys"))
 
@@ -76,8 +85,11 @@ def drop_boilerplate(docs: DataFrame, *, text, host, **options) -> DataFrame:
 
 
 def clean_documents(docs: DataFrame, *, text_col="text", host_col="source", length_col="n_chars", **options) -> DataFrame:
-    """Documents without their sites' boilerplate, columns as in the input; a text that loses all its words goes."""
-    left = drop_boilerplate(docs, text=lambda f: f(text_col), host=lambda f: f(host_col).cast("string"), **options)
+    """Documents without their sites' boilerplate, columns as in the input; a text that loses all its words goes.
+
+    Copies of a text count once in its host, so that they don't make its own lines boilerplate and near-dedup finds them.
+    """
+    left = drop_boilerplate(docs, text=lambda f: f(text_col), host=lambda f: f(host_col).cast("string"), copies_once=True, **options)
     left = left.where((F.col("n_dropped") == 0) | F.col("text").rlike(r"[^\x20\x09-\x0D]"))
     new = {text_col: F.col("text")}
     if length_col in docs.columns:

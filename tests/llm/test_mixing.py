@@ -87,6 +87,13 @@ def test_line_dedup_drops_texts_without_words(make):
     assert out == {20: "body", 21: None}
 
 
+def test_line_dedup_leaves_copies_to_near_dedup(make):
+    copied = "first line\nsecond line"
+    rows = [(copied, "en", "big")] * 20 + [(copied + "\nthird", "en", "big")] + [(f"unique {k}", "en", "big") for k in range(30)] + [("small line", "en", "small")] * 3
+    out = {r.doc_id: r.text for r in line_dedup.clean_documents(make(rows)).collect()}
+    assert out == {k: text for k, (text, *_) in enumerate(rows)}
+
+
 def test_pipeline_stages_keep_columns(spark, make, awkward, sf_dir):
     docs = make(awkward)
     for k, (_, stage) in enumerate(corpus_pipeline.STAGES):
