@@ -6,11 +6,13 @@ it. A language that explains the text needs few phrases; the fewest phrases, nor
 sample's log length, win. A letter that the sample lacks costs a phrase of its own.
 
 The automaton is compiled to one table: state and letter give the next state and the phrases that end
-there. Texts are cut into runs of RUN letters, a phrase never crossing two runs, and all runs of a
+there. A language's letters are all those of its sample, and one code stands for any other. Where they are
+more than LETTERS - 1, the table holds the automaton's moves alone, sorted, and is searched. Texts are cut into runs of RUN letters, a phrase never crossing two runs, and all runs of a
 batch step through the table together. Whole texts are parsed.
 
 The sample is the labelled rows of smallest hash, at most SAMPLE_DOCS a language, each of at most
-SAMPLE_CHARS letters (longer rows are not sampled): its size doesn't depend on the input's.
+SAMPLE_CHARS letters; longer rows come after all shorter ones and give a piece of that length from their
+first letter on. Its size doesn't depend on the input's.
 
 Edge cases: a null text or one without a letter is `und` with score 0; a null language is not learned;
 without any labelled row all texts are `und`; equal phrase counts fall to the first language by name;
@@ -47,17 +49,43 @@ def _is_letter() -> np.ndarray:
     return np.fromiter((chr(c).isalpha() for c in range(0x110000)), np.bool_, 0x110000)
 
 
+class _Sparse:
+    """The moves of an automaton of many letters."""
+
+    def __init__(self, moves: list[dict[int, int]], width: int):
+        self.width = width
+        keys = np.array([state * width + c for state, row in enumerate(moves) for c in row], np.int64)
+        order = np.argsort(keys)
+        self.keys = np.append(keys[order], -1)
+        self.to = np.append(np.array([to for row in moves for to in row.values()], np.int32)[order], 0)
+        self.fresh = np.full(width, 2, np.int32)  # as in Parser._compile
+        for c, to in moves[0].items():
+            self.fresh[c] = to * 4 + 1
+
+    def step(self, state: np.ndarray, letters: np.ndarray) -> np.ndarray:
+        """next state * 4 + phrases ended."""
+        keys = state.astype(np.int64) * self.width + letters
+        at = np.searchsorted(self.keys[:-1], keys)
+        return np.where(self.keys[at] == keys, self.to[at] * 4, np.where(state == 0, 1, self.fresh[letters]))
+
+
 class Parser:
     """Suffix automata of the samples, compiled to tables."""
 
     def __init__(self, samples: dict[str, list[str]]):
         self.languages = sorted(samples)
         texts = {k: np.concatenate([np.append(self._letters(t), 32) for t in samples[k]] or [np.zeros(0, np.uint32)]) for k in self.languages}
-        seen, counts = np.unique(np.concatenate(list(texts.values()) or [np.zeros(0, np.uint32)]), return_counts=True)
-        common = seen[np.argsort(-counts, kind="stable")][: LETTERS - 2]
-        self.code = np.full(0x110000, LETTERS - 1, np.uint8)  # the last letter: in no sample
-        self.code[common] = np.arange(len(common), dtype=np.uint8)
-        self.tables = [self._compile(self.code[texts[k]]) for k in self.languages]
+        seen = np.unique(np.concatenate(list(texts.values()) or [np.zeros(0, np.uint32)]))
+        self.code = np.full(0x110000, len(seen), np.int32)  # the last letter: in no sample
+        self.code[seen] = np.arange(len(seen), dtype=np.int32)
+        self.local, self.tables = [], []
+        for k in self.languages:
+            own = np.unique(self.code[texts[k]])
+            local = np.full(len(seen) + 1, len(own), np.int32)  # the last letter: not in this language's sample
+            local[own] = np.arange(len(own), dtype=np.int32)
+            moves = self._automaton(local[self.code[texts[k]]])
+            self.local.append(local)
+            self.tables.append(self._compile(moves) if len(own) < LETTERS else _Sparse(moves, len(own) + 1))
         self.weights = np.array([np.log2(max(2, len(texts[k]))) for k in self.languages])
 
     @staticmethod
@@ -70,8 +98,8 @@ class Parser:
         return codes[keep]
 
     @staticmethod
-    def _compile(letters: np.ndarray) -> np.ndarray:
-        """table[state * LETTERS + letter] = next state * LETTERS * 4 + phrases ended."""
+    def _automaton(letters: np.ndarray) -> list[dict[int, int]]:
+        """Each state's moves by letter."""
         moves: list[dict[int, int]] = [{}]
         link, length, last = [-1], [0], 0
         for c in letters.tolist():
@@ -97,6 +125,11 @@ class Parser:
                         p = link[p]
                     link[q] = link[now] = copy
             last = now
+        return moves
+
+    @staticmethod
+    def _compile(moves: list[dict[int, int]]) -> np.ndarray:
+        """table[state * LETTERS + letter] = next state * LETTERS * 4 + phrases ended."""
         fresh = np.full(LETTERS, 2, np.int32)  # an unknown letter ends the phrase before it and is one itself
         for c, to in moves[0].items():
             fresh[c] = to * LETTERS * 4 + 1
@@ -113,24 +146,25 @@ class Parser:
         sizes = np.array([len(x) for x in letters], np.int64)
         runs = -(-sizes // RUN)
         owner = np.repeat(np.arange(len(texts)), runs)
-        grid = np.full((int(runs.sum()), RUN), 255, np.uint8)
+        grid = np.full((int(runs.sum()), RUN), -1, np.int32)
         at = 0
         for x, n in zip(letters, runs.tolist(), strict=True):
             grid[at : at + n].reshape(-1)[: len(x)] = x
             at += n
-        ends = (grid != 255).sum(axis=1)
+        ends = (grid != -1).sum(axis=1)
         order = np.argsort(-ends, kind="stable")
         steps, ends = np.ascontiguousarray(grid[order].T), ends[order]
         active = np.searchsorted(-ends, -np.arange(RUN), side="left")  # runs longer than each step
         counts = np.zeros((len(texts), len(self.languages)))
         for k, moves in enumerate(self.tables):
+            own = self.local[k][steps]
             state = np.zeros(len(order), np.int32)
             total = np.zeros(len(order), np.int32)
             for step in range(RUN):
                 n = active[step]
                 if not n:
                     break
-                got = moves[state[:n] + steps[step, :n]]
+                got = moves[state[:n] + own[step, :n]] if isinstance(moves, np.ndarray) else moves.step(state[:n], own[step, :n])
                 total[:n] += got & 3
                 state[:n] = got >> 2
             total += state > 0  # the phrase that the run's end closes
@@ -163,10 +197,12 @@ def _parser(samples: tuple) -> Parser:
 
 def learn(labelled: DataFrame, *, id_col="doc_id", text_col="text", lang_col="lang") -> tuple:
     """The bounded sample: at most SAMPLE_DOCS texts a language, chosen by hash of text."""
-    fit = labelled.where(F.col(lang_col).isNotNull() & (F.length(text_col) <= SAMPLE_CHARS) & F.col(text_col).rlike(r"\p{L}"))
+    fit = labelled.where(F.col(lang_col).isNotNull() & F.col(text_col).rlike(r"\p{L}"))
+    long = F.length(text_col) > SAMPLE_CHARS
+    piece = F.when(long, F.regexp_extract(text_col, rf"(?s)\p{{L}}.{{0,{SAMPLE_CHARS - 1}}}", 0)).otherwise(F.col(text_col))
     key = F.sha2(F.col(text_col), 256)
-    rank = F.row_number().over(Window.partitionBy("lang").orderBy("key"))
-    chosen = fit.select(F.col(lang_col).alias("lang"), F.col(text_col).alias("text"), key.alias("key")).distinct().withColumn("rank", rank).where(F.col("rank") <= SAMPLE_DOCS)
+    rank = F.row_number().over(Window.partitionBy("lang").orderBy("long", "key"))
+    chosen = fit.select(F.col(lang_col).alias("lang"), piece.alias("text"), key.alias("key"), long.alias("long")).distinct().withColumn("rank", rank).where(F.col("rank") <= SAMPLE_DOCS)
     samples: dict[str, list[str]] = {}
     for row in chosen.orderBy("lang", "rank").collect():  # bounded: SAMPLE_DOCS * SAMPLE_CHARS a language
         samples.setdefault(row.lang, []).append(row.text)

@@ -96,3 +96,22 @@ def test_topk_with_ties_nulls_and_repeats(spark):
         got.setdefault(r.query_id, []).append((r["rank"], r.vec_id, r.distance))
     assert {q: sorted(v) for q, v in got.items()} == {0: [(1, 4, 0), (2, 8, 0), (3, 12, 0)]}
     assert hamming.hamming_topk(df.limit(0), df, k=3).count() == hamming.hamming_topk(df, df.limit(0), k=3).count() == 0
+
+
+def test_language_of_many_letters():
+    """Two languages of 200 letters each and words of one length, beside 60 letters that are more frequent."""
+    random.seed(7)
+    latin, first, second = ([chr(at + i) for i in range(n)] for at, n in ((0x400, 60), (0x4E00, 200), (0x6000, 200)))
+
+    def text(letters, n):
+        return " ".join("".join(random.choices(letters, k=4)) for _ in range(n))
+
+    parser = language.Parser({"aa": [text(latin, 800)] * 4, "bb": [text(first, 400)], "cc": [text(second, 400)]})
+    assert [k for k, _ in parser.predict([text(first, 30), text(second, 30), text(latin, 30)])] == ["bb", "cc", "aa"]
+
+
+def test_language_of_long_rows_is_learned(make):
+    docs = make([("short words " * 9, "en", "s"), ("1 " * 5000 + "pitkät sanat " * 900, "fi", "s")])
+    samples = dict(language.learn(docs))
+    assert set(samples) == {"en", "fi"} and len(samples["fi"][0]) == language.SAMPLE_CHARS
+    assert [r.lang_pred for r in language.identify(docs, language.learn(docs)).orderBy("doc_id").collect()] == ["en", "fi"]
