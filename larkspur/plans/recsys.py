@@ -32,7 +32,7 @@ def _near(blocks="true"):
 _SIMS = f"(SELECT s.profile, s.item AS seed, s.w, n.v AS kind, n.sim FROM {_SEEDS} s JOIN {_KINDS} k ON k.item = s.item JOIN {_near()} n ON n.u = k.kind)"
 
 C.sql("item_vectors", "J1 H23", f"SELECT item, count(*) AS features, round(sqrt(sum(x * x)), 6) AS len FROM {_VECTORS} v GROUP BY item")
-C.sql("partial_similarity", "J2 J3", f"""
+C.sql("partial_similarity", "J2", f"""
 WITH n AS {_near("block <> 'size'")}, k AS {_KINDS}, l AS (SELECT u, sqrt(sim) AS len FROM n WHERE u = v),
 s AS (SELECT n.u, n.v, round(n.sim / (a.len * b.len), 6) AS sim FROM n JOIN l a ON a.u = n.u JOIN l b ON b.u = n.v)
 SELECT a.item AS q, b.item, s.sim FROM s JOIN k a ON a.kind = s.u JOIN k b ON b.kind = s.v WHERE a.item <> b.item""")

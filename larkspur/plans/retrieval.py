@@ -38,7 +38,7 @@ C.sql("weight_grid", "D28", f"""
 WITH b AS ({_BEST}), g AS (SELECT x.w / 4.0e0 AS w FROM (SELECT 1 AS one) o, EACH(RANGE_LIST(0, 4)) AS x(w)),
 s AS (SELECT q, truth, owner, w, row_number() OVER (PARTITION BY q, w ORDER BY round(sim - w * owner / 100.0e0, 6) DESC, owner) AS rk FROM b CROSS JOIN g)
 SELECT w, round(avg(CASE WHEN owner = truth THEN 1.0e0 ELSE 0.0e0 END), 6) AS accuracy FROM s WHERE rk = 1 GROUP BY w""")
-C.sql("hard_negatives", "J26 C24", """
+C.sql("hard_negatives", "J26", """
 WITH s AS (SELECT a.vec_id AS q, b.vec_id AS r, round(DOT(a.embedding, b.embedding), 6) AS sim FROM {embeddings} a JOIN {embeddings} b ON a.label <> b.label WHERE a.vec_id % 50 = 0)
 SELECT q, r, sim FROM (SELECT *, row_number() OVER (PARTITION BY q ORDER BY sim DESC, r) AS rk FROM s) x WHERE rk <= 5""")
 C.sql("knn_vote", "J25 F3", """
@@ -90,7 +90,7 @@ def whitening(spark, sf_dir):
     return search.whitened(table(spark, sf_dir, "embeddings").select("vec_id", F.col("embedding").alias("v")), k=16)
 
 
-@C.query("blocked_search", "C13 C19 C24")
+@C.query("blocked_search", "C13 C19")
 def blocked_search(spark, sf_dir):
     """Exact top 5 by blocks of matrix products: queries are ids divisible by 50."""
     refs = table(spark, sf_dir, "embeddings").select(F.col("vec_id").alias("id"), F.col("embedding").alias("v"))

@@ -46,7 +46,7 @@ SELECT p_partkey, round(greatest(0, 1 - abs(v - 1) / 1.5e0), 6) AS lo, round(gre
 C.sql("idf_terms", "D22", f"""
 WITH t AS ({_TOKENS}), n AS (SELECT count(*) AS docs FROM {{documents}}), f AS (SELECT CASE WHEN length(w) > 5 THEN left(w, 5) ELSE w END AS stem, count(DISTINCT doc_id) AS df FROM t GROUP BY 1)
 SELECT stem, df, round(ln(docs * 1.0e0 / df), 6) AS idf FROM f CROSS JOIN n WHERE df >= 2 AND df <= 0.25 * docs""")
-C.sql("blocked_match", "C15 C23 H13", """
+C.sql("blocked_match", "C15 H13", """
 WITH p AS (SELECT p_partkey, p_brand, WORDS(p_name) AS ws, p_size, p_retailprice FROM {part}),
 s AS (SELECT a.p_partkey AS target, b.p_partkey AS product, SIZE(COMMON(a.ws, b.ws)) * 1.0e0 / SIZE(a.ws) AS coverage, abs(a.p_retailprice - b.p_retailprice) AS gap FROM p a JOIN p b ON a.p_brand = b.p_brand AND a.p_partkey <> b.p_partkey),
 r AS (SELECT *, coverage - gap / 10000 AS score, row_number() OVER (PARTITION BY target ORDER BY coverage - gap / 10000 DESC, product) AS rn FROM s WHERE coverage >= 0.65),
@@ -127,6 +127,6 @@ def unicode_forms(spark, sf_dir):
 
 @C.query("char_ngram_neighbours", "H14")
 def char_ngram_neighbours(spark, sf_dir):
-    """The 3 items whose names are nearest in 3-grams within words; queries are ids divisible by 50."""
+    """The 3 items whose names are nearest in 3- to 5-grams within words; queries are ids divisible by 50."""
     part = table(spark, sf_dir, "part").select(F.col("p_partkey").alias("id"), F.concat_ws(" ", "p_brand", "p_name").alias("text"))
-    return matching.ngram_neighbours(part, k=3, asked="q % 50 = 0")
+    return matching.ngram_neighbours(part, k=3, most=5, asked="q % 50 = 0")

@@ -90,3 +90,13 @@ def test_keep_distinct(spark):
 def test_bootstrap_brackets_mean(spark):
     row = search.bootstrap_mean(spark.range(500).select(F.xxhash64("id").alias("h"), F.col("id").cast("double").alias("x")), rounds=100).first()
     assert row.low < 249.5 < row.high and row.high - row.low < 80
+
+
+def test_ngrams_of_three_to_five(spark):
+    def grams(word):
+        w = f" {word} "
+        return {w[i : i + n] for n in (3, 4, 5) for i in range(len(w) - n + 1)} or {w}
+
+    words = ["a", "ab", "abc", "abcdef"]
+    found = matching.ngram_weights(spark.createDataFrame(list(enumerate(words)), "id long, text string"), most=5).collect()
+    assert {i: {r.gram for r in found if r.id == i} for i in range(4)} == {i: grams(w) for i, w in enumerate(words)}
