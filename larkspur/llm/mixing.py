@@ -24,6 +24,7 @@ from larkspur.llm.rows import field, packed, unpacked
 from larkspur.storage import materialize, table
 
 WORD = r"[^\x20\x09-\x0D]+"
+BLANKS = r"[\x20\x09-\x0D]*"
 WEIGHT_CYCLE = (3, 1, 2)
 BUDGET_RATIO = 1.5
 MAX_REPEATS = 2
@@ -95,7 +96,7 @@ def _served(plan: DataFrame, passes: int):
 def mixed_documents(docs: DataFrame, *, text_col="text", length_col="n_chars", max_repeats=MAX_REPEATS, **options) -> DataFrame:
     """The mix itself: the documents' columns, a row for each copy served, globally range-sorted by virtual finish time.
 
-    The copy that the budget cuts keeps its first words.
+    The copy that the budget cuts keeps its text up to the end of its last word served.
     """
     plan = mixing_plan(docs, text_col=text_col, max_repeats=max_repeats, carry=True, **options)
     copies = plan.where("taken > 0").select("*", F.explode(F.array(*[F.lit(k) for k in range(max_repeats)])).alias("copy"))
@@ -110,8 +111,9 @@ def mixed_documents(docs: DataFrame, *, text_col="text", length_col="n_chars", m
 
 
 def _first_words(text, n):
-    words = F.regexp_extract_all(text, F.lit(WORD), F.lit(0))
-    return F.array_join(F.slice(words, F.lit(1), F.greatest(n, F.lit(0)).cast("int")), " ")
+    """The text up to the end of its n-th word, as it stands: each match starts where the last one ended."""
+    words = F.regexp_extract_all(text, F.lit(BLANKS + WORD), F.lit(0))
+    return F.array_join(F.slice(words, F.lit(1), F.greatest(n, F.lit(0)).cast("int")), "")
 
 
 def op3_source_mixing(spark, sf_dir):

@@ -87,6 +87,13 @@ def test_line_dedup_drops_texts_without_words(make):
     assert out == {20: "body", 21: None}
 
 
+def test_cut_copies_are_beginnings_of_their_texts(make):
+    texts = [f"\n one{k}\n\n  two \t three{k}\n" + "more  words\n" * k for k in range(12)]
+    out = mixing.mixed_documents(make([(t, "en", f"s{k % 3}") for k, t in enumerate(texts)])).collect()
+    assert all(texts[r.doc_id].startswith(r.text) and r.n_chars == len(r.text) for r in out)
+    assert any(texts[r.doc_id] != r.text for r in out)
+
+
 def test_line_dedup_leaves_copies_to_near_dedup(make):
     copied = "first line\nsecond line"
     rows = [(copied, "en", "big")] * 20 + [(copied + "\nthird", "en", "big")] + [(f"unique {k}", "en", "big") for k in range(30)] + [("small line", "en", "small")] * 3
