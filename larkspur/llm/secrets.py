@@ -2,8 +2,9 @@
 
 Each text is scanned once for candidates: the base kinds (assign, access, hex) and further forms of
 credentials. Candidate values are hashed and counted over the whole corpus by distinct repositories
-and owners. A value that more than MAX_OWNERS owners or MAX_REPOSITORIES repositories hold is a
-widely copied example; the others look live and belong to their owner. Base spans always stay; a
+and owners. A value that more than MAX_OWNERS owners, or several owners in more than MAX_REPOSITORIES
+repositories, hold is a widely copied example; the others look live and belong to their owner.
+Copies of a text at one owner count as one repository. Base spans always stay; a
 further form becomes a span only if its value looks live.
 
 Counting is two-level (distinct holders of a value, then holders a value), so an example that fills a
@@ -78,32 +79,36 @@ _CANDIDATE = pa.struct([("start", pa.int32()), ("kind", pa.int32()), ("end", pa.
 
 def _scanned(batches):
     for batch in batches:
-        counts, digests, candidates = [], [], []
+        counts, digests, candidates, texts = [], [], [], []
         for text in batch.column(3):
-            found = scan(text.as_py() or "")
+            text = text.as_py() or ""
+            found = scan(text)
+            texts.append(xxhash.xxh128_hexdigest(text.encode("utf-8", "surrogatepass")))
             base = [x for x in found if x[1] < len(BASE)]
             counts.append([sum(x[1] == k for x in base) for k in range(len(BASE))])
             digests.append(hashlib.sha256(_joined(base).encode()).hexdigest())
             candidates.append([{"start": a, "kind": k, "end": b, "value": xxhash.xxh64_intdigest(v.encode("utf-8")) - (1 << 63)} for a, k, b, v in found])
         columns = [pa.array([c[k] for c in counts], pa.int64()) for k in range(len(BASE))]
-        yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), batch.column(2), *columns, pa.array(digests, pa.string()), pa.array(candidates, pa.list_(_CANDIDATE))], ["doc_id", "repo", "owner", "n_assign", "n_access", "n_hex", "base_sha256", "candidates"])
+        yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), batch.column(2), *columns, pa.array(digests, pa.string()), pa.array(candidates, pa.list_(_CANDIDATE)), pa.array(texts, pa.string())], ["doc_id", "repo", "owner", "n_assign", "n_access", "n_hex", "base_sha256", "candidates", "digest"])
 
 
 def ownership(candidates: DataFrame) -> DataFrame:
-    """(value, n_repos, n_owners, live) from rows (value, repo, owner): distinct holders of each value."""
+    """(value, n_repos, n_owners, live) from rows (value, repo, owner) and perhaps digest, the text's hash: distinct holders of each value."""
+    if "digest" in candidates.columns:
+        candidates = candidates.groupBy("value", "owner", "digest").agg(F.min("repo").alias("repo"))
     holders = candidates.groupBy("value", "owner", "repo").agg(F.lit(1).alias("one"))
     by_owner = holders.groupBy("value", "owner").agg(F.count("*").alias("repos"))
     counted = by_owner.groupBy("value").agg(F.sum("repos").alias("n_repos"), F.count("*").alias("n_owners"))
-    return counted.withColumn("live", (F.col("n_owners") <= MAX_OWNERS) & (F.col("n_repos") <= MAX_REPOSITORIES))
+    return counted.withColumn("live", (F.col("n_owners") <= MAX_OWNERS) & ((F.col("n_owners") == 1) | (F.col("n_repos") <= MAX_REPOSITORIES)))
 
 
 def secret_spans(docs: DataFrame, *, id_col="doc_id", text_col="text", repo_col="doc_id", owner_col="source") -> DataFrame:
     """doc_id, n_assign, n_access, n_hex, base_sha256, spans, n_live, n_copied: one row an input row."""
     kind = docs.schema[id_col].dataType.simpleString()
     source = docs.select(F.col(id_col).alias("doc_id"), F.col(repo_col).cast("string").alias("repo"), F.col(owner_col).cast("string").alias("owner"), F.col(text_col).alias("text"))
-    rows = source.mapInArrow(_scanned, f"doc_id {kind}, repo string, owner string, n_assign long, n_access long, n_hex long, base_sha256 string, candidates array<struct<start:int,kind:int,end:int,value:long>>")
+    rows = source.mapInArrow(_scanned, f"doc_id {kind}, repo string, owner string, n_assign long, n_access long, n_hex long, base_sha256 string, candidates array<struct<start:int,kind:int,end:int,value:long>>, digest string")
     rows = materialize(rows.withColumn("row", F.monotonically_increasing_id()), "candidates")  # written once: row ids stay
-    each = rows.select("row", "repo", "owner", F.explode("candidates").alias("c")).select("row", "repo", "owner", "c.*")
+    each = rows.select("row", "repo", "owner", "digest", F.explode("candidates").alias("c")).select("row", "repo", "owner", "digest", "c.*")
     judged = each.join(ownership(each).select("value", "live"), "value")
     stays = F.col("live") | (F.col("kind") < len(BASE))
     spans = judged.groupBy("row").agg(

@@ -115,3 +115,10 @@ def test_language_of_long_rows_is_learned(make):
     samples = dict(language.learn(docs))
     assert set(samples) == {"en", "fi"} and len(samples["fi"][0]) == language.SAMPLE_CHARS
     assert [r.lang_pred for r in language.identify(docs, language.learn(docs)).orderBy("doc_id").collect()] == ["en", "fi"]
+
+
+def test_token_of_one_owner_is_live_in_any_number_of_texts(make):
+    own, shared, token = (f"ghp_{c * 30}" for c in "abc")
+    rows = [(f"text {k} {own}", "en", "s1") for k in range(25)] + [(f"text {shared}", "en", f"s{k % 2}") for k in range(50)] + [(f"text {k} {token}", "en", f"s{k % 2}") for k in range(25)]
+    found = secrets.secret_spans(make(rows)).collect()
+    assert [bool(r.spans) for r in sorted(found, key=lambda r: r.doc_id)] == [True] * 75 + [False] * 25
