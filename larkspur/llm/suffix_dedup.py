@@ -5,8 +5,9 @@ Judging is done on suffix arrays (module bwt), the corpus is only dealt out to t
 equal places, so all windows of an anchor can be judged together and apart from the others. Windows
 whose anchor starts once in the corpus can't repeat and go no further. The others, as contexts (runs
 of windows with one anchor, about 600 bytes), meet by anchor; equal contexts are one row with their
-number, two copies of which go to the suffix array. Each task builds arrays over BATCH bytes of
-contexts at a time.
+number. A context that occurs twice is repeated as a whole; it goes to the suffix array once, for the
+others of its anchor, and not at all where no other is left to be judged. Each task builds arrays over
+BATCH bytes of contexts at a time.
 
 An anchor whose distinct contexts exceed GROUP bytes is refined: windows are split by the anchor's
 distance from their start, the near and the far half of the possible distances, and dealt by a hash of
@@ -35,7 +36,11 @@ from larkspur.storage import materialize, table
 LEAST = 400
 GRAM = 32
 BATCH = 1 << 20
+ROWS = 1 << 14  # contexts held at a time
 GROUP = 4 << 20
+# Passages of more than 50 words that repeat: most have fewer than 400 bytes, so that `least` alone misses them.
+PASSAGE_BYTES = 256
+PASSAGE_WORDS = 50
 PIECE = 1 << 19  # bytes anchored at a time
 
 _LETTERS = np.random.Generator(np.random.PCG64(7)).integers(0, 1 << 63, 256, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
@@ -147,29 +152,39 @@ def _runs(starts: np.ndarray, least: int) -> list[dict]:
 def _judged(least: int):
     """Runs of repeated bytes in each context; input sorted by key, so a key's rows are adjacent."""
 
-    def judge(held: list):
-        strings, owners = [], []
-        for k, (_, _, n, data) in enumerate(held):
-            strings += [data] * min(n, 2)
-            owners += [k] * min(n, 2)
-        marks = repeated_starts(strings, least)
-        out = {k: _runs(m, least) for k, m in zip(owners, marks, strict=True)}
+    def judge(held: list, strings: list, owners: list):
+        out = {k: [{"a": 0, "b": len(row[3])}] for k, row in enumerate(held) if row[2] > 1}  # repeated as a whole
+        for k, marks in zip(owners, repeated_starts(strings, least), strict=True):
+            if held[k][2] == 1:
+                out[k] = _runs(marks, least)
         kept = [(held[k][0], held[k][1], runs) for k, runs in out.items() if runs]
         a, b, c = zip(*kept, strict=True) if kept else ((), (), ())
         return pa.RecordBatch.from_arrays([pa.array(a, pa.int64()), pa.array(b, pa.int64()), pa.array(c, pa.list_(pa.struct([("a", pa.int64()), ("b", pa.int64())])))], ["key", "context", "runs"])
 
     def run(batches):
-        held, size, last = [], 0, None
+        held, strings, owners, size, last, first = [], [], [], 0, None, 0
+
+        def closed():
+            """Puts the last key's contexts into the array: each once, and none where no context is left to be judged."""
+            nonlocal size
+            if len(held) - first > 1 and any(row[2] == 1 for row in held[first:]):
+                for k in range(first, len(held)):
+                    strings.append(held[k][3])
+                    owners.append(k)
+                    size += len(held[k][3])
+
         for batch in batches:
             for row in zip(*(batch.column(k).to_pylist() for k in range(4)), strict=True):
-                if size > BATCH and row[0] != last:
-                    yield judge(held)
-                    held, size = [], 0
+                if row[0] != last:
+                    closed()
+                    if size > BATCH or len(held) > ROWS:
+                        yield judge(held, strings, owners)
+                        held, strings, owners, size = [], [], [], 0
+                    first, last = len(held), row[0]
                 held.append(row)
-                size += len(row[3]) * min(row[2], 2)
-                last = row[0]
         if held:
-            yield judge(held)
+            closed()
+            yield judge(held, strings, owners)
 
     return run
 
@@ -199,7 +214,7 @@ def _placed_runs(occurrences: DataFrame, contexts: DataFrame, least: int, group:
     """(doc, a, b): repeated runs of bytes of each text, from occurrences (key, context, doc, at) and contexts (key, context, n, data)."""
     found = None
     while True:
-        hot = contexts.groupBy("key").agg(F.sum(F.length("data") * F.least("n", F.lit(2))).alias("bytes")).where(F.col("bytes") > group).select("key")
+        hot = contexts.groupBy("key").agg(F.sum(F.length("data")).alias("bytes")).where(F.col("bytes") > group).select("key")
         hot = materialize(hot, "hot")
         more = bool(hot.take(1))
         calm = contexts.join(hot, "key", "left_anti") if more else contexts
@@ -242,17 +257,35 @@ def _cut(batches):
                 kept.append(data[at:a])
                 at = b
             kept.append(data[at:])
-            rows.append((doc, sum(b - a for a, b in spans), [{"a": a, "b": b} for a, b in spans], hashlib.sha256(b"".join(kept)).hexdigest()))
+            rows.append((doc, sum(b - a for a, b in spans), [{"a": a, "b": b, "words": len(data[a:b].split())} for a, b in spans], hashlib.sha256(b"".join(kept)).hexdigest()))
         d, n, s, h = zip(*rows, strict=True) if rows else ((),) * 4
-        yield pa.RecordBatch.from_arrays([pa.array(d, pa.int64()), pa.array(n, pa.int64()), pa.array(s, pa.list_(pa.struct([("a", pa.int64()), ("b", pa.int64())]))), pa.array(h, pa.string())], ["doc", "n_removed", "spans", "kept_sha256"])
+        yield pa.RecordBatch.from_arrays([pa.array(d, pa.int64()), pa.array(n, pa.int64()), pa.array(s, pa.list_(pa.struct([("a", pa.int64()), ("b", pa.int64()), ("words", pa.int64())]))), pa.array(h, pa.string())], ["doc", "n_removed", "spans", "kept_sha256"])
 
 
-def repeated_substrings(docs: DataFrame, *, id_col="doc_id", text_col="text", least=LEAST, gram=None, group=GROUP) -> DataFrame:
-    """doc_id, n_bytes, n_removed, spans (byte runs [a, b) removed), kept_sha256: one row an input row."""
-    group = max(group, 2 * least)  # two copies of one window always fit, so refinement ends
-    gram = gram or min(GRAM, 1 << max(0, (least // 2).bit_length() - 1))
-    kind = docs.schema[id_col].dataType.simpleString()
+def repeated_substrings(docs: DataFrame, *, id_col="doc_id", text_col="text", least=LEAST, gram=None, group=GROUP, passage=None) -> DataFrame:
+    """doc_id, n_bytes, n_removed, spans (byte runs [a, b) removed, with their words), kept_sha256: one row an input row.
+
+    passage: (bytes, words) adds n_passages, the maximal runs of more than `words` words whose strings of
+    `bytes` bytes repeat; nothing more is removed for them.
+    """
     source = docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text"))
+    survey, results = _repeats(source, docs.schema[id_col].dataType.simpleString(), least, gram, group)
+    joined = survey.select("doc_id", "n_bytes", "sha256").join(results, "sha256", "left")
+    spans = F.coalesce("spans", F.array().cast("array<struct<a:bigint,b:bigint,words:bigint>>"))
+    columns = [F.coalesce("n_removed", F.lit(0).cast("long")).alias("n_removed"), spans.alias("spans"), F.coalesce("kept_sha256", "sha256").alias("kept_sha256")]
+    if passage:
+        size, words = passage
+        _, short = _repeats(source, docs.schema[id_col].dataType.simpleString(), size, gram, group)
+        long_runs = F.size(F.filter("spans", lambda s: s["words"] > words)).cast("long")
+        joined = joined.join(short.select("sha256", long_runs.alias("_passages")), "sha256", "left")
+        columns.append(F.coalesce("_passages", F.lit(0).cast("long")).alias("n_passages"))
+    return joined.select("doc_id", "n_bytes", *columns)
+
+
+def _repeats(source: DataFrame, kind: str, least: int, gram: int | None, group: int) -> tuple[DataFrame, DataFrame]:
+    """All rows (doc_id, n_bytes, sha256) and, of the texts with repeats, (sha256, n_removed, spans, kept_sha256)."""
+    group = max(group, 2 * least)  # one window always fits, so refinement ends
+    gram = gram or min(GRAM, 1 << max(0, (least // 2).bit_length() - 1))
     survey = materialize(source.mapInArrow(_surveyed(least, gram), f"doc_id {kind}, text_key long, n_bytes long, sha256 string, anchors array<long>"), "survey")
     # One node a distinct text: its digest, the copies there are, and one row to read it from.
     nodes = materialize(
@@ -271,10 +304,8 @@ def repeated_substrings(docs: DataFrame, *, id_col="doc_id", text_col="text", le
     runs = _placed_runs(occurrences.select("key", "context", "doc", "at"), contexts, least, group)
     per_doc = runs.groupBy("doc").agg(F.collect_set(F.struct("a", "b")).alias("runs"))
     marked = materialize(chosen.select("doc", "doc_id", "text_key").join(per_doc, "doc"), "marked")
-    cut = materialize(_read(source, marked, "doc", "runs").mapInArrow(_cut, "doc long, n_removed long, spans array<struct<a:long,b:long>>, kept_sha256 string").dropDuplicates(["doc"]), "cut")
-    results = nodes.select("doc", "sha256").join(cut, "doc").select("sha256", "n_removed", "spans", "kept_sha256")
-    joined = survey.select("doc_id", "n_bytes", "sha256").join(results, "sha256", "left")
-    return joined.select("doc_id", "n_bytes", F.coalesce("n_removed", F.lit(0).cast("long")).alias("n_removed"), F.coalesce("spans", F.array().cast("array<struct<a:bigint,b:bigint>>")).alias("spans"), F.coalesce("kept_sha256", "sha256").alias("kept_sha256"))
+    cut = materialize(_read(source, marked, "doc", "runs").mapInArrow(_cut, "doc long, n_removed long, spans array<struct<a:long,b:long,words:long>>, kept_sha256 string").dropDuplicates(["doc"]), "cut")
+    return survey.select("doc_id", "n_bytes", "sha256"), nodes.select("doc", "sha256").join(cut, "doc").select("sha256", "n_removed", "spans", "kept_sha256")
 
 
 def _read(source: DataFrame, rows: DataFrame, *columns: str) -> DataFrame:
@@ -284,5 +315,5 @@ def _read(source: DataFrame, rows: DataFrame, *columns: str) -> DataFrame:
 
 
 def op1_suffix_dedup(spark, sf_dir):
-    found = repeated_substrings(table(spark, sf_dir, "documents"))
-    return found.select("doc_id", "n_bytes", "n_removed", F.size("spans").cast("long").alias("n_spans"), "kept_sha256")
+    found = repeated_substrings(table(spark, sf_dir, "documents"), passage=(PASSAGE_BYTES, PASSAGE_WORDS))
+    return found.select("doc_id", "n_bytes", "n_removed", F.size("spans").cast("long").alias("n_spans"), "kept_sha256", "n_passages")

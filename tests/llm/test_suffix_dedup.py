@@ -51,3 +51,28 @@ def test_rows_that_share_an_id(make):
 
 def test_empty_table(make):
     assert repeated_substrings(make(["a"]).limit(0)).count() == 0
+
+
+def test_long_texts_cut_in_pieces(make, monkeypatch):
+    from larkspur.llm import suffix_dedup
+
+    monkeypatch.setattr(suffix_dedup, "PIECE", 64)
+    rng = random.Random(9)
+    data = [rng.randbytes(400), rng.randbytes(90)]
+    data += [data[0][:150] + data[1] + data[0][130:]]
+    for d in data:  # the runs of windows that pieces give are those of the whole
+        runs = suffix_dedup.anchored_runs(__import__("numpy").frombuffer(d, "uint8"), 20, 8)
+        windows = [w for a, b in zip(runs[1], runs[2], strict=True) for w in range(a, b + 1)]
+        assert windows == list(range(len(d) - 19))
+    texts = ["".join(rng.choice("ab") for _ in range(300)) for _ in range(3)]
+    texts += [texts[0][:140] + "c" + texts[1][20:] + texts[0]]
+    got = {r.doc_id: (r.n_bytes, r.n_removed, len(r.spans), r.kept_sha256) for r in repeated_substrings(make(texts), least=20).collect()}
+    assert got == dict(enumerate(brute(texts, 20)))
+
+
+def test_passages(make):
+    words = [f"w{k}" for k in range(300)]
+    long, short = " ".join(words[:60]), " ".join(words[100:140])
+    texts = ["a b c " + long + " d", "x " + long, "y " + short + " z", short, "q r s", None]
+    rows = {r.doc_id: (r.n_removed, r.n_passages) for r in repeated_substrings(make(texts), least=400, passage=(100, 50)).collect()}
+    assert rows == {0: (0, 1), 1: (0, 1), 2: (0, 0), 3: (0, 0), 4: (0, 0), 5: (0, 0)}
