@@ -4,11 +4,11 @@ Within each host, a line's frequency is the pages that hold it divided by the ho
 more than RATIO_PERCENT of the pages, and on MIN_PAGES at least, are boilerplate and dropped from
 every page of the host.
 
-Each page gives a line once, as a 96-bit hash, and counts are partial before they are shuffled, so a
-host with a third of all pages is no hot task. A host has at most (lines per page) * 100 /
-RATIO_PERCENT boilerplate lines, whatever its size: its list is bounded and joins the pages by host;
-Spark broadcasts the lists only if their measured size is below its threshold, and splits a hot host
-otherwise.
+Each page gives a line once, as a 96-bit hash, and counts are partial before they are shuffled. A host
+has at most (lines per page) * 100 / RATIO_PERCENT boilerplate lines, whatever its size: its list is
+bounded. Pages meet their host's list by host and slice: a host with more than 1 / SLICES of all pages
+is cut into slices of about that size by a hash of the row, and its list goes to each. There are fewer
+than SLICES such hosts, so their table is broadcast.
 
 Edge cases: a null text has no lines and stays null; lines are compared without blanks at their ends;
 blank lines are never dropped; rows without a host form one host of their own; repeated rows are
@@ -22,10 +22,11 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from larkspur.llm.rows import field, packed, unpacked
-from larkspur.storage import table
+from larkspur.storage import materialize, table
 
 RATIO_PERCENT = 10
 MIN_PAGES = 3
+SLICES = 1000
 BLANKS = " \t\x0b\x0c\r"
 
 # What is invisible in a page, and the tags that end a line.
@@ -72,11 +73,25 @@ def boilerplate(pages: DataFrame, *, ratio_percent=RATIO_PERCENT, min_pages=MIN_
     return often.groupBy("host").agg(F.collect_list("line").alias("keys"))
 
 
+def _sliced(held: DataFrame, lists: DataFrame) -> DataFrame:
+    """Rows of held with their host's list, or null; hot hosts slice by slice."""
+    sizes = held.groupBy("host").agg(F.count("*").alias("pages"))
+    total = sizes.agg(F.sum("pages").alias("total"))
+    hot = sizes.crossJoin(F.broadcast(total)).where(F.col("pages") * SLICES > F.col("total"))  # fewer than SLICES rows
+    hot = materialize(hot.select("host", F.ceil(F.col("pages") * SLICES / F.col("total")).cast("long").alias("slices")), "hosts")
+    count = F.coalesce("slices", F.lit(1).cast("long"))
+    dealt = held.join(F.broadcast(hot), "host", "left").withColumn("slice", F.pmod("salt", count)).drop("slices")
+    spread = lists.join(F.broadcast(hot), "host", "left").select("host", "keys", F.explode(F.sequence(F.lit(0).cast("long"), count - 1)).alias("slice"))
+    return dealt.join(spread, ["host", "slice"], "left")
+
+
 def drop_boilerplate(docs: DataFrame, *, text, host, **options) -> DataFrame:
     """(row, text, n_lines, n_dropped): input rows, packed, with the text that is left; text and host map the packed row to columns."""
-    held = packed(docs).select("row", text(field).alias("text"), F.coalesce(F.concat(F.lit("."), host(field)), F.lit("")).alias("host"))
+    plain = [c for c in docs.columns if "map<" not in docs.schema[c].dataType.simpleString()]
+    salt = F.xxhash64(*[field(c) for c in plain]) if plain else F.lit(0).cast("long")
+    held = packed(docs).select("row", text(field).alias("text"), F.coalesce(F.concat(F.lit("."), host(field)), F.lit("")).alias("host"), salt.alias("salt"))
     lists = boilerplate(held.select("host", "text"), **options)
-    joined = held.join(lists, "host", "left")
+    joined = _sliced(held, lists)
     lines = F.split("text", "\n", -1)
     left = F.when(F.col("keys").isNull(), lines).otherwise(F.filter(lines, lambda x: (_bare(x) == "") | ~F.array_contains("keys", _key(x))))
     counted = joined.select("row", "text", F.when(F.col("text").isNull(), 0).otherwise(F.size(lines)).cast("long").alias("n_lines"), left.alias("left"))
@@ -84,6 +99,11 @@ def drop_boilerplate(docs: DataFrame, *, text, host, **options) -> DataFrame:
     return counted.select("row", F.array_join("left", "\n").alias("text"), "n_lines", dropped.alias("n_dropped"))
 
 
+def site_texts(pages: DataFrame, *, id_col="page_id", url_col="url", html_col="html") -> DataFrame:
+    """(page_id, host, text): visible text of pages, written once since counts and cleaning both read it."""
+    return materialize(pages.select(F.col(id_col).alias("page_id"), host_of(F.col(url_col)).alias("host"), visible_text(F.col(html_col)).alias("text")), "texts")
+
+
 def clean_documents(docs: DataFrame, *, text_col="text", host_col="source", length_col="n_chars", **options) -> DataFrame:
     """Documents without their sites' boilerplate, columns as in the input; a text that loses all its words goes.
 
@@ -98,9 +118,9 @@ def clean_documents(docs: DataFrame, *, text_col="text", host_col="source", leng
 
 
 def op7_line_dedup(spark, sf_dir):
-    pages = table(spark, sf_dir, "pages")
-    done = drop_boilerplate(pages, text=lambda f: visible_text(f("html")), host=lambda f: host_of(f("url")))
-    return done.select(field("page_id").alias("page_id"), host_of(field("url")).alias("host"), "n_lines", "n_dropped", F.sha2("text", 256).alias("kept_sha256"))
+    pages = site_texts(table(spark, sf_dir, "pages"))
+    done = drop_boilerplate(pages, text=lambda f: f("text"), host=lambda f: f("host"))
+    return done.select(field("page_id").alias("page_id"), field("host").alias("host"), "n_lines", "n_dropped", F.sha2("text", 256).alias("kept_sha256"))
 
 
 ORACLE = rf"""
@@ -117,7 +137,7 @@ counts AS (SELECT host, b, count(DISTINCT rid) AS n FROM bare WHERE b <> '' GROU
 totals AS (SELECT host, count(*) AS pages FROM texts GROUP BY host),
 often AS (SELECT c.host, b FROM counts c JOIN totals t ON c.host IS NOT DISTINCT FROM t.host WHERE n >= {MIN_PAGES} AND 100 * n > {RATIO_PERCENT} * pages),
 marked AS (SELECT l.rid, j, line, o.b IS NOT NULL AS gone FROM bare l LEFT JOIN often o ON l.host IS NOT DISTINCT FROM o.host AND l.b = o.b)
-SELECT t.page_id, t.host, count(*) AS n_lines, count(*) FILTER (WHERE gone) AS n_dropped,
-       sha256(coalesce(string_agg(line, chr(10) ORDER BY j) FILTER (WHERE NOT gone), '')) AS kept_sha256
-FROM marked m JOIN texts t USING (rid) GROUP BY t.rid, t.page_id, t.host
+SELECT t.page_id, t.host, count(m.j) AS n_lines, count(*) FILTER (WHERE gone) AS n_dropped,
+       CASE WHEN t.t IS NOT NULL THEN sha256(coalesce(string_agg(line, chr(10) ORDER BY j) FILTER (WHERE NOT gone), '')) END AS kept_sha256
+FROM texts t LEFT JOIN marked m USING (rid) GROUP BY t.rid, t.page_id, t.host, t.t
 """

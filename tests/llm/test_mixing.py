@@ -114,3 +114,23 @@ def test_pipeline_stages_keep_columns(spark, make, awkward, sf_dir):
 def test_pipeline_runs(spark, sf_dir):
     rows = corpus_pipeline.run(spark, sf_dir).collect()
     assert rows and all(r.exact and r.n_tokens == len(r.ids) for r in rows)
+
+
+def test_slices_of_hot_hosts_change_nothing(make, monkeypatch):
+    rows = [(f"menu\nfooter\nbody {k}\n", "en", "hot" if k % 3 else f"h{k}") for k in range(60)] + [(None, "en", "hot"), ("menu", None, None)]
+    whole = sorted(map(str, line_dedup.clean_documents(make(rows)).collect()))
+    for slices in (3, 10_000):
+        monkeypatch.setattr(line_dedup, "SLICES", slices)
+        assert sorted(map(str, line_dedup.clean_documents(make(rows)).collect())) == whole
+
+
+def test_pages_on_awkward_rows(spark, tmp_path):
+    import duckdb
+    from oracle import same
+
+    html = "<html><head><title>t</title></head><body><nav>menu</nav><p>text {}</p></body></html>"
+    rows = [(k, f"https://a.org/{k}", html.format(k)) for k in range(5)] + [(5, "https://a.org/5", None), (6, None, html.format(6)), (7, "https://b.org", ""), (None, "nohost", "<p>x</p>"), (1, "https://a.org/1", html.format(1))]
+    spark.createDataFrame(rows, "page_id long, url string, html string").write.parquet(f"{tmp_path}/pages.parquet")
+    con = duckdb.connect()
+    con.execute(f"CREATE VIEW pages AS SELECT * FROM '{tmp_path}/pages.parquet/*.parquet'")
+    same(line_dedup.op7_line_dedup(spark, str(tmp_path)), con, line_dedup.ORACLE)
