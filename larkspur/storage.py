@@ -8,6 +8,7 @@ import uuid
 from pyspark.sql import DataFrame, SparkSession
 
 _written: list[tuple[SparkSession, str]] = []
+_paths: dict[int, tuple[DataFrame, str]] = {}  # by identity of the table that was returned
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -15,13 +16,15 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder named by spark.checkpoint.dir; set here only where the session has none."""
+    """The folder named by spark.checkpoint.dir; set here only where a local session has none."""
     named = spark.conf.get("spark.checkpoint.dir", None)
     if named:
         return named.rstrip("/")
     current = spark.sparkContext._jsc.sc().getCheckpointDir()
     if current.isDefined():
         return current.get().rstrip("/")
+    if not spark.sparkContext.master.startswith("local"):
+        raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
     spark.sparkContext.setCheckpointDir("file:///tmp/checkpoints/larkspur")
     return spark.sparkContext._jsc.sc().getCheckpointDir().get().rstrip("/")
 
@@ -32,13 +35,16 @@ def materialize(df: DataFrame, label: str) -> DataFrame:
     path = f"{shared_dir(spark)}/larkspur-{label}-{uuid.uuid4().hex}"
     df.write.parquet(path)
     _written.append((spark, path))
-    return spark.read.schema(df.schema).parquet(path)
+    written = spark.read.schema(df.schema).parquet(path)
+    _paths[id(written)] = (written, path)
+    return written
 
 
-def discard(df: DataFrame) -> None:
-    """Delete a table that materialize() wrote and that no later step reads."""
-    for path in {f.rpartition("/")[0] for f in df.inputFiles()}:
-        if "/larkspur-" in path:
+def discard(*tables: DataFrame) -> None:
+    """Delete tables that materialize() wrote and that no later step reads."""
+    for df in tables:
+        path = _paths.pop(id(df), (None, None))[1]
+        if path:
             _delete(df.sparkSession, path)
 
 
