@@ -5,9 +5,9 @@ Judging is done on suffix arrays (module bwt), the corpus is only dealt out to t
 equal places, so all windows of an anchor can be judged together and apart from the others. Windows
 whose anchor starts once in the corpus can't repeat and go no further. The others, as contexts (runs
 of windows with one anchor, about 600 bytes), meet by anchor; equal contexts are one row with their
-number. A context that occurs twice is repeated as a whole; it goes to the suffix array once, for the
-others of its anchor, and not at all where no other is left to be judged. Each task builds arrays over
-BATCH bytes of contexts at a time.
+number. A context that occurs twice is repeated as a whole. It goes to the suffix array once, for the
+others of its anchor, and only contexts that share the bytes around the anchor with another one that
+is left to be judged go there at all. Each task builds arrays over BATCH bytes of contexts at a time.
 
 An anchor whose distinct contexts exceed GROUP bytes is refined: windows are split by the anchor's
 distance from their start, the near and the far half of the possible distances, and dealt by a hash of
@@ -31,7 +31,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from larkspur.llm.bwt import repeated_starts
-from larkspur.storage import materialize, table
+from larkspur.storage import discard, materialize, table
 
 LEAST = 400
 GRAM = 32
@@ -149,6 +149,31 @@ def _runs(starts: np.ndarray, least: int) -> list[dict]:
     return [{"a": int(a), "b": int(b) + least} for a, b in zip(starts[np.append(0, cut + 1)], starts[np.append(cut, len(starts) - 1)], strict=True)]
 
 
+def _common(near: int, far: int, least: int) -> list[tuple[int, int, int, int]]:
+    """The near and the far half of an anchor's distances from its window's start: (lo, hi, a, b).
+
+    All windows of a half hold the bytes [place + a, place + b) around the anchor's place.
+    """
+    middle = (near + far) // 2
+    return [(lo, hi, -lo, least - hi) for lo, hi in ((near, middle), (middle + 1, far)) if lo <= hi]
+
+
+def _shared(rows: list, least: int) -> list[int]:
+    """Which contexts of one key go to the suffix array.
+
+    Contexts with a window in common share the common bytes of one of its halves, so a context that
+    shares neither with another can't repeat, and contexts that all occur twice are judged already.
+    """
+    if len(rows) < 2 or all(row[2] > 1 for row in rows):
+        return []
+    classes: dict[tuple[int, bytes], list[int]] = {}
+    for i, (_, _, _, data, place, near, far) in enumerate(rows):
+        for half, (lo, hi, a, b) in enumerate(_common(near, far, least)):
+            if max(0, place - hi) <= min(len(data) - least, place - lo):
+                classes.setdefault((half, data[place + a : place + b]), []).append(i)
+    return sorted({i for held in classes.values() if len(held) > 1 and any(rows[i][2] == 1 for i in held) for i in held})
+
+
 def _judged(least: int):
     """Runs of repeated bytes in each context; input sorted by key, so a key's rows are adjacent."""
 
@@ -162,28 +187,22 @@ def _judged(least: int):
         return pa.RecordBatch.from_arrays([pa.array(a, pa.int64()), pa.array(b, pa.int64()), pa.array(c, pa.list_(pa.struct([("a", pa.int64()), ("b", pa.int64())])))], ["key", "context", "runs"])
 
     def run(batches):
-        held, strings, owners, size, last, first = [], [], [], 0, None, 0
-
-        def closed():
-            """Puts the last key's contexts into the array: each once, and none where no context is left to be judged."""
-            nonlocal size
-            if len(held) - first > 1 and any(row[2] == 1 for row in held[first:]):
-                for k in range(first, len(held)):
-                    strings.append(held[k][3])
-                    owners.append(k)
-                    size += len(held[k][3])
-
+        held, strings, owners, size, done, last, first = [], [], [], 0, 0, None, 0
         for batch in batches:
-            for row in zip(*(batch.column(k).to_pylist() for k in range(4)), strict=True):
+            for row in zip(*(batch.column(k).to_pylist() for k in range(7)), strict=True):
                 if row[0] != last:
-                    closed()
+                    owners += [first + k for k in _shared(held[first:], least)]
+                    strings += [held[k][3] for k in owners[len(strings) :]]
+                    size += sum(len(held[k][3]) for k in owners[done:])
+                    done = len(owners)
                     if size > BATCH or len(held) > ROWS:
                         yield judge(held, strings, owners)
-                        held, strings, owners, size = [], [], [], 0
+                        held, strings, owners, size, done = [], [], [], 0, 0
                     first, last = len(held), row[0]
                 held.append(row)
         if held:
-            closed()
+            owners += [first + k for k in _shared(held[first:], least)]
+            strings += [held[k][3] for k in owners[len(strings) :]]
             yield judge(held, strings, owners)
 
     return run
@@ -196,12 +215,11 @@ def _halved(least: int):
         for batch in batches:
             rows = []
             for key, context, place, near, far, data in zip(*(batch.column(k).to_pylist() for k in range(6)), strict=True):
-                middle = (near + far) // 2
-                for lo, hi in ((near, middle), (middle + 1, far)):
+                for lo, hi, a, b in _common(near, far, least):
                     first, last = max(0, place - hi), min(len(data) - least, place - lo)
-                    if lo > hi or first > last:
+                    if first > last:
                         continue
-                    half, common = data[first : last + least], data[place - lo : place - hi + least]
+                    half, common = data[first : last + least], data[place + a : place + b]
                     sub = _signed(xxhash.xxh3_64_intdigest(common + struct.pack("<3q", key, lo, hi)))
                     rows.append((key, context, sub, _signed(xxhash.xxh3_64_intdigest(half)), first, place - first, lo, hi, half))
             columns = zip(*rows, strict=True) if rows else ((),) * 9
@@ -210,29 +228,34 @@ def _halved(least: int):
     return run
 
 
-def _placed_runs(occurrences: DataFrame, contexts: DataFrame, least: int, group: int) -> DataFrame:
-    """(doc, a, b): repeated runs of bytes of each text, from occurrences (key, context, doc, at) and contexts (key, context, n, data)."""
-    found = None
+def _placed_runs(occurrences: DataFrame, contexts: DataFrame, least: int, group: int) -> tuple[DataFrame, list[DataFrame]]:
+    """(doc, a, b): repeated runs of bytes of each text, from occurrences (key, context, doc, at) and contexts; and the tables that they rest on."""
+    found, used = None, [occurrences]
     while True:
         hot = contexts.groupBy("key").agg(F.sum(F.length("data")).alias("bytes")).where(F.col("bytes") > group).select("key")
         hot = materialize(hot, "hot")
         more = bool(hot.take(1))
         calm = contexts.join(hot, "key", "left_anti") if more else contexts
-        dealt = calm.select("key", "context", "n", "data").repartition("key").sortWithinPartitions("key")
+        dealt = calm.select("key", "context", "n", "data", "place", "near", "far").repartition("key").sortWithinPartitions("key")
         runs = materialize(dealt.mapInArrow(_judged(least), "key long, context long, runs array<struct<a:long,b:long>>"), "runs")
         here = occurrences.join(runs, ["key", "context"]).select("doc", F.explode("at").alias("at"), "runs").select("doc", "at", F.explode("runs").alias("r"))
         here = here.select("doc", (F.col("at") + F.col("r.a")).alias("a"), (F.col("at") + F.col("r.b")).alias("b"))
         found = here if found is None else found.unionByName(here)
+        used.append(runs)
         if not more:
-            return found
+            discard(contexts, hot)
+            return found, used
         halves = materialize(contexts.join(hot, "key", "left_semi").select("key", "context", "place", "near", "far", "data").mapInArrow(_halved(least), "key long, context long, sub_key long, sub_context long, offset long, place long, near long, far long, data binary"), "halves")
         numbers = contexts.join(hot, "key", "left_semi").select("key", "context", "n")
+        before = contexts
         contexts = materialize(
             halves.join(numbers, ["key", "context"]).groupBy(F.col("sub_key").alias("key"), F.col("sub_context").alias("context")).agg(F.sum("n").alias("n"), *[F.first(c).alias(c) for c in ("place", "near", "far", "data")]), "contexts"
         )
         links = halves.select("key", "context", "sub_key", "sub_context", "offset")
         moved = occurrences.join(links, ["key", "context"]).select(F.col("sub_key").alias("key"), F.col("sub_context").alias("context"), "doc", F.transform("at", lambda x: x + F.col("offset")).alias("at"))
         occurrences = materialize(moved, "occurrences")
+        used.append(occurrences)
+        discard(before, halves, hot)
 
 
 def _merged(runs: list) -> list[tuple[int, int]]:
@@ -299,13 +322,20 @@ def _repeats(source: DataFrame, kind: str, least: int, gram: int | None, group:
     often = each.groupBy("anchor").agg(F.sum("copies").alias("n")).where("n > 1").select("anchor")
     wanted = each.join(often, "anchor").groupBy("doc").agg(F.collect_set("anchor").alias("wanted"))
     chosen = materialize(nodes.select("doc", "copies", "doc_id", "text_key").join(wanted, "doc"), "chosen")
+    rows = materialize(survey.select("doc_id", "n_bytes", "sha256"), "rows")
+    names = materialize(nodes.select("doc", "sha256"), "names")
+    discard(survey, nodes)
     occurrences = materialize(_read(source, chosen, "doc", "copies", "wanted").mapInArrow(_contexts(least, gram), "key long, context long, doc long, at array<long>, n long, place long, data binary"), "occurrences")
     contexts = materialize(occurrences.groupBy("key", "context").agg(F.sum("n").alias("n"), F.first("place").alias("place"), F.first("data").alias("data")).withColumns({"near": F.lit(0).cast("long"), "far": F.lit(least - gram).cast("long")}), "contexts")
-    runs = _placed_runs(occurrences.select("key", "context", "doc", "at"), contexts, least, group)
+    places = materialize(occurrences.select("key", "context", "doc", "at"), "places")
+    discard(occurrences)
+    runs, used = _placed_runs(places, contexts, least, group)
     per_doc = runs.groupBy("doc").agg(F.collect_set(F.struct("a", "b")).alias("runs"))
     marked = materialize(chosen.select("doc", "doc_id", "text_key").join(per_doc, "doc"), "marked")
+    discard(*used)
     cut = materialize(_read(source, marked, "doc", "runs").mapInArrow(_cut, "doc long, n_removed long, spans array<struct<a:long,b:long,words:long>>, kept_sha256 string").dropDuplicates(["doc"]), "cut")
-    return survey.select("doc_id", "n_bytes", "sha256"), nodes.select("doc", "sha256").join(cut, "doc").select("sha256", "n_removed", "spans", "kept_sha256")
+    discard(chosen, marked)
+    return rows, names.join(cut, "doc").select("sha256", "n_removed", "spans", "kept_sha256")
 
 
 def _read(source: DataFrame, rows: DataFrame, *columns: str) -> DataFrame:
