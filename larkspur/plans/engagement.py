@@ -130,9 +130,6 @@ SELECT round(corr(l_quantity, l_extendedprice), 6) AS r, round(count(*) FILTER (
 C.sql("bayes_prior", "D24", f"""
 WITH t AS (SELECT item, avg(rating) AS a, count(*) AS n FROM {_RATED} r GROUP BY item), m AS (SELECT avg(rating) AS mu FROM {_RATED} r), x AS (SELECT max(n) AS most FROM t)
 SELECT item, round((a * n + 3 * mu) / (n + 3), 6) AS shrunk, round(ln(1 + n) / ln(1 + most), 6) AS popularity FROM t CROSS JOIN m CROSS JOIN x""")
-C.sql("confidence", "D25 J5", f"""
-WITH e AS (SELECT profile, item, max(CASE WHEN rating >= 5 THEN 1.0 WHEN rating = 4 THEN 0.7 WHEN rating = 3 THEN 0.2 WHEN rating = 2 THEN -0.4 ELSE -0.8 END) AS w FROM {_RATED} r GROUP BY profile, item)
-SELECT profile, round(sum(abs(w)), 6) AS evidence, round(sum(abs(w)) / (sum(abs(w)) + 1.5), 6) AS confidence FROM e GROUP BY profile""")
 C.sql("taste_passport", "D26 J17", f"""
 WITH s AS (SELECT r.profile, p.p_type AS style, sum(r.rating) AS w FROM {_RATED} r JOIN {{part}} p ON p.p_partkey = r.item WHERE r.rating >= 4 GROUP BY 1, 2),
 t AS (SELECT profile, style, w, sum(w) OVER (PARTITION BY profile) AS total, row_number() OVER (PARTITION BY profile ORDER BY w DESC, style) AS rn FROM s)

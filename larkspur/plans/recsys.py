@@ -1,92 +1,479 @@
-"""Content recommender over interactions: vectors in blocks, evidence, personal scores, feeds, neighbours, deck.
+"""Content recommender over interactions: vectors in nine blocks, evidence, personal scores, feeds, lists, explanations.
 
-Roles: part = item (p_type style, p_brand producer, p_size level), customer = profile, lineitem with
-orders = signals (rating 1 + quantity modulo 5).
+Roles: part = item, customer = profile, lineitem with orders = what a profile did with an item (flag R:
+rated 1 + quantity modulo 5; A and F: opened; A and O: tried; N and O: bottles kept), events = swipes and
+scans of item k. The cards' further fields are functions of the item's name, type and size.
 """
 
-from larkspur.operators import recommend
+from pyspark.sql import DataFrame, Window
+from pyspark.sql import functions as F
+
+from larkspur.operators import recommend, taste
 from larkspur.plans.shared import Catalogue
-from larkspur.storage import table
+from larkspur.storage import materialize, table
 
 C = Catalogue()
 QUERIES, ORACLES, COVERS = C.QUERIES, C.ORACLES, C.COVERS
 
-_RATED = "(SELECT o_custkey AS profile, l_partkey AS item, 1 + CAST(l_quantity AS INTEGER) % 5 AS rating FROM {lineitem} JOIN {orders} ON l_orderkey = o_orderkey)"
-# blocks: style 3, producer 2, size bucket 1; each block has unit length times its weight, then the item is a unit
-_VECTORS = """(SELECT item, feature, block, CAST(w AS DOUBLE) / sqrt(14.0e0) AS x FROM (
-  SELECT p_partkey AS item, concat('style:', p_type) AS feature, 'style' AS block, 3 AS w FROM {part} UNION ALL
-  SELECT p_partkey, concat('producer:', p_brand), 'producer', 2 FROM {part} UNION ALL
-  SELECT p_partkey, concat('size:', CAST(p_size % 10 AS VARCHAR(5))), 'size', 1 FROM {part}) f)"""
-_EVIDENCE = f"(SELECT profile, item, max(CASE WHEN rating = 5 THEN 1.0e0 WHEN rating = 4 THEN 0.6e0 WHEN rating = 3 THEN 0.1e0 WHEN rating = 2 THEN -0.5e0 ELSE -0.9e0 END) AS w FROM {_RATED} r GROUP BY profile, item)"
-_SEEDS = f"(SELECT profile, item, w FROM (SELECT *, row_number() OVER (PARTITION BY profile, CASE WHEN w > 0 THEN 1 ELSE 0 END ORDER BY abs(w) DESC, item) AS rn FROM {_EVIDENCE} e) x WHERE rn <= 40)"
-# items of one style, producer and size bucket have one vector: similarities are between kinds, each named by its first item
-_KINDS = "(SELECT p_partkey AS item, min(p_partkey) OVER (PARTITION BY p_type, p_brand, p_size % 10) AS kind FROM {part})"
-
-
-def _near(blocks="true"):
-    """Kinds u and v that share a feature of the given blocks, and their dot product."""
-    one = f"(SELECT v.* FROM {_VECTORS} v JOIN {_KINDS} k ON k.item = v.item AND k.kind = v.item WHERE {blocks})"
-    return f"(SELECT a.item AS u, b.item AS v, sum(a.x * b.x) AS sim FROM {one} a JOIN {one} b ON b.feature = a.feature GROUP BY a.item, b.item)"
-
-
-_SIMS = f"(SELECT s.profile, s.item AS seed, s.w, n.v AS kind, n.sim FROM {_SEEDS} s JOIN {_KINDS} k ON k.item = s.item JOIN {_near()} n ON n.u = k.kind)"
-
-C.sql("item_vectors", "J1 H23", f"SELECT item, count(*) AS features, round(sqrt(sum(x * x)), 6) AS len FROM {_VECTORS} v GROUP BY item")
-C.sql("partial_similarity", "J2", f"""
-WITH n AS {_near("block <> 'size'")}, k AS {_KINDS}, l AS (SELECT u, sqrt(sim) AS len FROM n WHERE u = v),
-s AS (SELECT n.u, n.v, round(n.sim / (a.len * b.len), 6) AS sim FROM n JOIN l a ON a.u = n.u JOIN l b ON b.u = n.v)
-SELECT a.item AS q, b.item, s.sim FROM s JOIN k a ON a.kind = s.u JOIN k b ON b.kind = s.v WHERE a.item <> b.item""")
-C.sql("taste_signals", "J4", """
-WITH u AS (SELECT o_custkey AS profile, l_partkey AS item, 1 + CAST(l_quantity AS INTEGER) % 5 AS rating, 0 AS opened, 0 AS wished FROM {lineitem} JOIN {orders} ON l_orderkey = o_orderkey
-UNION ALL SELECT user_id, CAST(JSON_K(props) AS BIGINT), 0, CASE WHEN event_type = 'purchase' THEN 1 ELSE 0 END, CASE WHEN event_type = 'click' THEN 1 ELSE 0 END FROM {events})
-SELECT profile, item, CAST(max(rating) AS BIGINT) AS rating, CAST(sum(opened) AS BIGINT) AS opened, CAST(max(wished) AS BIGINT) AS wished FROM u GROUP BY profile, item""")
-C.sql("evidence_weights", "J5", f"SELECT profile, item, w FROM {_EVIDENCE} e WHERE w <> 0.1e0")
-# the best three seeds of a kind and the worst two: an item that is a seed itself is scored by the others
-C.sql("personal_scores", "J6 D25", f"""
-WITH s AS {_SIMS}, k AS {_KINDS},
-p AS (SELECT *, row_number() OVER (PARTITION BY profile, kind ORDER BY round(sim * w, 9) DESC, seed) AS rn FROM s WHERE w > 0),
-g AS (SELECT profile, kind, max(CASE WHEN rn = 1 THEN seed END) AS s1, max(CASE WHEN rn = 2 THEN seed END) AS s2, max(CASE WHEN rn = 1 THEN sim * w END) AS v1, max(CASE WHEN rn = 2 THEN sim * w END) AS v2, max(CASE WHEN rn = 3 THEN sim * w END) AS v3 FROM p WHERE rn <= 3 GROUP BY profile, kind),
-d AS (SELECT *, row_number() OVER (PARTITION BY profile, kind ORDER BY round(-w * sim, 9) DESC, seed) AS rn FROM s WHERE w < 0),
-n AS (SELECT profile, kind, max(CASE WHEN rn = 1 THEN seed END) AS n1, max(CASE WHEN rn = 1 THEN -w * sim END) AS p1, max(CASE WHEN rn = 2 THEN -w * sim END) AS p2 FROM d WHERE rn <= 2 GROUP BY profile, kind),
-b AS (SELECT g.profile, g.kind, s1, s2, v1, v2, v3, n1, p1, p2 FROM g LEFT JOIN n ON n.profile = g.profile AND n.kind = g.kind)
-SELECT profile, item, CASE WHEN item = s1 THEN s2 ELSE s1 END AS source, round(CASE WHEN item = s1 THEN v2 ELSE v1 END + 0.25e0 * coalesce(CASE WHEN item = s1 OR item = s2 THEN v3 ELSE v2 END, 0) - 0.8e0 * coalesce(CASE WHEN item = n1 THEN p2 ELSE p1 END, 0), 6) AS score
-FROM b JOIN k ON k.kind = b.kind WHERE item <> s1 OR s2 IS NOT NULL""")
-C.sql("feed_ranking", "J7 J9 B20", f"""
-WITH e AS (SELECT e.profile, k.kind, COLLECT(e.item) AS seen FROM {_EVIDENCE} e JOIN {_KINDS} k ON k.item = e.item GROUP BY e.profile, k.kind),
-s AS (SELECT profile, kind, max(sim * w) AS fit FROM {_SIMS} s WHERE w > 0 GROUP BY profile, kind),
-b AS (SELECT s.profile, s.kind, s.fit, e.seen FROM s LEFT JOIN e ON e.profile = s.profile AND e.kind = s.kind),
-j AS (SELECT item, kind, HEX_BYTE(left(SHA(concat('j:', CAST(item AS VARCHAR(20)))), 2)) / 2550 AS jitter FROM {_KINDS} i),
-k AS (SELECT b.profile, j.item, round(fit + jitter, 6) AS score FROM b JOIN j ON j.kind = b.kind WHERE b.seen IS NULL OR NOT HAS(b.seen, j.item))
-SELECT profile, item, score FROM (SELECT *, row_number() OVER (PARTITION BY profile ORDER BY score DESC, item) AS rn FROM k) x WHERE rn <= 20""")
-C.sql("taste_neighbours", "J10", """
-SELECT a.p_partkey AS a, b.p_partkey AS b, abs(a.p_size - b.p_size) / 10.0e0 AS distance, CASE WHEN a.p_brand = b.p_brand THEN 1 ELSE 0 END AS bonus FROM {part} a JOIN {part} b ON a.p_type = b.p_type AND a.p_partkey <> b.p_partkey AND abs(a.p_size - b.p_size) <= 1""")
-C.sql("explore_new", "J11 J12", f"""
-WITH known AS (SELECT DISTINCT r.profile, p.p_brand FROM {_RATED} r JOIN {{part}} p ON p.p_partkey = r.item), rare AS (SELECT p_brand, count(*) AS n FROM {{part}} GROUP BY p_brand)
-SELECT c.c_custkey AS profile, r.p_brand, r.n FROM {{customer}} c JOIN rare r ON 1 = 1 LEFT JOIN known k ON k.profile = c.c_custkey AND k.p_brand = r.p_brand WHERE k.p_brand IS NULL""")
-C.sql("cellar_for_dish", "J13 J23", f"""
-SELECT r.profile, r.item, max(CASE p.p_type WHEN 'ECONOMY' THEN 2 WHEN 'STANDARD' THEN 1 ELSE 0 END) AS fit FROM {_RATED} r JOIN {{part}} p ON p.p_partkey = r.item WHERE r.rating >= 3 GROUP BY r.profile, r.item HAVING max(CASE p.p_type WHEN 'ECONOMY' THEN 2 WHEN 'STANDARD' THEN 1 ELSE 0 END) > 0""")
-C.sql("refill", "J14 D5", """
-WITH f AS (SELECT o_custkey AS profile, l_partkey AS item, max(o_orderdate) AS latest FROM {lineitem} JOIN {orders} ON l_orderkey = o_orderkey WHERE l_linestatus = 'F' GROUP BY 1, 2)
-SELECT profile, item FROM (SELECT *, row_number() OVER (PARTITION BY profile ORDER BY latest DESC, item) AS rn FROM f) x WHERE rn <= 3""")
-C.sql("list_fit", "J15 J27", f"""
-WITH k AS {_KINDS}, m AS (SELECT DISTINCT l_orderkey AS list, k.item, k.kind FROM {{lineitem}} JOIN k ON k.item = l_partkey),
-s AS (SELECT m.list, n.v AS kind, m.item AS member, CASE WHEN m.kind = n.v THEN m.item END AS own, n.sim FROM m JOIN {_near()} n ON n.u = m.kind),
-r AS (SELECT *, row_number() OVER (PARTITION BY list, kind ORDER BY round(sim, 9) DESC, member) AS rn FROM s),
-t AS (SELECT list, kind, max(CASE WHEN rn = 1 THEN member END) AS s1, max(CASE WHEN rn = 1 THEN sim END) AS v1, max(CASE WHEN rn = 2 THEN sim END) AS v2, count(*) AS n, COLLECT(own) AS owned FROM r GROUP BY list, kind)
-SELECT list, item, round(6 * CASE WHEN item = s1 THEN v2 ELSE v1 END, 6) AS cohesion, n - CASE WHEN HAS(owned, item) THEN 1 ELSE 0 END AS members
-FROM t JOIN k ON k.kind = t.kind WHERE item <> s1 OR n > 1""")
-C.sql("match_percent", "J18", """
-SELECT c_custkey, p_partkey, CAST(least(99, greatest(10, floor(100 * (0.6e0 * (1 - abs(c_nationkey - p_size % 25) / 25.0e0) + 0.25e0 * (CASE WHEN p_partkey % 3 = c_custkey % 3 THEN 1 ELSE 0 END) + 0.15e0 * (CASE WHEN p_type = 'PROMO' THEN 1 ELSE 0 END))))) AS BIGINT) AS percent FROM {customer} CROSS JOIN {part}""")
-C.sql("swipe_deck", "J19 K7", """
-WITH v AS (SELECT user_id, CAST(JSON_K(props) AS BIGINT) AS item, event_type, row_number() OVER (PARTITION BY user_id, JSON_K(props) ORDER BY ts DESC, event_id DESC) AS rn FROM {events} WHERE event_type IN ('click', 'error'))
-SELECT user_id, item, CASE WHEN event_type = 'click' THEN 'like' ELSE 'nope' END AS verdict FROM v WHERE rn = 1""")
-C.sql("why_explained", "J21", f"""
-SELECT q, item, feature, product FROM (SELECT a.item AS q, b.item, a.feature, round(a.x * b.x, 6) AS product, row_number() OVER (PARTITION BY a.item, b.item ORDER BY round(a.x * b.x, 6) DESC, a.feature) AS rn
-FROM {_VECTORS} a JOIN {_VECTORS} b ON a.feature = b.feature AND a.item <> b.item WHERE a.item % 50 = 0) x WHERE rn <= 3""")
-
-
-@C.query("diversified_feed", "J8 J16 E6")
+
+def cards(part: DataFrame) -> DataFrame:
+    """Cards of items, as module taste takes them."""
+    size, word = F.col("p_size"), F.split("p_name", " ")
+    text = lambda prefix, number: F.concat(F.lit(prefix), number.cast("string"))
+    return part.select(
+        F.col("p_partkey").alias("item"),
+        F.when(word[0].isin("red", "blue", "green", "hot"), word[0]).otherwise("").alias("color"),
+        F.when(size < 10, "dry").when(size < 20, "medium").when(size < 40, "sweet").otherwise("").alias("sweet"),
+        (F.col("p_type") == "PROMO").alias("sparkling"),
+        F.when(size % 3 == 0, F.array(word[1], F.lower("p_type"))).otherwise(F.array(word[1])).alias("grapes"),
+        F.concat(word, F.array(F.lower("p_type"))).alias("words"),
+        F.array(text("d", size % 6), text("d", size % 4 + 4)).alias("dishes"),
+        text("r", size % 9).alias("region"),
+        F.col("p_brand").alias("winery"),
+        (10.5 + size % 5).alias("alcohol"),
+        (6.0 + size % 12).alias("temperature"),
+        F.create_map(F.lit("body"), 1.0 + size % 5, F.lit("tannin"), 1.0 + size % 4, F.lit("acidity"), 1 + (size % 9) / 2).alias("axes"),
+        F.array(text("a", size % 7), text("a", size % 5 + 7)).alias("aromas"),
+        F.concat_ws(" ", "p_brand", "p_name").alias("duplicate_of"),
+    )
+
+
+def signals(lines: DataFrame, orders: DataFrame, events: DataFrame) -> DataFrame:
+    """(profile, item, rating, opened, quantity, tried, not_for_me, swipe): one row a profile and item from five sources."""
+    flag = lambda f, s: (F.col("l_returnflag") == f) & (F.col("l_linestatus") == s)
+    bought = lines.join(orders, F.col("l_orderkey") == F.col("o_orderkey")).select(
+        F.col("o_custkey").alias("profile"),
+        F.col("l_partkey").alias("item"),
+        F.when(F.col("l_returnflag") == "R", 1 + F.col("l_quantity").cast("int") % 5).alias("rating"),
+        F.when(flag("A", "F"), 1).alias("opened"),
+        F.when(flag("N", "O"), 1).alias("quantity"),
+        F.when(flag("A", "O"), 1).alias("tried"),
+    )
+    last = F.row_number().over(Window.partitionBy("user_id", "item", "kind").orderBy(F.desc("ts"), F.desc("event_id")))
+    kind = F.when(F.col("event_type").isin("click", "error"), "swipe").when(F.col("event_type") == "signup", "hidden")
+    told = events.select("user_id", "ts", "event_id", "event_type", F.get_json_object("props", "$.k").cast("long").alias("item"), kind.alias("kind"))
+    told = told.where("kind is not null and item is not null").withColumn("rn", last).where("rn = 1")
+    told = told.select(F.col("user_id").alias("profile"), "item", F.when(F.col("kind") == "hidden", 1).alias("not_for_me"), F.when(F.col("event_type") == "click", "like").when(F.col("event_type") == "error", "nope").alias("swipe"))
+    both = bought.unionByName(told, allowMissingColumns=True)
+    total = [F.sum(c).alias(c) for c in ("opened", "quantity")]
+    grouped = both.groupBy("profile", "item").agg(F.max("rating").alias("rating"), *total, F.max("tried").alias("tried"), F.max("not_for_me").alias("not_for_me"), F.max("swipe").alias("swipe"))
+    return grouped.withColumns({"tried": F.col("tried").isNotNull(), "not_for_me": F.col("not_for_me").isNotNull()})
+
+
+def _signals(spark, sf_dir):
+    found = signals(*(table(spark, sf_dir, t) for t in ("lineitem", "orders", "events")))
+    return found.join(table(spark, sf_dir, "part").select(F.col("p_partkey").alias("item")), "item", "left_semi")
+
+
+def _weights(spark, sf_dir):
+    return _signals(spark, sf_dir).select("profile", "item", taste.evidence().alias("w"))
+
+
+# ---- the same in DuckDB's SQL, for the oracles
+_CARDS = """cards AS (SELECT p_partkey AS item, string_split(p_name, ' ')[1] AS adjective, string_split(p_name, ' ')[2] AS noun, lower(p_type) AS kind, p_brand AS winery, p_size AS z FROM part)"""
+_WORDS = "SELECT item, left(w, 5) AS stem FROM (SELECT item, unnest([adjective, noun, kind]) AS w FROM cards) WHERE length(w) > 3"
+_RAW = f"""words AS ({_WORDS}),
+rare AS (SELECT stem, ln((SELECT count(*) FROM cards) * 1.0 / count(DISTINCT item)) AS idf FROM words GROUP BY stem HAVING count(DISTINCT item) BETWEEN 2 AND 0.25 * (SELECT count(*) FROM cards)),
+axes AS (SELECT item, unnest(['body', 'tannin', 'acidity']) AS axis, unnest([1.0 + z % 5, 1.0 + z % 4, 1 + (z % 9) / 2.0]) AS v FROM cards),
+raw AS (
+  SELECT item, 'style' AS block, 'color' AS kind, 'color:' || adjective AS feature, 1.0::DOUBLE AS x FROM cards WHERE adjective IN ('red', 'blue', 'green', 'hot')
+  UNION ALL SELECT item, 'style', 'sweet', 'sweet:' || CASE WHEN z < 10 THEN 'dry' WHEN z < 20 THEN 'medium' ELSE 'sweet' END, 0.8 FROM cards WHERE z < 40
+  UNION ALL SELECT item, 'style', 'sparkling', 'sparkling:yes', 0.8 FROM cards WHERE kind = 'promo'
+  UNION ALL SELECT item, 'grape', 'grape', 'grape:' || noun, 1.0 FROM cards
+  UNION ALL SELECT item, 'grape', 'grape', 'grape:' || kind, 1.0 FROM cards WHERE z % 3 = 0
+  UNION ALL SELECT item, 'text', 'text', 'text:' || stem, (1 + ln(count(*))) * idf FROM words JOIN rare USING (stem) GROUP BY item, stem, idf
+  UNION ALL SELECT DISTINCT item, 'dish', 'dish', 'dish:d' || unnest([z % 6, z % 4 + 4]), 1.0 FROM cards
+  UNION ALL SELECT item, 'region', 'region', 'region:r' || z % 9, 1.0 FROM cards
+  UNION ALL SELECT item, 'winery', 'winery', 'winery:' || winery, 1.0 FROM cards
+  UNION ALL SELECT item, 'body', 'alc', 'alc:' || CASE WHEN 10.5 + z % 5 < 11.5 THEN 'light' WHEN 10.5 + z % 5 < 13.5 THEN 'mid' ELSE 'full' END, 1.0 FROM cards
+  UNION ALL SELECT item, 'body', 'temp', 'temp:' || CASE WHEN 6 + z % 12 < 9 THEN 'cold' WHEN 6 + z % 12 < 14 THEN 'cool' ELSE 'room' END, 0.7 FROM cards
+  UNION ALL SELECT item, 'taste', 'taste', 'taste:' || axis || ':' || n, 1 - abs(v - c) / 1.5 FROM axes, (VALUES ('lo', 1.5), ('mid', 3.0), ('hi', 4.5)) b(n, c) WHERE 1 - abs(v - c) / 1.5 > 0
+  UNION ALL SELECT DISTINCT item, 'aroma', 'aroma', 'aroma:a' || unnest([z % 7, z % 5 + 7]), 1.0 FROM cards)"""
+_SCALED = "shares(block, share) AS (VALUES ('style', 1.0), ('grape', 0.6), ('text', 1.0), ('dish', 0.6), ('region', 0.2), ('winery', 0.25), ('body', 0.35), ('taste', 0.4), ('aroma', 0.3))"
+_VECTORS = f"""{_CARDS}, {_RAW}, {_SCALED},
+scaled AS (SELECT item, block, kind, feature, share::DOUBLE * x / sqrt(sum(x * x) OVER (PARTITION BY item, block)) AS x FROM raw JOIN shares USING (block)),
+vectors AS (SELECT item, block, kind, feature, x / sqrt(sum(x * x) OVER (PARTITION BY item)) AS x FROM scaled)"""
+_SIGNALS = """bought AS (
+  SELECT o_custkey AS profile, l_partkey AS item, max(1 + l_quantity::INTEGER % 5) FILTER (WHERE l_returnflag = 'R') AS rating, count(*) FILTER (WHERE l_returnflag = 'A' AND l_linestatus = 'F') AS opened,
+    count(*) FILTER (WHERE l_returnflag = 'N' AND l_linestatus = 'O') AS quantity, bool_or(l_returnflag = 'A' AND l_linestatus = 'O') AS tried FROM lineitem JOIN orders ON o_orderkey = l_orderkey GROUP BY 1, 2),
+told AS (SELECT user_id, json_extract_string(props, '$.k')::BIGINT AS item, event_type, ts, event_id FROM events),
+swipes AS (SELECT user_id, item, arg_max(event_type, struct_pack(ts := ts, event_id := event_id)) AS e FROM told WHERE event_type IN ('click', 'error') GROUP BY 1, 2),
+hidden AS (SELECT DISTINCT user_id, item FROM told WHERE event_type = 'signup'),
+pairs AS (SELECT profile, item FROM bought UNION SELECT user_id, item FROM swipes UNION SELECT user_id, item FROM hidden),
+signals AS (SELECT p.profile, p.item, rating, coalesce(opened, 0) AS opened, coalesce(quantity, 0) AS quantity, coalesce(tried, false) AS tried, h.item IS NOT NULL AS not_for_me, CASE s.e WHEN 'click' THEN 'like' WHEN 'error' THEN 'nope' END AS swipe
+  FROM pairs p LEFT JOIN bought b USING (profile, item) LEFT JOIN swipes s ON s.user_id = p.profile AND s.item = p.item LEFT JOIN hidden h ON h.user_id = p.profile AND h.item = p.item WHERE p.item IN (SELECT p_partkey FROM part))"""
+_WEIGHTS = f"""{_SIGNALS},
+weights AS (SELECT profile, item, (CASE WHEN rating = 5 THEN 1.0 WHEN rating = 4 THEN 0.7 WHEN rating = 3 THEN 0.15 WHEN rating = 2 THEN -0.6 WHEN rating = 1 THEN -1.0 WHEN not_for_me THEN -0.5 WHEN swipe = 'nope' THEN -0.4
+  ELSE least(0.9, CASE WHEN opened > 0 THEN 0.45 + 0.1 * least(opened - 1, 2) ELSE 0 END + CASE WHEN quantity > 0 THEN 0.35 ELSE 0 END + CASE WHEN tried THEN 0.25 ELSE 0 END + CASE WHEN swipe = 'like' THEN 0.35 ELSE 0 END) END)::DOUBLE AS w FROM signals)"""
+_SIMS = "sims AS (SELECT a.item AS u, b.item AS v, sum(a.x * b.x) AS sim FROM vectors a JOIN vectors b USING (feature) GROUP BY 1, 2)"
+_SEEDS = "seeds AS (SELECT profile, item, w FROM weights WHERE w <> 0 QUALIFY row_number() OVER (PARTITION BY profile, w > 0 ORDER BY abs(w) DESC, item) <= 40)"
+_BEST = """likes AS (SELECT profile, v AS item, max(struct_pack(s := round(w * sim, 9), i := -u, raw := sim), 2) AS two FROM seeds JOIN sims ON u = seeds.item WHERE w > 0 GROUP BY 1, 2),
+dislikes AS (SELECT profile, v AS item, max(round(-w * sim, 9)) AS p FROM seeds JOIN sims ON u = seeds.item WHERE w < 0 GROUP BY 1, 2)"""
+
+
+@C.query("item_vectors", "J1 H23", f"WITH {_VECTORS} SELECT item, block, feature, round(x, 6) AS x FROM vectors")
+def item_vectors(spark, sf_dir):
+    """All nine blocks of every item."""
+    return taste.item_vectors(cards(table(spark, sf_dir, "part"))).select("item", "block", "feature", F.round("x", 6).alias("x"))
+
+
+@C.query("taste_signals", "J4", f"WITH {_SIGNALS} SELECT * FROM signals")
+def taste_signals(spark, sf_dir):
+    found = _signals(spark, sf_dir)
+    return found.withColumns({"opened": F.coalesce("opened", F.lit(0)), "quantity": F.coalesce("quantity", F.lit(0))})
+
+
+@C.query("evidence_weights", "J5", f"WITH {_WEIGHTS} SELECT profile, item, round(w, 6) AS w FROM weights")
+def evidence_weights(spark, sf_dir):
+    return _weights(spark, sf_dir).select("profile", "item", F.round("w", 6).alias("w"))
+
+
+@C.query("confidence", "D25 J5", f"""WITH {_WEIGHTS}, e AS (SELECT profile, sum(CASE WHEN w > 0 THEN w ELSE -0.5 * w END) AS e FROM weights GROUP BY profile)
+SELECT profile, round(e, 6) AS evidence, round(e / (e + 1.5), 6) AS confidence FROM e""")
+def confidence(spark, sf_dir):
+    return taste.confidence(_weights(spark, sf_dir)).select("profile", F.round("evidence", 6).alias("evidence"), F.round("confidence", 6).alias("confidence"))
+
+
+_STARS = "stars AS (SELECT item, avg(rating) AS a, count(*) AS n FROM signals WHERE rating > 0 GROUP BY item), mean AS (SELECT coalesce(sum(a * n) / sum(n), 3.5) AS m FROM stars)"
+_SCANS = "scans AS (SELECT item, count(*) AS s FROM told WHERE event_type = 'view' GROUP BY item), top AS (SELECT coalesce(max(s), 0) AS t FROM scans)"
+_PRIOR = f"""{_STARS}, {_SCANS},
+prior AS (SELECT p_partkey AS item, greatest(0.0, 0.5 * CASE WHEN t > 0 THEN ln(1 + coalesce(s, 0)) / ln(1 + t) ELSE 0 END + 0.4 * CASE WHEN n IS NULL THEN 0 ELSE ((a * n + 3 * m) / (n + 3) - m) / 2.5 END) + CASE WHEN p_size < 25 THEN 0.05 ELSE 0 END + CASE WHEN p_size % 2 = 0 THEN 0.05 ELSE 0 END AS prior
+  FROM part LEFT JOIN stars ON stars.item = p_partkey LEFT JOIN scans ON scans.item = p_partkey CROSS JOIN mean CROSS JOIN top)"""
+
+
+def _prior(spark, sf_dir):
+    ratings = _signals(spark, sf_dir).where("rating > 0").groupBy("item").agg(F.avg("rating").alias("average"), F.count("*").alias("n"))
+    scans = table(spark, sf_dir, "events").where("event_type = 'view'").groupBy(F.get_json_object("props", "$.k").cast("long").alias("item")).agg(F.count("*").alias("scans"))
+    items = table(spark, sf_dir, "part").select(F.col("p_partkey").alias("item"), (F.col("p_size") < 25).alias("described"), (F.col("p_size") % 2 == 0).alias("paired"))
+    return taste.prior(ratings, scans, items)
+
+
+@C.query("popularity_prior", "D24", f"WITH {_SIGNALS}, {_PRIOR} SELECT item, round(prior, 6) AS prior FROM prior")
+def popularity_prior(spark, sf_dir):
+    """Shrunk stars and scan volume of an item, with a little for a complete card."""
+    return _prior(spark, sf_dir).select("item", F.round("prior", 6).alias("prior"))
+
+
+def _packed_items(spark, sf_dir):
+    part = cards(table(spark, sf_dir, "part"))
+    level = F.when(F.col("sweet") == "", "unknown").otherwise(F.col("sweet"))
+    known = part.select("item", level.alias("level")).join(_prior(spark, sf_dir), "item")
+    vectors = materialize(taste.packed_vectors(taste.item_vectors(part), ["item"]), "vectors")
+    return materialize(known.join(vectors, "item", "left"), "items"), vectors
+
+
+def _profiles_and_seeds(weights: DataFrame, vectors: DataFrame, seen: DataFrame | None = None, levels: DataFrame | None = None, answers: DataFrame | None = None):
+    seeds = taste.seeds_of(weights).join(vectors, "item").withColumn("label", F.lit(None).cast("string"))
+    if answers is not None:
+        told = taste.packed_vectors(taste.answer_vectors(answers), ["profile", "label"]).withColumns({"item": F.lit(None).cast("long"), "w": F.lit(ANSWER_WEIGHT)})
+        seeds = seeds.unionByName(told)
+    profiles = taste.confidence(weights).select("profile", "confidence")
+    empty = F.array().cast("array<string>")
+    profiles = profiles.withColumns({"guard": F.lit(False), "levels": empty}) if levels is None else profiles.join(levels, "profile", "left").withColumns({"guard": F.coalesce("guard", F.lit(False)), "levels": F.coalesce("levels", empty)})
+    profiles = profiles.withColumn("seen", F.array().cast("array<long>")) if seen is None else profiles.join(seen, "profile", "left")
+    return profiles, seeds
+
+
+@C.query("personal_scores", "J6 D25 E11", f"""
+WITH {_VECTORS}, {_WEIGHTS}, {_SIMS}, {_SEEDS}, {_BEST},
+k AS (SELECT profile, p_partkey AS item FROM (SELECT DISTINCT profile FROM weights) CROSS JOIN part),
+s AS (SELECT profile, item, greatest(0, coalesce(greatest(two[1].s, 0), 0) + 0.25 * coalesce(greatest(two[2].s, 0), 0) - 0.8 * coalesce(p, 0)) AS score, CASE WHEN two[1].s > 0 THEN (-two[1].i)::VARCHAR END AS source FROM k LEFT JOIN likes USING (profile, item) LEFT JOIN dislikes USING (profile, item))
+SELECT profile, item, round(score, 6) AS score, source FROM s QUALIFY row_number() OVER (PARTITION BY profile ORDER BY round(score, 6) DESC, item) <= 20""")
+def personal_scores(spark, sf_dir):
+    """Each profile's 20 best items by likes and dislikes, and the like that speaks most for each."""
+    items, vectors = _packed_items(spark, sf_dir)
+    profiles, seeds = _profiles_and_seeds(materialize(_weights(spark, sf_dir), "weights"), vectors)
+    return taste.ranked_items(profiles, seeds, items, k=20).select("profile", "item", "score", "source")
+
+
+ANSWER_WEIGHT = 0.6
+FEED = 20
+
+
+def _liked_levels(weights: DataFrame, items: DataFrame) -> DataFrame:
+    """(profile, levels, guard): levels of items liked at 0.5 or more; they bind once likes add up to 2."""
+    liked = weights.where("w > 0").join(items.select("item", "level"), "item")
+    held = liked.groupBy("profile").agg(F.collect_set(F.when(F.col("w") >= 0.5, F.col("level"))).alias("levels"), F.sum("w").alias("total"))
+    return held.select("profile", "levels", ((F.col("total") >= 2) & (F.size("levels") > 0)).alias("guard"))
+
+
+def _seen(found: DataFrame) -> DataFrame:
+    known = (F.coalesce("rating", F.lit(0)) > 0) | (F.coalesce("opened", F.lit(0)) > 0) | F.col("tried") | F.col("not_for_me") | (F.coalesce("swipe", F.lit("")) == "nope") | (F.coalesce("quantity", F.lit(0)) > 0)
+    return found.where(known).groupBy("profile").agg(F.collect_list("item").alias("seen"))
+
+
+def jittered(ranked: DataFrame, n: int) -> DataFrame:
+    """Scores plus up to 0.3 that is fixed for a profile and item, then the n best."""
+    name = F.concat(F.col("profile").cast("string"), F.lit("/"), F.col("item").cast("string"))
+    jitter = F.conv(F.substring(F.sha2(name, 256), 1, 2), 16, 10).cast("double") / 255
+    scored = ranked.withColumn("score", F.round(F.col("score") + 0.3 * jitter, 6))
+    rank = F.row_number().over(Window.partitionBy("profile").orderBy(F.desc("score"), "item"))
+    return scored.withColumn("rank", rank).where(F.col("rank") <= n).drop("rank")
+
+
+def _feed_pool(spark, sf_dir, n, answers=None):
+    found = materialize(_signals(spark, sf_dir), "signals")
+    weights = materialize(found.select("profile", "item", taste.evidence().alias("w")), "weights")
+    items, vectors = _packed_items(spark, sf_dir)
+    profiles, seeds = _profiles_and_seeds(weights, vectors, _seen(found), _liked_levels(weights, items), answers)
+    return jittered(taste.ranked_items(profiles, seeds, items, k=n, score=taste.feed_score, slack=0.3), n), weights, vectors
+
+
+@C.query("feed_ranking", "J7 B20 B21", f"""
+WITH {_VECTORS}, {_WEIGHTS}, {_SIMS}, {_SEEDS}, {_BEST}, {_PRIOR},
+conf AS (SELECT profile, e / (e + 1.5) AS c FROM (SELECT profile, sum(CASE WHEN w > 0 THEN w ELSE -0.5 * w END) AS e FROM weights GROUP BY profile)),
+lev AS (SELECT p_partkey AS item, CASE WHEN p_size < 10 THEN 'dry' WHEN p_size < 20 THEN 'medium' WHEN p_size < 40 THEN 'sweet' ELSE 'unknown' END AS level FROM part),
+liked AS (SELECT profile, list(DISTINCT level) FILTER (WHERE w >= 0.5) AS levels, sum(w) AS total FROM weights JOIN lev USING (item) WHERE w > 0 GROUP BY profile),
+seen AS (SELECT profile, item FROM signals WHERE rating > 0 OR opened > 0 OR tried OR not_for_me OR coalesce(swipe, '') = 'nope' OR quantity > 0),
+k AS (SELECT c.profile, c.c, lev.item, lev.level FROM conf c CROSS JOIN lev ANTI JOIN seen ON seen.profile = c.profile AND seen.item = lev.item),
+s AS (SELECT k.profile, k.item, two[1].raw AS raw, CASE WHEN two[1].s > 0 THEN (-two[1].i)::VARCHAR END AS source,
+    10 * (c * greatest(0, coalesce(greatest(two[1].s, 0), 0) + 0.25 * coalesce(greatest(two[2].s, 0), 0) - 0.8 * coalesce(p, 0)) + (1 - c) * prior) - 6 * coalesce(p, 0)
+    - CASE WHEN total >= 2 AND len(levels) > 0 AND NOT list_contains(levels, level) THEN 3 ELSE 0 END AS base
+  FROM k JOIN prior USING (item) LEFT JOIN liked l ON l.profile = k.profile LEFT JOIN likes ON likes.profile = k.profile AND likes.item = k.item LEFT JOIN dislikes d ON d.profile = k.profile AND d.item = k.item),
+j AS (SELECT profile, item, source, round(round(base, 6) + 0.3 * (('0x' || left(sha256(profile::VARCHAR || '/' || item::VARCHAR), 2))::INTEGER / 255.0::DOUBLE), 6) AS score FROM s)
+SELECT profile, item, score, source FROM j QUALIFY row_number() OVER (PARTITION BY profile ORDER BY score DESC, item) <= {FEED}""")
+def feed_ranking(spark, sf_dir):
+    """The feed's candidates: taste blended with popularity, unseen items only, levels never liked pushed down, fixed jitter."""
+    return _feed_pool(spark, sf_dir, FEED)[0].select("profile", "item", "score", "source")
+
+
+def answers_of(customer: DataFrame) -> DataFrame:
+    """Onboarding answers of every profile whose number divides by 3, one label each."""
+    mod = lambda n: F.col("c_custkey") % n
+    return customer.where(mod(3) == 0).select(
+        F.col("c_custkey").alias("profile"),
+        F.concat(F.lit("answer "), F.lower("c_mktsegment")).alias("label"),
+        F.array(F.when(mod(2) == 0, "red").otherwise("blue")).alias("colors"),
+        F.array(F.when(mod(5) == 0, "sweet")).alias("sweets"),
+        (mod(7) == 0).alias("sparkling"),
+        F.create_map(F.lit("body"), 1.0 + mod(5)).alias("axes"),
+        F.array(F.concat(F.lit("a"), mod(4).cast("string"))).alias("aromas"),
+        F.array(F.when(mod(4) == 0, "d1")).alias("dishes"),
+    )
+
+
+_ANSWERS = f"""told AS (SELECT c_custkey AS profile, c_custkey AS z FROM customer WHERE c_custkey % 3 = 0),
+plain AS (
+  SELECT profile, 'style' AS block, 'color' AS kind, 'color:' || CASE WHEN z % 2 = 0 THEN 'red' ELSE 'blue' END AS feature, 1.0::DOUBLE AS x FROM told
+  UNION ALL SELECT profile, 'style', 'sweet', 'sweet:sweet', 0.8 FROM told WHERE z % 5 = 0
+  UNION ALL SELECT profile, 'style', 'sparkling', 'sparkling:yes', 0.8 FROM told WHERE z % 7 = 0
+  UNION ALL SELECT profile, 'taste', 'taste', 'taste:body:' || n, 1 - abs(1.0 + z % 5 - c) / 1.5 FROM told, (VALUES ('lo', 1.5), ('mid', 3.0), ('hi', 4.5)) b(n, c) WHERE 1 - abs(1.0 + z % 5 - c) / 1.5 > 0
+  UNION ALL SELECT profile, 'aroma', 'aroma', 'aroma:a' || z % 4, 1.0 FROM told
+  UNION ALL SELECT profile, 'dish', 'dish', 'dish:d1', 1.0 FROM told WHERE z % 4 = 0),
+weighed AS (SELECT profile, kind, feature, share::DOUBLE * x / sqrt(sum(x * x) OVER (PARTITION BY profile, block)) AS x FROM plain JOIN shares USING (block)),
+answers AS (SELECT profile, kind, feature, x / sqrt(sum(x * x) OVER (PARTITION BY profile)) AS x FROM weighed)"""
+
+
+@C.query("virtual_items", "J3 J2", f"""
+WITH {_VECTORS}, {_ANSWERS},
+dots AS (SELECT profile, item, sum(a.x * v.x) AS dot FROM answers a JOIN vectors v USING (feature) GROUP BY 1, 2),
+lens AS (SELECT item, kind, sum(x * x) AS q FROM vectors GROUP BY 1, 2),
+kinds AS (SELECT DISTINCT profile, kind FROM answers),
+subs AS (SELECT d.profile, d.item, d.dot, sqrt(sum(q)) AS len FROM dots d JOIN kinds k ON k.profile = d.profile JOIN lens l ON l.item = d.item AND l.kind = k.kind GROUP BY 1, 2, 3),
+s AS (SELECT profile, item, round(round(0.6 * dot / len, 9), 6) AS score FROM subs)
+SELECT profile, item, score FROM s QUALIFY row_number() OVER (PARTITION BY profile ORDER BY score DESC, item) <= 10""")
+def virtual_items(spark, sf_dir):
+    """Items nearest to what onboarding answers describe, compared only on the kinds of features that the answers have."""
+    items, _ = _packed_items(spark, sf_dir)
+    answers = answers_of(table(spark, sf_dir, "customer"))
+    seeds = taste.packed_vectors(taste.answer_vectors(answers), ["profile", "label"]).withColumns({"item": F.lit(None).cast("long"), "w": F.lit(ANSWER_WEIGHT)})
+    profiles = answers.select("profile", F.lit(1.0).alias("confidence"), F.lit(False).alias("guard"), F.array().cast("array<string>").alias("levels"), F.array().cast("array<long>").alias("seen"))
+    return taste.ranked_items(profiles, seeds, items, k=10).where("score > 0").select("profile", "item", "score")
+
+
+@C.query("partial_similarity", "J2 C14", f"""
+WITH {_VECTORS}, part_of AS (SELECT item, feature, x / sqrt(sum(x * x) OVER (PARTITION BY item)) AS x FROM vectors WHERE block IN ('style', 'grape', 'taste')),
+s AS (SELECT a.item AS q, b.item, round(round(sum(a.x * b.x), 9), 6) AS sim FROM part_of a JOIN part_of b USING (feature) WHERE a.item % 50 = 0 AND a.item <> b.item GROUP BY 1, 2)
+SELECT q, item, sim FROM s QUALIFY row_number() OVER (PARTITION BY q ORDER BY sim DESC, item) <= 10""")
+def partial_similarity(spark, sf_dir):
+    """The 10 items nearest to each one whose id divides by 50, on style, grape and taste alone."""
+    vectors = taste.item_vectors(cards(table(spark, sf_dir, "part"))).where(F.col("block").isin("style", "grape", "taste"))
+    packed = materialize(taste.packed_vectors(vectors, ["item"]), "partial")
+    unit = lambda fs: F.transform(fs, lambda f: F.struct(f["f"].alias("f"), f["k"].alias("k"), (f["x"] / F.sqrt(F.aggregate(fs, F.lit(0.0), lambda s, g: s + g["x"] * g["x"]))).alias("x")))
+    packed = materialize(packed.select("item", unit(F.col("features")).alias("features")), "partial")
+    asked = packed.where("item % 50 = 0")
+    profiles = asked.select(F.col("item").alias("profile"), F.lit(1.0).alias("confidence"), F.lit(False).alias("guard"), F.array().cast("array<string>").alias("levels"), F.array("item").alias("seen"))
+    seeds = asked.select(F.col("item").alias("profile"), "item", F.lit(None).cast("string").alias("label"), F.lit(1.0).alias("w"), "features")
+    items = packed.select("item", F.lit("").alias("level"), F.lit(0.0).alias("prior"), "features")
+    found = taste.ranked_items(profiles, seeds, items, k=10).where("score > 0")
+    return found.select(F.col("profile").alias("q"), "item", F.col("score").alias("sim"))
+
+
+@C.query("diversified_feed", "J8 E6 E4 J22")
 def diversified_feed(spark, sf_dir):
-    """Personal scores through greedy diversification: 12 items a profile."""
-    scores = QUERIES["personal_scores"](spark, sf_dir)
-    return recommend.diversified(scores, table(spark, sf_dir, "part"), n=12)
+    """A feed of 8 a profile: slots dealt to its tastes by evidence, near copies and repeated grapes thinned out."""
+    n = 8
+    part = cards(table(spark, sf_dir, "part"))
+    pool, weights, vectors = _feed_pool(spark, sf_dir, recommend.pool_for(n), answers_of(table(spark, sf_dir, "customer")))
+    return recommend.feed(pool, weights, part, vectors, n=n, answer_weight=ANSWER_WEIGHT)
+
+
+@C.query("cold_start_feed", "J22 E6 E4")
+def cold_start_feed(spark, sf_dir):
+    """What a newcomer sees: 24 items, slots dealt to the catalogue's interests by the root of their numbers."""
+    part = cards(table(spark, sf_dir, "part"))
+    vectors = materialize(taste.packed_vectors(taste.item_vectors(part), ["item"]), "vectors")
+    return recommend.cold_start(_prior(spark, sf_dir), part, vectors, n=24)
+
+
+_STYLES = "styles AS (SELECT p_partkey AS item, p_brand || ' ' || p_name AS dup, string_split(p_name, ' ')[2] AS grape, CASE WHEN string_split(p_name, ' ')[1] IN ('red', 'blue', 'green', 'hot') THEN string_split(p_name, ' ')[1] ELSE '' END || '/' || CASE WHEN p_size < 10 THEN 'dry' WHEN p_size < 20 THEN 'medium' WHEN p_size < 40 THEN 'sweet' ELSE '' END || '/' || (p_type = 'PROMO') AS style, p_size AS z FROM part)"
+
+
+@C.query("taste_neighbours", "J10", f"""
+WITH {_STYLES}, t AS (SELECT *, [1.0 + z % 5, 1.0 + z % 4, 1 + (z % 9) / 2.0] AS axes, list_distinct(['a' || z % 7, 'a' || z % 5 + 7]) AS aromas FROM styles),
+s AS (SELECT a.item AS q, b.item, (abs(a.axes[1] - b.axes[1]) + abs(a.axes[2] - b.axes[2]) + abs(a.axes[3] - b.axes[3])) / 3 AS d, least(len(list_intersect(a.aromas, b.aromas)), 3) AS shared, a.grape = b.grape AS same
+  FROM t a JOIN t b ON a.style = b.style AND a.item <> b.item AND a.dup <> b.dup WHERE a.item % 50 = 0),
+r AS (SELECT q, item, round(1 - d / 4 + 0.1 * shared + CASE WHEN same THEN 0.15 ELSE 0 END, 6) AS score FROM s WHERE d <= 1)
+SELECT q, item, score FROM r QUALIFY row_number() OVER (PARTITION BY q ORDER BY score DESC, item) <= 3""")
+def taste_neighbours(spark, sf_dir):
+    """Items of one style at a mean distance of at most 1 over shared axes, with bonuses for aromas and grape: 3 for each query."""
+    return recommend.neighbours(cards(table(spark, sf_dir, "part")), asked="item % 50 = 0", k=3)
+
+
+@C.query("explore_new", "J11", f"""
+WITH {_WEIGHTS}, {_STYLES}, known AS (SELECT DISTINCT profile, grape FROM weights JOIN styles USING (item) WHERE w > 0),
+{_PRIOR}, best AS (SELECT grape, item, round(prior, 6) AS prior FROM prior JOIN styles USING (item) QUALIFY row_number() OVER (PARTITION BY grape ORDER BY round(prior, 6) DESC, item) <= 3),
+who AS (SELECT DISTINCT profile FROM weights)
+SELECT profile, best.grape, item, prior FROM who CROSS JOIN best ANTI JOIN known ON known.profile = who.profile AND known.grape = best.grape""")
+def explore_new(spark, sf_dir):
+    """For each profile the three most popular items of every grape that it has not liked yet."""
+    part = cards(table(spark, sf_dir, "part"))
+    return recommend.unexplored(_weights(spark, sf_dir), _prior(spark, sf_dir).withColumn("prior", F.round("prior", 6)), part.select("item", F.element_at("grapes", 1).alias("grape")), k=3)
+
+
+@C.query("unusual_items", "J12", """
+WITH g AS (SELECT p_partkey AS item, p_brand AS grape, p_type || (p_size % 10)::VARCHAR AS style, p_retailprice AS price FROM part), n AS (SELECT grape, count(*) AS n FROM g GROUP BY grape), s AS (SELECT style, count(*) AS n FROM g GROUP BY style),
+m AS (SELECT (SELECT quantile_disc(n, 0.25) FROM s) AS rare_style, (SELECT quantile_disc(n, 0.25) FROM n) AS rare_grape)
+SELECT item, g.style, g.grape FROM g JOIN n USING (grape) JOIN s USING (style) CROSS JOIN m WHERE n.n <= rare_grape OR s.n <= rare_style""")
+def unusual_items(spark, sf_dir):
+    """Items of a rare style or grape: in the lowest quarter by number of items."""
+    part = table(spark, sf_dir, "part").select(F.col("p_partkey").alias("item"), F.col("p_brand").alias("grape"), F.concat("p_type", (F.col("p_size") % 10).cast("string")).alias("style"))
+    return recommend.unusual(part)
+
+
+DISHES = (("fish", "d1"), ("fish", "d4"), ("meat", "d2"), ("meat", "d5"), ("cheese", "d3"), ("dessert", "d0"))  # dish and the pairings that serve it
+
+
+@C.query("dish_pairing", "J23", """
+WITH rules(dish, pairing, pos) AS (VALUES ('fish', 'd1', 1), ('fish', 'd4', 2), ('meat', 'd2', 3), ('meat', 'd5', 4), ('cheese', 'd3', 5), ('dessert', 'd0', 6)),
+p AS (SELECT p_partkey AS item, unnest(list_distinct(['d' || p_size % 6, 'd' || p_size % 4 + 4])) AS pairing FROM part)
+SELECT item, dish, arg_min(pairing, pos) AS pairing FROM p JOIN rules USING (pairing) GROUP BY item, dish""")
+def dish_pairing(spark, sf_dir):
+    """Dishes that an item serves, by the first pairing of the dictionary that it has."""
+    rules = spark.createDataFrame([(d, p, k) for k, (d, p) in enumerate(DISHES)], "dish string, pairing string, pos int")
+    return recommend.pairings(cards(table(spark, sf_dir, "part")), rules)
+
+
+@C.query("cellar_for_dish", "J13", f"""
+WITH {_SIGNALS}, rules(dish, pairing, pos) AS (VALUES ('fish', 'd1', 1), ('fish', 'd4', 2), ('meat', 'd2', 3), ('meat', 'd5', 4), ('cheese', 'd3', 5), ('dessert', 'd0', 6)),
+p AS (SELECT p_partkey AS item, p_size AS z, unnest(list_distinct(['d' || p_size % 6, 'd' || p_size % 4 + 4])) AS pairing FROM part),
+f AS (SELECT item, dish, count(*) AS hits, max(z) AS z FROM p JOIN rules USING (pairing) GROUP BY item, dish)
+SELECT profile, dish, item, round(15.0 * hits + 2 * least(quantity, 3) - CASE WHEN z >= 20 AND z < 40 AND dish <> 'dessert' THEN 6 ELSE 0 END, 6) AS score FROM signals JOIN f USING (item) WHERE quantity > 0""")
+def cellar_for_dish(spark, sf_dir):
+    """Bottles that a profile keeps, for each dish that they serve; sweet ones only suit a dessert."""
+    rules = spark.createDataFrame([(d, p, k) for k, (d, p) in enumerate(DISHES)], "dish string, pairing string, pos int")
+    return recommend.cellar(_signals(spark, sf_dir), cards(table(spark, sf_dir, "part")), rules)
+
+
+@C.query("refill", "J14 D5", f"""
+WITH {_VECTORS}, {_SIMS}, f AS (SELECT o_custkey AS profile, l_partkey AS item, max(o_orderdate) AS latest FROM lineitem JOIN orders ON o_orderkey = l_orderkey WHERE l_returnflag = 'A' AND l_linestatus = 'F' GROUP BY 1, 2),
+kept AS (SELECT DISTINCT o_custkey AS profile, l_partkey AS item FROM lineitem JOIN orders ON o_orderkey = l_orderkey WHERE l_returnflag = 'N' AND l_linestatus = 'O'),
+l AS (SELECT profile, item FROM f ANTI JOIN kept USING (profile, item) QUALIFY row_number() OVER (PARTITION BY profile ORDER BY latest DESC, item) <= 3),
+n AS (SELECT u, v FROM sims WHERE u <> v QUALIFY row_number() OVER (PARTITION BY u ORDER BY round(round(sim, 9), 6) DESC, v) <= 2)
+SELECT l.profile, l.item AS finished, n.v AS item FROM l JOIN n ON n.u = l.item""")
+def refill(spark, sf_dir):
+    """The three items last finished and not kept, each with its two nearest."""
+    lines = table(spark, sf_dir, "lineitem").join(table(spark, sf_dir, "orders"), F.col("l_orderkey") == F.col("o_orderkey"))
+    part = cards(table(spark, sf_dir, "part"))
+    return recommend.refill(lines, taste.packed_vectors(taste.item_vectors(part), ["item"]), last=3, near=2)
+
+
+@C.query("match_percent", "J18", f"""
+WITH {_WEIGHTS}, {_CARDS}, t AS (SELECT item, [1.0 + z % 5, 1.0 + z % 4, 1 + (z % 9) / 2.0] AS axes, list_distinct(['a' || z % 7, 'a' || z % 5 + 7]) AS aromas, CASE WHEN adjective IN ('red', 'blue', 'green', 'hot') THEN adjective ELSE '' END AS color FROM cards),
+p AS (SELECT profile, sum(w * axes[1]) / sum(w) AS b, sum(w * axes[2]) / sum(w) AS t, sum(w * axes[3]) / sum(w) AS a, list(DISTINCT color) AS colors FROM weights JOIN t USING (item) WHERE w > 0 GROUP BY profile),
+ar AS (SELECT profile, aroma FROM (SELECT profile, unnest(aromas) AS aroma, w FROM weights JOIN t USING (item) WHERE w > 0) GROUP BY profile, aroma QUALIFY row_number() OVER (PARTITION BY profile ORDER BY round(sum(w), 6) DESC, aroma) <= 5),
+al AS (SELECT profile, list(aroma) AS aromas FROM ar GROUP BY profile),
+x AS (SELECT s.profile, t.item, 1 - (abs(b - axes[1]) + abs(p.t - axes[2]) + abs(a - axes[3])) / 3 / 4 AS axis, len(list_intersect(al.aromas, t.aromas)) * 1.0 / len(t.aromas) AS aroma, CASE WHEN list_contains(colors, color) THEN 1 ELSE 0 END AS colour
+  FROM signals s JOIN t USING (item) JOIN p USING (profile) JOIN al USING (profile) WHERE s.swipe IS NOT NULL OR s.quantity > 0)
+SELECT profile, item, least(99, greatest(10, floor(round(100 * least(1, greatest(0, (0.6 * axis + 0.25 * aroma + 0.15 * colour - 0.2) / 0.7)), 6))))::BIGINT AS percent FROM x""")
+def match_percent(spark, sf_dir):
+    """How well the items that a profile keeps or swiped match its taste: axes, aromas and colour, stretched to 10 to 99."""
+    found = _signals(spark, sf_dir)
+    weights = found.select("profile", "item", taste.evidence().alias("w"))
+    pairs = found.where("swipe is not null or quantity > 0").select("profile", "item")
+    return recommend.match_percent(pairs, weights, cards(table(spark, sf_dir, "part")))
+
+
+@C.query("swipe_deck", "J19 K7", f"""
+WITH {_SIGNALS}, {_PRIOR}, who AS (SELECT DISTINCT profile FROM signals WHERE swipe IS NOT NULL),
+pool AS (SELECT item, round(prior, 6) AS prior FROM prior QUALIFY row_number() OVER (ORDER BY round(prior, 6) DESC, item) <= 200)
+SELECT who.profile, pool.item, prior, row_number() OVER (PARTITION BY who.profile ORDER BY prior DESC, pool.item) AS pos FROM who CROSS JOIN pool ANTI JOIN (SELECT profile, item FROM signals WHERE swipe IS NOT NULL) s ON s.profile = who.profile AND s.item = pool.item QUALIFY pos <= 12""")
+def swipe_deck(spark, sf_dir):
+    """The next 12 cards of every profile that swipes: the 200 most popular less those already swiped."""
+    swiped = _signals(spark, sf_dir).where("swipe is not null").select("profile", "item")
+    return recommend.deck(swiped, _prior(spark, sf_dir).withColumn("prior", F.round("prior", 6)), pool=200, n=12)
+
+
+@C.query("list_fit", "J15 J16 D11", f"""
+WITH {_VECTORS}, {_SIMS}, lists AS (SELECT DISTINCT s_suppkey AS list, l_partkey AS item FROM supplier JOIN lineitem ON l_suppkey = s_suppkey WHERE l_quantity >= 49),
+occasion AS (SELECT p_partkey AS item, CASE WHEN p_type = 'PROMO' THEN 1 ELSE 0 END AS o FROM part),
+c AS (SELECT list, v AS item, max(round(sim, 9)) AS cohesion FROM lists JOIN sims ON u = lists.item GROUP BY 1, 2),
+r AS (SELECT c.list, c.item, round(6 * cohesion + 4 * o.o, 6) AS fit FROM c JOIN occasion o ON o.item = c.item ANTI JOIN lists m ON m.list = c.list AND m.item = c.item)
+SELECT list, item, fit FROM r QUALIFY row_number() OVER (PARTITION BY list ORDER BY fit DESC, item) <= 10""")
+def list_fit(spark, sf_dir):
+    """The 10 items that suit each list best: likeness to its nearest member, and the occasion's rule."""
+    part = table(spark, sf_dir, "part")
+    members = table(spark, sf_dir, "lineitem").where("l_quantity >= 49").select(F.col("l_suppkey").alias("list"), F.col("l_partkey").alias("item")).distinct()
+    vectors = materialize(taste.packed_vectors(taste.item_vectors(cards(part)), ["item"]), "vectors")
+    occasion = part.select(F.col("p_partkey").alias("item"), F.when(F.col("p_type") == "PROMO", 1.0).otherwise(0.0).alias("occasion"))
+    return recommend.list_fit(members, occasion, vectors, k=10)
+
+
+@C.query("shelf_ranking", "J20 F5", f"""
+WITH {_SIGNALS}, {_PRIOR}, members AS (SELECT DISTINCT l_suppkey AS list, l_partkey AS item FROM lineitem WHERE l_quantity >= 45),
+s AS (SELECT list, avg(prior) AS mean, count(*) AS n, count(*) FILTER (WHERE prior > 0.3) AS liked, string_agg(item::VARCHAR, ',' ORDER BY item) AS print FROM members JOIN prior USING (item) GROUP BY list),
+r AS (SELECT list, n, round(mean + 5.0 * liked / n + CASE WHEN s_name LIKE '%7%' THEN 8 ELSE 0 END, 6) AS score, print, s_name FROM s JOIN supplier ON s_suppkey = list),
+u AS (SELECT * FROM r QUALIFY row_number() OVER (PARTITION BY print ORDER BY score DESC, s_name, list) = 1)
+SELECT list, n, score FROM u""")
+def shelf_ranking(spark, sf_dir):
+    """Lists by mean score of their members, the share of them that suits, and a name bonus; equal contents once."""
+    members = table(spark, sf_dir, "lineitem").where("l_quantity >= 45").select(F.col("l_suppkey").alias("list"), F.col("l_partkey").alias("item")).distinct()
+    names = table(spark, sf_dir, "supplier").select(F.col("s_suppkey").alias("list"), F.col("s_name").alias("name"))
+    return recommend.shelves(members, _prior(spark, sf_dir).withColumnRenamed("prior", "score"), names, good=0.3, wanted="7")
+
+
+@C.query("why_explained", "J21", f"""
+WITH {_VECTORS}, {_SIMS}, n AS (SELECT u AS q, v AS item FROM sims WHERE u <> v AND u % 50 = 0 QUALIFY row_number() OVER (PARTITION BY u ORDER BY round(round(sim, 9), 6) DESC, v) <= 5),
+p AS (SELECT n.q, n.item, a.feature, round(a.x * b.x, 6) AS product FROM n JOIN vectors a ON a.item = n.q JOIN vectors b ON b.item = n.item AND b.feature = a.feature WHERE a.kind IN ('grape', 'text', 'region'))
+SELECT q, item, feature, product FROM p QUALIFY row_number() OVER (PARTITION BY q, item ORDER BY product DESC, feature) <= 3""")
+def why_explained(spark, sf_dir):
+    """The three strongest features that an item shares with each of its five nearest."""
+    vectors = materialize(taste.item_vectors(cards(table(spark, sf_dir, "part"))), "long")
+    return recommend.why(vectors, asked="item % 50 = 0", k=5, kinds=("grape", "text", "region"), n=3)
+
+
+@C.query("challenge_progress", "J27", """
+WITH goals AS (SELECT s_suppkey AS challenge, l_partkey AS item FROM supplier JOIN lineitem ON l_suppkey = s_suppkey WHERE l_quantity >= 49 GROUP BY 1, 2),
+tried AS (SELECT DISTINCT o_custkey AS profile, l_partkey AS item FROM lineitem JOIN orders ON o_orderkey = l_orderkey WHERE l_returnflag = 'A'),
+n AS (SELECT challenge, count(*) AS total FROM goals GROUP BY challenge)
+SELECT profile, challenge, count(*) AS done, max(total) AS total, count(*) = max(total) AS complete FROM tried JOIN goals USING (item) JOIN n USING (challenge) GROUP BY profile, challenge""")
+def challenge_progress(spark, sf_dir):
+    """How many items of a list each profile has tried."""
+    lines = table(spark, sf_dir, "lineitem")
+    goals = lines.where("l_quantity >= 49").select(F.col("l_suppkey").alias("challenge"), F.col("l_partkey").alias("item")).distinct()
+    tried = lines.where("l_returnflag = 'A'").join(table(spark, sf_dir, "orders"), F.col("l_orderkey") == F.col("o_orderkey")).select(F.col("o_custkey").alias("profile"), F.col("l_partkey").alias("item")).distinct()
+    return recommend.progress(goals, tried)
+
+
+@C.query("loo_pairing", "J25 D20", f"""
+WITH {_VECTORS}, t AS (SELECT p_partkey AS item, p_brand AS producer, p_size % 6 = 1 AS yes FROM part),
+v AS (SELECT item, feature, x FROM vectors WHERE block <> 'dish'), s AS (SELECT a.item AS u, b.item AS v, round(round(sum(a.x * b.x), 9), 6) AS sim FROM v a JOIN v b USING (feature) WHERE a.item % 50 = 0 GROUP BY 1, 2),
+n AS (SELECT u, v, sim::DECIMAL(18,6) AS sim FROM s JOIN t a ON a.item = u JOIN t b ON b.item = v AND b.producer <> a.producer QUALIFY row_number() OVER (PARTITION BY u ORDER BY sim DESC, v) <= 40),
+p AS (SELECT u, round(sum(CASE WHEN yes THEN sim ELSE 0 END)::DOUBLE / sum(sim)::DOUBLE, 4) AS predicted FROM n JOIN t ON item = v GROUP BY u)
+SELECT item, predicted, yes AS truth FROM p JOIN t ON item = u""")
+def loo_pairing(spark, sf_dir):
+    """Does an item serve dish d1? The weighted vote of its 40 nearest of other producers, dishes left out of the vectors."""
+    part = table(spark, sf_dir, "part")
+    labels = part.select(F.col("p_partkey").alias("item"), F.col("p_brand").alias("producer"), (F.col("p_size") % 6 == 1).alias("yes"))
+    vectors = taste.item_vectors(cards(part)).where("block <> 'dish'")
+    return recommend.leave_one_out(vectors, labels, asked="item % 50 = 0", k=40)
