@@ -4,20 +4,61 @@ from __future__ import annotations
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from larkspur.functions import vectors as V
 
 
-def owner_scores(queries: DataFrame, refs: DataFrame) -> DataFrame:
-    """(qid, owner, score): highest similarity over an owner's references, from (qid, q) and (owner, v).
+def _blocks(rows: DataFrame, block: int, name: str) -> tuple[int, DataFrame]:
+    """Rows (id, owner, v) dealt into blocks by hash of id: how many, and (b, array of rows)."""
+    n = max(1, -(-rows.count() // block))
+    return n, rows.groupBy(F.pmod(F.xxhash64("id"), F.lit(n)).alias("b")).agg(F.sort_array(F.collect_list(F.struct("id", "owner", "v"))).alias(name))
 
-    Queries are the stated, small side; Spark broadcasts them if their measured size allows. Scores are
-    maxima per task before they are shuffled.
+
+def _blocked(queries: DataFrame, refs: DataFrame, step, schema: str, block: int) -> DataFrame:
+    """step(query ids, query owners, ref ids, ref owners, similarities) for each pair of blocks, one matrix product each.
+
+    Similarities are rounded to six digits; a row is never its own neighbour.
     """
-    scored = refs.join(queries).select("qid", "owner", V.dot("q", "v").alias("sim"))
-    return scored.groupBy("qid", "owner").agg(F.round(F.max("sim"), 6).alias("score"))
+    n, held = _blocks(refs, block, "held")
+    _, asked = _blocks(queries, block, "asked")
+    pairs = asked.select("asked", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(n - 1).cast("long"))).alias("b")).join(held, "b").select("asked", "held")
+
+    def parts(column):
+        rows = column.flatten()
+        vectors = rows.field(2)
+        flat = vectors.flatten().to_numpy(zero_copy_only=False).astype(float)
+        return rows.field(0).to_numpy(zero_copy_only=False), rows.field(1).to_numpy(zero_copy_only=False), flat.reshape(len(rows), -1)
+
+    def run(batches):
+        for batch in batches:
+            for k in range(batch.num_rows):
+                one = batch.slice(k, 1)
+                (qi, qo, q), (ri, ro, r) = parts(one.column(0)), parts(one.column(1))
+                sims = np.round(q @ r.T, 6)
+                sims[qi[:, None] == ri[None, :]] = -np.inf
+                yield from step(qi, qo, ri, ro, sims)
+
+    return pairs.mapInArrow(run, schema)
+
+
+def owner_scores(queries: DataFrame, refs: DataFrame, *, block: int = 4096) -> DataFrame:
+    """(q, owner, score): highest similarity over an owner's references, from (id, owner, v) on both sides.
+
+    An owner's maximum is taken in each block before it is shuffled.
+    """
+
+    def step(qi, qo, ri, ro, sims):
+        order = np.argsort(ro, kind="stable")
+        owners, first = np.unique(ro[order], return_index=True)
+        best = np.maximum.reduceat(sims[:, order], first, axis=1)
+        yield pa.RecordBatch.from_arrays([pa.array(np.repeat(qi, len(owners))), pa.array(np.tile(owners, len(qi))), pa.array(best.ravel())], ["q", "owner", "score"])
+
+    kinds = [refs.schema[c].dataType.simpleString() for c in ("id", "owner")]
+    local = _blocked(queries, refs, step, f"q {kinds[0]}, owner {kinds[1]}, score double", block).where("score > double('-Infinity')")
+    return local.groupBy("q", "owner").agg(F.max("score").alias("score"))
 
 
 def centroids(refs: DataFrame) -> DataFrame:
@@ -28,11 +69,9 @@ def centroids(refs: DataFrame) -> DataFrame:
 
 
 def expand_queries(queries: DataFrame, refs: DataFrame, *, k: int, power: int) -> DataFrame:
-    """(q, v): unit sum of each query and its k nearest others weighted by similarity ** power."""
-    scored = queries.join(refs, F.col("q") != F.col("r")).select("q", "r", "v", F.greatest(V.dot("qv", "v"), F.lit(0.0)).alias("sim"))
-    rank = F.row_number().over(Window.partitionBy("q").orderBy(F.desc(F.round("sim", 9)), "r"))
-    near = scored.withColumn("rk", rank).where(F.col("rk") <= k).select("q", "v", F.pow("sim", F.lit(power)).alias("w"))
-    parts = near.unionByName(queries.select("q", F.col("qv").alias("v"), F.lit(1.0).alias("w")))
+    """(q, v): unit sum of each query and its k nearest others weighted by similarity ** power, from (id, owner, v)."""
+    near = blocked_topk(queries, refs, k=k).select("q", "id", F.pow(F.greatest("sim", F.lit(0.0)), F.lit(power)).alias("w")).join(refs.select("id", "v"), "id")
+    parts = near.select("q", "v", "w").unionByName(queries.select(F.col("id").alias("q"), "v", F.lit(1.0).alias("w")))
     summed = parts.select("q", "w", F.posexplode("v").alias("i", "x")).groupBy("q", "i").agg(F.sum(F.col("w") * F.col("x").cast("double")).alias("x"))
     ordered = summed.groupBy("q").agg(F.transform(F.array_sort(F.collect_list(F.struct("i", "x"))), lambda p: p["x"]).alias("v"))
     return ordered.select("q", V.unit("v").alias("v"))
@@ -73,33 +112,57 @@ def whitened(rows: DataFrame, *, k: int, id_col: str = "vec_id") -> DataFrame:
     return rows.mapInPandas(apply, f"{id_col} long, v array<double>")
 
 
-def blocked_topk(queries: DataFrame, refs: DataFrame, *, k: int, block: int = 4096) -> DataFrame:
-    """(q, rank, id, sim): exact k most similar others, one matrix product for each pair of blocks."""
-    n = max(1, -(-refs.count() // block))
-    held = refs.groupBy(F.pmod(F.xxhash64("id"), F.lit(n)).alias("b")).agg(F.collect_list(F.struct("id", "v")).alias("refs"))
-    m = max(1, -(-queries.count() // block))
-    asked = queries.groupBy(F.pmod(F.xxhash64("id"), F.lit(m)).alias("a")).agg(F.collect_list(F.struct("id", "v")).alias("asked"))
-    pairs = asked.select("asked", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(n - 1).cast("long"))).alias("b")).join(held, "b")
-
-    def products(batches):
-        for pdf in batches:
-            for asked, held in zip(pdf.asked, pdf.refs, strict=True):
-                qi, ri = np.array([x["id"] for x in asked]), np.array([x["id"] for x in held])
-                sims = np.round(np.stack([x["v"] for x in asked]).astype(float) @ np.stack([x["v"] for x in held]).astype(float).T, 6)
-                sims[qi[:, None] == ri[None, :]] = -np.inf
-                for q, row in zip(qi.tolist(), sims, strict=True):
-                    best = np.lexsort((ri, -row))[:k]
-                    yield pd.DataFrame({"q": q, "id": ri[best], "sim": row[best]})
-
-    local = pairs.select("asked", "refs").mapInPandas(products, "q long, id long, sim double").where("sim > double('-Infinity')")
+def blocked_topk(queries: DataFrame, refs: DataFrame, *, k: int, foreign: bool = False, block: int = 4096) -> DataFrame:
+    """(q, rank, id, sim): exact k most similar others, with `foreign` of other owners only, from (id, owner, v)."""
+
+    def step(qi, qo, ri, ro, sims):
+        if foreign:
+            sims[qo[:, None] == ro[None, :]] = -np.inf
+        at = np.arange(len(ri))[None, :].repeat(len(qi), axis=0)
+        if len(ri) > k:  # ties with the k-th stay until ids decide
+            floor = np.partition(sims, -k, axis=1)[:, -k]
+            rows, cols = np.nonzero(sims >= floor[:, None])
+        else:
+            rows, cols = np.repeat(np.arange(len(qi)), len(ri)), at.ravel()
+        order = np.lexsort((ri[cols], -sims[rows, cols], rows))
+        rows, cols = rows[order], cols[order]
+        begin = np.concatenate([[0], np.cumsum(np.bincount(rows, minlength=len(qi)))])[rows]
+        keep = np.arange(len(rows)) - begin < k
+        rows, cols = rows[keep], cols[keep]
+        yield pa.RecordBatch.from_arrays([pa.array(qi[rows]), pa.array(ri[cols]), pa.array(sims[rows, cols])], ["q", "id", "sim"])
+
+    kind = refs.schema["id"].dataType.simpleString()
+    local = _blocked(queries, refs, step, f"q {kind}, id {kind}, sim double", block).where("sim > double('-Infinity')")
     rank = F.row_number().over(Window.partitionBy("q").orderBy(F.desc("sim"), "id"))
     return local.withColumn("rank", rank).where(F.col("rank") <= k).select("q", "rank", "id", "sim")
 
 
+def voted(queries: DataFrame, refs: DataFrame, *, parts: int, k: int, best: int, least: float) -> DataFrame:
+    """(q, id, votes, sim): candidates by votes of descriptors, joined by those of the same owner, then verified.
+
+    A vector's equal parts are its descriptors; each votes for its k nearest. The `best` candidates by
+    votes and the first `best` rows of the query's owner are compared in full and stay from `least` on.
+    """
+    width = F.size("v") / parts
+    cut = lambda df, i: df.select("id", "owner", V.unit(F.slice("v", (width * i).cast("int") + 1, width.cast("int"))).alias("v"))
+    ballots = None
+    for i in range(parts):
+        near = blocked_topk(cut(queries, i), cut(refs, i), k=k).select("q", "id")
+        ballots = near if ballots is None else ballots.unionByName(near)
+    votes = ballots.groupBy("q", "id").agg(F.count("*").alias("votes"))
+    ranked = votes.withColumn("rn", F.row_number().over(Window.partitionBy("q").orderBy(F.desc("votes"), "id"))).where(F.col("rn") <= best).select("q", "id")
+    known = refs.withColumn("rn", F.row_number().over(Window.partitionBy("owner").orderBy("id"))).where(F.col("rn") <= best).select("id", "owner")
+    same = queries.select(F.col("id").alias("q"), "owner").join(known, "owner").where("q <> id").select("q", "id")
+    pairs = ranked.union(same).distinct().join(votes, ["q", "id"], "left").fillna({"votes": 0})
+    full = pairs.join(queries.select(F.col("id").alias("q"), F.col("v").alias("qv")), "q").join(refs.select("id", "v"), "id")
+    return full.select("q", "id", "votes", F.round(V.dot("qv", "v"), 6).alias("sim")).where(F.col("sim") >= least)
+
+
 def bootstrap_mean(rows: DataFrame, *, rounds: int) -> DataFrame:
-    """(mean, low, high) of x over Poisson resamples of rows (h, x) drawn from the hash h: one pass, no sample is built."""
+    """(mean, low, high) of x over Poisson resamples of rows (h, x), drawn from an md5 of name h and round: one pass, no sample is built."""
     draws = rows.select("h", "x", F.explode(F.sequence(F.lit(1), F.lit(rounds))).alias("round"))
-    u = (F.pmod(F.xxhash64("h", "round"), F.lit(1 << 30)) + 0.5) / float(1 << 30)
+    digest = F.md5(F.concat_ws(":", F.col("h").cast("string"), F.col("round").cast("string")))
+    u = (F.conv(F.substring(digest, 1, 8), 16, 10).cast("double") + 0.5) / 4294967296.0
     limits, times = (0.36787944, 0.73575888, 0.91969860, 0.98101184, 0.99634015), F.lit(0)
     for limit in limits:
         times = times + (u > limit).cast("int")

@@ -36,11 +36,6 @@ SELECT count(*) AS total, count(quality) AS annotated, count(*) - count(quality)
 FROM {documents} d LEFT JOIN {labels} l ON d.doc_id = l.doc_id""")
 C.sql("ttl_filter", "B10 B11 D5", """
 SELECT user_id, max(ts) AS latest, count(*) AS n FROM {events} WHERE ts >= TIMESTAMP '2024-01-10 00:00:00' AND ts < TIMESTAMP '2024-02-09 00:00:00' GROUP BY user_id""")
-C.sql("open_set_rejection", "B12", """
-SELECT q, CASE WHEN top_score >= 0.60 THEN owner END AS answer, round(top_score, 6) AS score FROM (
-  SELECT a.vec_id AS q, b.label AS owner, max(DOT(a.embedding, b.embedding)) AS top_score,
-         row_number() OVER (PARTITION BY a.vec_id ORDER BY max(DOT(a.embedding, b.embedding)) DESC, b.label) AS rn
-  FROM {embeddings} a JOIN {embeddings} b ON a.vec_id <> b.vec_id WHERE a.vec_id % 50 = 0 GROUP BY a.vec_id, b.label) x WHERE rn = 1""")
 C.sql("role_by_rules", "B13 B16", """
 SELECT p.p_partkey, coalesce(CASE WHEN s.s_suppkey IS NOT NULL THEN 'decided' END, CASE WHEN MATCHES(p_name, '(ring|widget)$') THEN 'front' WHEN MATCHES(p_name, '^(red|blue)') THEN 'colour' ELSE 'other' END) AS role
 FROM {part} p LEFT JOIN {supplier} s ON p.p_partkey = s.s_suppkey""")
