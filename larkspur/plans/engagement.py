@@ -23,12 +23,6 @@ C.sql("card_projection", "B4", """
 SELECT page_id, coalesce(nullif(EXTRACT(url, '//([^/]*)/', 1), ''), 'none') AS site, REPLACE_ALL(EXTRACT(html, '<title>([^<]*)</title>', 1), '<[^>]*>', '') AS title FROM {pages}""")
 C.sql("effective_label", "B5 D2 H28", """
 SELECT coalesce(nullif(CASE WHEN value > 50 THEN event_type ELSE '' END, ''), JSON_K(props)) AS label, count(*) AS n FROM {events} GROUP BY 1""")
-C.sql("token_search", "B6", """
-SELECT p_partkey, p_name, CAST((CASE WHEN p_name LIKE '%red%' THEN 1 ELSE 0 END) + (CASE WHEN p_name LIKE '%ring%' THEN 1 ELSE 0 END) AS BIGINT) AS title_hits
-FROM {part} WHERE lower(concat_ws(' ', p_name, p_brand, p_type)) LIKE '%red%' AND lower(concat_ws(' ', p_name, p_brand, p_type)) LIKE '%ring%'""")
-C.sql("constraint_filter", "B7 B14 B19", """
-SELECT p_partkey, CASE WHEN p_size <= 10 THEN 'small' WHEN p_size <= 30 THEN 'medium' ELSE 'large' END AS kind FROM {part}
-WHERE p_type IN ('ECONOMY', 'STANDARD') AND (p_size BETWEEN 5 AND 30) AND NOT (p_brand = 'Brand#1' AND p_size > 20)""")
 C.sql("feed_page", "B8 F9", """
 SELECT c_custkey, lower(c_name) AS name, c_mktsegment FROM {customer} WHERE lower(c_name) LIKE '%00%' AND c_mktsegment = 'MACHINERY' ORDER BY lower(c_name), c_custkey LIMIT 24 OFFSET 24""")
 C.sql("tri_state_counts", "B9 C2", """
@@ -39,9 +33,6 @@ SELECT user_id, max(ts) AS latest, count(*) AS n FROM {events} WHERE ts >= TIMES
 C.sql("role_by_rules", "B13 B16", """
 SELECT p.p_partkey, coalesce(CASE WHEN s.s_suppkey IS NOT NULL THEN 'decided' END, CASE WHEN MATCHES(p_name, '(ring|widget)$') THEN 'front' WHEN MATCHES(p_name, '^(red|blue)') THEN 'colour' ELSE 'other' END) AS role
 FROM {part} p LEFT JOIN {supplier} s ON p.p_partkey = s.s_suppkey""")
-C.sql("evidence_flags", "B15", """
-SELECT c_custkey, concat_ws(',', CASE WHEN c_acctbal < 0 THEN 'debt' END, CASE WHEN o.n IS NULL THEN 'idle' END, CASE WHEN c_mktsegment = 'BUILDING' THEN 'segment' END) AS flags
-FROM {customer} LEFT JOIN (SELECT o_custkey, count(*) AS n FROM {orders} GROUP BY o_custkey) o ON c_custkey = o_custkey""")
 C.sql("visible_rows", "B17 B18", """
 SELECT o_orderkey, o_totalprice BETWEEN 0 AND 1000000 AS valid FROM {orders} WHERE o_orderstatus = 'F' OR o_custkey = 7""")
 C.sql("unseen_items", "B20 C6", f"""
@@ -85,8 +76,6 @@ c AS (SELECT count(*) FILTER (WHERE a.ok = 0 AND b.ok = 1) AS fixed, count(*) FI
 SELECT fixed, broken, n, round(2 * sqrt(fixed + broken), 6) AS threshold, CASE WHEN abs(fixed - broken) > 2 * sqrt(fixed + broken) THEN 'significant' ELSE 'noise' END AS verdict FROM c""")
 C.sql("restricted_rank", "C21", """
 SELECT p_brand, p_partkey, CAST(row_number() OVER (PARTITION BY p_brand ORDER BY p_retailprice DESC, p_partkey) AS BIGINT) AS rank FROM {part} WHERE p_partkey IN (SELECT l_partkey FROM {lineitem} WHERE l_quantity >= 48)""")
-C.sql("band_join", "C22", """
-SELECT a.p_partkey AS a, b.p_partkey AS b FROM {part} a JOIN {part} b ON a.p_brand = b.p_brand AND a.p_type = b.p_type AND a.p_partkey < b.p_partkey AND abs(a.p_retailprice - b.p_retailprice) <= 5.0 AND abs(a.p_size - b.p_size) <= 2""")
 C.sql("label_corrections", "C25", """
 SELECT CASE WHEN l.toxic = 1 THEN 'exclude' WHEN l.quality = 0 THEN 'relabel' ELSE 'keep' END AS action, coalesce(CASE WHEN l.quality = 0 THEN 'low' END, d.lang) AS slug, count(*) AS n
 FROM {documents} d LEFT JOIN {labels} l ON l.doc_id = d.doc_id WHERE coalesce(l.toxic, 0) <> 1 AND d.doc_id NOT IN (SELECT item_id FROM {benchmark}) GROUP BY 1, 2""")
