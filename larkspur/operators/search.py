@@ -137,6 +137,17 @@ def blocked_topk(queries: DataFrame, refs: DataFrame, *, k: int, foreign: bool =
     return local.withColumn("rank", rank).where(F.col("rank") <= k).select("q", "rank", "id", "sim")
 
 
+def near_pairs(refs: DataFrame, *, least: float, block: int = 2048) -> DataFrame:
+    """(a, b, sim): pairs a < b of one owner with similarity `least` or more, from (id, owner, v)."""
+
+    def step(qi, qo, ri, ro, sims):
+        rows, cols = np.nonzero((sims >= least) & (qo[:, None] == ro[None, :]) & (qi[:, None] < ri[None, :]))
+        yield pa.RecordBatch.from_arrays([pa.array(qi[rows]), pa.array(ri[cols]), pa.array(sims[rows, cols])], ["a", "b", "sim"])
+
+    kind = refs.schema["id"].dataType.simpleString()
+    return _blocked(refs, refs, step, f"a {kind}, b {kind}, sim double", block)
+
+
 def voted(queries: DataFrame, refs: DataFrame, *, parts: int, k: int, best: int, least: float) -> DataFrame:
     """(q, id, votes, sim): candidates by votes of descriptors, joined by those of the same owner, then verified.
 

@@ -53,22 +53,3 @@ def diversify(pool: DataFrame, *, n: int, pool_size: int, producer_cap: int, wei
     bounded = top_per_group(pool, ["profile"], [F.desc("score"), "item"], pool_size)
     kinds = {f.name: f.dataType.simpleString() for f in pool.schema}
     return bounded.groupBy("profile").applyInPandas(pick, f"profile {kinds['profile']}, slot int, item {kinds['item']}")
-
-
-def keep_distinct(df: DataFrame, *, group: str, order: str, vector: str, radius: float) -> DataFrame:
-    """Rows (group, order) kept in order unless a kept row of the group lies within radius; groups must be bounded."""
-
-    def keep(rows: pd.DataFrame) -> pd.DataFrame:
-        rows = rows.sort_values(order, kind="stable")
-        kept: list[np.ndarray] = []
-        flags = []
-        for v in rows[vector]:
-            v = np.asarray(v, float)
-            new = not kept or float(np.min(np.linalg.norm(np.stack(kept) - v, axis=1))) > radius
-            flags.append(new)
-            if new:
-                kept.append(v)
-        return rows.loc[flags, [group, order]]
-
-    kinds = {f.name: f.dataType.simpleString() for f in df.schema}
-    return df.select(group, order, vector).groupBy(group).applyInPandas(keep, f"{group} {kinds[group]}, {order} {kinds[order]}")

@@ -1,8 +1,10 @@
 """Ranks, caps, ordered selections and set operations."""
 
+from pyspark.sql import Window
 from pyspark.sql import functions as F
 
-from larkspur.operators import selection
+from larkspur.functions import vectors as V
+from larkspur.operators import ordering, search, selection
 from larkspur.plans.shared import Catalogue
 from larkspur.storage import table
 
@@ -13,25 +15,10 @@ C.sql("catalogue_first_wins", "A3 E7 E8", """
 SELECT p_name, p_partkey, p_brand FROM (SELECT *, row_number() OVER (PARTITION BY p_name ORDER BY p_partkey) AS rn FROM {part}) x WHERE rn = 1""")
 C.sql("catalogue_last_wins", "A3 A6", """
 SELECT p_name, p_partkey, p_brand FROM (SELECT *, row_number() OVER (PARTITION BY p_name ORDER BY p_partkey DESC) AS rn FROM {part}) x WHERE rn = 1""")
-C.sql("dhondt_feed", "E4 J22", """
-WITH n AS (SELECT p_type, sqrt(count(*)) AS w FROM {part} GROUP BY p_type), s AS (SELECT p_type, w / sum(w) OVER () AS share FROM n),
-i AS (SELECT p_partkey, p_type, row_number() OVER (PARTITION BY p_type ORDER BY p_retailprice DESC, p_partkey) AS rn FROM {part}),
-slots AS (SELECT p_partkey, i.p_type, row_number() OVER (ORDER BY round(share / rn, 12) DESC, i.p_type DESC, rn) AS slot FROM i JOIN s ON s.p_type = i.p_type)
-SELECT CAST(slot AS BIGINT) AS slot, p_type, p_partkey FROM slots WHERE slot <= 60""")
 C.sql("group_caps", "E5 A22", """
 SELECT p_brand, p_type, p_partkey FROM (SELECT *, row_number() OVER (PARTITION BY p_brand, p_type ORDER BY p_retailprice DESC, p_partkey) AS rn FROM {part}) x WHERE rn <= 2""")
-C.sql("round_robin_host", "E10", """
-WITH h AS (SELECT page_id, lower(EXTRACT(url, '//([^/:?#]*)', 1)) AS host FROM {pages}), r AS (SELECT *, row_number() OVER (PARTITION BY host ORDER BY page_id) AS rn FROM h)
-SELECT CAST(row_number() OVER (ORDER BY rn, host) AS BIGINT) AS pos, page_id, host FROM r""")
 C.sql("keyset_page", "E12", """
 SELECT event_id, user_id, event_type FROM {events} WHERE event_id < 5000 ORDER BY event_id DESC LIMIT 51""")
-C.sql("entity_folds", "E14 F10", """
-SELECT p_partkey, CAST(row_number() OVER (ORDER BY SHA(concat('42:', CAST(p_partkey AS VARCHAR(20))))) % 5 AS BIGINT) AS fold FROM {part}""")
-C.sql("gap_clusters", "E15", """
-WITH e AS (SELECT user_id, event_id, SECONDS(ts) AS top, SECONDS(ts) + 3600 AS bottom FROM {events}),
-m AS (SELECT *, max(bottom) OVER (PARTITION BY user_id ORDER BY top, event_id ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS reach FROM e),
-c AS (SELECT *, sum(CASE WHEN reach IS NULL OR top - reach > 600 THEN 1 ELSE 0 END) OVER (PARTITION BY user_id ORDER BY top, event_id ROWS UNBOUNDED PRECEDING) AS cluster FROM m)
-SELECT user_id, CAST(cluster AS BIGINT) AS cluster, count(*) AS n, CAST(max(bottom) - min(top) AS BIGINT) AS span FROM c GROUP BY user_id, cluster""")
 C.sql("selection_policies", "E16 I4", """
 SELECT l_orderkey, max(CASE WHEN by_price = 1 THEN l_partkey END) AS priciest, max(CASE WHEN by_quantity = 1 THEN l_partkey END) AS largest, max(CASE WHEN by_centre = 1 THEN l_partkey END) AS central FROM (
   SELECT l_orderkey, l_partkey, row_number() OVER (PARTITION BY l_orderkey ORDER BY l_extendedprice DESC, l_partkey) AS by_price, row_number() OVER (PARTITION BY l_orderkey ORDER BY l_quantity DESC, l_partkey) AS by_quantity,
@@ -39,12 +26,6 @@ SELECT l_orderkey, max(CASE WHEN by_price = 1 THEN l_partkey END) AS priciest, m
 C.sql("sliding_limit", "E17", """
 WITH e AS (SELECT event_id, user_id, SECONDS(ts) AS s FROM {events})
 SELECT event_id, user_id, count(*) OVER (PARTITION BY user_id ORDER BY s RANGE BETWEEN 3600 PRECEDING AND CURRENT ROW) AS in_window, count(*) OVER (PARTITION BY user_id, CAST(floor(s / 900) AS BIGINT)) AS in_slot FROM e""")
-C.sql("stratified_sample", "E19", """
-WITH r AS (SELECT doc_id, source, n_chars, row_number() OVER (PARTITION BY source ORDER BY SHA(CAST(doc_id AS VARCHAR(20)))) AS rn FROM {documents}),
-rest AS (SELECT doc_id, source, row_number() OVER (ORDER BY n_chars DESC, doc_id) AS hard FROM r WHERE rn > 2)
-SELECT doc_id, source, 'stratum' AS why FROM r WHERE rn <= 2 UNION ALL SELECT doc_id, source, 'hardest' AS why FROM rest WHERE hard <= 20""")
-C.sql("search_order", "F4 J20", """
-SELECT p_partkey, CAST(row_number() OVER (ORDER BY (CASE WHEN p_name LIKE '%red%' THEN 1 ELSE 0 END) + (CASE WHEN p_name LIKE '%ring%' THEN 1 ELSE 0 END) DESC, p_retailprice DESC, p_name, p_partkey) AS BIGINT) AS pos FROM {part}""")
 C.sql("fingerprint_dedupe", "F5", """
 WITH m AS (SELECT l_orderkey, JOINED(SORTED_ITEMS(COLLECT_SET(CAST(l_suppkey + 1000000 AS VARCHAR(20)))), ',') AS members, sum(l_quantity) AS score FROM {lineitem} GROUP BY l_orderkey)
 SELECT l_orderkey, members, score FROM (SELECT *, row_number() OVER (PARTITION BY members ORDER BY score DESC, l_orderkey) AS rn FROM m) x WHERE rn = 1""")
@@ -64,6 +45,73 @@ WITH u AS (SELECT c_nationkey AS k, c_custkey AS v, 0 AS o FROM {customer} UNION
 SELECT k, v, o FROM (SELECT *, row_number() OVER (PARTITION BY k ORDER BY o, v) AS rn FROM u) x WHERE rn = 1""")
 
 
+@C.query("dhondt_feed", "E4 J22", """
+WITH n AS (SELECT p_type, sqrt(count(*)) AS w FROM part GROUP BY p_type), s AS (SELECT p_type, w / sum(w) OVER () AS share FROM n),
+i AS (SELECT p_partkey, p_type, row_number() OVER (PARTITION BY p_type ORDER BY p_retailprice DESC, p_partkey) AS rn FROM part)
+SELECT row_number() OVER (ORDER BY round(share / rn, 12) DESC, i.p_type DESC, rn) AS slot, i.p_type, p_partkey FROM i JOIN s ON s.p_type = i.p_type QUALIFY slot <= 60""")
+def dhondt_feed(spark, sf_dir, n=60):
+    """Slots dealt to styles by the root of their numbers: the next goes to the largest share for the slots so far."""
+    part = table(spark, sf_dir, "part")
+    roots = part.groupBy("p_type").agg(F.sqrt(F.count("*")).alias("w"))
+    shares = roots.crossJoin(F.broadcast(roots.agg(F.sum("w").alias("all")))).select("p_type", (F.col("w") / F.col("all")).alias("share"))
+    best = selection.top_per_group(part.withColumn("place", F.row_number().over(Window.partitionBy("p_type").orderBy(F.desc("p_retailprice"), "p_partkey"))), ["p_type"], ["place"], n)
+    claim = best.join(shares, "p_type").withColumn("claim", F.round(F.col("share") / F.col("place"), 12))
+    first = claim.orderBy(F.desc("claim"), F.desc("p_type"), "place").limit(n)
+    return first.select(F.row_number().over(Window.orderBy(F.desc("claim"), F.desc("p_type"), "place")).cast("long").alias("slot"), "p_type", "p_partkey")  # n rows
+
+
+@C.query("round_robin_host", "E10", """
+WITH h AS (SELECT page_id, lower(regexp_extract(url, '//([^/:?#]*)', 1)) AS host FROM pages), r AS (SELECT *, row_number() OVER (PARTITION BY host ORDER BY page_id) AS rn FROM h)
+SELECT row_number() OVER (ORDER BY rn, host) AS pos, page_id, host FROM r""")
+def round_robin_host(spark, sf_dir):
+    """Pages in turns of their hosts."""
+    pages = table(spark, sf_dir, "pages").select("page_id", F.lower(F.regexp_extract("url", "//([^/:?#]*)", 1)).alias("host"))
+    turn = pages.withColumn("rn", F.row_number().over(Window.partitionBy("host").orderBy("page_id")))
+    return ordering.positions(turn, [F.col("rn"), F.col("host")]).select("pos", "page_id", "host")
+
+
+@C.query("entity_folds", "E14 F10", "SELECT p_partkey, ('0x' || left(md5('42:' || p_brand), 8))::BIGINT % 5 AS fold, ('0x' || left(md5('42:' || p_partkey), 8))::BIGINT AS shuffle FROM part")
+def entity_folds(spark, sf_dir):
+    """A fold by producer, so that all its items fall together, and a seeded shuffle key."""
+    digest = lambda c: F.conv(F.left(F.md5(F.concat(F.lit("42:"), F.col(c).cast("string"))), F.lit(8)), 16, 10).cast("long")
+    return table(spark, sf_dir, "part").select("p_partkey", (digest("p_brand") % 5).alias("fold"), digest("p_partkey").alias("shuffle"))
+
+
+@C.query("gap_clusters", "E15", """
+WITH e AS (SELECT user_id, event_id, floor(epoch(ts))::BIGINT AS top, floor(epoch(ts))::BIGINT + 3600 AS bottom, round(value, 2)::DECIMAL(18,2) AS area FROM events),
+m AS (SELECT *, max(bottom) OVER (PARTITION BY user_id ORDER BY top, event_id ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS reach FROM e),
+c AS (SELECT *, sum(CASE WHEN reach IS NULL OR top - reach > 600 THEN 1 ELSE 0 END) OVER (PARTITION BY user_id ORDER BY top, event_id ROWS UNBOUNDED PRECEDING) AS cluster FROM m),
+g AS (SELECT user_id, cluster::BIGINT AS cluster, count(*) AS n, min(top) AS top, max(bottom) AS bottom, sum(area) AS area FROM c GROUP BY 1, 2)
+SELECT user_id, cluster, n, top, bottom, area::DOUBLE AS area, row_number() OVER (PARTITION BY user_id ORDER BY g.area DESC, cluster) = 1 AS largest FROM g""")
+def gap_clusters(spark, sf_dir):
+    """Events of an hour each, in runs without a gap of ten minutes, and the run of largest value."""
+    at = F.unix_seconds(F.col("ts").cast("timestamp"))
+    boxes = table(spark, sf_dir, "events").select("user_id", F.col("event_id").alias("id"), at.alias("top"), (at + 3600).alias("bottom"), F.round("value", 2).cast("decimal(18,2)").alias("area"))
+    found = ordering.gap_clusters(boxes, key="user_id", gap=F.lit(600))
+    return found.withColumn("area", F.col("area").cast("double"))
+
+
+@C.query("stratified_sample", "E19", """
+WITH r AS (SELECT doc_id, source, n_chars, row_number() OVER (PARTITION BY source ORDER BY sha256(doc_id::VARCHAR)) AS rn FROM documents)
+SELECT doc_id, source, 'stratum' AS why FROM r WHERE rn <= 2 UNION ALL (SELECT doc_id, source, 'hardest' FROM r WHERE rn > 2 ORDER BY n_chars DESC, doc_id LIMIT 20)""")
+def stratified_sample(spark, sf_dir):
+    """Two documents a source by hash, then the 20 longest of the rest."""
+    docs = table(spark, sf_dir, "documents").select("doc_id", "source", "n_chars", F.sha2(F.col("doc_id").cast("string"), 256).alias("h"))
+    first = selection.top_per_group(docs, ["source"], ["h"], 2)
+    rest = docs.join(first.select("doc_id"), "doc_id", "left_anti").orderBy(F.desc("n_chars"), "doc_id").limit(20)
+    return first.select("doc_id", "source", F.lit("stratum").alias("why")).union(rest.select("doc_id", "source", F.lit("hardest").alias("why")))
+
+
+@C.query("search_order", "F4", """
+SELECT p_partkey, row_number() OVER (ORDER BY contains(p_name, 'red')::INT + contains(p_name, 'ring')::INT DESC, p_retailprice DESC, p_name, p_partkey) AS pos FROM part QUALIFY pos <= 100""")
+def search_order(spark, sf_dir, n=100):
+    """The first page of a search: title hits, fit, name."""
+    hits = F.contains("p_name", F.lit("red")).cast("int") + F.contains("p_name", F.lit("ring")).cast("int")
+    order = [F.desc("hits"), F.desc("p_retailprice"), "p_name", "p_partkey"]
+    page = table(spark, sf_dir, "part").withColumn("hits", hits).orderBy(*order).limit(n)
+    return page.select("p_partkey", F.row_number().over(Window.orderBy(*order)).cast("long").alias("pos"))  # n rows
+
+
 @C.query("greedy_mmr", "E6 J8 J16")
 def greedy_mmr(spark, sf_dir):
     """Diversified pick of 20 items a brand family: score less 0.35 of the highest similarity to those picked."""
@@ -73,6 +121,8 @@ def greedy_mmr(spark, sf_dir):
 
 
 @C.query("near_duplicate_keep", "E9")
-def near_duplicate_keep(spark, sf_dir):
-    """Greedy keep list within a label: a vector stays unless one kept before lies within distance 0.9."""
-    return selection.keep_distinct(table(spark, sf_dir, "embeddings"), group="label", order="vec_id", vector="embedding", radius=0.9)
+def near_duplicate_keep(spark, sf_dir, radius=1.15):
+    """Greedy keep list within a label: a vector stays unless one kept before lies within the radius."""
+    refs = table(spark, sf_dir, "embeddings").select(F.col("vec_id").alias("id"), F.col("label").alias("owner"), V.unit("embedding").alias("v"))
+    pairs = search.near_pairs(refs, least=round(1 - radius * radius / 2, 6))
+    return ordering.first_independent(refs, pairs).withColumnRenamed("id", "vec_id")

@@ -8,6 +8,8 @@ import zipfile
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from larkspur.storage import materialize
+
 
 def scan_images(spark: SparkSession, folder: str, *, content: bool = False) -> DataFrame:
     """(slug from the folder above, name, bytes, modified) of all images below a folder."""
@@ -39,7 +41,43 @@ def zip_parts(files: DataFrame, *, part_bytes: int = 64 << 20) -> DataFrame:
     return files.select("name", "content").mapInArrow(pack, "archive binary")
 
 
-def _part(data: bytes):
+def exported(files: DataFrame, metadata: DataFrame, *, part_bytes: int = 64 << 20) -> DataFrame:
+    """(kind, archive, rows): an export of one state of the tables: file parts, then metadata as JSON lines in parts.
+
+    Both tables are written first, so that changes made meanwhile don't show in some parts only. Files:
+    name, content; only files that the metadata names (column name) are packed.
+    """
+    frozen, described = materialize(files.select("name", "content"), "files"), materialize(metadata, "metadata")
+    parts = zip_parts(frozen.join(described.select("name").distinct(), "name", "left_semi"), part_bytes=part_bytes)
+    lines = described.select(F.to_json(F.struct(*[F.col(c) for c in described.columns])).alias("line"))
+
+    def joined(batches):
+        held: list[str] = []
+        for batch in batches:
+            held += batch.column(0).to_pylist()
+            if sum(map(len, held)) >= part_bytes:
+                yield _part("\n".join(held).encode(), len(held))
+                held = []
+        if held:
+            yield _part("\n".join(held).encode(), len(held))
+
+    told = lines.mapInArrow(joined, "archive binary, rows long")
+    return parts.select(F.lit("files").alias("kind"), "archive", F.lit(None).cast("long").alias("rows")).unionByName(told.select(F.lit("metadata").alias("kind"), "archive", "rows"))
+
+
+def write_files(spark: SparkSession, folder: str, files: dict[str, bytes]) -> None:
+    """A few small files below a folder of any file system that Spark knows."""
+    jvm = spark.sparkContext._jvm
+    for name, content in files.items():
+        path = jvm.org.apache.hadoop.fs.Path(f"{folder.rstrip('/')}/{name}")
+        stream = path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).create(path, True)
+        stream.write(bytearray(content))
+        stream.close()
+
+
+def _part(data: bytes, rows: int | None = None):
     import pyarrow as pa
 
+    if rows is not None:
+        return pa.RecordBatch.from_arrays([pa.array([data], pa.binary()), pa.array([rows], pa.int64())], ["archive", "rows"])
     return pa.RecordBatch.from_arrays([pa.array([data], pa.binary())], ["archive"])

@@ -67,6 +67,27 @@ def page_fields(df: DataFrame, *, html_col: str = "html") -> DataFrame:
     return df.withColumn("page", parse(html_col))
 
 
+def site_fields(pages: DataFrame, profiles: dict[str, dict[str, str]], *, url_col: str = "url", html_col: str = "html") -> DataFrame:
+    """(page columns, site, fields): each page's product fields by the profile of its site.
+
+    profiles: site to (field to pattern with one group); "*" is for sites without one. A site is the
+    host's ending. Tags inside a field go, a field that isn't found is left out.
+    """
+    host = F.lower(F.regexp_extract(F.col(url_col), r"//([^/:?#]*)", 1))
+    site, fields = F.lit("*"), F.lit(None).cast("map<string,string>")
+
+    def told(patterns: dict[str, str]):
+        found = F.create_map(*[c for name, pattern in patterns.items() for c in (F.lit(name), F.trim(F.regexp_replace(F.regexp_extract(F.col(html_col), pattern, 1), "<[^>]*>", "")))])
+        return F.map_filter(found, lambda k, v: v != "")
+
+    fields = told(profiles["*"]) if "*" in profiles else fields
+    for name, patterns in profiles.items():
+        if name != "*":
+            own = F.endswith(host, F.lit(name))
+            site, fields = F.when(own, name).otherwise(site), F.when(own, told(patterns)).otherwise(fields)
+    return pages.withColumns({"site": site, "fields": fields})
+
+
 def decode_state(raw: str | None):
     """The object of a JSON array whose dicts and lists hold positions in the array; None if it is malformed."""
     try:

@@ -60,3 +60,37 @@ def write_snapshot(df: DataFrame, folder: str, version: str) -> str:
     path = f"{folder.rstrip('/')}/version={version}"
     df.write.parquet(path, mode="error")
     return path
+
+
+def fetch_plan(wanted: DataFrame, cached: DataFrame, attempts: DataFrame, *, now, tries: int = 3, wait_seconds: int = 3600, per_second: int = 2) -> DataFrame:
+    """(key, host, second): what a resumed run fetches and when, from wanted (key, host).
+
+    Cached keys are done. Of the attempts (key, at, ok) a key that failed `tries` times is given up, and
+    one that failed within `wait_seconds` of now rests. A host gets at most per_second fetches a second.
+    """
+    failed = attempts.where("not ok").groupBy("key").agg(F.count("*").alias("failures"), F.max("at").alias("last"))
+    resting = failed.where((F.col("failures") >= tries) | (F.unix_seconds("last") > F.unix_seconds(F.lit(now)) - wait_seconds))
+    left = wanted.join(cached.select("key").distinct(), "key", "left_anti").join(resting, "key", "left_anti")
+    turn = F.row_number().over(Window.partitionBy("host").orderBy("key")) - 1
+    return left.select("key", "host", F.floor(turn / per_second).cast("long").alias("second"))
+
+
+def crawl_queue(found: DataFrame, visited: DataFrame, *, cap: int) -> DataFrame:
+    """(site, key, place): links found and not visited, each once, at most `cap` a site in order of key."""
+    fresh = found.select("site", "key").distinct().join(visited.select("key").distinct(), "key", "left_anti")
+    return fresh.withColumn("place", F.row_number().over(Window.partitionBy("site").orderBy("key"))).where(F.col("place") <= cap).select("site", "key", "place")
+
+
+def write_report(df: DataFrame, folder: str, name: str, *, by: str | None = None) -> str:
+    """A manifest, coverage or summary table as Parquet below a folder, partitioned if asked; it appears whole or not at all."""
+    path = f"{folder.rstrip('/')}/{name}"
+    writer = df.write.mode("overwrite")
+    (writer.partitionBy(by) if by else writer).parquet(path)
+    return path
+
+
+def latest_snapshot(spark: SparkSession, folder: str) -> DataFrame:
+    """The version of a table with the greatest name below a folder of write_snapshot()."""
+    rows = spark.read.option("basePath", folder).parquet(f"{folder.rstrip('/')}/version=*")
+    last = rows.agg(F.max("version").alias("version"))
+    return rows.join(F.broadcast(last), "version", "left_semi")  # one row
