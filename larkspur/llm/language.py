@@ -141,7 +141,7 @@ class Parser:
         return out.ravel()
 
     def phrases(self, texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
-        """(texts x languages) phrase counts, and letters parsed a text."""
+        """(texts x languages) phrase counts of whole texts, and letters parsed a text."""
         letters = [self.code[self._letters(t)] for t in texts]
         sizes = np.array([len(x) for x in letters], np.int64)
         runs = -(-sizes // RUN)
@@ -153,21 +153,17 @@ class Parser:
             at += n
         ends = (grid != -1).sum(axis=1)
         order = np.argsort(-ends, kind="stable")
+        place = np.empty(len(order), np.int64)
+        place[order] = np.arange(len(order))
+        first = np.ones(len(owner), np.bool_)
+        first[1:] = owner[1:] != owner[:-1]
+        before = np.where(first, -1, place[np.arange(len(owner)) - 1])[order]  # the run before, in the order of lanes
+        final = np.append(first[1:], True)[order]
         steps, ends = np.ascontiguousarray(grid[order].T), ends[order]
-        active = np.searchsorted(-ends, -np.arange(RUN), side="left")  # runs longer than each step
         counts = np.zeros((len(texts), len(self.languages)))
         for k, moves in enumerate(self.tables):
-            own = self.local[k][steps]
-            state = np.zeros(len(order), np.int32)
-            total = np.zeros(len(order), np.int32)
-            for step in range(RUN):
-                n = active[step]
-                if not n:
-                    break
-                got = moves[state[:n] + own[step, :n]] if isinstance(moves, np.ndarray) else moves.step(state[:n], own[step, :n])
-                total[:n] += got & 3
-                state[:n] = got >> 2
-            total += state > 0  # the phrase that the run's end closes
+            total, state = _parsed(moves, self.local[k][steps], ends, before)
+            total = total + (final & (state > 0))  # the phrase that the text's end closes
             counts[:, k] = np.bincount(owner[order], weights=total, minlength=len(texts))
         return counts, sizes
 
@@ -189,6 +185,50 @@ class Parser:
         return out
 
 
+def _parsed(moves, letters: np.ndarray, ends: np.ndarray, before: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """(phrases ended in each run, state at its end), as if each text were parsed letter by letter from its first.
+
+    letters: (RUN x runs), runs by falling length; before: each run's predecessor in its text or -1. All
+    runs are parsed from the root at once; then runs whose predecessor ends elsewhere are parsed again
+    from there, until they meet the state that they had at the same letter.
+    """
+    step_on = (lambda state, c: moves[state + c]) if isinstance(moves, np.ndarray) else moves.step
+    active = np.searchsorted(-ends, -np.arange(RUN), side="left")  # runs longer than each step
+    lanes = np.arange(len(ends))
+    states, sums = np.zeros((RUN + 1, len(ends)), np.int32), np.zeros((RUN + 1, len(ends)), np.int32)
+    for step in range(RUN):
+        n = active[step]
+        if not n:
+            break
+        got = step_on(states[step, :n], letters[step, :n])
+        states[step + 1, :n] = got >> 2
+        sums[step + 1, :n] = sums[step, :n] + (got & 3)
+    start = np.zeros(len(ends), np.int32)
+    last = states[ends, lanes]
+    while True:
+        wanted = np.where(before >= 0, last[before], 0)
+        who = np.flatnonzero(wanted != start)
+        if not len(who):
+            return sums[ends, lanes], last
+        start[who] = wanted[who]
+        state, count = wanted[who], np.zeros(len(who), np.int32)
+        for step in range(RUN):
+            live = step < ends[who]
+            who, state, count = who[live], state[live], count[live]
+            if not len(who):
+                break
+            got = step_on(state, letters[step, who])
+            state, count = got >> 2, count + (got & 3)
+            met = states[step + 1, who] == state
+            if met.any():
+                k = who[met]
+                sums[step + 1 :, k] += (count[met] - sums[step + 1, k])[None, :]
+            apart = ~met
+            who, state, count = who[apart], state[apart], count[apart]
+            states[step + 1, who], sums[step + 1, who] = state, count
+        last = states[ends, lanes]
+
+
 @functools.lru_cache(maxsize=2)
 def _parser(samples: tuple) -> Parser:
     """One parser a worker process and sample."""

@@ -1,3 +1,4 @@
+import hashlib
 import random
 import zlib
 
@@ -51,22 +52,64 @@ def test_held_out_rows_are_never_learned(make):
     assert not seen & {r.text for r in docs.collect() if zlib.crc32(str(r.doc_id).encode()) % 4 == 2}
 
 
-def test_parse_by_brute_force():
+def whole_phrases(letters, held):
+    phrases = i = 0
+    while i < len(letters):
+        j = i
+        while j < len(letters) and letters[i : j + 1] in held:
+            j += 1
+        phrases, i = phrases + 1, max(j, i + 1)
+    return phrases
+
+
+@pytest.mark.parametrize(("alphabet", "other"), [("ab ", "abc "), ("a", "ab"), ("".join(map(chr, range(0x4E00, 0x4EC8))), "".join(map(chr, range(0x4E00, 0x4ED8))))])
+def test_parse_by_brute_force(alphabet, other):
     rng = random.Random(4)
-    sample = ["".join(rng.choice("ab ") for _ in range(80)) for _ in range(3)]
+    sample = ["".join(rng.choice(alphabet) for _ in range(400)) for _ in range(3)]
     parser = language.Parser({"xx": sample})
     held = "".join("".join(map(chr, parser._letters(t))) + " " for t in sample)
-    for n in (1, 7, 255, 256, 257, 900):
-        text = "".join(rng.choice("abc ") for _ in range(n)) + "a"
-        letters, phrases = "".join(map(chr, parser._letters(text))), 0
-        for at in range(0, len(letters), language.RUN):
-            run, i = letters[at : at + language.RUN], 0
-            while i < len(run):
-                j = i
-                while j < len(run) and run[i : j + 1] in held:
-                    j += 1
-                phrases, i = phrases + 1, max(j, i + 1)
-        assert parser.phrases([text])[0][0, 0] == phrases
+    texts = ["".join(rng.choice(other) for _ in range(n)) + "a" for n in (1, 7, 255, 256, 257, 900, 2000)]
+    texts += [sample[0] * 3, sample[1][:300] + sample[1][:300], "".join(sample)]
+    got = parser.phrases(texts)[0][:, 0]
+    assert got.tolist() == [whole_phrases("".join(map(chr, parser._letters(t))), held) for t in texts]
+
+
+def scanned(text):
+    """The base kinds by hand: (kind, start, end), leftmost and not overlapping, failing matches dropped."""
+    import re
+
+    kinds = [
+        ("assign", r"""(?:[Pp][Aa][Ss][Ss][Ww][Oo][Rr][Dd]|[Pp][Aa][Ss][Ss][Ww][Dd]|[Ss][Ee][Cc][Rr][Ee][Tt]|[Tt][Oo][Kk][Ee][Nn]|[Aa][Pp][Ii]_?[Kk][Ee][Yy])["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)""", 8),
+        ("access", r"(AKIA[A-Z0-9]+)", None),
+        ("hex", r"([0-9a-f]+)", 32),
+    ]
+    out = []
+    for k, (kind, pattern, least) in enumerate(kinds):
+        for m in re.finditer(pattern, text or ""):
+            if len(m[1]) >= (16 if kind == "access" else least):
+                out.append((m.start(), k, f"{kind}:{m.start()}:{m.end()}", kind))
+    out.sort()
+    base = ",".join(x[2] for x in out)
+    return tuple(sum(x[3] == kind for x in out) for kind, _, _ in kinds), hashlib.sha256(base.encode()).hexdigest(), base
+
+
+def test_secrets_by_brute_force(spark, sf_dir):
+    texts = {r.doc_id: r.text for r in spark.read.parquet(f"{sf_dir}/documents.parquet").collect()}
+    rows = secrets.op8_secret_scan(spark, sf_dir).collect()
+    assert len(rows) == len(texts)
+    for r in rows:
+        counts, digest, base = scanned(texts[r.doc_id])
+        assert (r.n_assign, r.n_access, r.n_hex) == counts and r.base_sha256 == digest
+        assert set(filter(None, base.split(","))) <= set((r.spans or "").split(","))
+
+
+def test_secrets_in_random_texts(spark, tmp_path):
+    rng = random.Random(8)
+    bits = ["password", "Token", "API_KEY", "apikey", "=", ": ", '"', "AKIA", "ABCD1234EFGH5678", "deadbeef" * 4, "0123456789abcdef" * 3, "s3cr3t-value", "𝒳", "é", " ", "\n", "secret"]
+    rows = [(k, "".join(rng.choice(bits) for _ in range(rng.randint(0, 30))), None if k % 5 == 0 else f"o{k % 3}") for k in range(300)] + [(300, None, "o"), (301, "", None), (302, "token=" + "a" * 300_000 + " AKIA" + "Z" * 50, "o1"), (303, "password=abcdefgh", "o"), (303, "password=abcdefgh", "o")]
+    spark.createDataFrame([(k, t, "en", s, None if t is None else len(t)) for k, t, s in rows], "doc_id long, text string, lang string, source string, n_chars long").write.parquet(f"{tmp_path}/documents.parquet")
+    got = sorted((r.doc_id, (r.n_assign, r.n_access, r.n_hex), r.base_sha256) for r in secrets.op8_secret_scan(spark, str(tmp_path)).collect())
+    assert got == sorted((k, *scanned(t)[:2]) for k, t, _ in rows)
 
 
 def test_language_on_awkward_rows(make, awkward):
