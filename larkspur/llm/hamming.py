@@ -7,8 +7,8 @@ verified rows lie within that distance, so the result is exact.
 
 Equal codes collapse to one entry with its k + 1 smallest ids, limited before the shuffle, so a code
 that a third of the rows share is one entry. Entries are dealt to shards of about SHARD_CODES by hash
-of the code, queries to blocks of QUERY_BLOCK; each (shard, block) is one step of bounded memory,
-and the k best of each shard are merged by query.
+of the code, queries to blocks of QUERY_BLOCK. A shard goes to LANES tasks at most, which build its
+index once and stream the blocks of queries past it, and the k best of each shard are merged by query.
 
 Edge cases: rows without a vector (null or empty) have no code and take no part; a null element counts
 as not positive; a query row is not its own neighbour; equal distances are ordered by id; fewer than
@@ -31,6 +31,7 @@ from larkspur.storage import materialize, table
 BITS = 64
 SHARD_CODES = 1 << 16
 QUERY_BLOCK = 1 << 10
+LANES = 8
 K = 10
 
 
@@ -100,26 +101,35 @@ class MultiIndex:
 
 
 def _searched(k: int):
+    """Results of query blocks; input sorted by shard and lane, a shard's entries before the queries that are streamed past them."""
+
+    def found(index, ids, weights, queries):
+        out = []
+        for q in queries:
+            near, distances = index.search(q["code"] & (1 << BITS) - 1, k + 1, weights)
+            order = np.argsort(distances, kind="stable")
+            best, last = [], None
+            for e, d in zip(near[order].tolist(), distances[order].tolist(), strict=True):
+                if len(best) > k and d != last:
+                    break
+                best += [(d, i) for i in ids[e]]
+                last = d
+            out += [(q["id"], i, d) for d, i in sorted(x for x in best if x[1] != q["id"])[:k]]
+        a, b, c = zip(*out, strict=True) if out else ((), (), ())
+        return pa.RecordBatch.from_arrays([pa.array(a, pa.int64()), pa.array(b, pa.int64()), pa.array(c, pa.int32())], ["query_id", "vec_id", "distance"])
+
     def run(batches):
+        index = ids = weights = None
         for batch in batches:
-            for row in batch.to_pylist():
-                entries, queries = row["entries"], row["queries"]
-                index = MultiIndex(np.array([e["code"] for e in entries], np.int64).view(np.uint64))
-                ids = [e["ids"] for e in entries]
-                weights = np.array([len(x) for x in ids], np.int64)
-                out = []
-                for q in queries:
-                    near, distances = index.search(q["code"] & (1 << BITS) - 1, k + 1, weights)
-                    order = np.argsort(distances, kind="stable")
-                    best, last = [], None
-                    for e, d in zip(near[order].tolist(), distances[order].tolist(), strict=True):
-                        if len(best) > k and d != last:
-                            break
-                        best += [(d, i) for i in ids[e]]
-                        last = d
-                    out += [(q["id"], i, d) for d, i in sorted(x for x in best if x[1] != q["id"])[:k]]
-                a, b, c = zip(*out, strict=True) if out else ((), (), ())
-                yield pa.RecordBatch.from_arrays([pa.array(a, pa.int64()), pa.array(b, pa.int64()), pa.array(c, pa.int32())], ["query_id", "vec_id", "distance"])
+            for k_row in range(batch.num_rows):
+                row = batch.slice(k_row, 1).to_pylist()[0]
+                if row["seq"] == 0:
+                    entries = row["entries"]
+                    index = MultiIndex(np.array([e["code"] for e in entries], np.int64).view(np.uint64))
+                    ids = [e["ids"] for e in entries]
+                    weights = np.array([len(x) for x in ids], np.int64)
+                else:
+                    yield found(index, ids, weights, row["queries"])
 
     return run
 
@@ -135,8 +145,13 @@ def hamming_topk(rows: DataFrame, queries: DataFrame, *, k: int = K) -> DataFram
     n_blocks = max(1, -(-asked.count() // QUERY_BLOCK))
     shards = entries.groupBy(F.pmod(F.xxhash64("code"), F.lit(n_shards)).alias("shard")).agg(F.collect_list(F.struct("code", "ids")).alias("entries"))
     blocks = asked.groupBy(F.pmod(F.xxhash64("id"), F.lit(n_blocks)).alias("block")).agg(F.collect_list(F.struct("id", "code")).alias("queries"))
-    steps = blocks.select("queries", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(n_shards - 1).cast("long"))).alias("shard")).join(shards, "shard")
-    local = steps.select("entries", "queries").repartition(max(1, min(n_shards * n_blocks, 4096))).mapInArrow(_searched(k), "query_id long, vec_id long, distance int")
+    lanes = min(n_blocks, LANES)
+    held = shards.select("shard", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(lanes - 1).cast("long"))).alias("lane"), F.lit(0).cast("long").alias("seq"), "entries")
+    every = F.explode(F.sequence(F.lit(0).cast("long"), F.lit(n_shards - 1).cast("long"))).alias("shard")
+    spread = blocks.select("block", "queries", every).join(shards.select("shard"), "shard", "left_semi")
+    spread = spread.select("shard", F.pmod("block", F.lit(lanes)).alias("lane"), (F.col("block") + 1).alias("seq"), "queries")
+    rows = held.unionByName(spread, allowMissingColumns=True).repartition(min(n_shards * lanes, 4096), "shard", "lane").sortWithinPartitions("shard", "lane", "seq")
+    local = rows.select("seq", "entries", "queries").mapInArrow(_searched(k), "query_id long, vec_id long, distance int")
     rank = F.row_number().over(Window.partitionBy("query_id").orderBy("distance", "vec_id"))
     return local.withColumn("rank", rank).where(F.col("rank") <= k).select("query_id", "rank", "vec_id", "distance")
 

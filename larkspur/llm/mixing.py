@@ -66,6 +66,7 @@ def mixing_plan(docs: DataFrame, *, id_col="doc_id", text_col="text", source_col
         field(source_col).alias("source"),
         F.md5(F.coalesce(field(id_col).cast("string"), F.lit(""))).alias("shuffle_key"),
         word_count(field(text_col)).alias("size"),
+        F.xxhash64(field(text_col)).alias("tie"),
         *["row"] * carry,
     ).withColumn("bucket", F.substring("shuffle_key", 1, BUCKET_DIGITS))
     sizes = materialize(keyed.drop("row"), "sizes")
@@ -73,7 +74,7 @@ def mixing_plan(docs: DataFrame, *, id_col="doc_id", text_col="text", source_col
     offsets = sizes.groupBy("source", "bucket").agg(F.sum("size").alias("words")).select("source", "bucket", F.coalesce(F.sum("words").over(by_bucket), F.lit(0)).alias("offset"))
     sources = source_targets(sizes, weights, budget_ratio, max_repeats)
     ranges = offsets.alias("o").join(sources.alias("s"), F.col("o.source").eqNullSafe(F.col("s.source"))).select("o.source", "bucket", "offset", "source_size", "weight", "target", "clock")
-    within = Window.partitionBy("source", "bucket").orderBy("shuffle_key", "doc_id", "size").rowsBetween(Window.unboundedPreceding, -1)
+    within = Window.partitionBy("source", "bucket").orderBy("shuffle_key", "doc_id", "size", "tie").rowsBetween(Window.unboundedPreceding, -1)
     local = (keyed if carry else sizes).withColumn("inner", F.coalesce(F.sum("size").over(within), F.lit(0)))
     placed = (
         local.alias("d")

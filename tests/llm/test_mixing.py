@@ -1,3 +1,4 @@
+import random
 from collections import defaultdict
 
 import pytest
@@ -134,3 +135,25 @@ def test_pages_on_awkward_rows(spark, tmp_path):
     con = duckdb.connect()
     con.execute(f"CREATE VIEW pages AS SELECT * FROM '{tmp_path}/pages.parquet/*.parquet'")
     same(line_dedup.op7_line_dedup(spark, str(tmp_path)), con, line_dedup.ORACLE)
+
+
+def test_plan_is_the_truncated_queue(make):
+    """Where no source is capped, targets by source are what the queue in order of finish serves up to the budget."""
+    rng = random.Random(6)
+    rows = [(" ".join(["w"] * rng.randint(1, 30)), "en", f"s{k % 3}") for k in range(300)]
+    plan = mixing.mixing_plan(make(rows), budget_ratio=0.6).collect()
+    weight = {r.source: r.weight for r in plan}
+    queue = []
+    for s in weight:
+        clock = 0
+        for r in sorted((r for r in plan if r.source == s), key=lambda r: r.begin):
+            clock += r.size
+            queue.append((clock / weight[s], s, r.size))
+    budget, served = 0.6 * sum(r.size for r in plan), dict.fromkeys(weight, 0)
+    for _, s, size in sorted(queue):
+        if sum(served.values()) + size > budget:
+            break
+        served[s] += size
+    for s in weight:
+        taken = sum(r.taken for r in plan if r.source == s)
+        assert abs(taken - served[s]) <= 60 and taken == int(next(r.target for r in plan if r.source == s))
