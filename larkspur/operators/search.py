@@ -12,7 +12,9 @@ from larkspur.functions import vectors as V
 
 
 def _blocks(rows: DataFrame, block: int, name: str) -> tuple[int, DataFrame]:
-    """Rows (id, owner, v) dealt into blocks by hash of id: how many, and (b, array of rows)."""
+    """Rows (id, owner, v) dealt into blocks by hash of id: how many, and (b, array of rows). Without owner all have one."""
+    if "owner" not in rows.columns:
+        rows = rows.withColumn("owner", F.lit(0))
     n = max(1, -(-rows.count() // block))
     return n, rows.groupBy(F.pmod(F.xxhash64("id"), F.lit(n)).alias("b")).agg(F.sort_array(F.collect_list(F.struct("id", "owner", "v"))).alias(name))
 

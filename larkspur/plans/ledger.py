@@ -10,7 +10,7 @@ from larkspur.streaming import activity
 C = Catalogue()
 QUERIES, ORACLES, COVERS = C.QUERIES, C.ORACLES, C.COVERS
 
-C.sql("version_audit", "K4 K9", """
+C.sql("version_audit", "K4", """
 WITH v AS (SELECT l_partkey, l_orderkey, l_linenumber, row_number() OVER (PARTITION BY l_partkey ORDER BY l_orderkey, l_linenumber, l_suppkey, l_extendedprice, l_quantity) AS version FROM {lineitem})
 SELECT l_partkey, max(version) AS versions, count(*) FILTER (WHERE version > 1) AS edits FROM v GROUP BY l_partkey""")
 C.sql("upsert_latest", "K1", """
@@ -19,9 +19,9 @@ SELECT k, v FROM (SELECT *, row_number() OVER (PARTITION BY k ORDER BY seq DESC)
 C.sql("status_transitions", "K10", """
 WITH t AS (SELECT user_id, event_type AS now, lag(event_type) OVER (PARTITION BY user_id ORDER BY event_id) AS before FROM {events})
 SELECT before, now, count(*) AS n FROM t WHERE before IS NOT NULL AND before <> now GROUP BY before, now""")
-C.sql("resume_todo", "A13", """
+C.sql("resume_todo", "C6", """
 SELECT p.page_id, lower(EXTRACT(url, '//([^/:?#]*)', 1)) AS host FROM {pages} p WHERE p.page_id NOT IN (SELECT doc_id FROM {documents} WHERE n_chars > 5000)""")
-C.sql("manifest_check", "A7 A19", """
+C.sql("manifest_check", "A7", """
 SELECT count(*) AS n, count(DISTINCT doc_id) AS keys, count(*) = count(DISTINCT doc_id) AS valid FROM {documents}""")
 
 

@@ -16,13 +16,13 @@ _TOKENS = "SELECT d.doc_id, x.w FROM (SELECT doc_id, DISTINCT_ITEMS(WORDS(REPLAC
 
 C.sql("normal_forms", "H1 H2", """
 SELECT doc_id, SHA(trim(REPLACE_ALL(replace(lower(text), 'ß', 'ss'), '[^a-zà-ÿ0-9]+', ' '))) AS collapsed, SHA(REPLACE_ALL(lower(text), '[^a-zà-ÿ0-9 ]', '')) AS spaced, SHA(REPLACE_ALL(replace(lower(text), ',', '.'), '[^a-z0-9. ]+', ' ')) AS ocr FROM {documents}""")
-C.sql("html_strip", "H2 A10 H32", """
+C.sql("html_strip", "H2", """
 SELECT page_id, length(REPLACE_ALL(html, '<[^>]*>', '')) AS chars, EXTRACT(html, '<h1>([^<]*)</h1>', 1) AS heading, EXTRACT(html, 'lang="([a-z]+)"', 1) AS lang FROM {pages}""")
 C.sql("first_number", "H4", """
 SELECT event_id, TRY_DOUBLE(replace(EXTRACT(props, '([0-9]+([.,][0-9]+)?)', 1), ',', '.')) AS number FROM {events}""")
 C.sql("duplicate_key", "H5 C11", """
 SELECT REPLACE_ALL(lower(concat_ws(' ', p_brand, p_name)), '[0-9%#]+', '') AS k, count(*) AS n, min(p_partkey) AS first_item FROM {part} GROUP BY 1""")
-C.sql("stable_jitter", "H18 J7", """
+C.sql("stable_jitter", "H18", """
 SELECT p_partkey, round(HEX_BYTE(left(SHA(concat('feed:', CAST(p_partkey AS VARCHAR(20)))), 2)) / 255, 6) AS jitter FROM {part}""")
 C.sql("idf_terms", "D22", f"""
 WITH t AS ({_TOKENS}), n AS (SELECT count(*) AS docs FROM {{documents}}), f AS (SELECT CASE WHEN length(w) > 5 THEN left(w, 5) ELSE w END AS stem, count(DISTINCT doc_id) AS df FROM t GROUP BY 1)

@@ -82,11 +82,6 @@ def test_whitening_gives_unit_variance(spark):
     assert np.allclose(np.cov(y.T, bias=True), np.eye(3), atol=1e-6)
 
 
-def test_keep_distinct(spark):
-    df = spark.createDataFrame([(0, 1, [0.0]), (0, 2, [0.05]), (0, 3, [1.0]), (1, 4, [0.0])], "g int, o int, v array<double>")
-    assert sorted(r.o for r in selection.keep_distinct(df, group="g", order="o", vector="v", radius=0.1).collect()) == [1, 3, 4]
-
-
 def test_bootstrap_brackets_mean(spark):
     row = search.bootstrap_mean(spark.range(500).select(F.xxhash64("id").alias("h"), F.col("id").cast("double").alias("x")), rounds=100).first()
     assert row.low < 249.5 < row.high and row.high - row.low < 80
