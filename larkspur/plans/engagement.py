@@ -259,3 +259,13 @@ def collection_counters(spark, sf_dir):
     rows = table(spark, sf_dir, "lineitem").join(table(spark, sf_dir, "orders"), F.col("l_orderkey") == F.col("o_orderkey")).select(F.col("o_custkey").alias("profile"), F.col("l_partkey").alias("item"), "l_returnflag", "l_linestatus", "l_quantity")
     kept = F.when((F.col("l_returnflag") == "N") & (F.col("l_linestatus") == "O"), F.col("l_quantity"))
     return ledger.collection_counters(rows, wished=F.col("l_quantity") > 45, bottles=kept, tried=F.col("l_returnflag") == "A")
+
+
+@C.query("kind_tabs", "B19", """
+WITH k AS (SELECT p_partkey, CASE WHEN p_type = 'PROMO' THEN 'sparkling' WHEN p_name LIKE 'red %' THEN 'red' WHEN p_name LIKE 'blue %' THEN 'white' END AS kind FROM part)
+SELECT kind, p_partkey FROM k WHERE kind IS NOT NULL""")
+def kind_tabs(spark, sf_dir):
+    """Items by tab: sparkling before colour; those of no tab are left out."""
+    color = F.split("p_name", " ")[0]
+    kind = F.when(F.col("p_type") == "PROMO", "sparkling").when(color == "red", "red").when(color == "blue", "white")
+    return table(spark, sf_dir, "part").select(kind.alias("kind"), "p_partkey").where("kind is not null")

@@ -4,27 +4,22 @@ from __future__ import annotations
 
 import datetime
 import json
-import uuid
 
 from pyspark.sql import functions as F
 
 from larkspur.plans.shared import Catalogue
 from larkspur.sources import annotations, files, html, remote, tables
-from larkspur.storage import shared_dir, table
+from larkspur.storage import scratch, table
 
 C = Catalogue()
 QUERIES, ORACLES, COVERS = C.QUERIES, C.ORACLES, C.COVERS
 
 
-def _folder(spark, label):
-    return f"{shared_dir(spark)}/larkspur-{label}-{uuid.uuid4().hex}"
-
-
 @C.query("csv_round_trip", "A1 A2", "SELECT n_nationkey, n_name || ', \"' || n_regionkey || '\"' AS n_name FROM nation UNION ALL SELECT 99, 'héhé, q'")
 def csv_round_trip(spark, sf_dir):
     """A table as CSV with quotes and commas and back, beside a file that begins with a byte-order mark."""
     rows = table(spark, sf_dir, "nation").select("n_nationkey", F.concat("n_name", F.lit(', "'), F.col("n_regionkey").cast("string"), F.lit('"')).alias("n_name"))
-    path = _folder(spark, "csv")
+    path = scratch(spark, "csv")
     tables.write_csv(rows, f"{path}/a")
     files.write_files(spark, f"{path}/b", {"x.csv": "\ufeffn_nationkey,n_name\n99,\"héhé, q\"\n".encode()})
     schema = "n_nationkey int, n_name string"
@@ -35,7 +30,7 @@ def csv_round_trip(spark, sf_dir):
 def json_document(spark, sf_dir):
     """One JSON object of objects as rows."""
     rows = table(spark, sf_dir, "region").collect()  # five rows
-    path = _folder(spark, "json")
+    path = scratch(spark, "json")
     files.write_files(spark, path, {"doc.json": json.dumps({r.r_name: {"n": r.r_regionkey} for r in rows}).encode()})
     return tables.read_json_document(spark, f"{path}/doc.json", "n:int").select("key", "value.n")
 
@@ -43,7 +38,7 @@ def json_document(spark, sf_dir):
 @C.query("json_lines_last_wins", "A6", "SELECT user_id AS id, max(event_id) AS n FROM events GROUP BY user_id")
 def json_lines_last_wins(spark, sf_dir):
     """JSON lines with malformed and torn ones: the last of a key stays."""
-    path = _folder(spark, "jsonl")
+    path = scratch(spark, "jsonl")
     good = table(spark, sf_dir, "events").select(F.to_json(F.struct(F.col("user_id").alias("id"), F.col("event_id").alias("n"))).alias("value"))
     bad = spark.createDataFrame([("not json",), ('{"id": 1, "n": 99999999',)], "value string")
     good.union(bad).write.text(path)
@@ -53,16 +48,16 @@ def json_lines_last_wins(spark, sf_dir):
 @C.query("manifest_scan", "A7", "SELECT 'q' || p_partkey AS query_id, 'img/' || p_partkey || '.jpg' AS image_path FROM part")
 def manifest_scan(spark, sf_dir):
     """A TSV manifest, checked for repeated ids and empty fields."""
-    path = _folder(spark, "tsv")
+    path = scratch(spark, "tsv")
     key = F.col("p_partkey").cast("string")
     table(spark, sf_dir, "part").select(F.concat(F.lit("q"), key).alias("query_id"), F.concat(F.lit("img/"), key, F.lit(".jpg")).alias("image_path")).write.csv(path, sep="\t", header=True)
     return tables.read_manifest(spark, path)
 
 
 @C.query("image_folder", "A9", "SELECT 'slug-' || r_regionkey AS slug, lower(r_name) || '.jpg' AS name, length(r_name) + 1 AS bytes FROM region")
-def image_folder(spark, sf_dir):
+def imagescratch(spark, sf_dir):
     """Images below a folder, named by the folder above them; other files are passed over."""
-    path = _folder(spark, "images")
+    path = scratch(spark, "images")
     held = {f"slug-{r.r_regionkey}/{r.r_name.lower()}.jpg": b"x" + r.r_name.encode() for r in table(spark, sf_dir, "region").collect()}  # five rows
     files.write_files(spark, path, held | {"slug-0/note.txt": b"no image"})
     return files.scan_images(spark, path).select("slug", "name", "bytes")
@@ -91,7 +86,7 @@ def page_state(spark, sf_dir):
 @C.query("paged_items", "A12", "SELECT r_regionkey + 1 AS page, '{\"n\": \"' || n_name || '\"}' AS item FROM nation JOIN region ON r_regionkey = n_regionkey")
 def paged_items(spark, sf_dir):
     """Items of a paged JSON interface, a page a partition."""
-    path = _folder(spark, "pages")
+    path = scratch(spark, "pages")
     held = {}
     for r in table(spark, sf_dir, "nation").orderBy("n_nationkey").collect():  # 25 rows
         held.setdefault(f"{r.n_regionkey + 1}.json", []).append({"n": r.n_name})
@@ -132,7 +127,7 @@ def remote_scores(spark, sf_dir):
 def report_sink(spark, sf_dir):
     """A summary written by source and read back."""
     rows = table(spark, sf_dir, "documents").where("source is not null").groupBy("source").agg(F.count("*").alias("files"), F.sum("n_chars").alias("chars"))
-    return spark.read.parquet(tables.write_report(rows, _folder(spark, "report"), "summary"))
+    return spark.read.parquet(tables.write_report(rows, scratch(spark, "report"), "summary"))
 
 
 @C.query("zip_export", "A17", "SELECT 'metadata' AS kind, (SELECT count(*) FROM supplier WHERE s_suppkey % 2 = 0) AS held UNION ALL SELECT 'files', (SELECT count(*) FROM supplier WHERE s_suppkey % 2 = 0)")
@@ -169,7 +164,7 @@ def yolo_lines(spark, sf_dir):
 @C.query("prediction_lines", "A19", "SELECT 'q' || doc_id AS query_id, sha256(text) AS image_sha256, CASE WHEN doc_id % 3 = 0 THEN NULL ELSE lang END AS predicted_slug FROM documents")
 def prediction_lines(spark, sf_dir):
     """Predictions as JSON lines, null answers included, and back."""
-    path = _folder(spark, "predictions")
+    path = scratch(spark, "predictions")
     key = F.col("doc_id").cast("string")
     rows = table(spark, sf_dir, "documents").select(F.concat(F.lit("q"), key).alias("query_id"), F.concat(F.lit("p"), key).alias("image_path"), F.sha2("text", 256).alias("image_sha256"), F.when(F.col("doc_id") % 3 != 0, F.col("lang")).alias("predicted_slug"), F.lit(1.5).alias("latency_ms"))
     tables.write_predictions(rows, path)
@@ -179,7 +174,7 @@ def prediction_lines(spark, sf_dir):
 @C.query("snapshot_restore", "A20", "SELECT s_suppkey, s_acctbal + 1 AS s_acctbal, 'b' AS version FROM supplier")
 def snapshot_restore(spark, sf_dir):
     """Two versions of a table; the later one is read."""
-    folder = _folder(spark, "versions")
+    folder = scratch(spark, "versions")
     rows = table(spark, sf_dir, "supplier").select("s_suppkey", "s_acctbal")
     tables.write_snapshot(rows, folder, "a")
     tables.write_snapshot(rows.withColumn("s_acctbal", F.col("s_acctbal") + 1), folder, "b")

@@ -29,12 +29,18 @@ def shared_dir(spark: SparkSession) -> str:
     return spark.sparkContext._jsc.sc().getCheckpointDir().get().rstrip("/")
 
 
+def scratch(spark: SparkSession, label: str) -> str:
+    """A path of its own in the shared folder, deleted when the interpreter ends."""
+    path = f"{shared_dir(spark)}/larkspur-{label}-{uuid.uuid4().hex}"
+    _written.append((spark, path))
+    return path
+
+
 def materialize(df: DataFrame, label: str) -> DataFrame:
     """Write df once as Parquet in the shared folder and read it back: cuts lineage, survives lost executors."""
     spark = df.sparkSession
-    path = f"{shared_dir(spark)}/larkspur-{label}-{uuid.uuid4().hex}"
+    path = scratch(spark, label)
     df.write.parquet(path)
-    _written.append((spark, path))
     written = spark.read.schema(df.schema).parquet(path)
     _paths[id(written)] = (written, path)
     return written

@@ -2,12 +2,10 @@
 
 from __future__ import annotations
 
-import uuid
-
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from larkspur.storage import shared_dir
+from larkspur.storage import scratch
 
 
 def hourly_counts(events: DataFrame, lateness: str = "10 minutes") -> DataFrame:
@@ -27,7 +25,7 @@ def hourly(schema_of: DataFrame, path: str) -> DataFrame:
     spark = schema_of.sparkSession
     folder, _, name = path.rpartition("/")
     source = spark.readStream.schema(schema_of.schema).option("pathGlobFilter", "*.parquet").parquet(f"{folder}/{name.replace('.parquet', '.parquet*')}")
-    out = f"{shared_dir(spark)}/larkspur-stream-{uuid.uuid4().hex}"
+    out = scratch(spark, "stream")
     query = (
         hourly_counts(source)
         .writeStream.outputMode("complete")
