@@ -32,6 +32,7 @@ from larkspur.storage import materialize, table
 SHINGLE_WORDS = 5
 SIMILARITY_PERCENT = 75
 COLLECTIONS = 10
+HOT = 1000
 ROWS = 2
 WORD_MEMO = 1 << 19
 _MIX = np.uint64(0x9E3779B97F4A7C15)
@@ -159,9 +160,13 @@ def near_duplicates(docs: DataFrame, *, id_col="doc_id", text_col="text") -> Dat
     links = materialize(_confirmed(pairs, sets), "links")
     links = links.union(_finish(keys, sets, links))
     parts = connected_components(links)
-    heads_of = signs.where("n > 0").groupBy("print").agg(F.min("doc_id").alias("head"))
-    placed = signs.select("doc_id", "n", "print").join(heads_of, "print", "left")
-    placed = placed.join(parts, placed["head"] == parts["node"], "left")
+    heads_of = signs.where("n > 0").groupBy("print").agg(F.min("doc_id").alias("head"), F.count("*").alias("copies"))
+    named = materialize(heads_of.join(parts, heads_of["head"] == parts["node"], "left").select("print", "head", "component", "copies"), "named")
+    # Copies of one set meet by its print; sets with more than 1 / HOT of all rows are fewer than HOT and are broadcast.
+    total = named.agg(F.sum("copies").alias("total"))
+    hot = materialize(named.crossJoin(F.broadcast(total)).where(F.col("copies") * HOT > F.col("total")).select("print", "head", "component"), "hot")
+    rows = signs.select("doc_id", "n", "print")
+    placed = rows.join(F.broadcast(hot), "print").unionByName(rows.join(F.broadcast(hot.select("print")), "print", "left_anti").join(named.drop("copies"), "print", "left"))
     component = F.when(F.col("doc_id").isNotNull(), F.coalesce("component", "head", "doc_id"))
     return placed.select("doc_id", F.col("n").alias("n_shingles"), component.alias("component_id")).withColumn("kept", F.coalesce(F.col("doc_id") == F.col("component_id"), F.lit(True)))
 
