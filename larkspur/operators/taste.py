@@ -156,16 +156,16 @@ def packed_vectors(vectors: DataFrame, key: list[str]) -> DataFrame:
     return vectors.groupBy(*key).agg(F.collect_list(one).alias("features"))
 
 
-def ranked_items(profiles: DataFrame, seeds: DataFrame, items: DataFrame, *, k: int, score: Callable = personal_score, slack: float = 0.0, item_block: int = 512, profile_block: int = 1024) -> DataFrame:
+def ranked_items(profiles: DataFrame, seeds: DataFrame, items: DataFrame, *, k: int, score: Callable = personal_score, slack: float = 0.0, item_block: int = 512, profile_block: int = 4096, lanes: int = 8) -> DataFrame:
     """(profile, item, score, source, source_sim, penalty): the k best items of every profile and, with slack, all within it of the k-th.
 
     profiles: profile, confidence, guard, levels (liked ones), seen (items left out). seeds: profile,
     item, label, w, features; label is null for a liked or disliked item and names an answer otherwise,
     which is compared only on the kinds of features that it has. items: item, level, prior, features.
 
-    Profiles are dealt to tasks by block, with each seed's vector once a block; blocks of items are
-    streamed past them, one matrix product each, and only what can still be among the k best leaves the
-    task. No task holds more than one block of either side.
+    A block of profiles, with each seed's vector once, goes to at most `lanes` tasks; each streams its
+    share of the blocks of items past it, one matrix product each, and only what can still be among the
+    k best leaves the task. No task holds more than one block of either side.
     """
     n_profiles = max(1, -(-profiles.count() // profile_block))
     n_items = max(1, -(-items.count() // item_block))
@@ -178,10 +178,12 @@ def ranked_items(profiles: DataFrame, seeds: DataFrame, items: DataFrame, *, k:
     told = told.groupBy("a").agg(F.collect_list("p").alias("profiles"))
     once = tagged.select(deal, "seed", "label", "features").groupBy("a", "seed").agg(F.first("label").alias("label"), F.first("features").alias("features"))
     once = once.groupBy("a").agg(F.collect_list(F.struct("seed", "label", "features")).alias("vectors"))
+    lanes = min(lanes, n_items)
+    counted = lambda n: F.explode(F.sequence(F.lit(0).cast("long"), F.lit(n - 1).cast("long")))
     held = items.groupBy(F.pmod(F.xxhash64("item"), F.lit(n_items)).alias("b")).agg(F.sort_array(F.collect_list(F.struct("item", "level", "prior", "features"))).alias("items"))
-    spread = held.select(F.explode(F.sequence(F.lit(0).cast("long"), F.lit(n_profiles - 1).cast("long"))).alias("a"), (F.col("b") + 1).alias("seq"), "items")
-    rows = told.join(once, "a", "left").withColumn("seq", F.lit(0).cast("long")).unionByName(spread, allowMissingColumns=True)
-    dealt = rows.repartition(min(n_profiles, 4096), "a").sortWithinPartitions("a", "seq").select("seq", "profiles", "vectors", "items")
+    spread = held.select(counted(n_profiles).alias("a"), F.pmod("b", F.lit(lanes)).alias("lane"), (F.col("b") + 1).alias("seq"), "items")
+    rows = told.join(once, "a", "left").select("a", counted(lanes).alias("lane"), F.lit(0).cast("long").alias("seq"), "profiles", "vectors").unionByName(spread, allowMissingColumns=True)
+    dealt = rows.repartition(min(n_profiles * lanes, 4096), "a", "lane").sortWithinPartitions("a", "lane", "seq").select("seq", "profiles", "vectors", "items")
     kind, who = (df.schema[c].dataType.simpleString() for df, c in ((items, "item"), (profiles, "profile")))
 
     def run(batches):
@@ -225,74 +227,97 @@ class _ItemBlock:
 
 
 class _Profiles:
-    """A block of profiles with the vectors of their seeds."""
+    """A block of profiles with the vectors of their seeds, in groups of a bounded number of seeds."""
 
-    def __init__(self, profiles: pa.StructArray, vectors: pa.StructArray):
+    def __init__(self, profiles: pa.StructArray, vectors: pa.StructArray, most: int = 1 << 15):
         self.kind = profiles.type.field(0).type
-        self.rows = profiles.to_pylist()
         place = {name: i for i, name in enumerate(vectors.field(0).to_pylist())}
-        self.features = _flat(vectors.field(2))
-        self.n = len(vectors)
-        self.partial = np.flatnonzero(np.array([x is not None for x in vectors.field(1).to_pylist()], bool))
-        for p in self.rows:
-            p["seeds"] = p["seeds"] or []
-            likes, dislikes = ([s for s in p["seeds"] if (s["v"] < 0) == sign] for sign in (True, False))
-            p["likes"] = np.array([place[s["seed"]] for s in likes], np.int64), -np.array([s["v"] for s in likes])[:, None]
-            p["dislikes"] = np.array([place[s["seed"]] for s in dislikes], np.int64), np.array([s["v"] for s in dislikes])[:, None]
-            p["names"] = np.array([str(s["item"]) if s["label"] is None else s["label"] for s in likes] + [None], object)
-
-    def similarities(self, block: _ItemBlock) -> np.ndarray:
-        """(seeds x items)."""
-        owner, f, k, x = self.features
+        owner, *held = _flat(vectors.field(2))
+        first = np.searchsorted(owner, np.arange(len(vectors) + 1))
+        labelled = np.array([x is not None for x in vectors.field(1).to_pylist()], bool)
+        self.groups, rows, index = [], [], {}
+
+        def closed():
+            if rows:
+                which = np.fromiter(index, np.int64, len(index))
+                sizes = first[which + 1] - first[which]
+                at = np.repeat(first[which] - np.cumsum(sizes) + sizes, sizes) + np.arange(int(sizes.sum()))
+                self.groups.append((list(rows), len(which), np.repeat(np.arange(len(which)), sizes), *(c[at] for c in held), np.flatnonzero(labelled[which])))
+
+        for p in profiles.to_pylist():
+            seeds = p.pop("seeds") or []
+            if len(index) + len(seeds) > most:
+                closed()
+                rows, index = [], {}
+            at = np.array([index.setdefault(place[s["seed"]], len(index)) for s in seeds], np.int64)
+            v = np.array([s["v"] for s in seeds], float)
+            p["likes"], p["dislikes"] = (at[v < 0], -v[v < 0][:, None]), (at[v > 0], v[v > 0][:, None])
+            p["names"] = np.array([str(s["item"]) if s["label"] is None else s["label"] for s in seeds if s["v"] < 0] + [None], object)
+            p["best"] = np.empty(0)  # the k best scores so far
+            rows.append(p)
+        closed()
+
+    @staticmethod
+    def similarities(group: tuple, block: _ItemBlock) -> np.ndarray:
+        """(seeds x items), to nine digits."""
+        _, n, owner, f, k, x, partial = group
         at = np.searchsorted(block.names, f)
         at[at == len(block.names)] = 0
         met = block.names[at] == f if len(block.names) else np.zeros(len(f), bool)
-        out = np.zeros((self.n, len(block.ids)))
-        for begin in range(0, self.n, 8192):
-            here = met & (owner >= begin) & (owner < begin + 8192)
-            dense = np.zeros((min(8192, self.n - begin), len(block.names)))
-            dense[owner[here] - begin, at[here]] = x[here]
-            out[begin : begin + 8192] = dense @ block.matrix
-        for i in self.partial:
+        dense = np.zeros((n, len(block.names)))
+        dense[owner[met], at[met]] = x[met]
+        out = dense @ block.matrix
+        for i in partial:
             length = np.sqrt(block.squares[np.isin(block.kinds, k[owner == i])].sum(axis=0))
             out[i] = np.divide(out[i], length, out=np.zeros_like(length), where=length > 0)
-        return out
+        return np.round(out, 9, out=out)
 
     def ranked(self, block: _ItemBlock, k: int, score: Callable, slack: float):
-        sims = self.similarities(block)
-        for begin in range(0, len(self.rows), 256):
-            part = self.rows[begin : begin + 256]
-            out = [_ranked_profile(p, sims, block, k, score, slack) for p in part]
-            at, total, source, source_sim, penalty = (np.concatenate(c) for c in zip(*out, strict=True))
-            who = pa.array([p["profile"] for p, o in zip(part, out, strict=True) for _ in range(len(o[0]))], self.kind)
-            yield pa.RecordBatch.from_arrays([who, block.items.take(pa.array(at)), pa.array(total), pa.array(source.tolist(), pa.string()), pa.array(source_sim), pa.array(penalty)], ["profile", "item", "score", "source", "source_sim", "penalty"])
+        for group in self.groups:
+            sims = self.similarities(group, block)
+            for begin in range(0, len(group[0]), 512):
+                part = group[0][begin : begin + 512]
+                out = [_ranked_profile(p, sims, block, k, score, slack) for p in part]
+                at, total, source, source_sim, penalty = (np.concatenate(c) for c in zip(*out, strict=True))
+                if len(at):
+                    who = pa.array([p["profile"] for p, o in zip(part, out, strict=True) for _ in range(len(o[0]))], self.kind)
+                    yield pa.RecordBatch.from_arrays([who, block.items.take(pa.array(at)), pa.array(total), pa.array(source.tolist(), pa.string()), pa.array(source_sim), pa.array(penalty)], ["profile", "item", "score", "source", "source_sim", "penalty"])
 
 
 def _ranked_profile(p: dict, sims: np.ndarray, block: _ItemBlock, k: int, score: Callable, slack: float):
     """Items (places in the block), scores, sources, similarities to them and penalties of what may be among the k best."""
     n = len(block.ids)
-    best, second, penalty, source, source_sim = np.zeros(n), np.zeros(n), np.zeros(n), np.full(n, -1), np.zeros(n)
+    best = second = penalty = source_sim = np.zeros(n)
+    source = np.full(n, -1)
     who, w = p["likes"]
     if len(who):
-        v = np.round(w * sims[who], 9)
+        v = sims[who]
+        v *= w
         first = v.argmax(axis=0)  # the first of equals, likes in order of weight
-        best = np.maximum(v[first, np.arange(n)], 0.0)
-        source = np.where(best > 0, first, -1)
-        source_sim = np.where(best > 0, sims[who[first], np.arange(n)], 0.0)
-        v[first, np.arange(n)] = 0.0
-        second = np.maximum(v.max(axis=0), 0.0)
+        across = np.arange(n)
+        top = v[first, across]
+        best, source = np.maximum(top, 0.0), np.where(top > 0, first, -1)
+        source_sim = np.where(top > 0, sims[who[first], across], 0.0)
+        if len(who) > 1:
+            v[first, across] = -1.0
+            second = np.maximum(v.max(axis=0), 0.0)
     who, w = p["dislikes"]
     if len(who):
-        penalty = np.maximum(np.round(w * sims[who], 9).max(axis=0), 0.0)
+        penalty = np.maximum((w * sims[who]).max(axis=0), 0.0)
     extra = {}
     if score is not personal_score:
         off = ~np.isin(block.levels, np.array(p["levels"] or [], object)) if p["guard"] else np.zeros(n)
         extra = {"prior": block.prior, "confidence": p["confidence"], "off_level": off}
     total = np.round(score(best=best, second=second, penalty=penalty, **extra), 6)
     places = np.flatnonzero(~np.isin(block.ids, p["seen"])) if p["seen"] else np.arange(n)
-    if len(places) > k:  # ties with the k-th stay until ids decide
-        values = total[places]
-        places = places[values >= np.partition(values, -k)[-k] - slack]
-    if not slack:
-        places = places[np.lexsort((block.ids[places], -total[places]))[:k]]
+    values = total[places]
+    seen_best = np.concatenate([p["best"], values])
+    if len(seen_best) > k:  # ties with the k-th stay until ids decide
+        p["best"] = np.partition(seen_best, -k)[-k:]
+        stay = values >= p["best"].min() - slack
+        places, values = places[stay], values[stay]
+    else:
+        p["best"] = seen_best
+    if not slack and len(places) > k:
+        places = places[np.lexsort((block.ids[places], -values))[:k]]
     return places, total[places], p["names"][source[places]], source_sim[places], penalty[places]

@@ -107,8 +107,8 @@ weights AS (SELECT profile, item, (CASE WHEN rating = 5 THEN 1.0 WHEN rating = 4
   ELSE least(0.9, CASE WHEN opened > 0 THEN 0.45 + 0.1 * least(opened - 1, 2) ELSE 0 END + CASE WHEN quantity > 0 THEN 0.35 ELSE 0 END + CASE WHEN tried THEN 0.25 ELSE 0 END + CASE WHEN swipe = 'like' THEN 0.35 ELSE 0 END) END)::DOUBLE AS w FROM signals)"""
 _SIMS = "sims AS (SELECT a.item AS u, b.item AS v, sum(a.x * b.x) AS sim FROM vectors a JOIN vectors b USING (feature) GROUP BY 1, 2)"
 _SEEDS = "seeds AS (SELECT profile, item, w FROM weights WHERE w <> 0 QUALIFY row_number() OVER (PARTITION BY profile, w > 0 ORDER BY abs(w) DESC, item) <= 40)"
-_BEST = """likes AS (SELECT profile, v AS item, max(struct_pack(s := round(w * sim, 9), i := -u, raw := sim), 2) AS two FROM seeds JOIN sims ON u = seeds.item WHERE w > 0 GROUP BY 1, 2),
-dislikes AS (SELECT profile, v AS item, max(round(-w * sim, 9)) AS p FROM seeds JOIN sims ON u = seeds.item WHERE w < 0 GROUP BY 1, 2)"""
+_BEST = """likes AS (SELECT profile, v AS item, max(struct_pack(s := w * round(sim, 9), i := -u, raw := sim), 2) AS two FROM seeds JOIN sims ON u = seeds.item WHERE w > 0 GROUP BY 1, 2),
+dislikes AS (SELECT profile, v AS item, max(-w * round(sim, 9)) AS p FROM seeds JOIN sims ON u = seeds.item WHERE w < 0 GROUP BY 1, 2)"""
 
 
 @C.query("item_vectors", "J1 H23", f"WITH {_VECTORS} SELECT item, block, feature, round(x, 6) AS x FROM vectors")
@@ -270,7 +270,7 @@ dots AS (SELECT profile, item, sum(a.x * v.x) AS dot FROM answers a JOIN vectors
 lens AS (SELECT item, kind, sum(x * x) AS q FROM vectors GROUP BY 1, 2),
 kinds AS (SELECT DISTINCT profile, kind FROM answers),
 subs AS (SELECT d.profile, d.item, d.dot, sqrt(sum(q)) AS len FROM dots d JOIN kinds k ON k.profile = d.profile JOIN lens l ON l.item = d.item AND l.kind = k.kind GROUP BY 1, 2, 3),
-s AS (SELECT profile, item, round(round(0.6 * dot / len, 9), 6) AS score FROM subs)
+s AS (SELECT profile, item, round(0.6 * round(dot / len, 9), 6) AS score FROM subs)
 SELECT profile, item, score FROM s QUALIFY row_number() OVER (PARTITION BY profile ORDER BY score DESC, item) <= 10""")
 def virtual_items(spark, sf_dir):
     """Items nearest to what onboarding answers describe, compared only on the kinds of features that the answers have."""
