@@ -8,11 +8,12 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from larkspur.operators import taste
+from larkspur.operators.pruning import EXPLORE
 from larkspur.operators.selection import pool_for, top_per_group
+from larkspur.storage import materialize
 
 REDUNDANCY, STYLE_REPEAT, GRAPE_REPEAT, PER_PRODUCER = 0.35, 0.1, 0.12, 2
 NEAR = 0.45  # likeness from which an item counts towards the taste of its source
-EXPLORE = "explore"
 
 
 def interest_of(cards: DataFrame) -> DataFrame:
@@ -38,12 +39,13 @@ def picked(pool: DataFrame, *, n: int, interests: bool) -> DataFrame:
     repeated style costs instead. One item of a duplicate group, two of a producer; slots left are
     filled from those. Pools are cut first, by interest or as a whole, so a group is bounded.
     """
-    cut = top_per_group(pool, ["profile", "interest"], [F.desc("score"), "item"], max(n * 15, 60)) if interests else top_per_group(pool, ["profile"], [F.desc("score"), "item"], pool_for(n))
+    cut = top_per_group(pool, ["profile", "interest"], [F.desc("score"), "item"], pool_by_interest(n)) if interests else top_per_group(pool, ["profile"], [F.desc("score"), "item"], pool_for(n))
+    cut = cut.withColumns({"f": F.col("features.f"), "x": F.col("features.x")}).drop("features")
     kinds = {f.name: f.dataType.simpleString() for f in pool.schema}
 
     def pick(rows: pd.DataFrame) -> pd.DataFrame:
         rows = rows.sort_values(["score", "item"], ascending=[False, True], kind="stable").reset_index(drop=True)
-        sims = _similarities(rows.features)
+        vectors = _dense(rows.f, rows.x)
         score, producer, group, style, grape = (rows[c].to_numpy() for c in ("score", "producer", "duplicate_of", "style", "grape"))
         interest = rows.interest.to_numpy() if interests else np.full(len(rows), "", object)
         shares = dict(zip(interest, rows.share.fillna(0.0), strict=True))
@@ -65,7 +67,7 @@ def picked(pool: DataFrame, *, n: int, interests: bool) -> DataFrame:
             groups.add(group[t])
             producers[producer[t]] = producers.get(producer[t], 0) + 1
             taken[interest[t]] = taken.get(interest[t], 0) + 1
-            overlap = np.maximum(overlap, sims[t])
+            overlap = np.maximum(overlap, vectors @ vectors[t])
             repeat += GRAPE_REPEAT * ((grape == grape[t]) & (grape != "")) + (0 if interests else STYLE_REPEAT * (style == style[t]))
         for t in capped:
             if len(chosen) < n and group[t] not in groups:
@@ -76,30 +78,35 @@ def picked(pool: DataFrame, *, n: int, interests: bool) -> DataFrame:
     return cut.groupBy("profile").applyInPandas(pick, f"profile {kinds['profile']}, slot int, item {kinds['item']}, interest string")
 
 
-def _similarities(features: pd.Series) -> np.ndarray:
-    lists = [[] if x is None else x for x in features]
-    names = {f: k for k, f in enumerate(sorted({r["f"] for x in lists for r in x}))}
-    dense = np.zeros((len(lists), max(1, len(names))))
-    for i, x in enumerate(lists):
-        for r in x:
-            dense[i, names[r["f"]]] = r["x"]
-    return dense @ dense.T
+def _dense(names: pd.Series, values: pd.Series) -> np.ndarray:
+    """Vectors given as arrays of features and of their values, in the columns of all features that occur."""
+    held = [np.empty(0, np.int64) if f is None else f for f in names]
+    owner = np.repeat(np.arange(len(held)), [len(f) for f in held])
+    found, at = np.unique(np.concatenate(held), return_inverse=True)
+    out = np.zeros((len(held), max(1, len(found))))
+    out[owner, at] = np.concatenate([np.empty(0) if x is None else x for x in values])
+    return out
 
 
-def feed(pool: DataFrame, weights: DataFrame, cards: DataFrame, vectors: DataFrame, *, n: int, answer_weight: float) -> DataFrame:
-    """Feeds from ranked pools (profile, item, score, source, source_sim): a slot plan over each profile's tastes and exploring."""
+def pool_by_interest(n: int) -> int:
+    """How many of the best of an interest compete for n slots."""
+    return max(n * 15, 60)
+
+
+def feed(pool: DataFrame, weights: DataFrame, answers: DataFrame, cards: DataFrame, vectors: DataFrame, *, n: int) -> DataFrame:
+    """Feeds from the best items of each interest (profile, item, score, interest): slots by the evidence of interests, the rest explores.
+
+    weights: (profile, item, w); answers: (profile, label, w), each answer an interest of its own.
+    """
     about = interest_of(cards)
     liked = weights.where("w > 0").join(about.select("item", "interest"), "item").select("profile", "interest", "w")
-    named = pool.join(about.select(F.col("item").cast("string").alias("source"), F.col("interest").alias("source_interest")), "source", "left")
-    answers = named.where("source is not null and source_interest is null").select("profile", F.col("source").alias("interest"), F.lit(answer_weight).alias("w")).distinct()
-    sums = liked.unionByName(answers).groupBy("profile", "interest").agg(F.sum("w").alias("w"))
+    sums = liked.unionByName(answers.select("profile", F.col("label").alias("interest"), F.col("w").cast("double").alias("w"))).groupBy("profile", "interest").agg(F.sum("w").alias("w"))
     total = F.sum("w").over(Window.partitionBy("profile"))
-    sure = taste.confidence(weights).select("profile", "confidence")
+    sure = taste.confidence(weights, answers).select("profile", "confidence")
     shares = sums.withColumn("total", total).join(sure, "profile").select("profile", "interest", (F.col("w") / F.col("total") * F.col("confidence")).alias("share"))
-    near = F.when(F.col("source_sim") >= NEAR, F.coalesce("source_interest", "source"))
-    placed = named.withColumn("near", near).join(shares.select("profile", F.col("interest").alias("near"), "share"), ["profile", "near"], "left").join(sure, "profile")
-    explore = F.col("share").isNull()
-    placed = placed.select("profile", "item", "score", F.when(explore, EXPLORE).otherwise(F.col("near")).alias("interest"), F.when(explore, (1 - F.col("confidence")) / 2).otherwise(F.col("share")).alias("share"))
+    placed = pool.join(shares, ["profile", "interest"], "left").join(sure, "profile")
+    share = F.when(F.col("interest") == EXPLORE, (1 - F.col("confidence")) / 2).otherwise(F.col("share"))
+    placed = placed.select("profile", "item", "score", "interest", share.alias("share"))
     return picked(placed.join(about.drop("interest"), "item").join(vectors, "item", "left"), n=n, interests=True)
 
 
@@ -112,11 +119,11 @@ def cold_start(scores: DataFrame, cards: DataFrame, vectors: DataFrame, *, n: in
     return picked(pool, n=n, interests=True).select("slot", "item", "interest")
 
 
-def nearest(packed: DataFrame, *, asked: str, k: int, group: str | None = None) -> DataFrame:
-    """(q, item, sim): the k items most like each asked one, from (item, features); with a group column, of other groups only."""
+def nearest(packed: DataFrame, *, asked: str | DataFrame, k: int, group: str | None = None) -> DataFrame:
+    """(q, item, sim): the k items most like each asked one (a condition or a table of items), from (item, features); with a group column, of other groups only."""
     column: Column = F.lit("") if group is None else F.col(group).cast("string")
     items = packed.select("item", column.alias("level"), F.lit(0.0).alias("prior"), "features")
-    chosen = items.where(asked)
+    chosen = items.where(asked) if isinstance(asked, str) else items.join(asked, "item", "left_semi")
     profiles = chosen.select(F.col("item").alias("profile"), F.lit(1.0).alias("confidence"), F.lit(group is not None).alias("guard"), F.array("level").alias("levels"), F.array("item").alias("seen"))
     seeds = chosen.select(F.col("item").alias("profile"), "item", F.lit(None).cast("string").alias("label"), F.lit(1.0).alias("w"), "features")
 
@@ -181,8 +188,9 @@ def refill(lines: DataFrame, packed: DataFrame, *, last: int, near: int) -> Data
     done = rows.where("l_returnflag = 'A' and l_linestatus = 'F'").groupBy("profile", "item").agg(F.max("o_orderdate").alias("latest"))
     kept = rows.where("l_returnflag = 'N' and l_linestatus = 'O'").select("profile", "item").distinct()
     finished = top_per_group(done.join(kept, ["profile", "item"], "left_anti"), ["profile"], [F.desc("latest"), "item"], last)
-    near_by = nearest(packed, asked="true", k=near).select(F.col("q").alias("finished"), "item")
-    return finished.select("profile", F.col("item").alias("finished")).join(near_by, "finished").select("profile", "finished", "item")
+    finished = materialize(finished.select("profile", F.col("item").alias("finished")), "finished")
+    near_by = nearest(packed, asked=finished.select(F.col("finished").alias("item")).distinct(), k=near).select(F.col("q").alias("finished"), "item")
+    return finished.join(near_by, "finished").select("profile", "finished", "item")
 
 
 def match_percent(pairs: DataFrame, weights: DataFrame, cards: DataFrame) -> DataFrame:

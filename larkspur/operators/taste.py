@@ -10,10 +10,11 @@ from __future__ import annotations
 from collections.abc import Callable
 
 import numpy as np
-import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from larkspur.operators.pruning import ranked
+
 # How much each block counts.
 BLOCKS = {"style": 1.0, "grape": 0.6, "text": 1.0, "dish": 0.6, "region": 0.2, "winery": 0.25, "body": 0.35, "taste": 0.4, "aroma": 0.3}
 # Evidence of a rating, most liked first.
@@ -114,10 +115,15 @@ def evidence() -> Column:
     return rated.when(F.coalesce(F.col("not_for_me"), F.lit(False)), F.lit(-0.5)).when(F.col("swipe") == "nope", F.lit(-0.4)).otherwise(F.least(liked, F.lit(0.9)))
 
 
-def confidence(weights: DataFrame) -> DataFrame:
-    """(profile, evidence, confidence) from (profile, item, w): dislikes count half, and e / (e + 1.5) grows towards 1."""
-    total = F.sum(F.when(F.col("w") > 0, F.col("w")).otherwise(-0.5 * F.col("w")))
-    return weights.groupBy("profile").agg(total.alias("evidence")).withColumn("confidence", F.col("evidence") / (F.col("evidence") + 1.5))
+def confidence(weights: DataFrame, answers: DataFrame | None = None) -> DataFrame:
+    """(profile, evidence, confidence) from (profile, item, w): dislikes count half, and e / (e + 1.5) grows towards 1.
+
+    answers: (profile, w) of onboarding answers, which count as likes; a profile may have nothing else.
+    """
+    rows = weights.select("profile", F.when(F.col("w") > 0, F.col("w")).otherwise(-0.5 * F.col("w")).alias("w"))
+    if answers is not None:
+        rows = rows.unionByName(answers.select("profile", F.col("w").cast("double").alias("w")))
+    return rows.groupBy("profile").agg(F.sum("w").alias("evidence")).withColumn("confidence", F.col("evidence") / (F.col("evidence") + 1.5))
 
 
 def prior(ratings: DataFrame, scans: DataFrame, items: DataFrame) -> DataFrame:
@@ -156,168 +162,6 @@ def packed_vectors(vectors: DataFrame, key: list[str]) -> DataFrame:
     return vectors.groupBy(*key).agg(F.collect_list(one).alias("features"))
 
 
-def ranked_items(profiles: DataFrame, seeds: DataFrame, items: DataFrame, *, k: int, score: Callable = personal_score, slack: float = 0.0, item_block: int = 512, profile_block: int = 4096, lanes: int = 8) -> DataFrame:
-    """(profile, item, score, source, source_sim, penalty): the k best items of every profile and, with slack, all within it of the k-th.
-
-    profiles: profile, confidence, guard, levels (liked ones), seen (items left out). seeds: profile,
-    item, label, w, features; label is null for a liked or disliked item and names an answer otherwise,
-    which is compared only on the kinds of features that it has. items: item, level, prior, features.
-
-    A block of profiles, with each seed's vector once, goes to at most `lanes` tasks; each streams its
-    share of the blocks of items past it, one matrix product each, and only what can still be among the
-    k best leaves the task. No task holds more than one block of either side.
-    """
-    n_profiles = max(1, -(-profiles.count() // profile_block))
-    n_items = max(1, -(-items.count() // item_block))
-    deal = F.pmod(F.xxhash64("profile"), F.lit(n_profiles)).alias("a")
-    named = F.when(F.col("label").isNull(), F.concat(F.lit("item:"), F.col("item").cast("string"))).otherwise(F.concat_ws(":", F.lit("answer"), F.col("profile").cast("string"), "label"))
-    tagged = seeds.select("profile", "item", "label", "w", named.alias("seed"), "features")
-    order = F.sort_array(F.collect_list(F.struct(F.col("label").isNotNull().alias("late"), (-F.col("w")).alias("v"), "item", "label", "seed")))
-    own = tagged.groupBy("profile").agg(order.alias("seeds"))
-    told = profiles.join(own, "profile", "left").select(deal, F.struct("profile", "confidence", "guard", "levels", "seen", "seeds").alias("p"))
-    told = told.groupBy("a").agg(F.collect_list("p").alias("profiles"))
-    once = tagged.select(deal, "seed", "label", "features").groupBy("a", "seed").agg(F.first("label").alias("label"), F.first("features").alias("features"))
-    once = once.groupBy("a").agg(F.collect_list(F.struct("seed", "label", "features")).alias("vectors"))
-    lanes = min(lanes, n_items)
-    counted = lambda n: F.explode(F.sequence(F.lit(0).cast("long"), F.lit(n - 1).cast("long")))
-    held = items.groupBy(F.pmod(F.xxhash64("item"), F.lit(n_items)).alias("b")).agg(F.sort_array(F.collect_list(F.struct("item", "level", "prior", "features"))).alias("items"))
-    spread = held.select(counted(n_profiles).alias("a"), F.pmod("b", F.lit(lanes)).alias("lane"), (F.col("b") + 1).alias("seq"), "items")
-    rows = told.join(once, "a", "left").select("a", counted(lanes).alias("lane"), F.lit(0).cast("long").alias("seq"), "profiles", "vectors").unionByName(spread, allowMissingColumns=True)
-    dealt = rows.repartition(min(n_profiles * lanes, 4096), "a", "lane").sortWithinPartitions("a", "lane", "seq").select("seq", "profiles", "vectors", "items")
-    kind, who = (df.schema[c].dataType.simpleString() for df, c in ((items, "item"), (profiles, "profile")))
-
-    def run(batches):
-        asked = None
-        for batch in batches:
-            for row in range(batch.num_rows):
-                one = batch.slice(row, 1)
-                if one.column(0)[0].as_py() == 0:
-                    asked = _Profiles(one.column(1).flatten(), one.column(2).flatten())
-                else:
-                    yield from asked.ranked(_ItemBlock(one.column(3).flatten()), k, score, slack)
-
-    local = dealt.mapInArrow(run, f"profile {who}, item {kind}, score double, source string, source_sim double, penalty double")
-    ranked = local.withColumn("rank", F.row_number().over(Window.partitionBy("profile").orderBy(F.desc("score"), "item")))
-    if slack:
-        floor = F.min(F.when(F.col("rank") <= k, F.col("score"))).over(Window.partitionBy("profile"))
-        return ranked.withColumn("floor", floor).where(F.col("score") >= F.col("floor") - slack).drop("floor", "rank")
-    return ranked.where(F.col("rank") <= k).drop("rank")
-
-
-def _flat(features: pa.Array) -> tuple[np.ndarray, ...]:
-    """(owner, f, k, x) of an array of feature lists."""
-    sizes = features.value_lengths().fill_null(0).to_numpy(zero_copy_only=False)
-    flat = features.flatten()
-    return (np.repeat(np.arange(len(features)), sizes), *(flat.field(i).to_numpy(zero_copy_only=False) for i in range(3)))
-
-
-class _ItemBlock:
-    def __init__(self, rows: pa.StructArray):
-        self.items = rows.field(0)
-        self.ids = np.array(self.items.to_pylist())
-        self.levels = np.array(rows.field(1).to_pylist(), object)
-        self.prior = rows.field(2).fill_null(0.0).to_numpy(zero_copy_only=False)
-        owner, f, k, x = _flat(rows.field(3))
-        self.names, at = np.unique(f, return_inverse=True)
-        self.matrix = np.zeros((len(self.names), len(rows)))
-        self.matrix[at, owner] = x
-        self.kinds, at = np.unique(k, return_inverse=True)
-        self.squares = np.zeros((len(self.kinds), len(rows)))
-        np.add.at(self.squares, (at, owner), x * x)
-
-
-class _Profiles:
-    """A block of profiles with the vectors of their seeds, in groups of a bounded number of seeds."""
-
-    def __init__(self, profiles: pa.StructArray, vectors: pa.StructArray, most: int = 1 << 15):
-        self.kind = profiles.type.field(0).type
-        place = {name: i for i, name in enumerate(vectors.field(0).to_pylist())}
-        owner, *held = _flat(vectors.field(2))
-        first = np.searchsorted(owner, np.arange(len(vectors) + 1))
-        labelled = np.array([x is not None for x in vectors.field(1).to_pylist()], bool)
-        self.groups, rows, index = [], [], {}
-
-        def closed():
-            if rows:
-                which = np.fromiter(index, np.int64, len(index))
-                sizes = first[which + 1] - first[which]
-                at = np.repeat(first[which] - np.cumsum(sizes) + sizes, sizes) + np.arange(int(sizes.sum()))
-                self.groups.append((list(rows), len(which), np.repeat(np.arange(len(which)), sizes), *(c[at] for c in held), np.flatnonzero(labelled[which])))
-
-        for p in profiles.to_pylist():
-            seeds = p.pop("seeds") or []
-            if len(index) + len(seeds) > most:
-                closed()
-                rows, index = [], {}
-            at = np.array([index.setdefault(place[s["seed"]], len(index)) for s in seeds], np.int64)
-            v = np.array([s["v"] for s in seeds], float)
-            p["likes"], p["dislikes"] = (at[v < 0], -v[v < 0][:, None]), (at[v > 0], v[v > 0][:, None])
-            p["names"] = np.array([str(s["item"]) if s["label"] is None else s["label"] for s in seeds if s["v"] < 0] + [None], object)
-            p["best"] = np.empty(0)  # the k best scores so far
-            rows.append(p)
-        closed()
-
-    @staticmethod
-    def similarities(group: tuple, block: _ItemBlock) -> np.ndarray:
-        """(seeds x items), to nine digits."""
-        _, n, owner, f, k, x, partial = group
-        at = np.searchsorted(block.names, f)
-        at[at == len(block.names)] = 0
-        met = block.names[at] == f if len(block.names) else np.zeros(len(f), bool)
-        dense = np.zeros((n, len(block.names)))
-        dense[owner[met], at[met]] = x[met]
-        out = dense @ block.matrix
-        for i in partial:
-            length = np.sqrt(block.squares[np.isin(block.kinds, k[owner == i])].sum(axis=0))
-            out[i] = np.divide(out[i], length, out=np.zeros_like(length), where=length > 0)
-        return np.round(out, 9, out=out)
-
-    def ranked(self, block: _ItemBlock, k: int, score: Callable, slack: float):
-        for group in self.groups:
-            sims = self.similarities(group, block)
-            for begin in range(0, len(group[0]), 512):
-                part = group[0][begin : begin + 512]
-                out = [_ranked_profile(p, sims, block, k, score, slack) for p in part]
-                at, total, source, source_sim, penalty = (np.concatenate(c) for c in zip(*out, strict=True))
-                if len(at):
-                    who = pa.array([p["profile"] for p, o in zip(part, out, strict=True) for _ in range(len(o[0]))], self.kind)
-                    yield pa.RecordBatch.from_arrays([who, block.items.take(pa.array(at)), pa.array(total), pa.array(source.tolist(), pa.string()), pa.array(source_sim), pa.array(penalty)], ["profile", "item", "score", "source", "source_sim", "penalty"])
-
-
-def _ranked_profile(p: dict, sims: np.ndarray, block: _ItemBlock, k: int, score: Callable, slack: float):
-    """Items (places in the block), scores, sources, similarities to them and penalties of what may be among the k best."""
-    n = len(block.ids)
-    best = second = penalty = source_sim = np.zeros(n)
-    source = np.full(n, -1)
-    who, w = p["likes"]
-    if len(who):
-        v = sims[who]
-        v *= w
-        first = v.argmax(axis=0)  # the first of equals, likes in order of weight
-        across = np.arange(n)
-        top = v[first, across]
-        best, source = np.maximum(top, 0.0), np.where(top > 0, first, -1)
-        source_sim = np.where(top > 0, sims[who[first], across], 0.0)
-        if len(who) > 1:
-            v[first, across] = -1.0
-            second = np.maximum(v.max(axis=0), 0.0)
-    who, w = p["dislikes"]
-    if len(who):
-        penalty = np.maximum((w * sims[who]).max(axis=0), 0.0)
-    extra = {}
-    if score is not personal_score:
-        off = ~np.isin(block.levels, np.array(p["levels"] or [], object)) if p["guard"] else np.zeros(n)
-        extra = {"prior": block.prior, "confidence": p["confidence"], "off_level": off}
-    total = np.round(score(best=best, second=second, penalty=penalty, **extra), 6)
-    places = np.flatnonzero(~np.isin(block.ids, p["seen"])) if p["seen"] else np.arange(n)
-    values = total[places]
-    seen_best = np.concatenate([p["best"], values])
-    if len(seen_best) > k:  # ties with the k-th stay until ids decide
-        p["best"] = np.partition(seen_best, -k)[-k:]
-        stay = values >= p["best"].min() - slack
-        places, values = places[stay], values[stay]
-    else:
-        p["best"] = seen_best
-    if not slack and len(places) > k:
-        places = places[np.lexsort((block.ids[places], -values))[:k]]
-    return places, total[places], p["names"][source[places]], source_sim[places], penalty[places]
+def ranked_items(profiles: DataFrame, seeds: DataFrame, items: DataFrame, *, k: int, score: Callable = personal_score, **options) -> DataFrame:
+    """(profile, item, score, source, source_sim, penalty, interest, visited): the k best items of every profile; see pruning.ranked."""
+    return ranked(profiles, seeds, items, k=k, score=score, **options)

@@ -107,7 +107,9 @@ weights AS (SELECT profile, item, (CASE WHEN rating = 5 THEN 1.0 WHEN rating = 4
   ELSE least(0.9, CASE WHEN opened > 0 THEN 0.45 + 0.1 * least(opened - 1, 2) ELSE 0 END + CASE WHEN quantity > 0 THEN 0.35 ELSE 0 END + CASE WHEN tried THEN 0.25 ELSE 0 END + CASE WHEN swipe = 'like' THEN 0.35 ELSE 0 END) END)::DOUBLE AS w FROM signals)"""
 _SIMS = "sims AS (SELECT a.item AS u, b.item AS v, sum(a.x * b.x) AS sim FROM vectors a JOIN vectors b USING (feature) GROUP BY 1, 2)"
 _SEEDS = "seeds AS (SELECT profile, item, w FROM weights WHERE w <> 0 QUALIFY row_number() OVER (PARTITION BY profile, w > 0 ORDER BY abs(w) DESC, item) <= 40)"
-_BEST = """likes AS (SELECT profile, v AS item, max(struct_pack(s := w * round(sim, 9), i := -u, raw := sim), 2) AS two FROM seeds JOIN sims ON u = seeds.item WHERE w > 0 GROUP BY 1, 2),
+# w * sim has 11 digits: with the item behind it, it is one number, and the two largest tell best, source and second
+_BEST = """likes AS (SELECT profile, item, two[1] // 10000000 / 1e11 AS best, 9999999 - two[1] % 10000000 AS source, coalesce(two[2] // 10000000 / 1e11, 0) AS second
+  FROM (SELECT profile, v AS item, max(round(w * round(sim, 9) * 1e11)::BIGINT * 10000000 + 9999999 - u, 2) AS two FROM seeds JOIN sims ON u = seeds.item WHERE w > 0 GROUP BY 1, 2)),
 dislikes AS (SELECT profile, v AS item, max(-w * round(sim, 9)) AS p FROM seeds JOIN sims ON u = seeds.item WHERE w < 0 GROUP BY 1, 2)"""
 
 
@@ -155,19 +157,24 @@ def popularity_prior(spark, sf_dir):
 
 
 def _packed_items(spark, sf_dir):
-    part = cards(table(spark, sf_dir, "part"))
+    return _packed(cards(table(spark, sf_dir, "part")), _prior(spark, sf_dir))
+
+
+def _packed(part: DataFrame, prior: DataFrame) -> tuple[DataFrame, DataFrame]:
     level = F.when(F.col("sweet") == "", "unknown").otherwise(F.col("sweet"))
-    known = part.select("item", level.alias("level")).join(_prior(spark, sf_dir), "item")
+    known = part.select("item", level.alias("level")).join(prior, "item")
     vectors = materialize(taste.packed_vectors(taste.item_vectors(part), ["item"]), "vectors")
     return materialize(known.join(vectors, "item", "left"), "items"), vectors
 
 
-def _profiles_and_seeds(weights: DataFrame, vectors: DataFrame, seen: DataFrame | None = None, levels: DataFrame | None = None, answers: DataFrame | None = None):
+def _profiles_and_seeds(weights: DataFrame, vectors: DataFrame, seen: DataFrame | None = None, levels: DataFrame | None = None, answers: DataFrame | None = None, interests: DataFrame | None = None):
+    """What taste.ranked_items asks: profiles with likes or answers, and their seeds; interests: (item, interest)."""
     seeds = taste.seeds_of(weights).join(vectors, "item").withColumn("label", F.lit(None).cast("string"))
+    seeds = seeds.withColumn("interest", F.lit(None).cast("string")) if interests is None else seeds.join(interests, "item", "left")
     if answers is not None:
-        told = taste.packed_vectors(taste.answer_vectors(answers), ["profile", "label"]).withColumns({"item": F.lit(None).cast("long"), "w": F.lit(ANSWER_WEIGHT)})
+        told = taste.packed_vectors(taste.answer_vectors(answers), ["profile", "label"]).withColumns({"item": F.lit(None).cast("long"), "w": F.lit(ANSWER_WEIGHT), "interest": F.col("label")})
         seeds = seeds.unionByName(told)
-    profiles = taste.confidence(weights).select("profile", "confidence")
+    profiles = taste.confidence(weights, None if answers is None else _answer_weights(answers)).select("profile", "confidence")
     empty = F.array().cast("array<string>")
     profiles = profiles.withColumns({"guard": F.lit(False), "levels": empty}) if levels is None else profiles.join(levels, "profile", "left").withColumns({"guard": F.coalesce("guard", F.lit(False)), "levels": F.coalesce("levels", empty)})
     profiles = profiles.withColumn("seen", F.array().cast("array<long>")) if seen is None else profiles.join(seen, "profile", "left")
@@ -177,7 +184,7 @@ def _profiles_and_seeds(weights: DataFrame, vectors: DataFrame, seen: DataFrame
 @C.query("personal_scores", "J6 D25 E11", f"""
 WITH {_VECTORS}, {_WEIGHTS}, {_SIMS}, {_SEEDS}, {_BEST},
 k AS (SELECT profile, p_partkey AS item FROM (SELECT DISTINCT profile FROM weights) CROSS JOIN part),
-s AS (SELECT profile, item, greatest(0, coalesce(greatest(two[1].s, 0), 0) + 0.25 * coalesce(greatest(two[2].s, 0), 0) - 0.8 * coalesce(p, 0)) AS score, CASE WHEN two[1].s > 0 THEN (-two[1].i)::VARCHAR END AS source FROM k LEFT JOIN likes USING (profile, item) LEFT JOIN dislikes USING (profile, item))
+s AS (SELECT profile, item, greatest(0, coalesce(best, 0) + 0.25 * coalesce(second, 0) - 0.8 * coalesce(p, 0)) AS score, CASE WHEN best > 0 THEN source::VARCHAR END AS source FROM k LEFT JOIN likes USING (profile, item) LEFT JOIN dislikes USING (profile, item))
 SELECT profile, item, round(score, 6) AS score, source FROM s QUALIFY row_number() OVER (PARTITION BY profile ORDER BY round(score, 6) DESC, item) <= 20""")
 def personal_scores(spark, sf_dir):
     """Each profile's 20 best items by likes and dislikes, and the like that speaks most for each."""
@@ -188,6 +195,11 @@ def personal_scores(spark, sf_dir):
 
 ANSWER_WEIGHT = 0.6
 FEED = 20
+JITTER = 0.3
+
+
+def _answer_weights(answers: DataFrame) -> DataFrame:
+    return answers.select("profile", "label", F.lit(ANSWER_WEIGHT).alias("w"))
 
 
 def _liked_levels(weights: DataFrame, items: DataFrame) -> DataFrame:
@@ -202,39 +214,12 @@ def _seen(found: DataFrame) -> DataFrame:
     return found.where(known).groupBy("profile").agg(F.collect_list("item").alias("seen"))
 
 
-def jittered(ranked: DataFrame, n: int) -> DataFrame:
-    """Scores plus up to 0.3 that is fixed for a profile and item, then the n best."""
-    name = F.concat(F.col("profile").cast("string"), F.lit("/"), F.col("item").cast("string"))
-    jitter = F.conv(F.substring(F.sha2(name, 256), 1, 2), 16, 10).cast("double") / 255
-    scored = ranked.withColumn("score", F.round(F.col("score") + 0.3 * jitter, 6))
-    rank = F.row_number().over(Window.partitionBy("profile").orderBy(F.desc("score"), "item"))
-    return scored.withColumn("rank", rank).where(F.col("rank") <= n).drop("rank")
-
-
-def _feed_pool(spark, sf_dir, n, answers=None):
-    found = materialize(_signals(spark, sf_dir), "signals")
+def feed_pool(found: DataFrame, part: DataFrame, items: DataFrame, vectors: DataFrame, answers: DataFrame, k: int, near: float | None = None, **options) -> DataFrame:
+    """The k best unseen items of every profile (with near, of each of its interests) by likes, answers, dislikes, popularity and a fixed jitter."""
     weights = materialize(found.select("profile", "item", taste.evidence().alias("w")), "weights")
-    items, vectors = _packed_items(spark, sf_dir)
-    profiles, seeds = _profiles_and_seeds(weights, vectors, _seen(found), _liked_levels(weights, items), answers)
-    return jittered(taste.ranked_items(profiles, seeds, items, k=n, score=taste.feed_score, slack=0.3), n), weights, vectors
-
-
-@C.query("feed_ranking", "J7 B20 B21", f"""
-WITH {_VECTORS}, {_WEIGHTS}, {_SIMS}, {_SEEDS}, {_BEST}, {_PRIOR},
-conf AS (SELECT profile, e / (e + 1.5) AS c FROM (SELECT profile, sum(CASE WHEN w > 0 THEN w ELSE -0.5 * w END) AS e FROM weights GROUP BY profile)),
-lev AS (SELECT p_partkey AS item, CASE WHEN p_size < 10 THEN 'dry' WHEN p_size < 20 THEN 'medium' WHEN p_size < 40 THEN 'sweet' ELSE 'unknown' END AS level FROM part),
-liked AS (SELECT profile, list(DISTINCT level) FILTER (WHERE w >= 0.5) AS levels, sum(w) AS total FROM weights JOIN lev USING (item) WHERE w > 0 GROUP BY profile),
-seen AS (SELECT profile, item FROM signals WHERE rating > 0 OR opened > 0 OR tried OR not_for_me OR coalesce(swipe, '') = 'nope' OR quantity > 0),
-k AS (SELECT c.profile, c.c, lev.item, lev.level FROM conf c CROSS JOIN lev ANTI JOIN seen ON seen.profile = c.profile AND seen.item = lev.item),
-s AS (SELECT k.profile, k.item, two[1].raw AS raw, CASE WHEN two[1].s > 0 THEN (-two[1].i)::VARCHAR END AS source,
-    10 * (c * greatest(0, coalesce(greatest(two[1].s, 0), 0) + 0.25 * coalesce(greatest(two[2].s, 0), 0) - 0.8 * coalesce(p, 0)) + (1 - c) * prior) - 6 * coalesce(p, 0)
-    - CASE WHEN total >= 2 AND len(levels) > 0 AND NOT list_contains(levels, level) THEN 3 ELSE 0 END AS base
-  FROM k JOIN prior USING (item) LEFT JOIN liked l ON l.profile = k.profile LEFT JOIN likes ON likes.profile = k.profile AND likes.item = k.item LEFT JOIN dislikes d ON d.profile = k.profile AND d.item = k.item),
-j AS (SELECT profile, item, source, round(round(base, 6) + 0.3 * (('0x' || left(sha256(profile::VARCHAR || '/' || item::VARCHAR), 2))::INTEGER / 255.0::DOUBLE), 6) AS score FROM s)
-SELECT profile, item, score, source FROM j QUALIFY row_number() OVER (PARTITION BY profile ORDER BY score DESC, item) <= {FEED}""")
-def feed_ranking(spark, sf_dir):
-    """The feed's candidates: taste blended with popularity, unseen items only, levels never liked pushed down, fixed jitter."""
-    return _feed_pool(spark, sf_dir, FEED)[0].select("profile", "item", "score", "source")
+    interests = None if near is None else recommend.interest_of(part).select("item", "interest")
+    profiles, seeds = _profiles_and_seeds(weights, vectors, _seen(found), _liked_levels(weights, items), answers, interests)
+    return taste.ranked_items(profiles, seeds, items, k=k, score=taste.feed_score, jitter=JITTER, near=near, **options)
 
 
 def answers_of(customer: DataFrame) -> DataFrame:
@@ -252,24 +237,51 @@ def answers_of(customer: DataFrame) -> DataFrame:
     )
 
 
-_ANSWERS = f"""told AS (SELECT c_custkey AS profile, c_custkey AS z FROM customer WHERE c_custkey % 3 = 0),
+_ANSWERS = f"""told_by AS (SELECT c_custkey AS profile, c_custkey AS z, 'answer ' || lower(c_mktsegment) AS label FROM customer WHERE c_custkey % 3 = 0),
 plain AS (
-  SELECT profile, 'style' AS block, 'color' AS kind, 'color:' || CASE WHEN z % 2 = 0 THEN 'red' ELSE 'blue' END AS feature, 1.0::DOUBLE AS x FROM told
-  UNION ALL SELECT profile, 'style', 'sweet', 'sweet:sweet', 0.8 FROM told WHERE z % 5 = 0
-  UNION ALL SELECT profile, 'style', 'sparkling', 'sparkling:yes', 0.8 FROM told WHERE z % 7 = 0
-  UNION ALL SELECT profile, 'taste', 'taste', 'taste:body:' || n, 1 - abs(1.0 + z % 5 - c) / 1.5 FROM told, (VALUES ('lo', 1.5), ('mid', 3.0), ('hi', 4.5)) b(n, c) WHERE 1 - abs(1.0 + z % 5 - c) / 1.5 > 0
-  UNION ALL SELECT profile, 'aroma', 'aroma', 'aroma:a' || z % 4, 1.0 FROM told
-  UNION ALL SELECT profile, 'dish', 'dish', 'dish:d1', 1.0 FROM told WHERE z % 4 = 0),
+  SELECT profile, 'style' AS block, 'color' AS kind, 'color:' || CASE WHEN z % 2 = 0 THEN 'red' ELSE 'blue' END AS feature, 1.0::DOUBLE AS x FROM told_by
+  UNION ALL SELECT profile, 'style', 'sweet', 'sweet:sweet', 0.8 FROM told_by WHERE z % 5 = 0
+  UNION ALL SELECT profile, 'style', 'sparkling', 'sparkling:yes', 0.8 FROM told_by WHERE z % 7 = 0
+  UNION ALL SELECT profile, 'taste', 'taste', 'taste:body:' || n, 1 - abs(1.0 + z % 5 - c) / 1.5 FROM told_by, (VALUES ('lo', 1.5), ('mid', 3.0), ('hi', 4.5)) b(n, c) WHERE 1 - abs(1.0 + z % 5 - c) / 1.5 > 0
+  UNION ALL SELECT profile, 'aroma', 'aroma', 'aroma:a' || z % 4, 1.0 FROM told_by
+  UNION ALL SELECT profile, 'dish', 'dish', 'dish:d1', 1.0 FROM told_by WHERE z % 4 = 0),
 weighed AS (SELECT profile, kind, feature, share::DOUBLE * x / sqrt(sum(x * x) OVER (PARTITION BY profile, block)) AS x FROM plain JOIN shares USING (block)),
 answers AS (SELECT profile, kind, feature, x / sqrt(sum(x * x) OVER (PARTITION BY profile)) AS x FROM weighed)"""
+_PARTIAL = """dots AS (SELECT profile, item, sum(a.x * v.x) AS dot FROM answers a JOIN vectors v USING (feature) GROUP BY 1, 2),
+lens AS (SELECT item, kind, sum(x * x) AS q FROM vectors GROUP BY 1, 2),
+kinds AS (SELECT DISTINCT profile, kind FROM answers),
+subs AS (SELECT d.profile, d.item, d.dot, sqrt(sum(q)) AS len FROM dots d JOIN kinds k ON k.profile = d.profile JOIN lens l ON l.item = d.item AND l.kind = k.kind GROUP BY 1, 2, 3)"""
+
+
+@C.query("feed_ranking", "J7 B20 B21 D25 J3", f"""
+WITH {_VECTORS}, {_WEIGHTS}, {_SIMS}, {_SEEDS}, {_PRIOR}, {_ANSWERS}, {_PARTIAL},
+likes AS (SELECT profile, item, two[1] // 10000000 / 1e11 AS best, 9999999 - two[1] % 10000000 AS source, coalesce(two[2] // 10000000 / 1e11, 0) AS second
+  FROM (SELECT profile, item, max(k, 2) AS two FROM (
+    SELECT profile, v AS item, round(w * round(sim, 9) * 1e11)::BIGINT * 10000000 + 9999999 - u AS k FROM seeds JOIN sims ON u = seeds.item WHERE w > 0
+    UNION ALL SELECT profile, item, round(0.6 * round(dot / len, 9) * 1e11)::BIGINT * 10000000 FROM subs WHERE len > 0) GROUP BY 1, 2)),
+dislikes AS (SELECT profile, v AS item, max(-w * round(sim, 9)) AS p FROM seeds JOIN sims ON u = seeds.item WHERE w < 0 GROUP BY 1, 2),
+evidence AS (SELECT profile, sum(w) AS e FROM (SELECT profile, CASE WHEN w > 0 THEN w ELSE -0.5 * w END AS w FROM weights UNION ALL SELECT profile, 0.6 FROM told_by) GROUP BY profile),
+conf AS (SELECT profile, e / (e + 1.5) AS c FROM evidence),
+lev AS (SELECT p_partkey AS item, CASE WHEN p_size < 10 THEN 'dry' WHEN p_size < 20 THEN 'medium' WHEN p_size < 40 THEN 'sweet' ELSE 'unknown' END AS level FROM part),
+liked AS (SELECT profile, list(DISTINCT level) FILTER (WHERE w >= 0.5) AS levels, sum(w) AS total FROM weights JOIN lev USING (item) WHERE w > 0 GROUP BY profile),
+seen AS (SELECT profile, item FROM signals WHERE rating > 0 OR opened > 0 OR tried OR not_for_me OR coalesce(swipe, '') = 'nope' OR quantity > 0),
+k AS (SELECT c.profile, c.c, lev.item, lev.level FROM conf c CROSS JOIN lev ANTI JOIN seen ON seen.profile = c.profile AND seen.item = lev.item),
+s AS (SELECT k.profile, k.item, CASE WHEN best > 0 THEN CASE WHEN source = 9999999 THEN label ELSE source::VARCHAR END END AS source,
+    10 * (c * greatest(0, coalesce(best, 0) + 0.25 * coalesce(second, 0) - 0.8 * coalesce(p, 0)) + (1 - c) * prior) - 6 * coalesce(p, 0)
+    - CASE WHEN total >= 2 AND len(levels) > 0 AND NOT list_contains(levels, level) THEN 3 ELSE 0 END AS base
+  FROM k JOIN prior USING (item) LEFT JOIN liked l ON l.profile = k.profile LEFT JOIN likes ON likes.profile = k.profile AND likes.item = k.item LEFT JOIN dislikes d ON d.profile = k.profile AND d.item = k.item LEFT JOIN told_by t ON t.profile = k.profile),
+j AS (SELECT profile, item, source, round(round(base, 6) + {JITTER} * (('0x' || left(sha256(profile::VARCHAR || '/' || item::VARCHAR), 2))::INTEGER / 255.0::DOUBLE), 6) AS score FROM s)
+SELECT profile, item, score, source FROM j QUALIFY row_number() OVER (PARTITION BY profile ORDER BY score DESC, item) <= {FEED}""")
+def feed_ranking(spark, sf_dir):
+    """The feed's candidates: taste from likes and answers blended with popularity, unseen items only, levels never liked pushed down, fixed jitter."""
+    part = cards(table(spark, sf_dir, "part"))
+    found = materialize(_signals(spark, sf_dir), "signals")
+    items, vectors = _packed_items(spark, sf_dir)
+    return feed_pool(found, part, items, vectors, answers_of(table(spark, sf_dir, "customer")), FEED).select("profile", "item", "score", "source")
 
 
 @C.query("virtual_items", "J3 J2", f"""
-WITH {_VECTORS}, {_ANSWERS},
-dots AS (SELECT profile, item, sum(a.x * v.x) AS dot FROM answers a JOIN vectors v USING (feature) GROUP BY 1, 2),
-lens AS (SELECT item, kind, sum(x * x) AS q FROM vectors GROUP BY 1, 2),
-kinds AS (SELECT DISTINCT profile, kind FROM answers),
-subs AS (SELECT d.profile, d.item, d.dot, sqrt(sum(q)) AS len FROM dots d JOIN kinds k ON k.profile = d.profile JOIN lens l ON l.item = d.item AND l.kind = k.kind GROUP BY 1, 2, 3),
+WITH {_VECTORS}, {_ANSWERS}, {_PARTIAL},
 s AS (SELECT profile, item, round(0.6 * round(dot / len, 9), 6) AS score FROM subs)
 SELECT profile, item, score FROM s QUALIFY row_number() OVER (PARTITION BY profile ORDER BY score DESC, item) <= 10""")
 def virtual_items(spark, sf_dir):
@@ -302,10 +314,15 @@ def partial_similarity(spark, sf_dir):
 @C.query("diversified_feed", "J8 E6 E4 J22")
 def diversified_feed(spark, sf_dir):
     """A feed of 8 a profile: slots dealt to its tastes by evidence, near copies and repeated grapes thinned out."""
-    n = 8
-    part = cards(table(spark, sf_dir, "part"))
-    pool, weights, vectors = _feed_pool(spark, sf_dir, recommend.pool_for(n), answers_of(table(spark, sf_dir, "customer")))
-    return recommend.feed(pool, weights, part, vectors, n=n, answer_weight=ANSWER_WEIGHT)
+    return feeds(*(table(spark, sf_dir, t) for t in ("part", "customer")), _signals(spark, sf_dir), _prior(spark, sf_dir), n=8)
+
+
+def feeds(part: DataFrame, customer: DataFrame, found: DataFrame, prior: DataFrame, *, n: int, **options) -> DataFrame:
+    about, found, answers = cards(part), materialize(found, "signals"), answers_of(customer)
+    items, vectors = _packed(about, prior)
+    pool = materialize(feed_pool(found, about, items, vectors, answers, recommend.pool_by_interest(n), recommend.NEAR, **options).select("profile", "item", "score", "interest"), "pool")
+    weights = found.select("profile", "item", taste.evidence().alias("w"))
+    return recommend.feed(pool, weights, _answer_weights(answers), about, vectors, n=n)
 
 
 @C.query("cold_start_feed", "J22 E6 E4")

@@ -1,5 +1,6 @@
 """Operators against plain Python over small random data, and plans that must not gather a table in one task."""
 
+import hashlib
 import math
 import random
 
@@ -27,8 +28,9 @@ def long_rows(vectors):
     return [(key, f, k, x) for key, held in vectors for (f, k), x in held.items()]
 
 
-@pytest.mark.parametrize("slack", [0.0, 0.2])
-def test_ranked_items(spark, slack):
+@pytest.mark.parametrize("jitter", [0.0, 0.2])
+@pytest.mark.parametrize("near", [None, 0.45])
+def test_ranked_items(spark, jitter, near):
     rng = random.Random(3)
     items = random_items(rng, 23)
     vectors = taste.packed_vectors(spark.createDataFrame(long_rows([(i, v) for i, _, _, v in items]), "item long, feature string, kind string, x double"), ["item"])
@@ -43,7 +45,8 @@ def test_ranked_items(spark, slack):
     held = spark.createDataFrame(seeds, "profile long, item long, w double").join(vectors, "item").withColumn("label", F.lit(None).cast("string"))
     answers = taste.packed_vectors(spark.createDataFrame(long_rows(told.items()), "profile long, feature string, kind string, x double"), ["profile"]).withColumns({"item": F.lit(None).cast("long"), "label": F.lit("told"), "w": F.lit(0.6)})
     profiles = spark.createDataFrame(people, "profile long, confidence double, guard boolean, levels array<string>, seen array<long>")
-    found = taste.ranked_items(profiles, held.unionByName(answers), table, k=4, score=taste.feed_score, slack=slack, item_block=7, profile_block=3).collect()
+    both = held.unionByName(answers).withColumn("interest", F.coalesce("label", F.concat(F.lit("i"), (F.col("item") % 3).cast("string"))))
+    found = taste.ranked_items(profiles, both, table, k=4, score=taste.feed_score, jitter=jitter, near=near, shard=12, cluster=2, profile_block=3).collect()
 
     by_id = {i: v for i, _, _, v in items}
     expected = set()
@@ -57,19 +60,22 @@ def test_ranked_items(spark, slack):
                 if q == p and by_id[s]:
                     sim = sum(x * v.get(f, 0) for f, x in by_id[s].items())
                     if w > 0:
-                        likes.append((w * sim, w, str(s)))
+                        likes.append((round(w * round(sim, 9), 12), w, -s, round(sim, 9), f"i{s % 3}"))
                     else:
                         penalty = max(penalty, -w * sim)
             if p in told:
                 kinds = {k for _, k in told[p]}
                 sub = math.sqrt(sum(x * x for (f, k), x in v.items() if k in kinds))
-                likes.append((0.6 * sum(x * v.get(f, 0) for f, x in told[p].items()) / sub if sub else 0.0, 0, "told"))
-            values = sorted((round(x[0], 9) for x in likes), reverse=True) + [0, 0]
+                sim = round(sum(x * v.get(f, 0) for f, x in told[p].items()) / sub, 9) if sub else 0.0
+                likes.append((0.6 * sim, 0, 0, sim, "told"))
+            likes.sort(reverse=True)
+            interest = likes[0][4] if likes and near is not None and likes[0][0] > 0 and likes[0][3] >= near else "explore"
+            values = [round(x[0], 9) for x in likes] + [0, 0]
             mine = max(0.0, values[0] + 0.25 * values[1] - 0.8 * penalty)
-            rows.append((-round(10 * (sure * mine + (1 - sure) * prior) - 6 * penalty - 3 * (guard and level not in levels), 6), i))
-        rows.sort()
-        floor = -rows[min(4, len(rows)) - 1][0]
-        expected |= {(p, i, -s) for n, (s, i) in enumerate(rows) if (n < 4 if not slack else -s >= floor - slack)}
+            noise = jitter * hashlib.sha256(f"{p}/{i}".encode()).digest()[0] / 255
+            rows.append((-round(10 * (sure * mine + (1 - sure) * prior) - 6 * penalty - 3 * (guard and level not in levels) + noise, 6), i, interest))
+        for group in {r[2] for r in rows}:
+            expected |= {(p, i, -s) for s, i, _ in sorted(r for r in rows if r[2] == group)[:4]}
     assert {(r.profile, r.item) for r in found} == {(p, i) for p, i, _ in expected}
     score = {(p, i): s for p, i, s in expected}
     assert all(abs(r.score - score[r.profile, r.item]) < 2e-6 for r in found)
