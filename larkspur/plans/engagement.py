@@ -71,7 +71,7 @@ C.sql("restricted_rank", "C21", """
 SELECT p_brand, p_partkey, CAST(row_number() OVER (PARTITION BY p_brand ORDER BY p_retailprice DESC, p_partkey) AS BIGINT) AS rank FROM {part} WHERE p_partkey IN (SELECT l_partkey FROM {lineitem} WHERE l_quantity >= 48)""")
 C.sql("label_corrections", "C25", """
 SELECT CASE WHEN l.toxic = 1 THEN 'exclude' WHEN l.quality = 0 THEN 'relabel' ELSE 'keep' END AS action, coalesce(CASE WHEN l.quality = 0 THEN 'low' END, d.lang) AS slug, count(*) AS n
-FROM {documents} d LEFT JOIN {labels} l ON l.doc_id = d.doc_id WHERE coalesce(l.toxic, 0) <> 1 AND d.doc_id NOT IN (SELECT item_id FROM {benchmark}) GROUP BY 1, 2""")
+FROM {documents} d LEFT JOIN {labels} l ON l.doc_id = d.doc_id WHERE coalesce(l.toxic, 0) <> 1 AND NOT EXISTS (SELECT 1 FROM {benchmark} b WHERE b.item_id = d.doc_id) GROUP BY 1, 2""")
 C.sql("rating_aggregates", "D1", f"""
 SELECT item, round(avg(rating), 2) AS rating, count(*) AS n FROM {_RATED} r WHERE rating > 1 GROUP BY item""")
 C.sql("conditional_pivot", "D4", """

@@ -20,7 +20,7 @@ C.sql("status_transitions", "K10", """
 WITH t AS (SELECT user_id, event_type AS now, lag(event_type) OVER (PARTITION BY user_id ORDER BY event_id) AS before FROM {events})
 SELECT before, now, count(*) AS n FROM t WHERE before IS NOT NULL AND before <> now GROUP BY before, now""")
 C.sql("resume_todo", "C6", """
-SELECT p.page_id, lower(EXTRACT(url, '//([^/:?#]*)', 1)) AS host FROM {pages} p WHERE p.page_id NOT IN (SELECT doc_id FROM {documents} WHERE n_chars > 5000)""")
+SELECT p.page_id, lower(EXTRACT(url, '//([^/:?#]*)', 1)) AS host FROM {pages} p WHERE NOT EXISTS (SELECT 1 FROM {documents} d WHERE d.doc_id = p.page_id AND d.n_chars > 5000)""")
 C.sql("manifest_check", "A7", """
 SELECT count(*) AS n, count(DISTINCT doc_id) AS keys, count(*) = count(DISTINCT doc_id) AS valid FROM {documents}""")
 

@@ -36,8 +36,8 @@ SELECT item, p AS priority, p_brand FROM b WHERE rn <= 6""")
 C.sql("recency_list", "F8", """
 SELECT user_id, event_id FROM (SELECT *, row_number() OVER (PARTITION BY user_id ORDER BY ts DESC, event_id DESC) AS rn FROM {events}) x WHERE rn <= 10""")
 C.sql("difference_both_ways", "G2", """
-SELECT k, side FROM (SELECT p_partkey AS k, 'unsold' AS side FROM {part} WHERE p_partkey NOT IN (SELECT l_partkey FROM {lineitem} WHERE l_quantity > 48)
-UNION ALL SELECT DISTINCT l_suppkey AS k, 'unlisted' AS side FROM {lineitem} WHERE l_suppkey NOT IN (SELECT s_suppkey FROM {supplier} WHERE s_acctbal > 0)) x""")
+SELECT k, side FROM (SELECT p_partkey AS k, 'unsold' AS side FROM {part} WHERE NOT EXISTS (SELECT 1 FROM {lineitem} WHERE l_partkey = p_partkey AND l_quantity > 48)
+UNION ALL SELECT DISTINCT l_suppkey AS k, 'unlisted' AS side FROM {lineitem} WHERE NOT EXISTS (SELECT 1 FROM {supplier} WHERE s_suppkey = l_suppkey AND s_acctbal > 0)) x""")
 C.sql("catalogue_intersection", "G3", """
 SELECT p_name AS v FROM {part} WHERE p_size < 10 INTERSECT SELECT p_name FROM {part} WHERE p_size > 40""")
 C.sql("merge_ignore", "G4", """

@@ -8,7 +8,7 @@ scans of item k. The cards' further fields are functions of the item's name, typ
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from larkspur.operators import recommend, taste
+from larkspur.operators import classic, recommend, taste
 from larkspur.plans.shared import Catalogue
 from larkspur.storage import materialize, table
 
@@ -325,6 +325,23 @@ def feeds(part: DataFrame, customer: DataFrame, found: DataFrame, prior: DataFra
     return recommend.feed(pool, weights, _answer_weights(answers), about, vectors, n=n)
 
 
+@C.query("classic_feed", "J9", f"""
+WITH {_SIGNALS}, i AS (SELECT p_partkey AS item, p_name AS name, p_type AS category, p_brand AS producer, string_split(p_name, ' ')[2] AS grape FROM part),
+r AS (SELECT profile, item, rating FROM signals WHERE rating > 0),
+liked AS (SELECT profile, category, producer, grape FROM r JOIN i USING (item) WHERE rating >= 4),
+a AS (SELECT profile, 'category' AS kind, category AS value, least(3 * count(*), 9) * 0.45::DOUBLE AS x FROM liked GROUP BY 1, 3 UNION ALL SELECT profile, 'producer', producer, least(3 * count(*), 9) * 0.9 FROM liked GROUP BY 1, 3 UNION ALL SELECT profile, 'grape', grape, least(3 * count(*), 9) * 0.65 FROM liked GROUP BY 1, 3),
+s AS (SELECT w.profile, i.item, i.name, i.producer, round(coalesce(c.x, 0) + coalesce(p.x, 0) + coalesce(g.x, 0) + CASE WHEN r.rating >= 4 THEN 3 ELSE 0 END, 6) AS score
+  FROM (SELECT DISTINCT profile FROM r) w CROSS JOIN i LEFT JOIN r ON r.profile = w.profile AND r.item = i.item LEFT JOIN a c ON c.profile = w.profile AND c.kind = 'category' AND c.value = category
+  LEFT JOIN a p ON p.profile = w.profile AND p.kind = 'producer' AND p.value = i.producer LEFT JOIN a g ON g.profile = w.profile AND g.kind = 'grape' AND g.value = i.grape WHERE coalesce(r.rating, 3) > 2),
+e AS (SELECT *, score - 4 * (row_number() OVER (PARTITION BY profile, producer ORDER BY score DESC, name, item) - 1) AS gain FROM s)
+SELECT profile, (row_number() OVER w)::INTEGER AS slot, item, round(gain, 6) AS score FROM e WINDOW w AS (PARTITION BY profile ORDER BY gain DESC, score DESC, name, item) QUALIFY row_number() OVER w <= 8""")
+def classic_feed(spark, sf_dir):
+    """Eight picks by affinity counts; each earlier pick of a producer costs 4."""
+    ratings = _signals(spark, sf_dir).where("rating > 0").select("profile", "item", "rating")
+    items = table(spark, sf_dir, "part").select(F.col("p_partkey").alias("item"), F.col("p_name").alias("name"), F.col("p_type").alias("category"), F.col("p_brand").alias("producer"), F.split("p_name", " ")[1].alias("grape"))
+    return classic.feed(materialize(ratings, "ratings"), items, n=8).withColumn("score", F.round("score", 6))
+
+
 @C.query("cold_start_feed", "J22 E6 E4")
 def cold_start_feed(spark, sf_dir):
     """What a newcomer sees: 24 items, slots dealt to the catalogue's interests by the root of their numbers."""

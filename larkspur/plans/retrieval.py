@@ -312,10 +312,12 @@ def whitening(spark, sf_dir):
     return search.whitened(table(spark, sf_dir, "embeddings").select("vec_id", F.col("embedding").alias("v")), k=16)
 
 
-@C.query("bootstrap_interval", "D19", """
-WITH draws AS (SELECT round, l_discount AS x, (('0x' || left(md5(l_orderkey || '-' || l_linenumber || '-' || l_partkey || ':' || round), 8))::BIGINT + 0.5) / 4294967296.0 AS u FROM lineitem, generate_series(1, 200) g(round)),
-n AS (SELECT round, x, (u > 0.36787944)::INT + (u > 0.73575888)::INT + (u > 0.91969860)::INT + (u > 0.98101184)::INT + (u > 0.99634015)::INT AS n FROM draws),
-m AS (SELECT round, sum(x * n) / sum(n) AS m FROM n GROUP BY round)
+@C.query("bootstrap_interval", "D19", f"""
+WITH rounds(r, a, b) AS (VALUES {", ".join(f"({r}, {a}, {b})" for r, (a, b) in enumerate(zip(*(c.tolist() for c in search.draws(200)), strict=True)))}),
+rows AS (SELECT ('0x' || left(md5(l_orderkey || '-' || l_linenumber || '-' || l_partkey), 8))::BIGINT % {search.PRIME} AS h, l_discount AS x FROM lineitem),
+draws AS (SELECT r, x, ((a * h + b) % {search.PRIME} + 0.5::DOUBLE) / {search.PRIME} AS u FROM rows, rounds),
+n AS (SELECT r, x, {" + ".join(f"(u > {limit})::INT" for limit in search.POISSON)} AS n FROM draws),
+m AS (SELECT r, sum(x * n) / sum(n) AS m FROM n GROUP BY r)
 SELECT round(avg(m), 8) AS mean, round(quantile_cont(m, 0.025), 8) AS low, round(quantile_cont(m, 0.975), 8) AS high FROM m""")
 def bootstrap_interval(spark, sf_dir):
     """95 % interval of the mean of l_discount by 200 Poisson resamples drawn from a hash."""

@@ -4,7 +4,7 @@ from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from larkspur.functions import text as T
-from larkspur.operators import entity, graph, matching
+from larkspur.operators import entity, graph, matching, text_index
 from larkspur.plans.shared import Catalogue, translate
 from larkspur.sources import annotations
 from larkspur.storage import materialize, table
@@ -399,7 +399,7 @@ SELECT q, id, sim FROM t QUALIFY row_number() OVER (PARTITION BY q ORDER BY sim
 def char_ngram_neighbours(spark, sf_dir):
     """The 3 items whose names are nearest in 3- to 5-grams within words; queries are ids divisible by 50."""
     part = table(spark, sf_dir, "part").select(F.col("p_partkey").alias("id"), F.concat_ws(" ", "p_brand", "p_name").alias("text"))
-    return matching.ngram_neighbours(part, k=3, most=5, asked="q % 50 = 0")
+    return matching.ngram_neighbours(part, k=3, most=5, asked="id % 50 = 0")
 
 
 @C.query("token_search", "B6 F4", """
@@ -410,6 +410,22 @@ def token_search(spark, sf_dir, words=("red", "brand#2")):
     return entity.token_search(items, list(words), title="p_name", text="text", id_col="p_partkey")
 
 
+@C.query("indexed_search", "B6 F4", """
+WITH d AS (SELECT doc_id AS id, n_chars % 997 AS fit, left(coalesce(text, ''), 40) AS name, list_distinct(regexp_extract_all(lower(coalesce(text, '')), '[a-zà-ÿ]+')) AS words, list_distinct(regexp_extract_all(lower(string_split(coalesce(text, ''), chr(10))[1]), '[a-zà-ÿ]+')) AS title FROM documents),
+q AS (SELECT conv_id AS q, list_distinct(list_filter(regexp_extract_all(lower(text), '[a-zà-ÿ]+'), lambda w: length(w) > 3)[1:2]) AS words FROM conversations WHERE turn = 0 AND role = 'user'),
+t AS (SELECT q, len(words) AS n, unnest(words) AS term FROM q), p AS (SELECT id, fit, name, unnest(words) AS term, title FROM d),
+m AS (SELECT q, id, fit, name, count(*) AS held, max(n) AS n, count(*) FILTER (WHERE list_contains(title, term)) AS hits FROM t JOIN p USING (term) GROUP BY 1, 2, 3, 4)
+SELECT q, (row_number() OVER w)::INTEGER AS pos, id, hits FROM m WHERE held = n WINDOW w AS (PARTITION BY q ORDER BY hits DESC, fit DESC, name, id) QUALIFY row_number() OVER w <= 10""")
+def indexed_search(spark, sf_dir):
+    """The ten documents that hold all words of each opening question, by title hits, fit and name, from an index of blocks."""
+    text = F.coalesce("text", F.lit(""))
+    words = lambda t: F.regexp_extract_all(F.lower(t), F.lit("[a-zà-ÿ]+"), F.lit(0))
+    docs = table(spark, sf_dir, "documents").select(F.col("doc_id").alias("id"), (F.col("n_chars") % 997).alias("fit"), F.left(text, F.lit(40)).alias("name"), words(text).alias("words"), words(F.split(text, "\n")[0]).alias("title"))
+    asked = table(spark, sf_dir, "conversations").where("turn = 0 and role = 'user'").select(F.col("conv_id").alias("q"), F.slice(F.filter(words(F.col("text")), lambda w: F.length(w) > 3), 1, 2).alias("words"))
+    postings, places = text_index.index(docs)
+    return text_index.search(postings, places, asked, k=10).select("q", "pos", "id", "hits")
+
+
 @C.query("query_constraints", "B7 B14", """
 WITH q(q, text) AS (VALUES (1, 'a red ring, not large'), (2, 'cold things without promo'), (3, 'any gear'), (4, 'blue or green plate'), (5, 'nothing special')),
 r(field, root, value) AS (VALUES ('color', 'red', 'red'), ('color', 'blue', 'blue'), ('color', 'green', 'green'), ('color', 'cold', 'cold'), ('color', 'large', 'large'), ('noun', 'ring', 'ring'), ('noun', 'gear', 'gear'), ('noun', 'plate', 'plate'), ('type', 'promo', 'PROMO')),
