@@ -8,7 +8,8 @@ Copies of a text at one owner count as one repository. Base spans always stay; a
 further form becomes a span only if its value looks live.
 
 Counting is two-level (distinct holders of a value, then holders a value), so an example that fills a
-third of the corpus is aggregated before it is shuffled.
+third of the corpus is aggregated before it is shuffled. Values with more than 1 / HOT of all candidates are
+fewer than HOT; their verdicts are broadcast, and only candidates of other values are shuffled to theirs.
 
 Edge cases: a null or empty text has no spans; a null owner or repository counts as one of its own
 name; repeated rows are scanned and returned each; an empty table gives an empty result; other
@@ -29,6 +30,7 @@ from larkspur.storage import materialize, table
 
 MAX_OWNERS = 2
 MAX_REPOSITORIES = 20
+HOT = 1000
 
 # Kinds in the order of ties, their patterns, least length and the group that counts.
 BASE = (
@@ -102,6 +104,15 @@ def ownership(candidates: DataFrame) -> DataFrame:
     return counted.withColumn("live", (F.col("n_owners") <= MAX_OWNERS) & ((F.col("n_owners") == 1) | (F.col("n_repos") <= MAX_REPOSITORIES)))
 
 
+def _judged(each: DataFrame) -> DataFrame:
+    """Candidates with `live`; those of hot values are not shuffled."""
+    verdicts = materialize(ownership(each).select("value", "live"), "verdicts")
+    sizes = each.groupBy("value").agg(F.count("*").alias("n"))
+    often = sizes.where(F.col("n") * HOT > each.count()).select("value")
+    hot = F.broadcast(materialize(verdicts.join(often, "value"), "hot"))  # fewer than HOT rows
+    return each.join(hot, "value").unionByName(each.join(hot, "value", "left_anti").join(verdicts, "value"))
+
+
 def secret_spans(docs: DataFrame, *, id_col="doc_id", text_col="text", repo_col="doc_id", owner_col="source") -> DataFrame:
     """doc_id, n_assign, n_access, n_hex, base_sha256, spans, n_live, n_copied: one row an input row."""
     kind = docs.schema[id_col].dataType.simpleString()
@@ -109,7 +120,7 @@ def secret_spans(docs: DataFrame, *, id_col="doc_id", text_col="text", repo_col=
     rows = source.mapInArrow(_scanned, f"doc_id {kind}, repo string, owner string, n_assign long, n_access long, n_hex long, base_sha256 string, candidates array<struct<start:int,kind:int,end:int,value:long>>, digest string")
     rows = materialize(rows.withColumn("row", F.monotonically_increasing_id()), "candidates")  # written once: row ids stay
     each = rows.select("row", "repo", "owner", "digest", F.explode("candidates").alias("c")).select("row", "repo", "owner", "digest", "c.*")
-    judged = each.join(ownership(each).select("value", "live"), "value")
+    judged = _judged(each)
     stays = F.col("live") | (F.col("kind") < len(BASE))
     spans = judged.groupBy("row").agg(
         F.array_sort(F.collect_list(F.when(stays, F.struct("start", "kind", "end")))).alias("spans"),
