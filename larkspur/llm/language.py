@@ -25,6 +25,7 @@ import functools
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -34,6 +35,7 @@ SAMPLE_DOCS = 24
 SAMPLE_CHARS = 4000
 LETTERS = 64
 RUN = 256
+BATCH_CHARS = 1 << 21
 UNDECIDED = "und"
 
 
@@ -240,23 +242,35 @@ def learn(labelled: DataFrame, *, id_col="doc_id", text_col="text", lang_col="la
     fit = labelled.where(F.col(lang_col).isNotNull() & F.col(text_col).rlike(r"\p{L}"))
     long = F.length(text_col) > SAMPLE_CHARS
     piece = F.when(long, F.regexp_extract(text_col, rf"(?s)\p{{L}}.{{0,{SAMPLE_CHARS - 1}}}", 0)).otherwise(F.col(text_col))
-    key = F.sha2(F.col(text_col), 256)
+    rows = fit.select(F.col(lang_col).alias("lang"), piece.alias("text"), F.sha2(F.col(text_col), 256).alias("key"), long.alias("long"))
     rank = F.row_number().over(Window.partitionBy("lang").orderBy("long", "key"))
-    chosen = fit.select(F.col(lang_col).alias("lang"), piece.alias("text"), key.alias("key"), long.alias("long")).distinct().withColumn("rank", rank).where(F.col("rank") <= SAMPLE_DOCS)
+    least = rows.groupBy("lang", "key").agg(F.first("long").alias("long")).withColumn("rank", rank).where(F.col("rank") <= SAMPLE_DOCS)  # hashes first, then their texts
+    chosen = rows.join(F.broadcast(least.select("lang", "key", "rank")), ["lang", "key"]).groupBy("lang", "rank").agg(F.first("text").alias("text"))
     samples: dict[str, list[str]] = {}
     for row in chosen.orderBy("lang", "rank").collect():  # bounded: SAMPLE_DOCS * SAMPLE_CHARS a language
         samples.setdefault(row.lang, []).append(row.text)
     return tuple((k, tuple(v)) for k, v in sorted(samples.items()))
 
 
+def slices(sizes: list[int], most: int, rows: int = 1024) -> list[tuple[int, int]]:
+    """(begin, end) of runs of at most `rows` texts and `most` characters together; a longer text is alone."""
+    out, begin, total = [], 0, 0
+    for i, size in enumerate(sizes):
+        if i > begin and (total + size > most or i - begin == rows):
+            out.append((begin, i))
+            begin, total = i, 0
+        total += size
+    return [*out, (begin, len(sizes))] if sizes else out
+
+
 def identify(docs: DataFrame, samples: tuple, *, id_col="doc_id", text_col="text") -> DataFrame:
     """doc_id, lang_pred, score of each row."""
 
     def run(batches):
         parser = _parser(samples)
         for batch in batches:
-            for at in range(0, batch.num_rows, 1024):
-                part = batch.slice(at, 1024)
+            for at, end in slices(pc.utf8_length(batch.column(1)).fill_null(0).to_pylist(), BATCH_CHARS):
+                part = batch.slice(at, end - at)
                 found = parser.predict(part.column(1).to_pylist())
                 yield pa.RecordBatch.from_arrays([part.column(0), pa.array([x for x, _ in found], pa.string()), pa.array([s for _, s in found], pa.float64())], ["doc_id", "lang_pred", "score"])
 

@@ -232,3 +232,28 @@ def test_damage_and_empty_tables(spark):
     assert conversations.report(empty, empty).count() == conversations.repaired_rows(empty).count() == 0
     gone = conversations.report(frame, empty).collect()
     assert [(r.gaps, r.cost, r.audit, r.repaired_sha256) for r in gone] == [(0, 0, "", hashlib.sha256(b"").hexdigest())] * 2
+
+
+def test_verdict_of_a_hot_value_equals_that_of_others(spark, make, monkeypatch):
+    from larkspur.llm import secrets
+
+    texts = [(f"note {k}\npassword = example1234", "en", f"s{k % 5}") for k in range(30)] + [(f"token: own{k % 3}value99 ghp_{'a' * 20}{k}", "en", "s1") for k in range(9)]
+    results = []
+    for hot in (1000, 1):  # every value hot, none hot
+        monkeypatch.setattr(secrets, "HOT", hot)
+        results.append(sorted(map(tuple, secrets.secret_spans(make(texts)).collect())))
+    assert results[0] == results[1]
+    assert sum(r[7] for r in results[0]) == 30 and sum(r[6] for r in results[0]) == 18
+
+
+def test_language_batches_hold_few_letters(spark, make, monkeypatch):
+    from larkspur.llm import language
+
+    texts = [("the cat sat on the mat and the dog ran " * 5, "en", "a"), ("der hund lief und die katze sass auf der matte " * 5, "de", "a")] * 3
+    docs = make([*texts, ("the dog and the cat " * 400, None, None), ("die katze und der hund " * 400, None, None), (None, None, None)])
+    samples = language.learn(docs)
+    assert dict(samples).keys() == {"de", "en"} and all(len(v) == 1 for _, v in samples)
+    whole = sorted((r.doc_id, r.lang_pred, r.score) for r in language.identify(docs, samples).collect())
+    assert [w[1] for w in whole] == ["en", "de"] * 3 + ["en", "de", "und"]
+    pieces = language.slices([100, 10, 5, 300, 1], 120)
+    assert pieces == [(0, 3), (3, 4), (4, 5)] and language.slices([], 5) == []
