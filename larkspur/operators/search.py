@@ -191,7 +191,7 @@ def bootstrap_mean(rows: DataFrame, *, rounds: int) -> DataFrame:
     A row's number in a round comes from the first 31 bits of md5(h) by the round's linear hash.
     """
     a, b = draws(rounds)
-    seed = (F.conv(F.substring(F.md5("h"), 1, 8), 16, 10).cast("long") % PRIME).alias("seed")
+    seed = (F.conv(F.substring(F.md5(F.col("h").cast("string")), 1, 8), 16, 10).cast("long") % PRIME).alias("seed")
 
     def summed(batches):
         total, count = np.zeros(rounds), np.zeros(rounds)
