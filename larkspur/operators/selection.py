@@ -1,9 +1,7 @@
-"""Order-dependent selections on bounded groups."""
+"""The first rows of groups."""
 
 from __future__ import annotations
 
-import numpy as np
-import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -18,40 +16,3 @@ def top_per_group(df: DataFrame, group: list[str], order: list, n: int, place: s
 def pool_for(n: int) -> int:
     """How many of the best compete for n slots: the reference's pool."""
     return max(40 * n, 300)
-
-
-def diversify(pool: DataFrame, *, n: int, pool_size: int, producer_cap: int, weight: float = 0.35) -> DataFrame:
-    """(profile, slot, item): greedy pick by score less weight * highest similarity to the items picked.
-
-    pool: profile, item, producer, duplicate_of, score, features. One item of each duplicate group, at
-    most producer_cap a producer; open slots are filled from the capped items in order of score. Each
-    profile's pool is cut to its pool_size best first, so a group is bounded.
-    """
-
-    def pick(rows: pd.DataFrame) -> pd.DataFrame:
-        rows = rows.sort_values(["score", "item"], ascending=[False, True], kind="stable").reset_index(drop=True)
-        vectors = np.stack(rows.features.to_numpy()).astype(float)
-        vectors /= np.maximum(np.linalg.norm(vectors, axis=1, keepdims=True), 1e-12)
-        nearest, open_rows = np.full(len(rows), 0.0), np.ones(len(rows), bool)
-        chosen, per_producer, capped = [], {}, []
-        score, producers, groups = rows.score.to_numpy(), rows.producer.to_numpy(), rows.duplicate_of.to_numpy()
-        while len(chosen) < n and open_rows.any():
-            k = int(np.argmax(np.where(open_rows, score - weight * nearest, -np.inf)))
-            open_rows[k] = False
-            if per_producer.get(producers[k], 0) >= producer_cap:
-                capped.append(k)
-                continue
-            chosen.append(k)
-            per_producer[producers[k]] = per_producer.get(producers[k], 0) + 1
-            open_rows &= groups != groups[k]
-            nearest = np.maximum(nearest, vectors @ vectors[k])
-        taken = set(groups[chosen])
-        for k in sorted(capped):
-            if len(chosen) < n and groups[k] not in taken:
-                chosen.append(k)
-                taken.add(groups[k])
-        return pd.DataFrame({"profile": rows.profile.iloc[0], "slot": range(1, len(chosen) + 1), "item": rows.item.to_numpy()[chosen]})
-
-    bounded = top_per_group(pool, ["profile"], [F.desc("score"), "item"], pool_size)
-    kinds = {f.name: f.dataType.simpleString() for f in pool.schema}
-    return bounded.groupBy("profile").applyInPandas(pick, f"profile {kinds['profile']}, slot int, item {kinds['item']}")

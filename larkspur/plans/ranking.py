@@ -4,7 +4,7 @@ from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from larkspur.functions import vectors as V
-from larkspur.operators import ordering, search, selection
+from larkspur.operators import ordering, recommend, search, selection
 from larkspur.plans.shared import Catalogue
 from larkspur.storage import table
 
@@ -114,10 +114,14 @@ def search_order(spark, sf_dir, n=100):
 
 @C.query("greedy_mmr", "E6")
 def greedy_mmr(spark, sf_dir):
-    """Diversified pick of 20 items a brand family: score less 0.35 of the highest similarity to those picked."""
+    """Diversified pick of 20 items a size class: score times 1 less 0.35 of the highest similarity to those picked and what repeats."""
     part = table(spark, sf_dir, "part")
-    pool = part.select(F.pmod("p_size", F.lit(5)).alias("profile"), F.col("p_partkey").alias("item"), F.col("p_brand").alias("producer"), F.col("p_name").alias("duplicate_of"), (F.col("p_retailprice") / 2000).alias("score"), F.array(F.col("p_size") / 50.0, F.length("p_name") / 20.0, F.lit(0.5)).alias("features"))
-    return selection.diversify(pool, n=20, pool_size=selection.pool_for(20), producer_cap=2)
+    length = F.sqrt(F.pow(F.col("p_size") / 50.0, 2) + F.pow(F.length("p_name") / 20.0, 2) + 0.25)
+    axis = lambda f, x: F.struct(F.lit(f).cast("long").alias("f"), F.lit(0).alias("k"), (x / length).alias("x"))
+    features = F.array(axis(1, F.col("p_size") / 50.0), axis(2, F.length("p_name") / 20.0), axis(3, F.lit(0.5)))
+    word = F.split("p_name", " ")
+    pool = part.select(F.pmod("p_size", F.lit(5)).alias("profile"), F.col("p_partkey").alias("item"), (F.col("p_retailprice") / 2000).alias("score"), F.lit("").alias("interest"), F.lit(0.0).alias("share"), F.col("p_type").alias("style"), word[1].alias("grape"), F.col("p_brand").alias("producer"), F.col("p_name").alias("duplicate_of"), features.alias("features"))
+    return recommend.picked(pool, n=20, interests=False).select("profile", "slot", "item")
 
 
 @C.query("near_duplicate_keep", "E9")

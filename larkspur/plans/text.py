@@ -261,9 +261,10 @@ def cascade_match(spark, sf_dir):
 
 @C.query("fuzzy_names", "C16 H13")
 def fuzzy_names(spark, sf_dir):
-    """Pairs of items of one brand whose sorted names are at least 75 % alike by common subsequence."""
+    """Names of one brand whose sorted tokens are at least 75 % alike by common subsequence, and how alike they are as sets."""
     part = table(spark, sf_dir, "part")
-    return matching.blocked_pairs(part, block="p_brand", key="p_partkey", text="p_name", least=75)
+    found = matching.similar_names(part, block="p_brand", key="p_partkey", text="p_name", least=75)
+    return found.select("a", "b", "ratio", F.round(entity.token_set_ratio("ta", "tb"), 4).alias("set_ratio"))
 
 
 @C.query("producer_blocks", "C23", """

@@ -5,7 +5,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from larkspur.functions import vectors as V
-from larkspur.operators import graph, matching, search, selection
+from larkspur.operators import graph, matching, search
 
 
 def test_components_against_union_find(spark):
@@ -53,11 +53,20 @@ def test_common_subsequence():
         assert matching.common_subsequence(a, b) == plain(a, b)
 
 
-def test_diversify_caps_producers_and_duplicates(spark):
-    rows = [(1, i, f"p{i % 2}", f"d{i // 2}", 1.0 - i / 100, [1.0, i / 10]) for i in range(10)]
-    pool = spark.createDataFrame(rows, "profile int, item int, producer string, duplicate_of string, score double, features array<double>")
-    picked = [r["item"] for r in selection.diversify(pool, n=5, pool_size=10, producer_cap=2).orderBy("slot").collect()]
-    assert picked[0] == 0 and len(picked) == len({i // 2 for i in picked}) == 5
+def test_similar_names_equal_all_pairs(spark):
+    rng = random.Random(6)
+    words = ["red", "rod", "bolt", "bold", "ring", "rings", "gear", "a", "anvil", "x"]
+    rows = [(i, rng.choice("pq"), " ".join(rng.sample(words, rng.randint(0, 3)))) for i in range(160)]
+    found = matching.similar_names(spark.createDataFrame(rows, "id long, brand string, name string"), block="brand", key="id", text="name", least=75).collect()
+    classes = {}
+    for i, b, t in rows:
+        classes.setdefault((b, " ".join(sorted(t.split()))), []).append(i)
+    want = {(min(ids), i) for ids in classes.values() for i in ids if i != min(ids)}
+    for (b, s), x in classes.items():
+        for (c, t), y in classes.items():
+            if b == c and min(x) < min(y) and 200 * matching.common_subsequence(s, t) >= 75 * (len(s) + len(t)):
+                want.add((min(x), min(y)))
+    assert {(r.a, r.b) for r in found} == want and len(found) == len(want)
 
 
 def test_unit_of_zero_vector(spark):
