@@ -55,14 +55,23 @@ WITH t AS ({_TOKENS}), s AS (SELECT left(w, 5) AS stem, w, count(*) AS n FROM t
 SELECT stem, w AS spelling, n FROM (SELECT *, row_number() OVER (PARTITION BY stem ORDER BY n DESC, w) AS rn FROM s) x WHERE rn = 1""")
 
 
-@C.query("six_normal_forms", "H1 H11", r"""
+def _nested(inner: str, form: str, table: dict[str, str]) -> str:
+    """SQL that applies a replacement for each entry of a table, in order."""
+    for old, new in table.items():
+        inner = form.format(inner, old, new)
+    return inner
+
+
+@C.query("six_normal_forms", "H1 H11", rf"""
 SELECT doc_id, sha256(trim(regexp_replace(lower(text), '[^а-яa-z0-9]+', ' ', 'g'), ' ')) AS collapsed, sha256(regexp_replace(lower(text), '[^а-яa-z0-9 ]+', ' ', 'g')) AS spaced,
-  sha256(trim(regexp_replace(lower(nfc_normalize(text)), '[^\p{L}\p{M}\p{N}_]+', ' ', 'g'), ' ')) AS words, sha256(trim(regexp_replace(replace(replace(lower(nfc_normalize(text)), 'rose', 'розе'), 'brut', 'брют'), '[^a-zа-я0-9]+', ' ', 'g'), ' ')) AS translated,
-  sha256(trim(regexp_replace(lower(strip_accents(text)), '[^a-z0-9]+', ' ', 'g'), ' ')) AS folded, sha256(trim(regexp_replace(replace(lower(text), ',', '.'), '[^а-яa-z0-9.]+', ' ', 'g'), ' ')) AS ocr FROM documents""")
+  sha256(trim(regexp_replace(lower(nfc_normalize(text)), '[^\p{{L}}\p{{M}}\p{{N}}_]+', ' ', 'g'), ' ')) AS words,
+  sha256(trim(regexp_replace({_nested("lower(nfc_normalize(text))", "replace({0}, '{1}', '{2}')", T.TRANSLATED_PHRASES)}, '[^a-zа-я0-9]+', ' ', 'g'), ' ')) AS translated,
+  sha256(trim(regexp_replace({_nested("lower(strip_accents(text))", "regexp_replace({0}, '" + chr(92) + "b{1}" + chr(92) + "b', '{2}', 'g')", T.FOLDED_WORDS)}, '[^a-z0-9]+', ' ', 'g'), ' ')) AS folded,
+  sha256(trim(regexp_replace(replace(lower(text), ',', '.'), '[^а-яa-z0-9.]+', ' ', 'g'), ' ')) AS ocr FROM documents""")
 def six_normal_forms(spark, sf_dir):
     """Six comparable forms of a text; they are for different sources and not interchangeable."""
     t = F.col("text")
-    forms = {"collapsed": T.collapsed(t), "spaced": T.spaced(t), "words": T.word_form(t), "translated": T.translated(t, {"rose": "розе", "brut": "брют"}), "folded": T.folded(t, {}), "ocr": T.ocr_form(t)}
+    forms = {"collapsed": T.collapsed(t), "spaced": T.spaced(t), "words": T.word_form(t), "translated": T.translated(t, T.TRANSLATED_PHRASES), "folded": T.folded(t, T.FOLDED_WORDS), "ocr": T.ocr_form(t)}
     return table(spark, sf_dir, "documents").select("doc_id", *[F.sha2(c, 256).alias(n) for n, c in forms.items()])
 
 

@@ -4,6 +4,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
+from larkspur.functions import text as T
 from larkspur.functions import vectors as V
 from larkspur.operators import graph, matching, search
 
@@ -104,3 +105,10 @@ def test_ngrams_of_three_to_five(spark):
     words = ["a", "ab", "abc", "abcdef"]
     found = matching.ngram_weights(spark.createDataFrame(list(enumerate(words)), "id long, text string"), most=5).collect()
     assert {i: {r.gram for r in found if r.id == i} for i in range(4)} == {i: grams(w) for i, w in enumerate(words)}
+
+
+def test_tables_of_words_and_phrases(spark):
+    df = spark.createDataFrame([("Château Pinot Noir, Cabernet Sauvignon Brut Reserve",)], "t string")
+    row = df.select(T.folded(F.col("t"), T.FOLDED_WORDS).alias("folded"), T.translated(F.col("t"), T.TRANSLATED_PHRASES, "a-zâа-я0-9").alias("translated")).first()
+    assert row.folded == "shato pino nuar kaberne sovinon bryut rezerv"
+    assert row.translated == "château пино нуар каберне совиньон брют резерв"
