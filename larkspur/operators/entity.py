@@ -70,7 +70,7 @@ def producer_blocks(products: DataFrame, producers: DataFrame, *, least: float =
 
 
 def conflicts(rows: DataFrame, *, sides: tuple[str, str], critical: list[str]) -> Column:
-    """Flags where two records contradict each other: year, colour, sweetness, grape, style and critical tokens.
+    """Flags where two records contradict each other: year, colour, sweetness, grape, format, style and critical tokens.
 
     A field only speaks where both sides have it; grapes of the second may not go beyond the first's, and
     critical tokens of the second must be known to the first.
@@ -85,6 +85,7 @@ def conflicts(rows: DataFrame, *, sides: tuple[str, str], critical: list[str]) -
         F.when(differ("color"), "color"),
         F.when(differ("sweet"), "sweetness"),
         F.when(both("grapes") & (F.size(F.array_except(b("grapes"), a("grapes"))) > 0), "grape"),
+        F.when(differ("format"), "format"),
         F.when(differ("style"), "style"),
         F.when(F.size(F.array_except(F.array_intersect(b("tokens"), word), a("tokens"))) > 0, "critical"),
     )

@@ -83,8 +83,8 @@ scoped AS (SELECT 'all' AS scope, h, source, bytes FROM h UNION ALL SELECT sourc
 g AS (SELECT scope, h, count(*) AS n, count(DISTINCT source) AS keys, sum(bytes) AS s, max(bytes) AS m FROM scoped GROUP BY scope, h)
 SELECT scope, CAST(sum(n) AS BIGINT) AS files, count(*) AS unique_files, count(*) FILTER (WHERE n > 1) AS groups, CAST(sum(n - 1) AS BIGINT) AS extra, count(*) FILTER (WHERE keys > 1) AS cross_key, CAST(sum(s - m) AS BIGINT) AS redundant FROM g GROUP BY scope""")
 C.sql("group_records", "D10", """
-WITH h AS (SELECT SHA(text) AS h, doc_id FROM {documents})
-SELECT h, count(*) AS n, JOINED(SORTED_ITEMS(COLLECT(CAST(doc_id + 1000000 AS VARCHAR(20)))), ',') AS members FROM h GROUP BY h HAVING count(*) > 1""")
+WITH d AS (SELECT SHA(text) AS h, doc_id FROM {documents}), g AS (SELECT h, count(*) AS n FROM d GROUP BY h HAVING count(*) > 1)
+SELECT d.h, g.n, CAST(d.doc_id + 1000000 AS VARCHAR(20)) AS member FROM d JOIN g ON g.h = d.h""")
 C.sql("macro_accuracy", "D13 D15", """
 SELECT round(avg(acc), 6) AS macro, count(*) AS classes FROM (SELECT lang, avg(CASE WHEN quality = 1 THEN 1.0e0 ELSE 0.0e0 END) AS acc FROM {documents} d LEFT JOIN {labels} l ON l.doc_id = d.doc_id GROUP BY lang) x""")
 C.sql("accuracy_modulo_group", "D16", """

@@ -289,21 +289,24 @@ def producer_blocks(spark, sf_dir):
     return entity.producer_blocks(products, producers)
 
 
-@C.query("evidence_chain", "B15", """
-WITH r AS (SELECT p_partkey AS id, p_brand, CASE WHEN p_size % 2 = 0 THEN [(2000 + p_size % 6)::VARCHAR] ELSE [] END AS years, CASE WHEN p_size % 3 = 0 THEN '' ELSE string_split(p_name, ' ')[1] END AS color, ['dry', 'sweet', ''][p_size % 3 + 1] AS sweet, string_split(p_name, ' ')[2:2] AS grapes, CASE WHEN p_type IN ('PROMO', 'ECONOMY') THEN lower(p_type) ELSE '' END AS style, list_concat(string_split(p_name, ' '), [lower(p_type)]) AS tokens FROM part),
-m AS (SELECT a.id AS target, b.id AS product, [CASE WHEN len(a.years) > 0 AND len(b.years) > 0 AND len(list_intersect(a.years, b.years)) = 0 THEN 'year' END, CASE WHEN a.color <> '' AND b.color <> '' AND a.color <> b.color THEN 'color' END, CASE WHEN a.sweet <> '' AND b.sweet <> '' AND a.sweet <> b.sweet THEN 'sweetness' END,
-    CASE WHEN len(list_filter(b.grapes, lambda g: NOT list_contains(a.grapes, g))) > 0 THEN 'grape' END, CASE WHEN a.style <> '' AND b.style <> '' AND a.style <> b.style THEN 'style' END, CASE WHEN len(list_filter(list_intersect(b.tokens, ['large', 'hot']), lambda t: NOT list_contains(a.tokens, t))) > 0 THEN 'critical' END] AS f
-  FROM r a JOIN r b ON a.p_brand = b.p_brand AND b.id > a.id AND b.id - a.id <= 60)
+@C.query("evidence_chain", "B15", f"""
+WITH r AS (SELECT p_partkey AS id, CASE WHEN p_size % 2 = 0 THEN [(2000 + p_size % 6)::VARCHAR] ELSE [] END AS years, CASE WHEN p_size % 3 = 0 THEN '' ELSE string_split(p_name, ' ')[1] END AS color, ['dry', 'sweet', ''][p_size % 3 + 1] AS sweet, string_split(p_name, ' ')[2:2] AS grapes,
+  CASE p_size % 5 WHEN 0 THEN 'large' WHEN 1 THEN 'small' ELSE '' END AS format, CASE WHEN p_type IN ('PROMO', 'ECONOMY') THEN lower(p_type) ELSE '' END AS style, list_concat(string_split(p_name, ' '), [lower(p_type)]) AS tokens FROM part),
+m AS (SELECT target, product, [CASE WHEN len(a.years) > 0 AND len(b.years) > 0 AND len(list_intersect(a.years, b.years)) = 0 THEN 'year' END, CASE WHEN a.color <> '' AND b.color <> '' AND a.color <> b.color THEN 'color' END, CASE WHEN a.sweet <> '' AND b.sweet <> '' AND a.sweet <> b.sweet THEN 'sweetness' END,
+    CASE WHEN len(list_filter(b.grapes, lambda g: NOT list_contains(a.grapes, g))) > 0 THEN 'grape' END, CASE WHEN a.format <> '' AND b.format <> '' AND a.format <> b.format THEN 'format' END, CASE WHEN a.style <> '' AND b.style <> '' AND a.style <> b.style THEN 'style' END,
+    CASE WHEN len(list_filter(list_intersect(b.tokens, ['large', 'hot', 'promo']), lambda t: NOT list_contains(a.tokens, t))) > 0 THEN 'critical' END] AS f
+  FROM ({ORACLES["blocked_match"]}) JOIN r a ON a.id = target JOIN r b ON b.id = product)
 SELECT target, product, array_to_string(list_filter(f, lambda x: x IS NOT NULL), ',') AS flags FROM m""")
 def evidence_chain(spark, sf_dir):
-    """What contradicts a match between neighbouring items of a brand."""
+    """What contradicts the best match of each item inside its producer."""
     n, word = F.col("p_size"), F.split("p_name", " ")
     style = F.when(F.col("p_type").isin("PROMO", "ECONOMY"), F.lower("p_type")).otherwise("")
     empty = F.array().cast("array<string>")
-    rows = table(spark, sf_dir, "part").select(F.col("p_partkey").alias("id"), "p_brand", F.when(n % 2 == 0, F.array((2000 + n % 6).cast("string"))).otherwise(empty).alias("years"), F.when(n % 3 == 0, "").otherwise(word[0]).alias("color"), F.get(F.array(F.lit("dry"), F.lit("sweet"), F.lit("")), n % 3).alias("sweet"), F.array(word[1]).alias("grapes"), style.alias("style"), F.concat(word, F.array(F.lower("p_type"))).alias("tokens"))
-    pairs = rows.alias("a").join(rows.alias("b"), (F.col("a.p_brand") == F.col("b.p_brand")) & (F.col("b.id") > F.col("a.id")) & (F.col("b.id") - F.col("a.id") <= 60))
-    flags = entity.conflicts(pairs, sides=("a", "b"), critical=["large", "hot"])
-    return pairs.select(F.col("a.id").alias("target"), F.col("b.id").alias("product"), F.array_join(flags, ",").alias("flags"))
+    rows = table(spark, sf_dir, "part").select(F.col("p_partkey").alias("id"), F.when(n % 2 == 0, F.array((2000 + n % 6).cast("string"))).otherwise(empty).alias("years"), F.when(n % 3 == 0, "").otherwise(word[0]).alias("color"), F.get(F.array(F.lit("dry"), F.lit("sweet"), F.lit("")), n % 3).alias("sweet"), F.array(word[1]).alias("grapes"), F.when(n % 5 == 0, "large").when(n % 5 == 1, "small").otherwise("").alias("format"), style.alias("style"), F.concat(word, F.array(F.lower("p_type"))).alias("tokens"))
+    matched = materialize(blocked_match(spark, sf_dir).select("target", "product"), "matched")
+    pairs = matched.join(rows.alias("a"), F.col("target") == F.col("a.id")).join(rows.alias("b"), F.col("product") == F.col("b.id"))
+    flags = entity.conflicts(pairs, sides=("a", "b"), critical=["large", "hot", "promo"])
+    return pairs.select("target", "product", F.array_join(flags, ",").alias("flags"))
 
 
 _CUES = {"body": [("large", 5.0), ("small", 2.0), ("plate", 4.0)], "acidity": [("cold", 4.5), ("hot", 1.5), ("ring", 3.0)]}
