@@ -2,7 +2,9 @@
 
 Each stage reads what its predecessor kept, written as Parquet in the shared folder, and returns the
 columns of documents; the last returns token ids. Texts may be null or empty in any stage: the quality
-rules reject them. An empty table passes through all stages.
+rules reject them. Very long texts are taken whole in each stage. Repeated rows are one group of copies, of which
+near-dedup keeps the row of smallest id, or all rows of that id; ties in the mix go by id, size and text. Further
+columns, whatever their names, pass through all stages but the last. An empty table passes through all stages.
 """
 
 from __future__ import annotations
