@@ -4,8 +4,8 @@ from pyspark.sql import functions as F
 
 from larkspur.operators import ledger
 from larkspur.plans.shared import Catalogue
-from larkspur.storage import table
-from larkspur.streaming import activity
+from larkspur.storage import scratch, table
+from larkspur.streaming import accounts, activity
 
 C = Catalogue()
 QUERIES, ORACLES, COVERS = C.QUERIES, C.ORACLES, C.COVERS
@@ -35,6 +35,13 @@ def windowed_activity(spark, sf_dir):
 _LEDGER = "e AS (SELECT event_id AS id, user_id AS account, json_extract_string(props, '$.k') || event_type AS request, CASE event_type WHEN 'purchase' THEN 3 WHEN 'view' THEN 1 WHEN 'click' THEN -1 ELSE 0 END AS delta, CASE WHEN event_type = 'error' THEN event_id - event_id % 40 END AS undo_of FROM events)"
 
 
+def _ledger_events(events):
+    """The event log as a ledger: what moves an account, under which request, and what an error takes back."""
+    kind = F.col("event_type")
+    delta = F.when(kind == "purchase", 3).when(kind == "view", 1).when(kind == "click", -1).otherwise(0)
+    return events.select(F.col("event_id").alias("id"), F.col("user_id").alias("account"), F.concat(F.get_json_object("props", "$.k"), kind).alias("request"), delta.alias("delta"), F.when(kind == "error", F.col("event_id") - F.col("event_id") % 40).alias("undo_of"), F.col("ts").cast("timestamp").alias("ts"))
+
+
 @C.query("ledger_balance", "K3", f"""
 WITH {_LEDGER}, o AS (SELECT * FROM e QUALIFY row_number() OVER (PARTITION BY account, request ORDER BY id) = 1), u AS (SELECT * FROM o WHERE undo_of IS NOT NULL QUALIFY row_number() OVER (PARTITION BY account, undo_of ORDER BY id) = 1),
 t AS (SELECT u.id, u.account, -o.delta AS delta, u.undo_of FROM u JOIN o ON o.account = u.account AND o.id = u.undo_of AND o.undo_of IS NULL AND o.id < u.id),
@@ -42,10 +49,18 @@ b AS (SELECT id, account, delta, EXISTS (SELECT 1 FROM t WHERE t.account = o.acc
 SELECT id, account, delta, undone, sum(delta) OVER (PARTITION BY account ORDER BY id)::BIGINT AS balance, sum(delta) OVER (PARTITION BY account ORDER BY id) BETWEEN 0 AND 999 AS valid FROM b""")
 def ledger_balance(spark, sf_dir):
     """Running balances with each request once, undone events taken back once, and bounds checked."""
-    kind = F.col("event_type")
-    delta = F.when(kind == "purchase", 3).when(kind == "view", 1).when(kind == "click", -1).otherwise(0)
-    events = table(spark, sf_dir, "events").select(F.col("event_id").alias("id"), F.col("user_id").alias("account"), F.concat(F.get_json_object("props", "$.k"), kind).alias("request"), delta.alias("delta"), F.when(kind == "error", F.col("event_id") - F.col("event_id") % 40).alias("undo_of"))
-    return ledger.balances(events)
+    return ledger.balances(_ledger_events(table(spark, sf_dir, "events")))
+
+
+@C.query("ledger_stream", "K3 E17 B10 streaming", f"""
+WITH {_LEDGER}, n AS (SELECT e.*, ts, row_number() OVER (PARTITION BY account, request ORDER BY id) AS nth FROM e JOIN events ON event_id = id),
+u AS (SELECT id, account, undo_of FROM n WHERE nth = 1 AND undo_of IS NOT NULL QUALIFY row_number() OVER (PARTITION BY account, undo_of ORDER BY id) = 1),
+t AS (SELECT u.id, -o.delta AS delta FROM u JOIN n o ON o.account = u.account AND o.id = u.undo_of AND o.undo_of IS NULL AND o.nth = 1 AND o.id < u.id),
+s AS (SELECT account, n.id, ts, CASE WHEN nth > 1 THEN 'repeat' WHEN t.id IS NOT NULL THEN 'undo' WHEN undo_of IS NOT NULL THEN 'ignored' ELSE 'applied' END AS status, CASE WHEN nth > 1 THEN 0 ELSE coalesce(t.delta, CASE WHEN undo_of IS NULL THEN n.delta ELSE 0 END) END::BIGINT AS delta FROM n LEFT JOIN t ON t.id = n.id)
+SELECT account, id, status, delta, sum(delta) OVER (PARTITION BY account ORDER BY id)::BIGINT AS balance, sum(delta) OVER (PARTITION BY account ORDER BY id) BETWEEN 0 AND 999 AS valid, coalesce(ts - lag(ts, 8) OVER (PARTITION BY account ORDER BY ts, id) <= INTERVAL 1 DAY, false) AS limited FROM s""")
+def ledger_stream(spark, sf_dir):
+    """The ledger as a stateful stream over the event log, run to its end and closed; at most 8 events a day."""
+    return accounts.run(spark, f"{sf_dir}/events.parquet", _ledger_events, scratch(spark, "ledger"), close=True, window=86400, slot=86400)
 
 
 @C.query("journal_state", "K5", """

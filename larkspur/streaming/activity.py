@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from larkspur.storage import scratch
@@ -20,11 +20,17 @@ def first_requests(events: DataFrame, lateness: str = "1 hour") -> DataFrame:
     return events.withColumn("ts", F.col("ts").cast("timestamp")).withWatermark("ts", lateness).dropDuplicatesWithinWatermark(["user_id", "event_id"])
 
 
+def follow(spark: SparkSession, path: str, options: dict | None = None) -> DataFrame:
+    """A Parquet file or folder as a stream of its files."""
+    folder, _, name = path.rpartition("/")
+    found = spark.readStream.schema(spark.read.parquet(path).schema).option("pathGlobFilter", "*.parquet").options(**(options or {}))
+    return found.parquet(f"{folder}/{name.replace('.parquet', '.parquet*')}")
+
+
 def hourly(schema_of: DataFrame, path: str) -> DataFrame:
     """hourly_counts over all files of a Parquet path as a stream that stops at its end."""
     spark = schema_of.sparkSession
-    folder, _, name = path.rpartition("/")
-    source = spark.readStream.schema(schema_of.schema).option("pathGlobFilter", "*.parquet").parquet(f"{folder}/{name.replace('.parquet', '.parquet*')}")
+    source = follow(spark, path)
     out = scratch(spark, "stream")
     query = (
         hourly_counts(source)
