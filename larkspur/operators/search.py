@@ -12,6 +12,8 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from larkspur.functions import vectors as V
+from larkspur.operators.ordering import first_independent
+from larkspur.storage import materialize
 
 
 def _blocks(rows: DataFrame, block: int, name: str) -> tuple[int, DataFrame]:
@@ -142,15 +144,59 @@ def blocked_topk(queries: DataFrame, refs: DataFrame, *, k: int, foreign: bool =
     return local.withColumn("rank", rank).where(F.col("rank") <= k).select("q", "rank", "id", "sim")
 
 
-def near_pairs(refs: DataFrame, *, least: float, block: int = 2048) -> DataFrame:
-    """(a, b, sim): pairs a < b of one owner with similarity `least` or more, from (id, owner, v)."""
-
-    def step(qi, qo, ri, ro, sims):
-        rows, cols = np.nonzero((sims >= least) & (qo[:, None] == ro[None, :]) & (qi[:, None] < ri[None, :]))
-        yield pa.RecordBatch.from_arrays([pa.array(qi[rows]), pa.array(ri[cols]), pa.array(sims[rows, cols])], ["a", "b", "sim"])
+def near_in_groups(refs: DataFrame, *, bits: int, rmse: float, block: int = 2048) -> DataFrame:
+    """(a, b): pairs a < b of one owner, from (id, owner, v), that differ in at most `bits` signs and whose root mean square difference, to six digits, is under `rmse`.
 
+    Both measures are metrics, so a pair's distances to any one row (the pivot, of least id) differ by no more than
+    its own: only blocks of one owner in the same or adjacent bands of both distances are compared. A band of
+    any size is cut into blocks by hash of id. Rows without an owner or a vector have no pairs.
+    """
+    rows = refs.where("owner IS NOT NULL AND v IS NOT NULL")
+    pivot = rows.orderBy("id").select("v").first()
     kind = refs.schema["id"].dataType.simpleString()
-    return _blocked(refs, refs, step, f"a {kind}, b {kind}, sim double", block)
+    if pivot is None:
+        return refs.sparkSession.createDataFrame([], f"a {kind}, b {kind}")
+    p = F.lit(list(pivot.v))
+    signs = F.size(F.filter(F.zip_with("v", p, lambda x, y: (x > 0) != (y > 0)), lambda d: d))
+    gap = F.sqrt(F.aggregate(F.zip_with("v", p, lambda x, y: (x - y) * (x - y)), F.lit(0.0), lambda s, x: s + x) / F.size("v"))
+    cell = ["owner", "far", "wide"]
+    banded = materialize(rows.select("id", "owner", "v", F.floor(signs / max(bits, 1)).alias("far"), F.floor(gap / (rmse + 1e-6)).alias("wide")), "banded")
+    sizes = banded.groupBy(*cell).agg(F.ceil(F.count("*") / block).alias("n"))
+    slot = F.pmod(F.xxhash64("id"), F.col("n")).alias("slot")
+    dealt = banded.join(sizes, cell).select(*cell, slot, "id", "v")
+    blocks = materialize(dealt.groupBy(*cell, "slot").agg(F.collect_list(F.struct("id", "v")).alias("held")), "blocks")
+    steps = F.array(*[F.struct(F.lit(i).alias("i"), F.lit(j).alias("j")) for i, j in ((0, 0), (0, 1), (1, -1), (1, 0), (1, 1))])
+    asked = blocks.select("owner", F.col("slot").alias("own"), F.col("held").alias("asked"), "far", "wide", F.explode(steps).alias("step"))
+    moved = asked.select("owner", (F.col("far") + F.col("step.i")).alias("far"), (F.col("wide") + F.col("step.j")).alias("wide"), "asked", F.when((F.col("step.i") == 0) & (F.col("step.j") == 0), F.col("own")).otherwise(0).alias("least"))
+    met = moved.join(sizes, cell).withColumn("slot", F.explode(F.sequence("least", F.col("n") - 1))).join(blocks, [*cell, "slot"]).select("asked", "held")
+
+    def parts(column):
+        found = column.flatten()
+        return found.field(0).to_numpy(zero_copy_only=False), found.field(1).flatten().to_numpy(zero_copy_only=False).astype(float).reshape(len(found), -1)
+
+    def compared(batches):
+        for batch in batches:
+            for k in range(batch.num_rows):
+                (ai, a), (bi, b) = (parts(batch.slice(k, 1).column(c)) for c in range(2))
+                differ = (a.shape[1] - np.where(a > 0, 1.0, -1.0) @ np.where(b > 0, 1.0, -1.0).T) / 2
+                square = (a * a).sum(axis=1)[:, None] + (b * b).sum(axis=1) - 2 * a @ b.T
+                apart = np.round(np.sqrt(np.maximum(square, 0) / a.shape[1]), 6)
+                i, j = np.nonzero((differ <= bits) & (apart < rmse) & (ai[:, None] != bi[None, :]))
+                yield pa.RecordBatch.from_arrays([pa.array(np.minimum(ai[i], bi[j])), pa.array(np.maximum(ai[i], bi[j]))], ["a", "b"])
+
+    return met.mapInArrow(compared, f"a {kind}, b {kind}")
+
+
+def kept_apart(refs: DataFrame, *, bits: int, rmse: float, block: int = 2048) -> DataFrame:
+    """(id) of the rows that a greedy pass in order of id keeps: no earlier kept row of the owner is near by both measures.
+
+    Copies of a vector share the fate of the first, so only it is compared; the others are near to it and go.
+    Rows without an owner or a vector stay.
+    """
+    loose = refs.where("owner IS NULL OR v IS NULL").select("id")
+    first = materialize(refs.where("owner IS NOT NULL AND v IS NOT NULL").groupBy("owner", "v").agg(F.min("id").alias("id")), "first")
+    pairs = near_in_groups(first.select("id", "owner", "v"), bits=bits, rmse=rmse, block=block)
+    return first_independent(first, pairs).unionByName(loose)
 
 
 def voted(queries: DataFrame, refs: DataFrame, *, parts: int, k: int, best: int, least: float) -> DataFrame:

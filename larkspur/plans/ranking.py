@@ -124,9 +124,13 @@ def greedy_mmr(spark, sf_dir):
     return recommend.picked(pool, n=20, interests=False).select("profile", "slot", "item")
 
 
-@C.query("near_duplicate_keep", "E9")
-def near_duplicate_keep(spark, sf_dir, radius=1.15):
-    """Greedy keep list within a label: a vector stays unless one kept before lies within the radius."""
+@C.query("near_duplicate_keep", "E9", """
+WITH u AS (SELECT vec_id, label, embedding::DOUBLE[] AS e, sqrt(list_dot_product(embedding::DOUBLE[], embedding::DOUBLE[])) AS n FROM embeddings),
+r AS (SELECT label, [{'id': vec_id, 'v': list_transform(e, lambda x: x / n), 's': list_transform(e, lambda x: CASE WHEN x > 0 THEN 1.0::DOUBLE ELSE -1.0::DOUBLE END)}] AS one FROM u),
+g AS (SELECT label, list(one ORDER BY one[1].id) AS rows FROM r GROUP BY label),
+k AS (SELECT list_reduce(rows, lambda acc, x: CASE WHEN len(list_filter(acc, lambda k: (len(k.s) - list_dot_product(k.s, x[1].s)) / 2 <= 25 AND round(sqrt(greatest(0, 2 - 2 * list_dot_product(k.v, x[1].v)) / len(k.s)), 6) < 0.158)) > 0 THEN acc ELSE list_concat(acc, x) END) AS kept FROM g)
+SELECT unnest(list_transform(kept, lambda x: x.id)) AS vec_id FROM k""")
+def near_duplicate_keep(spark, sf_dir, bits=25, rmse=0.158):
+    """Greedy keep list within a label: a vector goes if one kept before is near in signs and in root mean square."""
     refs = table(spark, sf_dir, "embeddings").select(F.col("vec_id").alias("id"), F.col("label").alias("owner"), V.unit("embedding").alias("v"))
-    pairs = search.near_pairs(refs, least=round(1 - radius * radius / 2, 6))
-    return ordering.first_independent(refs, pairs).withColumnRenamed("id", "vec_id")
+    return search.kept_apart(refs, bits=bits, rmse=rmse).withColumnRenamed("id", "vec_id")

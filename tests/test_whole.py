@@ -147,8 +147,27 @@ def test_blocked_search(spark):
             assert [got[q, n + 1][0] for n in range(3)] == order
     best = {(r.q, r.owner): r.score for r in search.owner_scores(asked, refs, block=7).collect()}
     assert best == {(q, o): max(sims[q, k] for k in range(40) if owner[k] == o and k != q) for q in range(11) for o in set(owner) if any(owner[k] == o and k != q for k in range(40))}
-    near = {(r.a, r.b) for r in search.near_pairs(refs, least=1.0, block=7).collect()}
-    assert near == {(a, b) for a in range(40) for b in range(a + 1, 40) if owner[a] == owner[b] and sims[a, b] >= 1.0}
+
+
+@pytest.mark.parametrize("block", [3, 2048])
+def test_kept_apart(spark, block):
+    rng = np.random.default_rng(8)
+    centres = rng.normal(size=(6, 16))
+    v = centres[rng.integers(0, 6, 90)] + rng.normal(scale=0.45, size=(90, 16))
+    v[40:60] = v[3]  # copies, more than a block holds
+    owner = [1 if k % 3 else int(rng.integers(0, 4)) for k in range(90)]  # one owner holds most rows
+    apart = lambda a, b: ((v[a] > 0) != (v[b] > 0)).sum() > 4 or round(float(np.sqrt(((v[a] - v[b]) ** 2).mean())), 6) >= 0.7
+    kept = []
+    for k in range(90):
+        if all(apart(k, j) for j in kept if owner[j] == owner[k]):
+            kept.append(k)
+    rows = [(k, owner[k], v[k].tolist()) for k in range(90)] + [(90, None, v[3].tolist()), (91, 1, None), (92, None, None)]
+    refs = spark.createDataFrame(rows, "id long, owner int, v array<double>")
+    assert sorted(r.id for r in search.kept_apart(refs, bits=4, rmse=0.7, block=block).collect()) == [*kept, 90, 91, 92]
+    near = {(a, b) for a in range(90) for b in range(a + 1, 90) if owner[a] == owner[b] and not apart(a, b)}
+    found = [(r.a, r.b) for r in search.near_in_groups(refs, bits=4, rmse=0.7, block=block).collect()]
+    assert near <= set(found) and set(found) == near and 10 < len(kept) < 70
+    assert search.kept_apart(refs.where("false"), bits=4, rmse=0.7).count() == 0
 
 
 def test_first_independent(spark):
