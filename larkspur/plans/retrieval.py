@@ -6,7 +6,7 @@ from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from larkspur.functions import vectors as V
-from larkspur.operators import evaluate, search
+from larkspur.operators import balls, evaluate, search
 from larkspur.plans.shared import Catalogue
 from larkspur.storage import materialize, table
 
@@ -306,6 +306,18 @@ def query_expansion(spark, sf_dir):
     return expanded.select("q", F.posexplode("v").alias("i", "x")).select("q", (F.col("i") + 1).alias("i"), F.round("x", 5).alias("x"))
 
 
+@C.query("database_augmentation", "H25", """
+WITH s AS (SELECT a.vec_id AS q, b.vec_id AS r, round(DOT(a.embedding, b.embedding), 6) AS sim FROM {embeddings} a JOIN {embeddings} b ON a.vec_id <> b.vec_id),
+t AS (SELECT q, r, greatest(sim, 0) AS sim FROM (SELECT *, row_number() OVER (PARTITION BY q ORDER BY sim DESC, r) AS rk FROM s) x WHERE rk <= 2 UNION ALL SELECT vec_id, vec_id, 1 FROM {embeddings}),
+p AS (SELECT q, generate_subscripts(embedding, 1) AS i, sim ** 3 * unnest(embedding)::DOUBLE AS x FROM t JOIN {embeddings} ON vec_id = r),
+m AS (SELECT q, i, sum(x) AS x FROM p GROUP BY q, i), n AS (SELECT q, sqrt(sum(x * x)) AS len FROM m GROUP BY q)
+SELECT q AS vec_id, CAST(i AS INTEGER) AS i, round(x / len, 5) AS x FROM m JOIN n USING (q)""")
+def database_augmentation(spark, sf_dir):
+    """Each vector plus its 2 nearest others, weighted by similarity cubed; neighbours of all rows through an index of balls."""
+    mixed = balls.augmented(vectors(spark, sf_dir).select("id", "v"), k=2, power=3)
+    return mixed.select(F.col("id").alias("vec_id"), F.posexplode("v").alias("i", "x")).select("vec_id", (F.col("i") + 1).alias("i"), F.round("x", 5).alias("x"))
+
+
 @C.query("whitening", "D32 H25")
 def whitening(spark, sf_dir):
     """Vectors on their principal axes, each axis of unit variance."""
