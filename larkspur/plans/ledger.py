@@ -4,6 +4,7 @@ from pyspark.sql import functions as F
 
 from larkspur.operators import ledger
 from larkspur.plans.shared import Catalogue
+from larkspur.sources.versioned import VersionedTable
 from larkspur.storage import scratch, table
 from larkspur.streaming import accounts, activity
 
@@ -16,6 +17,22 @@ SELECT l_partkey, max(version) AS versions, count(*) FILTER (WHERE version > 1)
 C.sql("upsert_latest", "K1", """
 WITH u AS (SELECT c_custkey AS k, c_acctbal AS v, 0 AS seq FROM {customer} UNION ALL SELECT o_custkey, o_totalprice, o_orderkey + 1 FROM {orders} WHERE o_orderstatus = 'P')
 SELECT k, v FROM (SELECT *, row_number() OVER (PARTITION BY k ORDER BY seq DESC) AS rn FROM u) x WHERE rn = 1""")
+@C.query("stored_upsert", "K1 K8 A20", """
+WITH c AS (SELECT o_custkey AS k, o_orderkey, o_totalprice AS v, o_orderstatus AS s FROM orders),
+r AS (SELECT k, v, 'order' AS origin FROM c WHERE s = 'P' QUALIFY row_number() OVER (PARTITION BY k ORDER BY o_orderkey DESC) = 1),
+one AS (SELECT c_custkey AS k, c_acctbal AS v, 'base' AS origin FROM customer WHERE c_custkey NOT IN (SELECT k FROM r) UNION ALL SELECT * FROM r),
+g AS (SELECT k + 100 AS k, v, 'new' AS origin FROM c WHERE s = 'F' QUALIFY row_number() OVER (PARTITION BY k ORDER BY o_orderkey) = 1)
+SELECT * FROM one UNION ALL SELECT * FROM g WHERE k NOT IN (SELECT k FROM one)""")
+def stored_upsert(spark, sf_dir):
+    """A stored table of balances: the latest pending order of a customer replaces its row, filled orders only add keys."""
+    stored = VersionedTable(spark, scratch(spark, "stored"))
+    stored.create(table(spark, sf_dir, "customer").select(F.col("c_custkey").alias("k"), F.col("c_acctbal").alias("v"), F.lit("base").alias("origin")), ["k"])
+    orders = table(spark, sf_dir, "orders").select(F.col("o_custkey").alias("k"), F.col("o_totalprice").alias("v"), "o_orderkey", "o_orderstatus")
+    stored.upsert(orders.where("o_orderstatus = 'P'").withColumn("origin", F.lit("order")), order=["o_orderkey"])
+    stored.upsert(orders.where("o_orderstatus = 'F'").withColumn("k", F.col("k") + 100).withColumn("origin", F.lit("new")), order=["o_orderkey"], policy="ignore")
+    return stored.read()
+
+
 C.sql("status_transitions", "K10", """
 WITH t AS (SELECT user_id, event_type AS now, lag(event_type) OVER (PARTITION BY user_id ORDER BY event_id) AS before FROM {events})
 SELECT before, now, count(*) AS n FROM t WHERE before IS NOT NULL AND before <> now GROUP BY before, now""")
