@@ -4,7 +4,7 @@ from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from larkspur.functions import text as T
-from larkspur.operators import entity, graph, matching, text_index
+from larkspur.operators import cues, entity, graph, matching, text_index
 from larkspur.plans.shared import Catalogue, translate
 from larkspur.sources import annotations
 from larkspur.storage import materialize, table
@@ -331,6 +331,37 @@ def rule_profiles(spark, sf_dir):
     return found.select(F.col("item").alias("p_partkey"), half(F.when(F.col("sparkling"), F.least(body, F.lit(3.0))).otherwise(body)).alias("body"), half(F.when(F.col("sparkling"), F.greatest(acidity, F.lit(4.0))).otherwise(acidity)).alias("acidity"))
 
 
+@C.query("text_profiles", "H30", r"""
+WITH w AS (SELECT item_id, regexp_extract_all(lower(text), '[a-z]+') AS ws FROM benchmark),
+st AS (SELECT DISTINCT left(x, 5) AS stem FROM (SELECT unnest(ws) AS x FROM w) WHERE length(x) >= 3 UNION SELECT DISTINCT ws[1] || ' ' || ws[2] FROM w WHERE len(ws) > 1),
+cues AS (SELECT stem, ['sweetness', 'body', 'acidity', 'oak'][(ascii(stem) + ascii(stem[2:])) % 4 + 1] AS axis, 1 + ascii(stem[3:]) % 9 / 2.0 AS value, CASE WHEN contains(stem, ' ') THEN stem WHEN length(stem) <= 3 THEN ' ' || stem || ' ' ELSE ' ' || stem END AS pattern FROM st),
+priors AS (SELECT DISTINCT lang AS kind, axis, 1 + (ascii(lang) + off) % 9 / 2.0 AS value FROM documents, (VALUES ('sweetness', 0), ('body', 3)) v(axis, off) WHERE lang IS NOT NULL),
+d AS (SELECT doc_id, lang, n_chars % 5 = 0 AS sparkling, ' ' || trim(regexp_replace(replace(lower(coalesce(text, '')), 'ё', 'е'), '[^а-яa-z0-9]+', ' ', 'g')) || ' ' AS s FROM documents),
+h AS (SELECT doc_id, axis, avg(value) AS v FROM d JOIN cues ON contains(s, pattern) GROUP BY 1, 2),
+a AS (SELECT d.doc_id, any_value(sparkling) AS sparkling, coalesce(any_value(v) FILTER (WHERE h.axis = 'sweetness'), any_value(p.value), 1.5)::DOUBLE AS sweetness, coalesce(any_value(v) FILTER (WHERE h.axis = 'body'), any_value(b.value), 2.5)::DOUBLE AS body,
+  coalesce(any_value(v) FILTER (WHERE h.axis = 'acidity'), 3.5)::DOUBLE AS acidity, coalesce(any_value(v) FILTER (WHERE h.axis = 'oak'), 1.5)::DOUBLE AS oak
+  FROM d LEFT JOIN h USING (doc_id) LEFT JOIN priors p ON p.kind = lang AND p.axis = 'sweetness' LEFT JOIN priors b ON b.kind = lang AND b.axis = 'body' GROUP BY d.doc_id),
+l AS (SELECT * REPLACE (CASE WHEN sparkling THEN least(body, 3) ELSE body END AS body, CASE WHEN sparkling THEN greatest(acidity, 4) ELSE acidity END AS acidity) FROM a)
+SELECT doc_id, round_even(sweetness * 2, 0) / 2 AS sweetness, round_even(body * 2, 0) / 2 AS body, round_even(acidity * 2, 0) / 2 AS acidity, round_even(oak * 2, 0) / 2 AS oak,
+  coalesce(nullif(array_to_string(list_filter([CASE WHEN sparkling THEN 'celebration' END, CASE WHEN sparkling THEN 'aperitif' END, CASE WHEN sweetness >= 3.5 THEN 'dessert' END, CASE WHEN body >= 3.5 THEN 'dinner' END, CASE WHEN body <= 2.5 AND sweetness <= 2 AND NOT sparkling THEN 'picnic' END, CASE WHEN oak >= 3.5 AND body >= 4 THEN 'special' END], lambda o: o IS NOT NULL), ','), ''), 'everyday') AS occasions FROM l""")
+def text_profiles(spark, sf_dir):
+    """Axes and occasions of every whole text by cues that the benchmark's words and opening phrases give, priors by language."""
+    words = table(spark, sf_dir, "benchmark").select(F.regexp_extract_all(F.lower("text"), F.lit("[a-z]+"), F.lit(0)).alias("ws"))
+    single = words.select(F.explode("ws").alias("x")).where(F.length("x") >= 3).select(F.left("x", F.lit(5)).alias("stem"))
+    phrase = words.where(F.size("ws") > 1).select(F.concat_ws(" ", F.col("ws")[0], F.col("ws")[1]).alias("stem"))
+    letter = lambda k: F.ascii(F.substring("stem", k, 1))
+    axis = F.get(F.array(*map(F.lit, ("sweetness", "body", "acidity", "oak"))), (letter(1) + letter(2)) % 4)
+    cue = materialize(single.union(phrase).distinct().select("stem", axis.alias("axis"), (1 + letter(3) % 9 / 2).alias("value")), "cues")
+    docs = table(spark, sf_dir, "documents")
+    prior = lambda a, off: docs.where("lang IS NOT NULL").select(F.col("lang").alias("kind"), F.lit(a).alias("axis"), (1 + (F.ascii("lang") + off) % 9 / 2).alias("value")).distinct()
+    items = docs.select(F.col("doc_id").alias("id"), "text", F.array("lang").alias("kinds"), (F.col("n_chars") % 5 == 0).alias("sparkling"))
+    found = cues.cue_axes(items, cue, prior("sweetness", 0).union(prior("body", 3)), {"sweetness": 1.5, "body": 2.5, "acidity": 3.5, "oak": 1.5})
+    fizz = F.col("sparkling")
+    bound = found.withColumns({"body": F.when(fizz, F.least("body", F.lit(3.0))).otherwise(F.col("body")), "acidity": F.when(fizz, F.greatest("acidity", F.lit(4.0))).otherwise(F.col("acidity"))})
+    suits = cues.occasions(sweetness=F.col("sweetness"), body=F.col("body"), oak=F.col("oak"), sparkling=fizz)
+    return bound.select(F.col("id").alias("doc_id"), *[cues.half_steps(F.col(a)).alias(a) for a in ("sweetness", "body", "acidity", "oak")], F.array_join(suits, ",").alias("occasions"))
+
+
 @C.query("quiz_profiles", "H31", """
 WITH o(question, option, axis, v, aroma, color) AS (VALUES ('drink', 0, 'body', 4.5, 'oak', 'red'), ('drink', 0, 'tannin', 4.0, 'oak', 'red'), ('drink', 1, 'body', 2.0, 'citrus', 'white'), ('dessert', 0, 'sweetness', 4.0, 'honey', NULL), ('dessert', 1, 'sweetness', 1.5, 'apple', NULL), ('coffee', 0, 'tannin', 4.5, NULL, NULL), ('coffee', 1, 'tannin', 2.0, 'vanilla', NULL)),
 a AS (SELECT c_custkey, q.question, CASE q.question WHEN 'drink' THEN c_custkey % 2 WHEN 'dessert' THEN c_custkey // 2 % 3 ELSE c_custkey // 3 % 3 END AS option FROM customer, (VALUES ('drink'), ('dessert'), ('coffee')) q(question)),
