@@ -7,8 +7,9 @@ import json
 
 from pyspark.sql import functions as F
 
+from larkspur.operators.ordering import positions
 from larkspur.plans.shared import Catalogue
-from larkspur.sources import annotations, files, html, remote, tables
+from larkspur.sources import annotations, coco, files, html, remote, tables
 from larkspur.storage import scratch, table
 
 C = Catalogue()
@@ -150,6 +151,30 @@ def zip_export(spark, sf_dir):
     return files.exported(held, told, part_bytes=4096).mapInArrow(counted, "kind string, held long").groupBy("kind").agg(F.sum("held").alias("held"))
 
 
+@C.query("coco_export", "A18 A16", """
+WITH i AS (SELECT o_orderkey, row_number() OVER (ORDER BY o_orderkey) AS id, ['train', 'valid', 'test'][greatest(o_orderkey % 10 - 6, 1)] AS split FROM orders),
+x AS (SELECT l_orderkey AS k, count(*) AS n, round(sum(l_quantity * l_quantity / 15000 * 640 * 480), 3) AS area, round(min(l_discount * 640), 4) AS first_x, round(max((l_tax + l_quantity / 100) * 480), 4) AS last_y FROM lineitem GROUP BY 1)
+SELECT id, o_orderkey || '.jpg' AS file_name, split, coalesce(n, 0) AS n, area, first_x, last_y FROM i LEFT JOIN x ON k = o_orderkey""")
+def coco_export(spark, sf_dir):
+    """Orders as images and their lines as outlines, written as COCO documents and read back through the manifest."""
+    k = F.col("o_orderkey")
+    images = positions(table(spark, sf_dir, "orders").select("o_orderkey", F.get(F.array(*map(F.lit, ("train", "valid", "test"))), F.greatest(k % 10 - 7, F.lit(0)).cast("int")).alias("split")), [k], "id")
+    x0, y0, q = F.col("l_discount"), F.col("l_tax"), F.col("l_quantity")
+    points = F.array(F.array(x0, y0), F.array(x0 + q / 150, y0 + q / 100))
+    by = [F.col(c) for c in ("l_orderkey", "l_linenumber", "l_partkey", "l_quantity")]
+    lines = positions(table(spark, sf_dir, "lineitem").select(*by, points.alias("points")), by, "line")
+    shape = coco.annotation(F.col("line"), F.col("id"), F.col("points"), F.lit(640), F.lit(480), F.col("l_partkey") % 2)
+    held = lines.join(images, by[0] == k).groupBy("id").agg(F.collect_list(shape).alias("annotations"))
+    rows = images.join(held, "id", "left").select("split", "id", F.concat(k.cast("string"), F.lit(".jpg")).alias("file_name"), F.lit(640).alias("width"), F.lit(480).alias("height"), "annotations")
+    folder = scratch(spark, "coco")
+    spark.dataSource.register(coco.Coco)
+    rows.write.format("coco").mode("append").option("path", folder).option("categories", json.dumps(["even", "odd"])).save()
+    photos, outlines = coco.read_coco(spark, folder)
+    box = F.col("bbox")
+    told = outlines.groupBy(F.col("image_id").alias("id")).agg(F.count("*").alias("n"), F.round(F.sum("area"), 3).alias("area"), F.round(F.min(box[0]), 4).alias("first_x"), F.round(F.max(box[1] + box[3]), 4).alias("last_y"))
+    return photos.join(told, "id", "left").select("id", "file_name", "split", F.coalesce("n", F.lit(0)).alias("n"), "area", "first_x", "last_y")
+
+
 @C.query("yolo_lines", "A18", """
 SELECT l_orderkey, l_linenumber, l_partkey, printf('0 %.6f %.6f %.6f %.6f', l_discount + l_quantity / 300, l_tax + l_quantity / 200, l_quantity / 150, l_quantity / 100) AS line FROM lineitem WHERE l_quantity::INTEGER IN (30, 45)""")
 def yolo_lines(spark, sf_dir):
