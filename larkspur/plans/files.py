@@ -9,8 +9,8 @@ from pyspark.sql import functions as F
 
 from larkspur.operators.ordering import positions
 from larkspur.plans.shared import Catalogue
-from larkspur.sources import annotations, coco, files, html, remote, tables
-from larkspur.storage import scratch, table
+from larkspur.sources import annotations, coco, fetching, files, html, remote, tables
+from larkspur.storage import materialize, scratch, table
 
 C = Catalogue()
 QUERIES, ORACLES, COVERS = C.QUERIES, C.ORACLES, C.COVERS
@@ -97,6 +97,21 @@ def paged_items(spark, sf_dir):
     return spark.read.format("paged_json").option("url", f"file://{local}/{{page}}.json").option("last", "5").option("items", "items").load()
 
 
+@C.query("resumable_fetch", "A12 A13", """
+SELECT page_id::VARCHAR AS key, lower(regexp_extract(coalesce(url, ''), '//([^/:?#]*)', 1)) AS host, sha256(coalesce(html, '')) AS sha, 1 AS asked FROM pages""")
+def resumable_fetch(spark, sf_dir):
+    """Pages fetched by a stream in two runs, the second from the checkpoint of the first, from files that executors wrote."""
+    site = scratch(spark, "site")
+    rows = table(spark, sf_dir, "pages").select(F.col("page_id").cast("string").alias("key"), F.lower(F.regexp_extract(F.coalesce("url", F.lit("")), "//([^/:?#]*)", 1)).alias("host"), F.coalesce("html", F.lit("")).alias("html"))
+    served = materialize(files.served(rows, site), "served")
+    at = {n: scratch(spark, n) for n in ("queue", "cache", "log", "fetching")}
+    half = F.pmod(F.xxhash64("key"), F.lit(2)) == 0
+    for part in (half, ~half):
+        fetching.enqueue(served.where(part), at["queue"])
+        log = fetching.fetch(spark, queue=at["queue"], cache=at["cache"], log=at["log"], checkpoint=at["fetching"], rate="1000000")
+    return log.groupBy("key", "host").agg(F.max(F.sha2("body", 256)).alias("sha"), F.count_if(~F.col("cached")).alias("asked"))
+
+
 @C.query("fetch_plan", "A13", """
 WITH w AS (SELECT page_id AS key, lower(regexp_extract(url, '//([^/:?#]*)', 1)) AS host FROM pages), c AS (SELECT doc_id AS key FROM documents WHERE n_chars > 5000), a AS (SELECT event_id % 40 AS key, ts AS t, event_type <> 'error' AS ok FROM events),
 f AS (SELECT key, count(*) AS n, max(t) AS last FROM a WHERE NOT ok GROUP BY key), r AS (SELECT key FROM f WHERE n >= 8 OR last > TIMESTAMP '2024-01-31 00:00:00' - INTERVAL 1 DAY),

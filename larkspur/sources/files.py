@@ -75,6 +75,30 @@ def write_files(spark: SparkSession, folder: str, files: dict[str, bytes]) -> No
         stream.close()
 
 
+def served(pages: DataFrame, folder: str) -> DataFrame:
+    """(key, host, url) of pages (key, host, html), each written by its task as a file below folder."""
+
+    def write(batches):
+        import hashlib
+        import re
+
+        import pyarrow as pa
+        from pyarrow import fs
+
+        where, path = fs.FileSystem.from_uri(re.sub("^file:/+", "file:///", folder))
+        where.create_dir(path, recursive=True)
+        for batch in batches:
+            urls = []
+            for key, html in zip(batch.column(0).to_pylist(), batch.column(2).to_pylist(), strict=True):
+                name = hashlib.sha256(key.encode()).hexdigest()
+                with where.open_output_stream(f"{path}/{name}") as out:
+                    out.write(html.encode())
+                urls.append(f"file://{path}/{name}")
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(urls, pa.string())], ["key", "host", "url"])
+
+    return pages.select("key", "host", "html").mapInArrow(write, "key string, host string, url string")
+
+
 def _part(data: bytes, rows: int | None = None):
     import pyarrow as pa
 
