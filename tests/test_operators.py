@@ -1,3 +1,4 @@
+import hashlib
 import random
 
 import numpy as np
@@ -97,6 +98,21 @@ def test_bootstrap_brackets_mean(spark):
     assert row.low < 249.5 < row.high and row.high - row.low < 80
 
 
+def test_bootstrap_draws_each_row_anew_in_each_round(spark):
+    xs, rounds = [float(i * i % 37) for i in range(60)] + [None], 50
+
+    def times(h, r):
+        u = (int(hashlib.md5(f"{h}:{r}".encode()).hexdigest()[:8], 16) + 0.5) / 2**32
+        return sum(u > limit for limit in search.POISSON)
+
+    means = []
+    for r in range(1, rounds + 1):
+        n = [times(i, r) if x is not None else 0 for i, x in enumerate(xs)]
+        means.append(sum(x * k for x, k in zip(xs, n, strict=True) if k) / sum(n))
+    row = search.bootstrap_mean(spark.createDataFrame(list(enumerate(xs)), "h long, x double"), rounds=rounds).first()
+    assert np.allclose([row["mean"], row.low, row.high], [np.mean(means), *np.percentile(means, [2.5, 97.5])], atol=1e-9)
+
+
 def test_ngrams_of_three_to_five(spark):
     def grams(word):
         w = f" {word} "
