@@ -11,46 +11,49 @@ from __future__ import annotations
 import numpy as np
 
 
-def suffix_array(symbols: np.ndarray, ends: np.ndarray) -> np.ndarray:
+def suffix_array(symbols: np.ndarray) -> np.ndarray:
     """Suffixes of strings that each end in their own separator, in order.
 
-    symbols: bytes + 1, 0 at separators; ends: the separators' positions. Prefix doubling from seven
-    symbols on; only suffixes that still share a rank are sorted again.
+    symbols: bytes + 1, 0 at separators. Ranks of seven symbols at first, then of two or three times as
+    many a round; only suffixes that still share a rank are sorted again. A suffix that ends within the
+    width of a round has a rank of its own by then, so no rank beyond a separator decides an order.
     """
-    n = len(symbols)
-    owner = np.repeat(np.arange(len(ends)), np.diff(ends, prepend=-1))
-    left = ends[owner] - np.arange(n)  # symbols before the separator
-    width = 7
-    key = np.zeros(n, np.int64)
-    padded = np.concatenate([symbols.astype(np.int64), np.zeros(width, np.int64)])
+    n, width = len(symbols), 7
+    padded = np.concatenate([symbols, np.zeros(width, symbols.dtype)])
+    key, inside = np.zeros(n, np.int64), np.ones(n, np.bool_)
     for k in range(width):
         key *= 257
-        key += np.where(left >= k, padded[k : k + n], 0)
-    order = np.argsort(key, kind="stable").astype(np.int64)
-    ranked = key[order]
+        key += padded[k : k + n] * inside
+        inside &= padded[k : k + n] > 0
+    who = np.argsort(key, kind="stable").astype(np.int32)
+    key = key[who]
+    places, order, rank = np.arange(n, dtype=np.int32), np.empty(n, np.int32), np.empty(n, np.int32)
     new = np.ones(n, np.bool_)
-    np.not_equal(ranked[1:], ranked[:-1], out=new[1:])
-    rank = np.empty(n, np.int64)
-    rank[order] = np.maximum.accumulate(np.where(new, np.arange(n), 0))
-    tied = ~new
-    tied[:-1] |= ~new[1:]
-    places = np.flatnonzero(tied)
-    while len(places):
-        who = order[places]
-        inside = left[who] >= width
-        second = np.where(inside, rank[np.minimum(who + width, n - 1)] + len(ends), owner[who])
-        first = rank[who]
-        by = np.lexsort((second, first)) if n > (1 << 30) else np.argsort(first * np.int64(n + len(ends) + 1) + second, kind="stable")
-        who, first, second = who[by], first[by], second[by]
+    np.not_equal(key[1:], key[:-1], out=new[1:])
+    new |= ~inside[who]  # equal ones go by their separators, as the stable sort has them
+    bits = n.bit_length()
+    while True:
         order[places] = who
-        new = np.ones(len(places), np.bool_)
-        new[1:] = (first[1:] != first[:-1]) | (second[1:] != second[:-1])
-        rank[who] = np.maximum.accumulate(np.where(new, places, 0))
+        heads = np.maximum.accumulate(np.where(new, places, 0))
+        rank[who] = heads
         tied = ~new
         tied[:-1] |= ~new[1:]
-        places = places[tied]
-        width *= 2
-    return order
+        tied = np.flatnonzero(tied)
+        if not len(tied):
+            return order
+        places, who = places[tied], who[tied]
+        key = heads[tied].astype(np.int64) << bits
+        key |= rank[who + width]
+        if 3 * bits < 64:
+            key <<= bits
+            key |= rank.take(who + 2 * width, mode="clip")
+            width *= 3
+        else:
+            width *= 2
+        by = np.argsort(key, kind="stable")
+        who, key = who[by], key[by]
+        new = np.ones(len(who), np.bool_)
+        np.not_equal(key[1:], key[:-1], out=new[1:])
 
 
 def repeated_starts(strings: list[bytes], least: int) -> list[np.ndarray]:
@@ -62,7 +65,7 @@ def repeated_starts(strings: list[bytes], least: int) -> list[np.ndarray]:
         return [np.empty(0, np.int64) for _ in strings]
     symbols = np.frombuffer(b"\0".join(strings) + b"\0", np.uint8).astype(np.int16) + 1
     symbols[ends] = 0
-    order = suffix_array(symbols, ends)
+    order = suffix_array(symbols)
     last = symbols[order - 1]  # the transform; the first suffix wraps to the last separator
     # Last-to-first mapping: stable order of the transform. Separators never take part in an extension.
     psi = np.argsort(last, kind="stable").astype(np.int32)
@@ -90,7 +93,7 @@ def repeated_starts(strings: list[bytes], least: int) -> list[np.ndarray]:
             a, b = lows[~single], highs[~single]
             sizes = (b - a + 1).astype(np.int64)
             ends_at = np.cumsum(sizes)
-            ranks = np.arange(ends_at[-1]) + np.repeat(a - (ends_at - sizes), sizes)
+            ranks = np.arange(ends_at[-1], dtype=np.int32) + np.repeat((a - (ends_at - sizes)).astype(np.int32), sizes)
             keep = extends[ranks]
             i.append(np.sort(first_of[ranks[keep & (before[ranks] < np.repeat(a, sizes))]]))
             j.append(np.sort(first_of[ranks[keep & (following[ranks] > np.repeat(b, sizes))]]))

@@ -41,7 +41,8 @@ GROUP = 4 << 20
 # Passages of more than 50 words that repeat: most have fewer than 400 bytes, so that `least` alone misses them.
 PASSAGE_BYTES = 256
 PASSAGE_WORDS = 50
-PIECE = 1 << 19  # bytes anchored at a time
+PIECE = 1 << 19  # bytes of one text anchored at a time
+TOGETHER = 1 << 15  # bytes of short texts anchored at a time: their arrays stay in a core's cache
 
 _LETTERS = np.random.Generator(np.random.PCG64(7)).integers(0, 1 << 63, 256, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
 _POSITION = np.uint64((1 << 20) - 1)
@@ -85,6 +86,42 @@ def anchored_runs(data: np.ndarray, least: int, gram: int):
     return tuple(map(np.concatenate, (anchors, firsts, lasts, places)))
 
 
+def _anchored_together(texts: list[bytes], least: int, gram: int):
+    """anchored_runs of texts laid end to end, with the number of the text first; windows across two texts are left out."""
+    data = np.frombuffer(b"".join(texts), np.uint8)
+    if len(data) < least:
+        return (np.empty(0, np.int64),) * 5
+    sizes = np.array([len(t) for t in texts], np.int64)
+    ends = np.cumsum(sizes)
+    hashes = _gram_hashes(data, gram)
+    tagged = (hashes & ~_POSITION) | np.arange(len(hashes), dtype=np.uint64)
+    place = (_window_min(tagged, least - gram + 1) & _POSITION).astype(np.int64)
+    within = np.repeat(ends - least, sizes)[: len(place)] >= np.arange(len(place))
+    cut = np.concatenate([[True], (place[1:] != place[:-1]) | ~within[:-1] | ~within[1:], [True]])  # between a window and the one before
+    firsts, lasts = np.flatnonzero(within & cut[:-1]), np.flatnonzero(within & cut[1:])
+    text = np.searchsorted(ends, firsts, side="right")
+    begin, places = (ends - sizes)[text], place[firsts]
+    return text, hashes[places].view(np.int64), firsts - begin, lasts - begin, places - begin
+
+
+def anchored_texts(texts: list[bytes], least: int, gram: int):
+    """(number of the text, anchor, first window, last window, anchor's place) arrays: anchored_runs of each text, in order."""
+    parts, at = [], 0
+    while at < len(texts):
+        end, size = at, 0
+        while end < len(texts) and size + len(texts[end]) <= TOGETHER:
+            size += len(texts[end])
+            end += 1
+        if end > at:
+            found = _anchored_together(texts[at:end], least, gram)
+        else:
+            runs = anchored_runs(np.frombuffer(texts[at], np.uint8), least, gram)
+            found, end = (np.zeros(len(runs[0]), np.int64), *runs), at + 1
+        parts.append((found[0] + at, *found[1:]))
+        at = end
+    return tuple(map(np.concatenate, zip(*parts, strict=True))) if parts else (np.empty(0, np.int64),) * 5
+
+
 def _bytes(text) -> bytes:
     return (text.as_py() or "").encode("utf-8", "surrogatepass")
 
@@ -93,45 +130,57 @@ def _signed(h: int) -> int:
     return h - (1 << 64) if h >= 1 << 63 else h
 
 
+def _slices(batches):
+    for batch in batches:
+        for at in range(0, batch.num_rows, 1024):
+            yield batch.slice(at, 1024)
+
+
 def _surveyed(least: int, gram: int):
     def run(batches):
-        for batch in batches:
-            sizes, digests, keys, lists = [], [], [], []
-            for text in batch.column(1):
-                data = _bytes(text)
-                anchors, counts = np.unique(anchored_runs(np.frombuffer(data, np.uint8), least, gram)[0], return_counts=True)
-                sizes.append(len(data))
-                digests.append(hashlib.sha256(data).hexdigest())
-                keys.append(_signed(xxhash.xxh3_64_intdigest(data)))
-                lists.append(np.concatenate([anchors, anchors[counts > 1]]))  # twice if it starts twice here
-            offsets = pa.array(np.concatenate([[0], np.cumsum([len(x) for x in lists])]).astype(np.int32))
-            flat = pa.array(np.concatenate(lists) if lists else np.empty(0, np.int64))
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(keys, pa.int64()), pa.array(sizes, pa.int64()), pa.array(digests, pa.string()), pa.ListArray.from_arrays(offsets, flat)], ["doc_id", "text_key", "n_bytes", "sha256", "anchors"])
+        for batch in _slices(batches):
+            texts = [_bytes(t) for t in batch.column(1)]
+            text, anchors, *_ = anchored_texts(texts, least, gram)
+            by = np.lexsort((anchors, text))
+            text, anchors = text[by], anchors[by]
+            again = np.zeros(len(text), np.bool_)
+            again[1:] = (text[1:] == text[:-1]) & (anchors[1:] == anchors[:-1])
+            third = again.copy()
+            third[1:] &= again[:-1]
+            kept = ~third  # an anchor is listed twice if it starts twice here
+            offsets = np.concatenate([[0], np.cumsum(np.bincount(text[kept], minlength=len(texts)))]).astype(np.int32)
+            lists = pa.ListArray.from_arrays(pa.array(offsets), pa.array(anchors[kept]))
+            keys = pa.array([_signed(xxhash.xxh3_64_intdigest(t)) for t in texts], pa.int64())
+            yield pa.RecordBatch.from_arrays([batch.column(0), keys, pa.array(map(len, texts), pa.int64()), pa.array([hashlib.sha256(t).hexdigest() for t in texts], pa.string()), lists], ["doc_id", "text_key", "n_bytes", "sha256", "anchors"])
 
     return run
 
 
 def _contexts(least: int, gram: int):
-    """Occurrences of contexts with a repeated anchor: one row for each distinct context of a text."""
+    """Occurrences of contexts with a repeated anchor: one row for each distinct context of a text.
+
+    An anchor that one text wants starts twice in the corpus, so every text of the slice wants it too.
+    """
 
     def run(batches):
-        for batch in batches:
-            rows = []
-            for key, text, doc, copies, wanted in zip(batch.column(0).to_pylist(), batch.column(1), *(batch.column(k).to_pylist() for k in (2, 3, 4)), strict=True):
+        for batch in _slices(batches):
+            docs, texts, wanted = [], [], []
+            for key, text, doc, copies, anchors in zip(batch.column(0).to_pylist(), batch.column(1), *(batch.column(k).to_pylist() for k in (2, 3)), batch.column(4), strict=True):
                 data = _bytes(text)
-                if _signed(xxhash.xxh3_64_intdigest(data)) != key:  # another text under this id
-                    continue
-                anchors, firsts, lasts, places = anchored_runs(np.frombuffer(data, np.uint8), least, gram)
-                held = np.isin(anchors, np.array(wanted, np.int64))
-                found: dict[tuple[int, int, bytes], list[int]] = {}
-                for a, i, j, p in zip(*(x[held].tolist() for x in (anchors, firsts, lasts, places)), strict=True):
-                    found.setdefault((a, p - i, data[i : j + least]), []).append(i)
-                rows += [(a, _signed(xxhash.xxh3_64_intdigest(c)), doc, at, copies * len(at), p, c) for (a, p, c), at in found.items()]
-                if len(rows) > 4096:
-                    yield _rows(rows)
-                    rows = []
-            if rows:
-                yield _rows(rows)
+                if _signed(xxhash.xxh3_64_intdigest(data)) == key:  # else another text under this id
+                    docs.append((doc, copies))
+                    texts.append(data)
+                    wanted.append(anchors.values.to_numpy())
+            if not texts:
+                continue
+            runs = anchored_texts(texts, least, gram)
+            held = np.isin(runs[1], np.concatenate(wanted))
+            found: dict[tuple[int, int, int, bytes], list[int]] = {}
+            for k, a, i, j, p in zip(*(x[held].tolist() for x in runs), strict=True):
+                found.setdefault((k, a, p - i, texts[k][i : j + least]), []).append(i)
+            rows = [(a, _signed(xxhash.xxh3_64_intdigest(c)), docs[k][0], at, docs[k][1] * len(at), p, c) for (k, a, p, c), at in found.items()]
+            for at in range(0, len(rows), 4096):
+                yield _rows(rows[at : at + 4096])
 
     return run
 

@@ -2,6 +2,7 @@ import hashlib
 import random
 from collections import Counter
 
+import numpy as np
 import pytest
 
 from larkspur.llm import bwt
@@ -76,3 +77,27 @@ def test_passages(make):
     texts = ["a b c " + long + " d", "x " + long, "y " + short + " z", short, "q r s", None]
     rows = {r.doc_id: (r.n_removed, r.n_passages) for r in repeated_substrings(make(texts), least=400, passage=(100, 50)).collect()}
     assert rows == {0: (0, 1), 1: (0, 1), 2: (0, 0), 3: (0, 0), 4: (0, 0), 5: (0, 0)}
+
+
+def test_suffix_array_sorts_by_triples_of_ranks():
+    rng = random.Random(11)
+    for _ in range(60):
+        strings = [bytes(rng.randint(0, rng.choice([0, 1, 255])) for _ in range(rng.choice([0, 3, 6, 7, 8, 60, 200]))) for _ in range(rng.randint(1, 8))]
+        strings += [strings[0], strings[0] * 2, strings[-1][2:]]
+        symbols, suffixes, at = [], [], 0
+        for k, s in enumerate(strings):  # suffixes of equal bytes go by their strings
+            suffixes += [([b + 1 for b in s[i:]] + [0], k, at + i) for i in range(len(s) + 1)]
+            symbols += [b + 1 for b in s] + [0]
+            at += len(s) + 1
+        assert bwt.suffix_array(np.array(symbols, np.int16)).tolist() == [x[2] for x in sorted(suffixes)]
+
+
+def test_texts_anchored_together_as_each_alone(monkeypatch):
+    from larkspur.llm import suffix_dedup
+
+    monkeypatch.setattr(suffix_dedup, "TOGETHER", 200)
+    rng = random.Random(12)
+    texts = [rng.randbytes(rng.choice([0, 1, 19, 20, 21, 90, 300])) for _ in range(60)] + [b"", b"a" * 199, b"b"]
+    for part in (texts, texts[:1], [b""], []):
+        alone = [(k, *x) for k, t in enumerate(part) for x in zip(*map(np.ndarray.tolist, suffix_dedup.anchored_runs(np.frombuffer(t, np.uint8), 20, 8)), strict=True)]
+        assert list(zip(*map(np.ndarray.tolist, suffix_dedup.anchored_texts(part, 20, 8)), strict=True)) == alone
