@@ -4,12 +4,13 @@ A block holds up to BLOCK ids and is coded by itself: its models start empty, an
 checksum of its ids. The ids that occur in a block are listed and renumbered 0..size-1; each id is then
 one step of an arithmetic coder whose distribution mixes three predictions:
 
-- order 0: counts of the block's ids so far, each with a base of 1;
+- order 0: counts of the block's ids so far, each with a base of 1, taken over at the steps of _periods;
 - order 1: the id that followed the previous id last time;
 - order 2: the id that followed the previous two last time.
 
 The two guesses get extra weight by a confidence that rises with their hits and falls with their
-misses. Blocks of a call are coded in lockstep, one array operation a step for all.
+misses. Blocks of a call are coded in lockstep, one array operation a step for all. Order 0 is a table
+of cumulative weights that add up to a power of two, so a decoder finds an id by one look-up.
 
 Layout of a block, little-endian: n ids and alphabet size (u32 each), crc32 of the ids as u32 (u32),
 words (u32), the alphabet as gaps (a byte each, or 255 and u16), then the coder's 16-bit words.
@@ -25,50 +26,68 @@ import numpy as np
 BLOCK = 8192
 STEP = 24  # weight of one occurrence
 TABLE = 4096  # order-2 slots a block
+PERIOD = 512  # most ids between two tables of order 0
 _LOW = np.int64(1) << 48
 _RENORM = np.int64(1) << 32
 _HEAD = struct.Struct("<4I")
 
 
+def _periods(longest: int):
+    """(first, end) steps that share an order-0 table: short ones at the start of a block."""
+    edges = [k for k in (0, 16, 32, 64, 128, 256) if k < longest] + list(range(PERIOD, longest, PERIOD)) + [longest]
+    return zip(edges[:-1], edges[1:], strict=True)
+
+
 class _Models:
-    """The adaptive models of blocks in lockstep; ids are renumbered and below `size`."""
-
-    def __init__(self, blocks: int, size: int):
-        self.group = 1 << max(2, (max(1, size - 1).bit_length() + 1) // 2)
-        groups = -(-size // self.group)
-        self.counts = np.zeros((blocks, groups, self.group), np.int32)
-        self.before = np.zeros((blocks, groups), np.int32)  # occurrences in lower groups
-        self.rows = np.arange(blocks)
-        self.places = np.arange(self.group, dtype=np.int32)
-        self.groups = np.arange(groups, dtype=np.int32)
-        self.none = size
-        self.follow1 = np.full((blocks, size + 1), size, np.int32)
-        self.follow2 = np.full((blocks, TABLE), size, np.int32)
-        self.trust = np.full((2, blocks), 400, np.int64)  # odds of a guess, of 4096 for even
-        self.last = np.full((2, blocks), -1, np.int64)  # -1: none yet, the same whatever blocks run beside
-
-    def predict(self, n: int, step: int, sizes: np.ndarray):
-        """(order-0 total, guesses, weights of the guesses) for the first n blocks."""
-        rows = self.rows[:n]
-        self.slot = ((self.last[0, :n] + 1) * 31 + (self.last[1, :n] + 1) * 977) % TABLE
-        guess = np.stack([self.follow1[rows, self.last[0, :n]], self.follow2[rows, self.slot]])
-        total = sizes + step * STEP
-        weight = np.where(guess < self.none, (total * self.trust[:, :n]) >> 12, 0)
-        return total, guess, weight
-
-    def update(self, n: int, x: np.ndarray, guess: np.ndarray):
-        rows = self.rows[:n]
-        g = x // self.group
-        self.counts[rows, g, x - g * self.group] += 1
-        self.before[:n] += self.groups > g[:, None]
+    """The adaptive models of blocks in lockstep; ids are renumbered and below the block's size."""
+
+    def __init__(self, sizes: np.ndarray):
+        blocks, self.none = len(sizes), int(sizes.max())
+        self.sizes = sizes[:, None]
+        self.bits = np.array([max(12, s.bit_length() + 2) for s in sizes.tolist()], np.int64)
+        self.counts = np.zeros((blocks, self.none), np.int64)
+        self.width = self.none + 2
+        self.rows = np.arange(blocks) * self.width
+        self.base = np.cumsum(1 << self.bits) - (1 << self.bits)  # where a block's ids by weight begin
+        self.more = (self.bits - 12).astype(np.int32)
+        self.first1, self.first2 = np.arange(blocks) * (self.none + 1), np.arange(blocks) * TABLE
+        self.follow1 = np.full(blocks * (self.none + 1), self.none, np.int32)
+        self.follow2 = np.full(blocks * TABLE, self.none, np.int32)
+        self.trust = np.full((2, blocks), 400, np.int32)  # odds of a guess, of 4096 for even
+        self.last = np.zeros((2, blocks), np.int64)  # plus one; 0: none yet, the same whatever blocks run beside
+
+    def refresh(self, n: int, step: int, ids: np.ndarray, by_weight: bool):
+        """Take over the ids (steps, n) since the last table: `below` holds the weights of lower ids, `held` the id of each weight."""
+        places = (ids + np.arange(n) * self.none).ravel()
+        self.counts[:n] += np.bincount(places, minlength=n * self.none).reshape(n, self.none)
+        size, name = self.sizes[:n], np.arange(self.width)
+        lower = np.full((n, self.width), step, np.int64)
+        lower[:, 0] = 0
+        np.cumsum(self.counts[:n], axis=1, out=lower[:, 1:-1])
+        named = np.minimum(name, size)
+        table = named + (STEP * lower + named) * ((1 << self.bits[:n, None]) - size) // (STEP * step + size)
+        self.below = table.ravel().astype(np.int32)
+        if by_weight:
+            self.held = np.repeat(np.tile(name[:-1].astype(np.int32), n), np.diff(table, axis=1).ravel())
+
+    def predict(self, n: int) -> tuple[np.ndarray, np.ndarray]:
+        """(guesses, their weights) of orders 1 and 2 for the first n blocks."""
+        last = self.last[0, :n]
+        self.at1 = self.first1[:n] + last
+        self.at2 = self.first2[:n] + ((last * 31 + self.last[1, :n] * 977) & (TABLE - 1))
+        guess = np.empty((2, n), np.int32)
+        self.follow1.take(self.at1, out=guess[0], mode="clip")
+        self.follow2.take(self.at2, out=guess[1], mode="clip")
+        self.known = guess < self.none
+        return guess, (self.trust[:, :n] << self.more[:n]) * self.known
+
+    def update(self, n: int, x: np.ndarray, hit: np.ndarray):
         trust = self.trust[:, :n]
-        hit = guess == x
-        trust += np.where(hit, (16384 - trust) >> 5, -(trust >> 5) * (guess < self.none))
-        self.follow1[rows, self.last[0, :n]] = x
-        self.follow2[rows, self.slot] = x
+        trust += (hit * 16384 - trust >> 5) * self.known
+        self.follow1[self.at1] = x
+        self.follow2[self.at2] = x
         self.last[1, :n] = self.last[0, :n]
-        self.last[0, :n] = x
-
+        np.add(x, 1, out=self.last[0, :n])
 
 
 def _pack_gaps(alphabet: np.ndarray) -> bytes:
@@ -96,56 +115,65 @@ def encode_blocks(blocks: list[np.ndarray]) -> list[bytes]:
     order = np.argsort([-len(b) for b in blocks], kind="stable")
     named = [np.unique(blocks[k], return_inverse=True) for k in order]
     lengths = np.array([len(x) for _, x in named])
-    sizes = np.array([len(a) for a, _ in named], np.int64)
     longest = int(lengths[0])
-    grid = np.zeros((longest, len(named)), np.int64)
+    grid = np.zeros((longest, len(named)), np.int32)
     for k, (_, x) in enumerate(named):
         grid[: len(x), k] = x
-    m = _Models(len(named), int(sizes.max()))
+    m = _Models(np.array([len(a) for a, _ in named], np.int64))
     active = np.searchsorted(-lengths, -np.arange(longest), side="left")
     low, span = np.zeros(len(named), np.int64), np.full(len(named), _LOW)
-    words = np.zeros((len(named), longest * 2 + 4), np.int32)
+    words = np.zeros((longest * 2 + 4, len(named)), np.int32)
     at = np.zeros(len(named), np.int64)
-    for step in range(longest):
-        n = int(active[step])
-        x, rows = grid[step, :n], m.rows[:n]
-        total, guess, weight = m.predict(n, step, sizes[:n])
-        g = x // m.group
-        own = m.counts[rows, g]
-        place = x - g * m.group
-        below = (m.before[rows, g] + np.where(m.places < place[:, None], own, 0).sum(axis=1)) * STEP + x + np.where(guess < x, weight, 0).sum(axis=0)
-        width = own[rows, place] * STEP + 1 + np.where(guess == x, weight, 0).sum(axis=0)
-        unit = span[:n] // (total + weight[0] + weight[1])
-        low[:n] += unit * below
-        span[:n] = unit * width
-        carry = low[:n] >= _LOW
-        if carry.any():
-            who = np.flatnonzero(carry)
-            words[who, at[who] - 1] += 1  # settled when the words are written
-            low[who] -= _LOW
-        small = np.flatnonzero(span[:n] <= _RENORM)
-        while len(small):
-            words[small, at[small]] = low[small] >> 32
-            at[small] += 1
-            low[small] = (low[small] & 0xFFFFFFFF) << 16
-            span[small] <<= 16
-            small = small[span[small] <= _RENORM]
-        m.update(n, x, guess)
+    scale = (1 << m.bits).astype(np.int32)
+    before = 0
+    for first, end in _periods(longest):
+        n = int(active[first])
+        m.refresh(n, first, grid[before:first, :n], False)
+        before = first
+        places = grid[first:end, :n] + m.rows[:n]
+        starts, widths = m.below[places], m.below[places + 1]
+        widths -= starts
+        for step in range(first, end):
+            n = int(active[step])
+            x = grid[step, :n]
+            guess, weight = m.predict(n)
+            hit = guess == x
+            over = weight * (guess < x)
+            more = weight * hit
+            unit = span[:n] // (scale[:n] + weight[0] + weight[1])
+            low[:n] += unit * (starts[step - first, :n] + over[0] + over[1])
+            np.multiply(unit, widths[step - first, :n] + more[0] + more[1], out=span[:n])
+            carry = low[:n] >= _LOW
+            if carry.any():
+                who = np.flatnonzero(carry)
+                words[at[who] - 1, who] += 1  # settled when the words are written
+                low[who] -= _LOW
+            small = np.flatnonzero(span[:n] <= _RENORM)
+            while len(small):
+                top = low[small]
+                words[at[small], small] = top >> 32
+                at[small] += 1
+                low[small] = (top & 0xFFFFFFFF) << 16
+                left = span[small] << 16
+                span[small] = left
+                small = small[left <= _RENORM]
+            m.update(n, x, hit)
     for k in range(3):
-        words[m.rows, at + k] = (low >> (32 - 16 * k)) & 0xFFFF
+        words[at + k, np.arange(len(named))] = (low >> (32 - 16 * k)) & 0xFFFF
     at += 3
     over = np.zeros(len(named), np.int32)
-    for k in range(words.shape[1] - 1, -1, -1):
-        column = words[:, k] + over
+    for k in range(int(at.max()) - 1, -1, -1):
+        column = words[k] + over
         over = column >> 16
-        words[:, k] = column & 0xFFFF
+        words[k] = column & 0xFFFF
+    written = np.ascontiguousarray(words[: int(at.max())].T.astype("<u2"))
     out: list[bytes] = [b""] * len(named)
     for k, source in enumerate(order.tolist()):
         ids, alphabet = blocks[source], named[k][0]
         n = int(at[k])
-        while n and not words[k, n - 1]:
+        while n and not written[k, n - 1]:
             n -= 1
-        out[source] = _HEAD.pack(len(ids), len(alphabet), zlib.crc32(ids.astype("<u4").tobytes()), n) + _pack_gaps(alphabet) + words[k, :n].astype("<u2").tobytes()
+        out[source] = _HEAD.pack(len(ids), len(alphabet), zlib.crc32(ids.astype("<u4").tobytes()), n) + _pack_gaps(alphabet) + written[k, :n].tobytes()
     return out
 
 
@@ -156,51 +184,60 @@ def decode_blocks(coded: list[bytes]) -> list[np.ndarray]:
     heads = [_HEAD.unpack_from(b) for b in coded]
     order = np.argsort([-h[0] for h in heads], kind="stable")
     lengths = np.array([heads[k][0] for k in order])
-    sizes = np.array([heads[k][1] for k in order], np.int64)
     longest = int(lengths[0])
-    words = np.zeros((len(coded), max(heads[k][3] for k in order) + longest * 2 + 8), np.int64)
+    end_word = max(h[3] for h in heads) + 3  # zeros from there on
+    words = np.zeros((len(coded), end_word + 1), np.int32)
     alphabets = []
     for row, k in enumerate(order.tolist()):
         n, size, _, n_words = heads[k]
         alphabet, begin = _unpack_gaps(coded[k], _HEAD.size, size)
         alphabets.append(alphabet)
         words[row, :n_words] = np.frombuffer(coded[k], "<u2", n_words, begin)
-    m = _Models(len(coded), int(sizes.max()))
+    m = _Models(np.array([heads[k][1] for k in order], np.int64))
     active = np.searchsorted(-lengths, -np.arange(longest), side="left")
-    ahead = (words[:, 0] << 32) | (words[:, 1] << 16) | words[:, 2]  # the code less the coder's low end
+    ahead = (words[:, 0].astype(np.int64) << 32) | (words[:, 1].astype(np.int64) << 16) | words[:, 2]  # the code less the coder's low end
     at = np.full(len(coded), 3)
     span = np.full(len(coded), _LOW)
-    grid = np.zeros((longest, len(coded)), np.int64)
-    for step in range(longest):
-        n = int(active[step])
-        rows = m.rows[:n]
-        total, guess, weight = m.predict(n, step, sizes[:n])
-        unit = span[:n] // (total + weight[0] + weight[1])
-        wanted = np.minimum(ahead[:n] // unit, total + weight[0] + weight[1] - 1)
-        starts = m.groups * m.group
-        bound = m.before[:n] * STEP + starts + np.where(guess[0][:, None] < starts, weight[0][:, None], 0) + np.where(guess[1][:, None] < starts, weight[1][:, None], 0)
-        g = (bound <= wanted[:, None]).sum(axis=1) - 1
-        own = m.counts[rows, g]
-        first = g * m.group
-        names = first[:, None] + m.places
-        sums = np.cumsum(own, axis=1) - own
-        bound = (m.before[rows, g][:, None] + sums) * STEP + names + np.where(guess[0][:, None] < names, weight[0][:, None], 0) + np.where(guess[1][:, None] < names, weight[1][:, None], 0)
-        place = (bound <= wanted[:, None]).sum(axis=1) - 1
-        x = first + place
-        width = own[rows, place] * STEP + 1 + np.where(guess == x, weight, 0).sum(axis=0)
-        ahead[:n] -= unit * bound[rows, place]
-        span[:n] = unit * width
-        small = np.flatnonzero(span[:n] <= _RENORM)
-        while len(small):
-            ahead[small] = (ahead[small] << 16) | words[small, at[small]]
-            at[small] += 1
-            span[small] <<= 16
-            small = small[span[small] <= _RENORM]
-        grid[step, :n] = x
-        m.update(n, x, guess)
+    grid = np.zeros((longest, len(coded)), np.int32)
+    scale = (1 << m.bits).astype(np.int32)
+    before = 0
+    for first, end in _periods(longest):
+        n = int(active[first])
+        m.refresh(n, first, grid[before:first, :n], True)
+        before = first
+        for step in range(first, end):
+            n = int(active[step])
+            guess, weight = m.predict(n)
+            total = scale[:n] + weight[0] + weight[1]
+            unit = span[:n] // total
+            # The weight of a guess lies behind its own: take out the lower guess's, then the higher one's.
+            wanted = np.maximum(np.minimum(ahead[:n] // unit, total - 1), 0)
+            ends = m.below.take(np.sort(guess, axis=0) + (m.rows[:n] + 1), mode="clip") - 1
+            lower = np.where(guess[0] <= guess[1], weight[0], weight[1])
+            wanted -= np.minimum(np.maximum(wanted - ends[0], 0), lower)
+            wanted -= np.minimum(np.maximum(wanted - ends[1], 0), weight[0] + weight[1] - lower)
+            x = m.held.take(m.base[:n] + wanted, mode="clip")
+            place = m.rows[:n] + x
+            start = m.below[place]
+            hit = guess == x
+            over = weight * (guess < x)
+            more = weight * hit
+            ahead[:n] -= unit * (start + over[0] + over[1])
+            np.multiply(unit, m.below[place + 1] - start + more[0] + more[1], out=span[:n])
+            small = np.flatnonzero(span[:n] <= _RENORM)
+            while len(small):
+                where = at[small]
+                ahead[small] = (ahead[small] << 16) | words[small, np.minimum(where, end_word)]
+                at[small] = where + 1
+                left = span[small] << 16
+                span[small] = left
+                small = small[left <= _RENORM]
+            grid[step, :n] = x
+            m.update(n, x, hit)
+    flat = np.ascontiguousarray(grid.T)
     out: list[np.ndarray] = [np.empty(0, np.uint32)] * len(coded)
     for row, k in enumerate(order.tolist()):
-        places = np.minimum(grid[: lengths[row], row], len(alphabets[row]) - 1)
+        places = np.minimum(flat[row, : lengths[row]], len(alphabets[row]) - 1)
         ids = alphabets[row][places].astype("<u4")
         if zlib.crc32(ids.tobytes()) != heads[k][2]:
             raise ValueError("checksum of a block of token ids")

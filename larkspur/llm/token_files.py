@@ -8,7 +8,7 @@ knows can hold them and a task that is lost is written again.
 
 Texts are range-sorted by id, so a task writes consecutive documents. White space never joins two
 tokens of this vocabulary, so words between ASCII blanks are encoded once a task by the tokenizers
-library and remembered, MEMO at most.
+library and remembered, MEMO at most. It gets TOGETHER new words a call, with a mark between them.
 
 Edge cases: a null text is empty and holds the end id alone; null ids come first, equal ids in order
 of text; a document longer than SEGMENT_IDS makes a longer segment; an empty table gives no segment;
@@ -18,6 +18,7 @@ other columns are not read.
 from __future__ import annotations
 
 import functools
+import os
 import struct
 import zlib
 
@@ -34,6 +35,8 @@ from larkspur.storage import materialize, table
 MAGIC = b"LKTOKENS"
 SEGMENT_IDS = 1 << 22
 MEMO = 1 << 19
+TOGETHER = 64
+MARK = "\x01"
 END_ID = 1
 VOCABULARY = "word_bpe_49k.json"
 _HEAD = struct.Struct("<8sII")
@@ -44,19 +47,36 @@ class WordEncoder:
     """Ids of texts: the library's, word by word."""
 
     def __init__(self, path: str):
+        os.environ["TOKENIZERS_PARALLELISM"] = "false"  # a task has one core; threads that wait for words cost more than they save
         self.library = Tokenizer.from_file(path)
         self.memo: dict[str, bytes] = {}
+        self.mark = self._library([MARK])[0]
+
+    def _library(self, texts: list[str]) -> list[np.ndarray]:
+        return [np.array(got.ids, "<u4") for got in self.library.encode_batch_fast(texts, add_special_tokens=False)]
+
+    def _learn(self, words: list[str]):
+        odd = [w for w in words if MARK in w or len(self.mark) != 1]  # by themselves
+        if odd:
+            words = sorted(set(words).difference(odd))
+        parts = [words[k : k + TOGETHER] for k in range(0, len(words), TOGETHER)]
+        for part, ids in zip(parts, self._library([f" {MARK} ".join(part) for part in parts]), strict=True):
+            data, at = ids.tobytes(), 0
+            ends = [*(4 * np.flatnonzero(ids == self.mark[0])).tolist(), len(data)]
+            for word, end in zip(part, ends, strict=True):
+                self.memo[word] = data[at:end]
+                at = end + 4
+        for word, ids in zip(odd, self._library(odd), strict=True):
+            self.memo[word] = ids.tobytes()
 
     def encode(self, texts: list[str]) -> list[bytes]:
         """Ids of each text as little-endian u32."""
         split = [t.replace("\n", " ").replace("\t", " ").replace("\r", " ").split(" ") for t in texts]
         if len(self.memo) > MEMO:
             self.memo.clear()
-        new = [w for w in {w for words in split for w in words} if w not in self.memo]
+        new = list(set().union(*split).difference(self.memo))
         for at in range(0, len(new), 4096):
-            part = new[at : at + 4096]
-            for word, got in zip(part, self.library.encode_batch_fast(part, add_special_tokens=False), strict=True):
-                self.memo[word] = np.array(got.ids, "<u4").tobytes()
+            self._learn(new[at : at + 4096])
         look = self.memo.__getitem__
         return [b"".join(map(look, words)) for words in split]
 

@@ -83,3 +83,36 @@ def test_documents_of_segments(make, awkward):
         assert (r.start, r.n_tokens, r.ids_crc32) == (at, len(ids), zlib.crc32(ids.tobytes()))
         at += len(ids)
     assert token_files.documents_of(token_files.token_segments(make(texts).limit(0), path)).count() == 0
+
+
+def test_new_words_go_to_the_library_together():
+    words = token_files.WordEncoder(public_tokenizers.path(token_files.VOCABULARY))
+    library, handed = words.library, []
+
+    class Counted:
+        def encode_batch_fast(self, texts, **options):
+            handed.extend(texts)
+            return library.encode_batch_fast(texts, **options)
+
+    words.library = Counted()
+    rng = random.Random(8)
+    texts = [" ".join("".join(chr(rng.choice([rng.randrange(33, 127), rng.randrange(0x300, 0x340), rng.randrange(0x3B0, 0x4FF)])) for _ in range(rng.randint(0, 9))) for _ in range(300)) for _ in range(20)]
+    texts += ["", "  ", "\x01", "a \x01 b\x01c \x01\x01", "e \u0301x \u0301 \u0327", "don't 's 't x's\n'll", "\x0b\u2028 \xa0z", "Σ ΑΣ ΑΣ. \u1112\u1161 \u11ab"]
+    expected = [np.array(got.ids, "<u4").tobytes() for got in library.encode_batch(texts, add_special_tokens=False)]
+    assert words.encode(texts) == expected and words.encode(texts) == expected
+    assert len(handed) < 200  # about 6,000 words
+
+
+def test_blocks_do_not_depend_on_others_in_lockstep():
+    rng = np.random.default_rng(2)
+    blocks = [np.minimum(rng.geometric(p, n), 60000).astype(np.uint32) for p, n in ((0.01, 8192), (0.3, 513), (0.001, 4000), (0.5, 16), (0.2, 17), (0.2, 256), (0.2, 257))]
+    blocks += [rng.permutation(65536)[:8192].astype(np.uint32), np.tile(blocks[0][:90], 91)[:8190]]
+    coded = id_coder.encode_blocks(blocks)
+    assert [id_coder.encode_blocks([b])[0] for b in blocks] == coded
+    assert all(np.array_equal(a, b) for a, b in zip(blocks, id_coder.decode_blocks(coded), strict=True))
+    assert all(np.array_equal(id_coder.decode_blocks([c])[0], b) for c, b in zip(coded, blocks, strict=True))
+    for k in range(16, len(coded[0]), 997):  # damage ends in an error, wherever it is
+        broken = bytearray(coded[0])
+        broken[k] ^= 255
+        with pytest.raises(ValueError):
+            id_coder.decode_blocks([bytes(broken)])
