@@ -1,16 +1,21 @@
 """Adaptive context-mixing range coder for blocks of token ids.
 
 A block holds up to BLOCK ids and is coded by itself: its models start empty, and it ends in a
-checksum of its ids. The ids that occur in a block are listed and renumbered 0..size-1; each id is then
-one step of an arithmetic coder whose distribution mixes three predictions:
+checksum of its ids. The ids that occur in a block are listed and renumbered; each id is then one step
+of a range coder whose distribution mixes three predictions:
 
-- order 0: counts of the block's ids so far, each with a base of 1, taken over at the steps of _periods;
+- order 0: counts of the block's ids so far, each with a base of 1;
 - order 1: the id that followed the previous id last time;
 - order 2: the id that followed the previous two last time.
 
-The two guesses get extra weight by a confidence that rises with their hits and falls with their
-misses. Blocks of a call are coded in lockstep, one array operation a step for all. Order 0 is a table
-of cumulative weights that add up to a power of two, so a decoder finds an id by one look-up.
+The two guesses are places of the table beside the ids, so their weights are their hits so far. An id is
+coded by order 2 if its guess is right, else by order 1 if that one is, else by its own place, and the
+place that was taken is what is counted. The counts are taken over at the steps of _periods.
+
+Blocks of a call are coded in lockstep, one array operation a step for all. A coder knows all contexts
+beforehand, so only the memory of what followed and the coder's own state go step by step. A table's
+weights add up to a power of two of at most 16 bits, so a decoder finds a place by one look-up, and a
+step puts out one 16-bit word at most. A block that has ended runs on unused and without effect.
 
 Layout of a block, little-endian: n ids and alphabet size (u32 each), crc32 of the ids as u32 (u32),
 words (u32), the alphabet as gaps (a byte each, or 255 and u16), then the coder's 16-bit words.
@@ -26,220 +31,240 @@ import numpy as np
 BLOCK = 8192
 STEP = 24  # weight of one occurrence
 TABLE = 4096  # order-2 slots a block
-PERIOD = 512  # most ids between two tables of order 0
+PERIOD = 512  # most ids between two tables
+NEAR, FAR = 1213, -1212
+GUESSES = 2  # places 0 and 1 of a table: what order 1 and order 2 say
 _LOW = np.int64(1) << 48
 _RENORM = np.int64(1) << 32
 _HEAD = struct.Struct("<4I")
 
 
 def _periods(longest: int):
-    """(first, end) steps that share an order-0 table: short ones at the start of a block."""
+    """(first, end) steps that share a table: short ones at the start of a block."""
     edges = [k for k in (0, 16, 32, 64, 128, 256) if k < longest] + list(range(PERIOD, longest, PERIOD)) + [longest]
     return zip(edges[:-1], edges[1:], strict=True)
 
 
-class _Models:
-    """The adaptive models of blocks in lockstep; ids are renumbered and below the block's size."""
+class _Tables:
+    """Weights of each block's places, from the places taken so far. A flat place is place * blocks + block."""
 
     def __init__(self, sizes: np.ndarray):
-        blocks, self.none = len(sizes), int(sizes.max())
-        self.sizes = sizes[:, None]
-        self.bits = np.array([max(12, s.bit_length() + 2) for s in sizes.tolist()], np.int64)
-        self.counts = np.zeros((blocks, self.none), np.int64)
-        self.width = self.none + 2
-        self.rows = np.arange(blocks) * self.width
-        self.base = np.cumsum(1 << self.bits) - (1 << self.bits)  # where a block's ids by weight begin
-        self.more = (self.bits - 12).astype(np.int32)
-        self.first1, self.first2 = np.arange(blocks) * (self.none + 1), np.arange(blocks) * TABLE
-        self.follow1 = np.full(blocks * (self.none + 1), self.none, np.int32)
-        self.follow2 = np.full(blocks * TABLE, self.none, np.int32)
-        self.trust = np.full((2, blocks), 400, np.int32)  # odds of a guess, of 4096 for even
-        self.last = np.zeros((2, blocks), np.int64)  # plus one; 0: none yet, the same whatever blocks run beside
-
-    def refresh(self, n: int, step: int, ids: np.ndarray, by_weight: bool):
-        """Take over the ids (steps, n) since the last table: `below` holds the weights of lower ids, `held` the id of each weight."""
-        places = (ids + np.arange(n) * self.none).ravel()
-        self.counts[:n] += np.bincount(places, minlength=n * self.none).reshape(n, self.none)
-        size, name = self.sizes[:n], np.arange(self.width)
-        lower = np.full((n, self.width), step, np.int64)
-        lower[:, 0] = 0
-        np.cumsum(self.counts[:n], axis=1, out=lower[:, 1:-1])
-        named = np.minimum(name, size)
-        table = named + (STEP * lower + named) * ((1 << self.bits[:n, None]) - size) // (STEP * step + size)
-        self.below = table.ravel().astype(np.int32)
-        if by_weight:
-            self.held = np.repeat(np.tile(name[:-1].astype(np.int32), n), np.diff(table, axis=1).ravel())
-
-    def predict(self, n: int) -> tuple[np.ndarray, np.ndarray]:
-        """(guesses, their weights) of orders 1 and 2 for the first n blocks."""
-        last = self.last[0, :n]
-        self.at1 = self.first1[:n] + last
-        self.at2 = self.first2[:n] + ((last * 31 + self.last[1, :n] * 977) & (TABLE - 1))
-        guess = np.empty((2, n), np.int32)
-        self.follow1.take(self.at1, out=guess[0], mode="clip")
-        self.follow2.take(self.at2, out=guess[1], mode="clip")
-        self.known = guess < self.none
-        return guess, (self.trust[:, :n] << self.more[:n]) * self.known
-
-    def update(self, n: int, x: np.ndarray, hit: np.ndarray):
-        trust = self.trust[:, :n]
-        trust += (hit * 16384 - trust >> 5) * self.known
-        self.follow1[self.at1] = x
-        self.follow2[self.at2] = x
-        self.last[1, :n] = self.last[0, :n]
-        np.add(x, 1, out=self.last[0, :n])
+        self.places = sizes + GUESSES
+        self.shape = int(self.places.max()), len(sizes)
+        self.bits = np.array([max(12, s.bit_length() + 2) for s in self.places.tolist()], np.int64)
+        self.base = np.cumsum(1 << self.bits) - (1 << self.bits)  # where a block's places by weight begin
+        self.counts = np.zeros(self.shape[0] * self.shape[1], np.int64)
+        self.named = np.minimum(np.arange(self.shape[0] + 1)[:, None], self.places)
+        self.flat = np.arange(len(self.counts)).reshape(self.shape).T.ravel()
+
+    def refresh(self, step: int, taken: np.ndarray):
+        """Take over the flat places taken since the last table: `below` and `weight` of each."""
+        self.counts += np.bincount(taken.ravel(), minlength=len(self.counts))
+        table = np.zeros(self.named.shape, np.int64)
+        for above, row, lower in zip(table, self.counts.reshape(self.shape), table[1:], strict=False):  # faster than cumsum down columns
+            np.add(above, row, out=lower)
+        table *= STEP
+        table += self.named
+        share = table * (((1 << self.bits) - self.places) / (STEP * step + self.places))
+        share += 0.5
+        np.add(share.astype(np.int64), self.named, out=table)
+        self.below, self.weight = table[:-1].ravel(), np.diff(table, axis=0).ravel()
+
+    def held(self) -> np.ndarray:
+        """The flat place of each weight, block by block."""
+        return np.repeat(self.flat, self.weight.reshape(self.shape).T.ravel())
+
+
+class _Memory:
+    """What followed each id, and each slot of two ids, as addresses.
+
+    An id's address is (id + 1) * stride + block, with -1 for none, and the stride is a power
+    of two. As the factors of NEAR and FAR add up to one, an order-2 slot's address keeps its block.
+    """
+
+    def __init__(self, alphabet: int, blocks: int):
+        self.stride = 1 << (blocks - 1).bit_length()
+        none = np.arange(self.stride)
+        self.one, self.two = np.tile(none, alphabet + 1), np.tile(none, TABLE)
+        self.mask = TABLE * self.stride - 1
 
 
 def _pack_gaps(alphabet: np.ndarray) -> bytes:
-    gaps = np.diff(alphabet.astype(np.int64), prepend=0).tolist()
-    return b"".join(bytes((g,)) if g < 255 else b"\xff" + g.to_bytes(2, "little") for g in gaps)
+    gaps = np.diff(alphabet.astype(np.int64), prepend=0)
+    wide = gaps >= 255
+    at = np.arange(len(gaps)) + 2 * (np.cumsum(wide) - wide)
+    out = np.zeros(len(gaps) + 2 * int(wide.sum()), np.uint8)
+    out[at] = np.minimum(gaps, 255)
+    out[at[wide] + 1], out[at[wide] + 2] = gaps[wide] & 255, gaps[wide] >> 8
+    return out.tobytes()
 
 
 def _unpack_gaps(data: bytes, at: int, size: int) -> tuple[np.ndarray, int]:
     """(alphabet, where the coder's words begin)."""
-    gaps = []
-    for _ in range(size):
-        g = data[at]
-        at += 1
-        if g == 255:
-            g = int.from_bytes(data[at : at + 2], "little")
-            at += 2
-        gaps.append(g)
-    return np.cumsum(np.array(gaps, np.int64)), at
+    begin, left, wide = at, size, []
+    while (found := data.find(b"\xff", at, at + left)) >= 0:
+        wide.append(found - begin)
+        left, at = left - (found - at) - 1, found + 3
+    raw = np.frombuffer(data, np.uint8, at + left - begin, begin).astype(np.int64)
+    wide = np.array(wide, np.int64)
+    raw[wide] = raw[wide + 1] | raw[wide + 2] << 8
+    single = np.ones(len(raw), np.bool_)
+    single[wide + 1] = single[wide + 2] = False
+    return np.cumsum(raw[single]), at + left
+
+
+def _named(ids: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """(the ids that occur, in order; each id's number among them)."""
+    seen = np.zeros(1 << 16, np.bool_)
+    seen[ids] = True
+    alphabet, names = np.flatnonzero(seen), np.empty(1 << 16, np.int32)
+    names[alphabet] = np.arange(len(alphabet))
+    return alphabet, names[ids]
 
 
 def encode_blocks(blocks: list[np.ndarray]) -> list[bytes]:
     """Each block of 1 to BLOCK ids below 65536 as bytes."""
     if not blocks:
         return []
-    order = np.argsort([-len(b) for b in blocks], kind="stable")
-    named = [np.unique(blocks[k], return_inverse=True) for k in order]
-    lengths = np.array([len(x) for _, x in named])
-    longest = int(lengths[0])
-    grid = np.zeros((longest, len(named)), np.int32)
-    for k, (_, x) in enumerate(named):
-        grid[: len(x), k] = x
-    m = _Models(np.array([len(a) for a, _ in named], np.int64))
-    active = np.searchsorted(-lengths, -np.arange(longest), side="left")
-    low, span = np.zeros(len(named), np.int64), np.full(len(named), _LOW)
-    words = np.zeros((longest * 2 + 4, len(named)), np.int32)
-    at = np.zeros(len(named), np.int64)
-    scale = (1 << m.bits).astype(np.int32)
-    before = 0
+    lengths, n = np.array([len(b) for b in blocks]), len(blocks)
+    longest = int(lengths.max())
+    by_block, alphabets = np.zeros((n, longest), np.int32), []
+    for row, ids in zip(by_block, blocks, strict=True):
+        alphabet, row[: len(ids)] = _named(ids)
+        alphabets.append(alphabet)
+    grid = np.ascontiguousarray(by_block.T)
+    sizes = np.array([len(a) for a in alphabets], np.int64)
+    tables, memory, columns = _Tables(sizes), _Memory(int(sizes.max()), n), np.arange(n)
+    bits, one, two = tables.bits, memory.one, memory.two
+    words = np.empty((longest, n), np.int32)  # plus one; 0: none at this step
+    low, span = np.zeros(n, np.int64), np.full(n, _LOW)
+    t, small = np.empty(n, np.int64), np.empty(n, np.int64)
+    taken = np.empty((0, n), np.int64)
+    past = np.tile(columns, (2, 1))  # addresses of the last two ids
     for first, end in _periods(longest):
-        n = int(active[first])
-        m.refresh(n, first, grid[before:first, :n], False)
-        before = first
-        places = grid[first:end, :n] + m.rows[:n]
-        starts, widths = m.below[places], m.below[places + 1]
-        widths -= starts
-        for step in range(first, end):
-            n = int(active[step])
-            x = grid[step, :n]
-            guess, weight = m.predict(n)
-            hit = guess == x
-            over = weight * (guess < x)
-            more = weight * hit
-            unit = span[:n] // (scale[:n] + weight[0] + weight[1])
-            low[:n] += unit * (starts[step - first, :n] + over[0] + over[1])
-            np.multiply(unit, widths[step - first, :n] + more[0] + more[1], out=span[:n])
-            carry = low[:n] >= _LOW
-            if carry.any():
-                who = np.flatnonzero(carry)
-                words[at[who] - 1, who] += 1  # settled when the words are written
-                low[who] -= _LOW
-            small = np.flatnonzero(span[:n] <= _RENORM)
-            while len(small):
-                top = low[small]
-                words[at[small], small] = top >> 32
-                at[small] += 1
-                low[small] = (top & 0xFFFFFFFF) << 16
-                left = span[small] << 16
-                span[small] = left
-                small = small[left <= _RENORM]
-            m.update(n, x, hit)
+        x = (grid[first:end] + np.int64(1)) * memory.stride + columns
+        seen = np.concatenate([past, x])
+        past = seen[-2:]
+        at1 = seen[1:-1]
+        at2 = (at1 * NEAR + seen[:-2] * FAR) & memory.mask
+        guess1, guess2 = np.empty(x.shape, np.int64), np.empty(x.shape, np.int64)
+        for a1, a2, g1, g2, row in zip(at1, at2, guess1, guess2, x, strict=True):
+            one.take(a1, out=g1, mode="clip")
+            two.take(a2, out=g2, mode="clip")
+            one[a1] = row
+            two[a2] = row
+        tables.refresh(first, taken)
+        taken = grid[first:end] + np.int64(GUESSES)
+        taken[guess1 == x] = 0
+        taken[guess2 == x] = 1
+        taken *= n
+        taken += columns
+        starts, widths = tables.below.take(taken), tables.weight.take(taken)
+        if end > lengths.min():
+            over = np.arange(first, end)[:, None] >= lengths
+            starts[over] = 0
+            widths[over] = np.broadcast_to(1 << bits, over.shape)[over]
+        for start, width in zip(starts, widths, strict=True):  # the word takes the start's place
+            np.right_shift(span, bits, out=t)
+            np.multiply(t, width, out=span)
+            t *= start
+            low += t
+            np.subtract(span, _RENORM, out=small)
+            small >>= 63  # all ones where a word is due
+            np.right_shift(low, 32, out=t)  # with a carry, settled below
+            t &= small
+            np.subtract(t, small, out=start)
+            t <<= 32
+            low -= t
+            small &= 16
+            low <<= small
+            span <<= small
+        words[first:end] = starts
+    by_block = np.ascontiguousarray(words.T)
+    due = by_block > 0
+    at = due.sum(axis=1)
+    depth = int(at.max()) + 3
+    written = np.zeros((n, depth), np.int32)
+    written[np.arange(depth) < at[:, None]] = by_block[due] - 1
     for k in range(3):
-        words[at + k, np.arange(len(named))] = (low >> (32 - 16 * k)) & 0xFFFF
-    at += 3
-    over = np.zeros(len(named), np.int32)
-    for k in range(int(at.max()) - 1, -1, -1):
-        column = words[k] + over
-        over = column >> 16
-        words[k] = column & 0xFFFF
-    written = np.ascontiguousarray(words[: int(at.max())].T.astype("<u2"))
-    out: list[bytes] = [b""] * len(named)
-    for k, source in enumerate(order.tolist()):
-        ids, alphabet = blocks[source], named[k][0]
-        n = int(at[k])
-        while n and not written[k, n - 1]:
-            n -= 1
-        out[source] = _HEAD.pack(len(ids), len(alphabet), zlib.crc32(ids.astype("<u4").tobytes()), n) + _pack_gaps(alphabet) + written[k, :n].tobytes()
+        written[columns, at + k] = (low >> (32 - 16 * k)) & (0x1FFFF if k == 0 else 0xFFFF)
+    while (carry := written >> 16).any():
+        written &= 0xFFFF
+        written[:, :-1] += carry[:, 1:]
+    written = written.astype("<u2")
+    out: list[bytes] = []
+    for k, (ids, alphabet) in enumerate(zip(blocks, alphabets, strict=True)):
+        size = int(at[k]) + 3
+        while size and not written[k, size - 1]:
+            size -= 1
+        out.append(_HEAD.pack(len(ids), len(alphabet), zlib.crc32(ids.astype("<u4").tobytes()), size) + _pack_gaps(alphabet) + written[k, :size].tobytes())
     return out
 
 
+@np.errstate(divide="ignore", over="ignore")  # in damaged blocks
 def decode_blocks(coded: list[bytes]) -> list[np.ndarray]:
     """The ids of each block; raises ValueError where a checksum fails."""
     if not coded:
         return []
     heads = [_HEAD.unpack_from(b) for b in coded]
-    order = np.argsort([-h[0] for h in heads], kind="stable")
-    lengths = np.array([heads[k][0] for k in order])
-    longest = int(lengths[0])
-    end_word = max(h[3] for h in heads) + 3  # zeros from there on
-    words = np.zeros((len(coded), end_word + 1), np.int32)
+    longest, n = max(h[0] for h in heads), len(coded)
+    depth = max(h[3] for h in heads) + 4  # zeros from a block's words on
+    words = np.zeros((n, depth), np.int64)
     alphabets = []
-    for row, k in enumerate(order.tolist()):
-        n, size, _, n_words = heads[k]
+    for k, (_, size, _, n_words) in enumerate(heads):
         alphabet, begin = _unpack_gaps(coded[k], _HEAD.size, size)
         alphabets.append(alphabet)
-        words[row, :n_words] = np.frombuffer(coded[k], "<u2", n_words, begin)
-    m = _Models(np.array([heads[k][1] for k in order], np.int64))
-    active = np.searchsorted(-lengths, -np.arange(longest), side="left")
-    ahead = (words[:, 0].astype(np.int64) << 32) | (words[:, 1].astype(np.int64) << 16) | words[:, 2]  # the code less the coder's low end
-    at = np.full(len(coded), 3)
-    span = np.full(len(coded), _LOW)
-    grid = np.zeros((longest, len(coded)), np.int32)
-    scale = (1 << m.bits).astype(np.int32)
-    before = 0
+        words[k, :n_words] = np.frombuffer(coded[k], "<u2", n_words, begin)
+    sizes, columns = np.array([h[1] for h in heads], np.int64), np.arange(n)
+    tables, memory = _Tables(sizes), _Memory(int(sizes.max()), n)
+    bits, base, one, two, mask = tables.bits, tables.base, memory.one, memory.two, memory.mask
+    ahead = (words[:, 0] << 32) | (words[:, 1] << 16) | words[:, 2]  # the code less the coder's low end
+    at, words = columns * depth + 3, words.ravel()
+    span, unit, t, more = np.full(n, _LOW), *(np.empty(n, np.int64) for _ in range(3))
+    # Addresses of the ids: the previous one, the slot of the previous two, that of each place; guesses change at every step.
+    a1, a2, far = columns, columns.copy(), columns * FAR
+    value = ((np.arange(tables.shape[0])[:, None] - (GUESSES - 1)) * memory.stride + columns).ravel()
+    guess1, guess2 = value[:n], value[n : 2 * n]
+    by_step, taken = np.empty((longest, n), np.int32), np.empty((0, n), np.int64)
     for first, end in _periods(longest):
-        n = int(active[first])
-        m.refresh(n, first, grid[before:first, :n], True)
-        before = first
-        for step in range(first, end):
-            n = int(active[step])
-            guess, weight = m.predict(n)
-            total = scale[:n] + weight[0] + weight[1]
-            unit = span[:n] // total
-            # The weight of a guess lies behind its own: take out the lower guess's, then the higher one's.
-            wanted = np.maximum(np.minimum(ahead[:n] // unit, total - 1), 0)
-            ends = m.below.take(np.sort(guess, axis=0) + (m.rows[:n] + 1), mode="clip") - 1
-            lower = np.where(guess[0] <= guess[1], weight[0], weight[1])
-            wanted -= np.minimum(np.maximum(wanted - ends[0], 0), lower)
-            wanted -= np.minimum(np.maximum(wanted - ends[1], 0), weight[0] + weight[1] - lower)
-            x = m.held.take(m.base[:n] + wanted, mode="clip")
-            place = m.rows[:n] + x
-            start = m.below[place]
-            hit = guess == x
-            over = weight * (guess < x)
-            more = weight * hit
-            ahead[:n] -= unit * (start + over[0] + over[1])
-            np.multiply(unit, m.below[place + 1] - start + more[0] + more[1], out=span[:n])
-            small = np.flatnonzero(span[:n] <= _RENORM)
-            while len(small):
-                where = at[small]
-                ahead[small] = (ahead[small] << 16) | words[small, np.minimum(where, end_word)]
-                at[small] = where + 1
-                left = span[small] << 16
-                span[small] = left
-                small = small[left <= _RENORM]
-            grid[step, :n] = x
-            m.update(n, x, hit)
-    flat = np.ascontiguousarray(grid.T)
-    out: list[np.ndarray] = [np.empty(0, np.uint32)] * len(coded)
-    for row, k in enumerate(order.tolist()):
-        places = np.minimum(flat[row, : lengths[row]], len(alphabets[row]) - 1)
-        ids = alphabets[row][places].astype("<u4")
-        if zlib.crc32(ids.tobytes()) != heads[k][2]:
+        tables.refresh(first, taken)
+        below, weights, held = tables.below, tables.weight, tables.held()
+        taken, found = np.empty((2, end - first, n), np.int64)
+        for place, x in zip(taken, found, strict=True):
+            one.take(a1, out=guess1, mode="clip")
+            two.take(a2, out=guess2, mode="clip")
+            np.right_shift(span, bits, out=unit)
+            np.floor_divide(ahead, unit, out=t)
+            t += base
+            held.take(t, out=place, mode="clip")
+            value.take(place, out=x, mode="clip")
+            one[a1] = x
+            two[a2] = x
+            weights.take(place, out=t, mode="clip")
+            np.multiply(unit, t, out=span)
+            below.take(place, out=t, mode="clip")
+            unit *= t
+            ahead -= unit
+            np.subtract(span, _RENORM, out=t)
+            t >>= 63  # all ones where a word is due
+            words.take(at, out=more, mode="clip")
+            more &= t
+            at -= t
+            t &= 16
+            ahead <<= t
+            ahead |= more
+            span <<= t
+            a1 = x
+            np.multiply(x, NEAR, out=a2)
+            a2 += far
+            a2 &= mask
+            np.multiply(x, FAR, out=far)
+        by_step[first:end] = (found >> (memory.stride.bit_length() - 1)) - 1
+    flat = np.ascontiguousarray(by_step.T)
+    out: list[np.ndarray] = []
+    for k, (length, size, crc, _) in enumerate(heads):
+        ids = alphabets[k][np.clip(flat[k, :length], 0, size - 1)].astype("<u4")
+        if zlib.crc32(ids.tobytes()) != crc:
             raise ValueError("checksum of a block of token ids")
-        out[k] = ids
+        out.append(ids)
     return out

@@ -7,8 +7,12 @@ Segments lie in a Parquet table (first_doc, seq, n_ids, segment), so any file sy
 knows can hold them and a task that is lost is written again.
 
 Texts are range-sorted by id, so a task writes consecutive documents. White space never joins two
-tokens of this vocabulary, so words between ASCII blanks are encoded once a task by the tokenizers
-library and remembered, MEMO at most. It gets TOGETHER new words a call, with a mark between them.
+tokens of this vocabulary, so words between ASCII blanks are listed once a slice of texts. Nor do
+LETTERS and SIGNS behind them join, and case is dropped: a word of both is two pieces, its letters in
+lower case and its signs; any other word is one piece. Pieces are encoded once a task by the tokenizers
+library and remembered, MEMO at most. It gets TOGETHER new pieces a text. Letters have their normal form
+and are split by blanks alone, so they go to the same model without these steps, and a piece ends where
+a token ends a word; the others have a mark between them.
 
 Edge cases: a null text is empty and holds the end id alone; null ids come first, equal ids in order
 of text; a document longer than SEGMENT_IDS makes a longer segment; an empty table gives no segment;
@@ -18,12 +22,14 @@ other columns are not read.
 from __future__ import annotations
 
 import functools
+import json
 import os
 import struct
 import zlib
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 import public_tokenizers
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
@@ -33,9 +39,12 @@ from larkspur.llm.id_coder import BLOCK, decode_blocks, encode_blocks
 from larkspur.storage import materialize, table
 
 MAGIC = b"LKTOKENS"
-SEGMENT_IDS = 1 << 22
+SEGMENT_IDS = 1 << 23
 MEMO = 1 << 19
 TOGETHER = 64
+SLICE = 1 << 23  # bytes of texts encoded at a time, or one text
+LETTERS = "A-Za-zÀ-ÖØ-öø-ÿ"
+SIGNS = r"!-&(-/:-@\[-`{-~"  # those of ASCII but the apostrophe
 MARK = "\x01"
 END_ID = 1
 VOCABULARY = "word_bpe_49k.json"
@@ -43,12 +52,26 @@ _HEAD = struct.Struct("<8sII")
 NULL_ID = -(1 << 63)
 
 
+def _spread(codes: np.ndarray, sizes: np.ndarray, pool: np.ndarray) -> np.ndarray:
+    """The stretches of `pool` named by codes, end to end; stretch k holds sizes[k] entries."""
+    firsts, held = np.cumsum(sizes) - sizes, sizes[codes]
+    ends = np.cumsum(held)
+    at = np.repeat(firsts[codes] - (ends - held), held)
+    at += np.arange(len(at))
+    return pool[at]
+
+
 class WordEncoder:
-    """Ids of texts: the library's, word by word."""
+    """Ids of texts: the library's, piece by piece."""
 
     def __init__(self, path: str):
         os.environ["TOKENIZERS_PARALLELISM"] = "false"  # a task has one core; threads that wait for words cost more than they save
         self.library = Tokenizer.from_file(path)
+        in_bytes = {"type": "ByteLevel", "add_prefix_space": False, "trim_offsets": True, "use_regex": False}
+        bare = json.loads(self.library.to_str()) | {"normalizer": None, "pre_tokenizer": {"type": "Sequence", "pretokenizers": [{"type": "WhitespaceSplit"}, in_bytes]}}
+        self.model = Tokenizer.from_str(json.dumps(bare))
+        self.last = np.zeros(1 << 16, np.bool_)  # the tokens that end a word
+        self.last[[k for token, k in self.library.get_vocab().items() if token.endswith("</w>")]] = True
         self.memo: dict[str, bytes] = {}
         self.mark = self._library([MARK])[0]
 
@@ -61,24 +84,69 @@ class WordEncoder:
             words = sorted(set(words).difference(odd))
         parts = [words[k : k + TOGETHER] for k in range(0, len(words), TOGETHER)]
         for part, ids in zip(parts, self._library([f" {MARK} ".join(part) for part in parts]), strict=True):
-            data, at = ids.tobytes(), 0
-            ends = [*(4 * np.flatnonzero(ids == self.mark[0])).tolist(), len(data)]
-            for word, end in zip(part, ends, strict=True):
-                self.memo[word] = data[at:end]
-                at = end + 4
+            self._remember(part, ids, np.flatnonzero(ids == self.mark[0]), 1)
         for word, ids in zip(odd, self._library(odd), strict=True):
             self.memo[word] = ids.tobytes()
 
-    def encode(self, texts: list[str]) -> list[bytes]:
-        """Ids of each text as little-endian u32."""
-        split = [t.replace("\n", " ").replace("\t", " ").replace("\r", " ").split(" ") for t in texts]
+    def _learn_letters(self, words: list[str]):
+        parts = [words[k : k + TOGETHER] for k in range(0, len(words), TOGETHER)]
+        for part, got in zip(parts, self.model.encode_batch_fast([" ".join(part) for part in parts], add_special_tokens=False), strict=True):
+            ids = np.array(got.ids, "<u4")
+            self._remember(part, ids, np.flatnonzero(self.last[ids])[:-1] + 1, 0)
+
+    def _remember(self, words: list[str], ids: np.ndarray, ends: np.ndarray, between: int):
+        data, at = ids.tobytes(), 0
+        for word, end in zip(words, [*(4 * ends).tolist(), len(data)], strict=True):
+            self.memo[word] = data[at:end]
+            at = end + 4 * between
+
+    def _pieces(self, words: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+        """(ids of all words end to end, how many each has)."""
+        cut = pc.extract_regex(words, f"^(?P<letters>[{LETTERS}]+)(?P<signs>[{SIGNS}]*)$")
+        plain = pc.is_valid(cut)
+        letters = pc.utf8_lower(pc.struct_field(cut, "letters")).dictionary_encode()
+        others = pc.if_else(plain, pc.struct_field(cut, "signs"), words).dictionary_encode()
+        known, odd = (x.dictionary.to_numpy(zero_copy_only=False).tolist() for x in (letters, others))
         if len(self.memo) > MEMO:
             self.memo.clear()
-        new = list(set().union(*split).difference(self.memo))
-        for at in range(0, len(new), 4096):
-            self._learn(new[at : at + 4096])
-        look = self.memo.__getitem__
-        return [b"".join(map(look, words)) for words in split]
+        for pieces, learn in ((known, self._learn_letters), (odd, self._learn)):
+            new = [p for p in pieces if p not in self.memo]
+            for at in range(0, len(new), 4096):
+                learn(new[at : at + 4096])
+        held = [b"", *map(self.memo.__getitem__, known), *map(self.memo.__getitem__, odd)]
+        sizes = np.fromiter(map(len, held), np.int64, len(held)) // 4
+        codes = np.empty((len(words), 2), np.int64)
+        codes[:, 0] = pc.fill_null(letters.indices, -1).to_numpy() + 1
+        codes[:, 1] = others.indices.to_numpy() + (1 + len(known))
+        return _spread(codes.ravel(), sizes, np.frombuffer(b"".join(held), "<u4")), sizes[codes].sum(axis=1)
+
+    def encode_slice(self, texts: pa.Array, tail: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """(ids of all texts end to end, each followed by `tail`; how many each has with it)."""
+        split = pc.ascii_split_whitespace(texts)
+        words = split.flatten().dictionary_encode()
+        pool, sizes = self._pieces(words.dictionary)
+        lengths = pc.list_value_length(split).to_numpy()
+        ends = np.cumsum(lengths.astype(np.int64) + 1)
+        codes = np.full(int(ends[-1]) if len(ends) else 0, len(sizes), np.int64)
+        inner = np.ones(len(codes), np.bool_)
+        inner[ends - 1] = False
+        codes[inner] = words.indices.to_numpy()
+        sizes = np.append(sizes, len(tail))
+        return _spread(codes, sizes, np.concatenate([pool, tail])), np.diff(np.cumsum(sizes[codes])[ends - 1], prepend=0)
+
+    def encode(self, texts: list[str]) -> list[bytes]:
+        """Ids of each text as little-endian u32."""
+        ids, sizes = self.encode_slice(pa.array(texts, pa.string()), np.empty(0, "<u4"))
+        return [part.tobytes() for part in np.split(ids, np.cumsum(sizes)[:-1])] if texts else []
+
+
+def _slices(texts: pa.Array):
+    """(first, end) of consecutive texts that hold up to SLICE bytes, or one text."""
+    ends, at = np.cumsum(pc.fill_null(pc.binary_length(texts), 0).to_numpy().astype(np.int64)), 0
+    while at < len(texts):
+        end = max(at + 1, int(np.searchsorted(ends, SLICE + (ends[at - 1] if at else 0), side="right")))
+        yield at, end
+        at = end
 
 
 @functools.lru_cache(maxsize=2)
@@ -116,7 +184,7 @@ def unpack_segment(data: bytes) -> tuple[list[int | None], list[np.ndarray]]:
 
 
 def _segments(path: str, end_id: int, segment_ids: int):
-    end = np.array([end_id], "<u4").tobytes()
+    end_ids = np.array([end_id], "<u4")
 
     def run(batches):
         words, seq, docs, ids, held = encoder(path), 0, [], [], 0
@@ -128,12 +196,13 @@ def _segments(path: str, end_id: int, segment_ids: int):
             return out
 
         for batch in batches:
-            for at in range(0, batch.num_rows, 1024):
-                part = batch.slice(at, 1024)
-                for doc, packed in zip(part.column(0).to_pylist(), words.encode([t or "" for t in part.column(1).to_pylist()]), strict=True):
+            names, texts = batch.column(0).to_pylist(), batch.column(1)
+            for at, end in _slices(texts):
+                flat, sizes = words.encode_slice(pc.fill_null(texts.slice(at, end - at), ""), end_ids)
+                for doc, part in zip(names[at:end], np.split(flat.astype(np.uint16), np.cumsum(sizes)[:-1]), strict=True):
                     docs.append(doc)
-                    ids.append(np.frombuffer(packed + end, "<u4"))
-                    held += len(ids[-1])
+                    ids.append(part)
+                    held += len(part)
                     if held >= segment_ids:
                         yield flush()
         if docs:

@@ -3,6 +3,7 @@ import random
 import zlib
 
 import numpy as np
+import pyarrow as pa
 import public_tokenizers
 import pytest
 import tiktoken
@@ -116,3 +117,52 @@ def test_blocks_do_not_depend_on_others_in_lockstep():
         broken[k] ^= 255
         with pytest.raises(ValueError):
             id_coder.decode_blocks([bytes(broken)])
+
+
+def test_pieces_of_words_are_encoded_as_whole_texts_are():
+    words = token_files.WordEncoder(public_tokenizers.path(token_files.VOCABULARY))
+    rng = random.Random(5)
+    letters = [*"abcxyzABCXYZ", *(chr(k) for k in range(0xC0, 0x100))]
+    signs = [chr(k) for k in range(33, 127) if not chr(k).isalnum()]
+    made = ["".join(rng.choices(letters, k=rng.randint(1, 9))) + "".join(rng.choices(signs, k=rng.randint(0, 3))) for _ in range(6000)]
+    made += [f"{w}{m}" for w in ("I", "İ", "ǅ", "K", "ſ", "ª", "µ", "e") for m in ("̇", "́", "'S", "''", "1", ".", ".́")]
+    made += ["<|endoftext|>", "<|ENDOFTEXT|>", "a<|endoftext|>b", "A<|", "end|>", "'s", "X's.", "×÷", "×a"]
+    texts = [sep.join(rng.sample(made, 40)) for sep in (" ", "\n\n", "\x0b", "\x0c \t", "\r", "\x1c", "\x85", "  ", "\x00 ")] + made
+    expected = [np.array(got.ids, "<u4").tobytes() for got in words.library.encode_batch(texts, add_special_tokens=False)]
+    assert words.encode(texts) == expected
+    handed, library = [], words.library
+
+    class Counted:
+        def encode_batch_fast(self, texts, **options):
+            handed.extend(texts)
+            return library.encode_batch_fast(texts, **options)
+
+    words.library = Counted()
+    assert words.encode(["Thé eñ. " + " ".join("abcé"[k % 4] * (k + 20) for k in range(500))])[0] and not handed  # letters need no normal form
+
+
+def test_slices_hold_all_texts_by_bytes(monkeypatch):
+    monkeypatch.setattr(token_files, "SLICE", 10)
+    texts = ["", None, "éé", "abcdefg", "x" * 30, "a", None, "b" * 10, "c" * 10, ""]
+    found = list(token_files._slices(pa.array(texts, pa.string())))
+    assert [k for a, b in found for k in range(a, b)] == list(range(len(texts)))
+    assert all(b == a + 1 or sum(len((t or "").encode()) for t in texts[a:b]) <= 10 for a, b in found) and len(found) < 8
+    assert list(token_files._slices(pa.array([], pa.string()))) == []
+
+
+def test_guesses_are_places_of_the_table():
+    rng = np.random.default_rng(4)
+    passage = rng.integers(0, 3000, 1000).astype(np.uint32)
+    once, thrice = id_coder.encode_blocks([passage, np.tile(passage, 3)])
+    assert len(thrice) < 1.5 * len(once)  # 2,000 of 3,000 ids are foretold
+    alphabet = np.array([0, 254, 255, 509, 765, 1020, 30000, 65535], np.uint32)
+    assert np.array_equal(id_coder._unpack_gaps(b"xx" + id_coder._pack_gaps(alphabet) + b"\xff\xff", 2, len(alphabet))[0], alphabet)
+    assert np.array_equal(id_coder.decode_blocks([once, thrice])[1], np.tile(passage, 3))
+
+
+def test_blocks_that_end_early_leave_others_alone():
+    rng = np.random.default_rng(6)
+    blocks = [np.minimum(rng.zipf(1.3, n), 50000).astype(np.uint32) for n in rng.integers(1, 8192, 40)]
+    coded = id_coder.encode_blocks(blocks)
+    assert all(np.array_equal(a, b) for a, b in zip(blocks, id_coder.decode_blocks(coded), strict=True))
+    assert [id_coder.encode_blocks([b])[0] for b in blocks[:5]] == coded[:5]
