@@ -11,27 +11,42 @@ from __future__ import annotations
 import numpy as np
 
 
-def suffix_array(symbols: np.ndarray) -> np.ndarray:
-    """Suffixes of strings that each end in their own separator, in order.
+WIDTH = 5  # symbols of the first ranks: they fit 41 bits, and WIDTH * 3**4 is just over 400
 
-    symbols: bytes + 1, 0 at separators. Ranks of seven symbols at first, then of two or three times as
+
+def suffix_array(symbols: np.ndarray, depth: int | None = None) -> np.ndarray:
+    """Suffixes of strings that each end in their own separator, in order of their first `depth` symbols, or of all.
+
+    symbols: bytes + 1, 0 at separators. Ranks of WIDTH symbols at first, then of two or three times as
     many a round; only suffixes that still share a rank are sorted again. A suffix that ends within the
     width of a round has a rank of its own by then, so no rank beyond a separator decides an order.
     """
-    n, width = len(symbols), 7
-    padded = np.concatenate([symbols, np.zeros(width, symbols.dtype)])
-    key, inside = np.zeros(n, np.int64), np.ones(n, np.bool_)
+    n, width = len(symbols), WIDTH
+    one = np.zeros(n + width, np.int64)
+    one[:n] = symbols
+    two = one[:-1] * 257 + one[1:]
+    key = (two[:n] * 257**2 + two[2 : n + 2]) * 257 + one[4 : n + 4]
+    # What lies behind a separator doesn't count.
+    inside, ends = np.ones(n, np.bool_), np.flatnonzero(symbols == 0)
+    lengths = np.diff(ends, prepend=-1) - 1
     for k in range(width):
-        key *= 257
-        key += padded[k : k + n] * inside
-        inside &= padded[k : k + n] > 0
-    who = np.argsort(key, kind="stable").astype(np.int32)
-    key = key[who]
+        short = ends[lengths >= k] - k
+        inside[short] = False
+        key[short] -= key[short] % 257 ** (width - k)
+    bits = n.bit_length()
+    if bits <= 22:  # the key and the place in one number, since numbers sort faster than their places
+        key <<= bits
+        key |= np.arange(n)
+        key.sort()
+        who = (key & ((1 << bits) - 1)).astype(np.int32)
+        key >>= bits
+    else:
+        who = np.argsort(key, kind="stable").astype(np.int32)
+        key = key[who]
     places, order, rank = np.arange(n, dtype=np.int32), np.empty(n, np.int32), np.empty(n, np.int32)
     new = np.ones(n, np.bool_)
     np.not_equal(key[1:], key[:-1], out=new[1:])
     new |= ~inside[who]  # equal ones go by their separators, as the stable sort has them
-    bits = n.bit_length()
     while True:
         order[places] = who
         heads = np.maximum.accumulate(np.where(new, places, 0))
@@ -39,7 +54,7 @@ def suffix_array(symbols: np.ndarray) -> np.ndarray:
         tied = ~new
         tied[:-1] |= ~new[1:]
         tied = np.flatnonzero(tied)
-        if not len(tied):
+        if not len(tied) or (depth is not None and width >= depth):
             return order
         places, who = places[tied], who[tied]
         key = heads[tied].astype(np.int64) << bits
@@ -65,7 +80,7 @@ def repeated_starts(strings: list[bytes], least: int) -> list[np.ndarray]:
         return [np.empty(0, np.int64) for _ in strings]
     symbols = np.frombuffer(b"\0".join(strings) + b"\0", np.uint8).astype(np.int16) + 1
     symbols[ends] = 0
-    order = suffix_array(symbols)
+    order = suffix_array(symbols, least)  # the order of longer repeats moves no interval of a shorter one
     last = symbols[order - 1]  # the transform; the first suffix wraps to the last separator
     # Last-to-first mapping: stable order of the transform. Separators never take part in an extension.
     psi = np.argsort(last, kind="stable").astype(np.int32)
@@ -76,6 +91,7 @@ def repeated_starts(strings: list[bytes], least: int) -> list[np.ndarray]:
     following[psi[:-1][same]] = psi[1:][same]
     before[psi[1:][same]] = psi[:-1][same]
     extends = last > 0
+    before[~extends], following[~extends] = n, -1
     unset = np.ones(n + 1, np.bool_)  # unset[i]: the common prefix of suffixes i - 1 and i is not known yet
     unset[0] = unset[n] = False
     # Round 0: one interval for each first symbol; separators are intervals of their own.
@@ -94,9 +110,8 @@ def repeated_starts(strings: list[bytes], least: int) -> list[np.ndarray]:
             sizes = (b - a + 1).astype(np.int64)
             ends_at = np.cumsum(sizes)
             ranks = np.arange(ends_at[-1], dtype=np.int32) + np.repeat((a - (ends_at - sizes)).astype(np.int32), sizes)
-            keep = extends[ranks]
-            i.append(np.sort(first_of[ranks[keep & (before[ranks] < np.repeat(a, sizes))]]))
-            j.append(np.sort(first_of[ranks[keep & (following[ranks] > np.repeat(b, sizes))]]))
+            i.append(np.sort(first_of[ranks[before[ranks] < np.repeat(a, sizes)]]))
+            j.append(np.sort(first_of[ranks[following[ranks] > np.repeat(b, sizes)]]))
         i, j = np.concatenate(i), np.concatenate(j)
         fresh = unset[j + 1]
         lows, highs = i[fresh], j[fresh]

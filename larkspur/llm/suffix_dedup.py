@@ -136,22 +136,29 @@ def _slices(batches):
             yield batch.slice(at, 1024)
 
 
-def _surveyed(least: int, gram: int):
+def _listed(texts: list[bytes], least: int, gram: int) -> pa.ListArray:
+    """Each text's anchors; one that starts twice in a text is listed twice."""
+    text, anchors, *_ = anchored_texts(texts, least, gram)
+    by = np.lexsort((anchors, text))
+    text, anchors = text[by], anchors[by]
+    again = np.zeros(len(text), np.bool_)
+    again[1:] = (text[1:] == text[:-1]) & (anchors[1:] == anchors[:-1])
+    third = again.copy()
+    third[1:] &= again[:-1]
+    kept = ~third
+    offsets = np.concatenate([[0], np.cumsum(np.bincount(text[kept], minlength=len(texts)))]).astype(np.int32)
+    return pa.ListArray.from_arrays(pa.array(offsets), pa.array(anchors[kept]))
+
+
+def _surveyed(widths: list[tuple[int, int]]):
+    names = ["doc_id", "text_key", "n_bytes", "sha256", *(f"anchors{k}" for k in range(len(widths)))]
+
     def run(batches):
         for batch in _slices(batches):
             texts = [_bytes(t) for t in batch.column(1)]
-            text, anchors, *_ = anchored_texts(texts, least, gram)
-            by = np.lexsort((anchors, text))
-            text, anchors = text[by], anchors[by]
-            again = np.zeros(len(text), np.bool_)
-            again[1:] = (text[1:] == text[:-1]) & (anchors[1:] == anchors[:-1])
-            third = again.copy()
-            third[1:] &= again[:-1]
-            kept = ~third  # an anchor is listed twice if it starts twice here
-            offsets = np.concatenate([[0], np.cumsum(np.bincount(text[kept], minlength=len(texts)))]).astype(np.int32)
-            lists = pa.ListArray.from_arrays(pa.array(offsets), pa.array(anchors[kept]))
             keys = pa.array([_signed(xxhash.xxh3_64_intdigest(t)) for t in texts], pa.int64())
-            yield pa.RecordBatch.from_arrays([batch.column(0), keys, pa.array(map(len, texts), pa.int64()), pa.array([hashlib.sha256(t).hexdigest() for t in texts], pa.string()), lists], ["doc_id", "text_key", "n_bytes", "sha256", "anchors"])
+            digests = pa.array([hashlib.sha256(t).hexdigest() for t in texts], pa.string())
+            yield pa.RecordBatch.from_arrays([batch.column(0), keys, pa.array(map(len, texts), pa.int64()), digests, *(_listed(texts, *w) for w in widths)], names)
 
     return run
 
@@ -341,39 +348,44 @@ def repeated_substrings(docs: DataFrame, *, id_col="doc_id", text_col="text", le
     `bytes` bytes repeat; nothing more is removed for them.
     """
     source = docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text"))
-    survey, results = _repeats(source, docs.schema[id_col].dataType.simpleString(), least, gram, group)
-    joined = survey.select("doc_id", "n_bytes", "sha256").join(results, "sha256", "left")
+    widths = [(size, gram or min(GRAM, 1 << max(0, (size // 2).bit_length() - 1))) for size in ([least, passage[0]] if passage else [least])]
+    rows, nodes = _nodes(source, docs.schema[id_col].dataType.simpleString(), widths)
+    names = materialize(nodes.select("doc", "sha256"), "names")
+    results = names.join(_repeats(source, nodes.withColumnRenamed("anchors0", "anchors"), *widths[0], group), "doc", "left")
     spans = F.coalesce("spans", F.array().cast("array<struct<a:bigint,b:bigint,words:bigint>>"))
     columns = [F.coalesce("n_removed", F.lit(0).cast("long")).alias("n_removed"), spans.alias("spans"), F.coalesce("kept_sha256", "sha256").alias("kept_sha256")]
     if passage:
-        size, words = passage
-        _, short = _repeats(source, docs.schema[id_col].dataType.simpleString(), size, gram, group)
-        long_runs = F.size(F.filter("spans", lambda s: s["words"] > words)).cast("long")
-        joined = joined.join(short.select("sha256", long_runs.alias("_passages")), "sha256", "left")
+        short = _repeats(source, nodes.withColumnRenamed("anchors1", "anchors"), *widths[1], group)
+        long_runs = F.size(F.filter("spans", lambda s: s["words"] > passage[1])).cast("long")
+        results = results.join(short.select("doc", long_runs.alias("_passages")), "doc", "left")
         columns.append(F.coalesce("_passages", F.lit(0).cast("long")).alias("n_passages"))
-    return joined.select("doc_id", "n_bytes", *columns)
+    discard(nodes)
+    return rows.join(results.drop("doc"), "sha256", "left").select("doc_id", "n_bytes", *columns)
 
 
-def _repeats(source: DataFrame, kind: str, least: int, gram: int | None, group: int) -> tuple[DataFrame, DataFrame]:
-    """All rows (doc_id, n_bytes, sha256) and, of the texts with repeats, (sha256, n_removed, spans, kept_sha256)."""
-    group = max(group, 2 * least)  # one window always fits, so refinement ends
-    gram = gram or min(GRAM, 1 << max(0, (least // 2).bit_length() - 1))
-    survey = materialize(source.mapInArrow(_surveyed(least, gram), f"doc_id {kind}, text_key long, n_bytes long, sha256 string, anchors array<long>"), "survey")
-    # One node a distinct text: its digest, the copies there are, and one row to read it from.
+def _nodes(source: DataFrame, kind: str, widths: list[tuple[int, int]]) -> tuple[DataFrame, DataFrame]:
+    """All rows (doc_id, n_bytes, sha256), and one node a distinct text: its digest, the copies there are, one row to read it from, and its anchors at each width."""
+    lists = [f"anchors{k}" for k in range(len(widths))]
+    survey = materialize(source.mapInArrow(_surveyed(widths), f"doc_id {kind}, text_key long, n_bytes long, sha256 string, " + ", ".join(f"{x} array<long>" for x in lists)), "survey")
     nodes = materialize(
-        survey.where(F.size("anchors") > 0)
+        survey.where(F.greatest(F.lit(0), *map(F.size, lists)) > 0)
         .groupBy("sha256")
-        .agg(F.count("*").alias("copies"), F.min("doc_id").alias("doc_id"), F.first("text_key").alias("text_key"), F.first("anchors").alias("anchors"))
+        .agg(F.count("*").alias("copies"), F.min("doc_id").alias("doc_id"), F.first("text_key").alias("text_key"), *(F.first(x).alias(x) for x in lists))
         .withColumn("doc", F.monotonically_increasing_id()),
         "nodes",
     )
+    rows = materialize(survey.select("doc_id", "n_bytes", "sha256"), "rows")
+    discard(survey)
+    return rows, nodes
+
+
+def _repeats(source: DataFrame, nodes: DataFrame, least: int, gram: int, group: int) -> DataFrame:
+    """(doc, n_removed, spans, kept_sha256) of the nodes with repeats."""
+    group = max(group, 2 * least)  # one window always fits, so refinement ends
     each = nodes.select("doc", "copies", F.explode("anchors").alias("anchor"))
     often = each.groupBy("anchor").agg(F.sum("copies").alias("n")).where("n > 1").select("anchor")
     wanted = each.join(often, "anchor").groupBy("doc").agg(F.collect_set("anchor").alias("wanted"))
     chosen = materialize(nodes.select("doc", "copies", "doc_id", "text_key").join(wanted, "doc"), "chosen")
-    rows = materialize(survey.select("doc_id", "n_bytes", "sha256"), "rows")
-    names = materialize(nodes.select("doc", "sha256"), "names")
-    discard(survey, nodes)
     occurrences = materialize(_read(source, chosen, "doc", "copies", "wanted").mapInArrow(_contexts(least, gram), "key long, context long, doc long, at array<long>, n long, place long, data binary"), "occurrences")
     contexts = materialize(occurrences.groupBy("key", "context").agg(F.sum("n").alias("n"), F.first("place").alias("place"), F.first("data").alias("data")).withColumns({"near": F.lit(0).cast("long"), "far": F.lit(least - gram).cast("long")}), "contexts")
     places = materialize(occurrences.select("key", "context", "doc", "at"), "places")
@@ -384,7 +396,7 @@ def _repeats(source: DataFrame, kind: str, least: int, gram: int | None, group:
     discard(*used)
     cut = materialize(_read(source, marked, "doc", "runs").mapInArrow(_cut, "doc long, n_removed long, spans array<struct<a:long,b:long,words:long>>, kept_sha256 string").dropDuplicates(["doc"]), "cut")
     discard(chosen, marked)
-    return rows, names.join(cut, "doc").select("sha256", "n_removed", "spans", "kept_sha256")
+    return cut
 
 
 def _read(source: DataFrame, rows: DataFrame, *columns: str) -> DataFrame:

@@ -101,3 +101,30 @@ def test_texts_anchored_together_as_each_alone(monkeypatch):
     for part in (texts, texts[:1], [b""], []):
         alone = [(k, *x) for k, t in enumerate(part) for x in zip(*map(np.ndarray.tolist, suffix_dedup.anchored_runs(np.frombuffer(t, np.uint8), 20, 8)), strict=True)]
         assert list(zip(*map(np.ndarray.tolist, suffix_dedup.anchored_texts(part, 20, 8)), strict=True)) == alone
+
+
+def test_suffix_array_stops_at_a_depth():
+    rng = np.random.default_rng(3)
+    for depth in (1, 5, 6, 15, 40):
+        strings = [bytes(rng.integers(97, 99, n).astype(np.uint8)) for n in (0, 1, 4, 5, 6, 90)] + [b"ab" * 60, b"ab" * 60]
+        symbols = np.array([c for s in strings for c in [*(b + 1 for b in s), 0]], np.int16)
+        heads = [tuple(symbols[k : k + depth].tolist()) for k in bwt.suffix_array(symbols, depth)]
+        heads = [h[: h.index(0) + 1] if 0 in h else h for h in heads]
+        assert heads == sorted(heads) and len(heads) == len(symbols)
+
+
+def test_one_survey_lists_the_anchors_of_both_widths(make, monkeypatch):
+    from larkspur.llm import suffix_dedup
+
+    surveys, surveyed = [], suffix_dedup._surveyed
+
+    def counted(widths):
+        surveys.append(widths)
+        return surveyed(widths)
+
+    monkeypatch.setattr(suffix_dedup, "_surveyed", counted)
+    shared = " ".join(f"w{k}" for k in range(30))
+    texts = [f"one {shared} two", f"three {shared} four", "short", None, f"one {shared} two"]
+    found = {r.doc_id: r for r in suffix_dedup.repeated_substrings(make(texts), least=400, passage=(32, 20)).collect()}
+    assert surveys == [[(400, 32), (32, 16)]]
+    assert [found[k].n_passages for k in range(5)] == [1, 1, 0, 0, 1] and not any(r.n_removed for r in found.values())
