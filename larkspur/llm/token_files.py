@@ -9,10 +9,11 @@ knows can hold them and a task that is lost is written again.
 Texts are range-sorted by id, so a task writes consecutive documents. White space never joins two
 tokens of this vocabulary, so words between ASCII blanks are listed once a slice of texts. Nor do
 LETTERS and SIGNS behind them join, and case is dropped: a word of both is two pieces, its letters in
-lower case and its signs; any other word is one piece. Pieces are encoded once a task by the tokenizers
-library and remembered, MEMO at most. It gets TOGETHER new pieces a text. Letters have their normal form
-and are split by blanks alone, so they go to the same model without these steps, and a piece ends where
-a token ends a word; the others have a mark between them.
+lower case and its signs; any other word is one piece. Pieces are encoded by the tokenizers library and
+remembered in two halves: where the newer one exceeds half of MEMO before a slice, it becomes the older one, and
+what it replaces is forgotten; a piece that comes again counts as new. The library gets TOGETHER new pieces a text.
+Letters have their normal form and are split by blanks alone, so they go to the same model without these
+steps, and a piece ends where a token ends a word; the others have a mark between them.
 
 Edge cases: a null text is empty and holds the end id alone; null ids come first, equal ids in order
 of text; a document longer than SEGMENT_IDS makes a longer segment; an empty table gives no segment;
@@ -52,15 +53,6 @@ _HEAD = struct.Struct("<8sII")
 NULL_ID = -(1 << 63)
 
 
-def _spread(codes: np.ndarray, sizes: np.ndarray, pool: np.ndarray) -> np.ndarray:
-    """The stretches of `pool` named by codes, end to end; stretch k holds sizes[k] entries."""
-    firsts, held = np.cumsum(sizes) - sizes, sizes[codes]
-    ends = np.cumsum(held)
-    at = np.repeat(firsts[codes] - (ends - held), held)
-    at += np.arange(len(at))
-    return pool[at]
-
-
 class WordEncoder:
     """Ids of texts: the library's, piece by piece."""
 
@@ -73,71 +65,78 @@ class WordEncoder:
         self.last = np.zeros(1 << 16, np.bool_)  # the tokens that end a word
         self.last[[k for token, k in self.library.get_vocab().items() if token.endswith("</w>")]] = True
         self.memo: dict[str, bytes] = {}
+        self.older: dict[str, bytes] = {}
         self.mark = self._library([MARK])[0]
 
     def _library(self, texts: list[str]) -> list[np.ndarray]:
-        return [np.array(got.ids, "<u4") for got in self.library.encode_batch_fast(texts, add_special_tokens=False)]
+        return [np.array(got.ids, "<u2") for got in self.library.encode_batch_fast(texts, add_special_tokens=False)]
 
     def _learn(self, words: list[str]):
         odd = [w for w in words if MARK in w or len(self.mark) != 1]  # by themselves
         if odd:
             words = sorted(set(words).difference(odd))
-        parts = [words[k : k + TOGETHER] for k in range(0, len(words), TOGETHER)]
-        for part, ids in zip(parts, self._library([f" {MARK} ".join(part) for part in parts]), strict=True):
-            self._remember(part, ids, np.flatnonzero(ids == self.mark[0]), 1)
+        ids = self._library([f" {MARK} ".join([*words[k : k + TOGETHER], ""]) for k in range(0, len(words), TOGETHER)])
+        ids = np.concatenate([*ids, self.mark[:0]])
+        ends = np.flatnonzero(ids == self.mark[0])
+        self._remember(words, ids, np.append(0, ends[:-1] + 1), ends)
         for word, ids in zip(odd, self._library(odd), strict=True):
             self.memo[word] = ids.tobytes()
 
     def _learn_letters(self, words: list[str]):
-        parts = [words[k : k + TOGETHER] for k in range(0, len(words), TOGETHER)]
-        for part, got in zip(parts, self.model.encode_batch_fast([" ".join(part) for part in parts], add_special_tokens=False), strict=True):
-            ids = np.array(got.ids, "<u4")
-            self._remember(part, ids, np.flatnonzero(self.last[ids])[:-1] + 1, 0)
-
-    def _remember(self, words: list[str], ids: np.ndarray, ends: np.ndarray, between: int):
-        data, at = ids.tobytes(), 0
-        for word, end in zip(words, [*(4 * ends).tolist(), len(data)], strict=True):
+        found = self.model.encode_batch_fast([" ".join(words[k : k + TOGETHER]) for k in range(0, len(words), TOGETHER)], add_special_tokens=False)
+        ids = np.concatenate([np.array(got.ids, "<u2") for got in found])
+        ends = np.flatnonzero(self.last[ids]) + 1
+        self._remember(words, ids, np.append(0, ends[:-1]), ends)
+
+    def _remember(self, words: list[str], ids: np.ndarray, starts: np.ndarray, ends: np.ndarray):
+        data = ids.tobytes()
+        for word, at, end in zip(words, (2 * starts[: len(words)]).tolist(), (2 * ends).tolist(), strict=True):
             self.memo[word] = data[at:end]
-            at = end + 4 * between
 
-    def _pieces(self, words: pa.Array) -> tuple[np.ndarray, np.ndarray]:
-        """(ids of all words end to end, how many each has)."""
+    def _ids_of(self, pieces: pa.DictionaryArray, learn) -> pa.LargeBinaryArray:
+        """Ids of each piece as bytes; no bytes for null."""
+        if len(self.memo) > MEMO // 2:
+            self.memo, self.older = {}, self.memo
+        texts = pieces.dictionary.to_numpy(zero_copy_only=False).tolist()
+        held = [*map(self.memo.get, texts), b""]
+        missing = [k for k, ids in enumerate(held) if ids is None]
+        again = [texts[k] for k in missing]
+        older = list(map(self.older.get, again))
+        self.memo.update((piece, ids) for piece, ids in zip(again, older, strict=True) if ids is not None)
+        unknown = [piece for piece, ids in zip(again, older, strict=True) if ids is None]
+        for at in range(0, len(unknown), 4096):
+            learn(unknown[at : at + 4096])
+        for k, piece in zip(missing, again, strict=True):
+            held[k] = self.memo[piece]
+        ids = pa.array(held, pa.large_binary())
+        return ids.take(pc.fill_null(pieces.indices, len(texts)))
+
+    def _pieces(self, words: pa.Array) -> pa.LargeBinaryArray:
+        """Ids of each word as bytes."""
         cut = pc.extract_regex(words, f"^(?P<letters>[{LETTERS}]+)(?P<signs>[{SIGNS}]*)$")
-        plain = pc.is_valid(cut)
         letters = pc.utf8_lower(pc.struct_field(cut, "letters")).dictionary_encode()
-        others = pc.if_else(plain, pc.struct_field(cut, "signs"), words).dictionary_encode()
-        known, odd = (x.dictionary.to_numpy(zero_copy_only=False).tolist() for x in (letters, others))
-        if len(self.memo) > MEMO:
-            self.memo.clear()
-        for pieces, learn in ((known, self._learn_letters), (odd, self._learn)):
-            new = [p for p in pieces if p not in self.memo]
-            for at in range(0, len(new), 4096):
-                learn(new[at : at + 4096])
-        held = [b"", *map(self.memo.__getitem__, known), *map(self.memo.__getitem__, odd)]
-        sizes = np.fromiter(map(len, held), np.int64, len(held)) // 4
-        codes = np.empty((len(words), 2), np.int64)
-        codes[:, 0] = pc.fill_null(letters.indices, -1).to_numpy() + 1
-        codes[:, 1] = others.indices.to_numpy() + (1 + len(known))
-        return _spread(codes.ravel(), sizes, np.frombuffer(b"".join(held), "<u4")), sizes[codes].sum(axis=1)
+        others = pc.if_else(pc.is_valid(cut), pc.struct_field(cut, "signs"), words).dictionary_encode()
+        return pc.binary_join_element_wise(self._ids_of(letters, self._learn_letters), self._ids_of(others, self._learn), pa.scalar(b"", pa.large_binary()))
 
     def encode_slice(self, texts: pa.Array, tail: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """(ids of all texts end to end, each followed by `tail`; how many each has with it)."""
         split = pc.ascii_split_whitespace(texts)
         words = split.flatten().dictionary_encode()
-        pool, sizes = self._pieces(words.dictionary)
-        lengths = pc.list_value_length(split).to_numpy()
-        ends = np.cumsum(lengths.astype(np.int64) + 1)
-        codes = np.full(int(ends[-1]) if len(ends) else 0, len(sizes), np.int64)
+        pool = pa.concat_arrays([self._pieces(words.dictionary), pa.array([tail.astype("<u2").tobytes()], pa.large_binary())])
+        ends = np.cumsum(pc.list_value_length(split).to_numpy().astype(np.int64) + 1)
+        codes = np.full(int(ends[-1]) if len(ends) else 0, len(pool) - 1, np.int32)
         inner = np.ones(len(codes), np.bool_)
         inner[ends - 1] = False
         codes[inner] = words.indices.to_numpy()
-        sizes = np.append(sizes, len(tail))
-        return _spread(codes, sizes, np.concatenate([pool, tail])), np.diff(np.cumsum(sizes[codes])[ends - 1], prepend=0)
+        found = pool.take(pa.array(codes))
+        offsets = np.frombuffer(found.buffers()[1], np.int64, len(codes) + 1, 8 * found.offset) // 2
+        ids = np.frombuffer(found.buffers()[2] or b"", "<u2")[offsets[0] : offsets[-1]]
+        return ids, np.diff(offsets[ends], prepend=offsets[0])
 
     def encode(self, texts: list[str]) -> list[bytes]:
         """Ids of each text as little-endian u32."""
-        ids, sizes = self.encode_slice(pa.array(texts, pa.string()), np.empty(0, "<u4"))
-        return [part.tobytes() for part in np.split(ids, np.cumsum(sizes)[:-1])] if texts else []
+        ids, sizes = self.encode_slice(pa.array(texts, pa.string()), np.empty(0, "<u2"))
+        return [part.tobytes() for part in np.split(ids.astype("<u4"), np.cumsum(sizes)[:-1])] if texts else []
 
 
 def _slices(texts: pa.Array):
@@ -184,7 +183,7 @@ def unpack_segment(data: bytes) -> tuple[list[int | None], list[np.ndarray]]:
 
 
 def _segments(path: str, end_id: int, segment_ids: int):
-    end_ids = np.array([end_id], "<u4")
+    end_ids = np.array([end_id], "<u2")
 
     def run(batches):
         words, seq, docs, ids, held = encoder(path), 0, [], [], 0
@@ -199,7 +198,7 @@ def _segments(path: str, end_id: int, segment_ids: int):
             names, texts = batch.column(0).to_pylist(), batch.column(1)
             for at, end in _slices(texts):
                 flat, sizes = words.encode_slice(pc.fill_null(texts.slice(at, end - at), ""), end_ids)
-                for doc, part in zip(names[at:end], np.split(flat.astype(np.uint16), np.cumsum(sizes)[:-1]), strict=True):
+                for doc, part in zip(names[at:end], np.split(flat, np.cumsum(sizes)[:-1]), strict=True):
                     docs.append(doc)
                     ids.append(part)
                     held += len(part)

@@ -166,3 +166,48 @@ def test_blocks_that_end_early_leave_others_alone():
     coded = id_coder.encode_blocks(blocks)
     assert all(np.array_equal(a, b) for a, b in zip(blocks, id_coder.decode_blocks(coded), strict=True))
     assert [id_coder.encode_blocks([b])[0] for b in blocks[:5]] == coded[:5]
+
+
+def test_tables_hold_no_more_than_each_blocks_places():
+    sizes = np.array([3, 8000, *[5] * 100], np.int64)
+    tables = id_coder._Tables(sizes)
+    tables.refresh(0, np.empty((0, len(sizes)), np.int64))
+    places = sizes + id_coder.GUESSES
+    assert len(tables.below) == len(tables.weight) == places.sum()  # not as many for each as the widest has
+    for bits, weights in zip(tables.bits, np.split(tables.weight, np.cumsum(places)[:-1]), strict=True):
+        assert weights.min() > 0 and weights.sum() == 1 << bits
+
+
+def test_places_are_those_of_a_plain_memory():
+    rng = np.random.default_rng(7)
+    blocks = [np.minimum(rng.zipf(1.5, n), 40000).astype(kind) for n, kind in ((1, np.uint16), (2, np.uint32), (3000, np.uint16), (8192, np.uint32))]
+    blocks += [np.tile(rng.permutation(65536)[:50].astype(np.uint16), 9), np.full(700, 65535, np.uint16), np.arange(8192, dtype=np.uint16)]
+    for ids in blocks:
+        alphabet, places = id_coder._alphabet_and_places(ids)
+        assert alphabet.tolist() == sorted(set(ids.tolist()))
+        number, one, two, last, before, expected = {x: k for k, x in enumerate(alphabet.tolist())}, {}, {}, 0, 0, []
+        for x in ids.tolist():
+            slot = (last * 1213 - before * 1212) % id_coder.TABLE
+            expected.append(1 if two.get(slot) == x else 0 if one.get(last) == x else number[x] + id_coder.GUESSES)
+            one[last] = two[slot] = x
+            last, before = number[x] + 1, last
+        assert places.tolist() == expected
+
+
+def test_words_that_come_again_stay_known(monkeypatch):
+    words = token_files.WordEncoder(public_tokenizers.path(token_files.VOCABULARY))
+    monkeypatch.setattr(token_files, "MEMO", 400)
+    handed, model = [], words.model
+
+    class Counted:
+        def encode_batch_fast(self, texts, **options):
+            handed.extend(w for text in texts for w in text.split(" "))
+            return model.encode_batch_fast(texts, **options)
+
+    words.model = Counted()
+    name = lambda k: "".join(chr(97 + int(d)) for d in str(k))
+    for k in range(30):
+        text = " ".join(["same", *(name(1000 + 100 * k + j) for j in range(100)), "words;"])
+        assert words.encode([text]) == [np.array(words.library.encode(text, add_special_tokens=False).ids, "<u4").tobytes()]
+    assert handed.count("same") == handed.count("words") == 1 and len(handed) == 3002
+    assert len(words.memo) + len(words.older) < 800
