@@ -23,6 +23,7 @@ other columns are not read.
 from __future__ import annotations
 
 import functools
+import itertools
 import json
 import os
 import struct
@@ -41,9 +42,9 @@ from larkspur.storage import materialize, table
 
 MAGIC = b"LKTOKENS"
 SEGMENT_IDS = 1 << 23
-MEMO = 1 << 19
+MEMO = 3 << 18
 TOGETHER = 64
-SLICE = 1 << 23  # bytes of texts encoded at a time, or one text
+SLICE = 3 << 23  # bytes of texts encoded at a time, or one text
 LETTERS = "A-Za-zÀ-ÖØ-öø-ÿ"
 SIGNS = r"!-&(-/:-@\[-`{-~"  # those of ASCII but the apostrophe
 MARK = "\x01"
@@ -71,27 +72,25 @@ class WordEncoder:
     def _library(self, texts: list[str]) -> list[np.ndarray]:
         return [np.array(got.ids, "<u2") for got in self.library.encode_batch_fast(texts, add_special_tokens=False)]
 
-    def _learn(self, words: list[str]):
+    def _learn(self, words: list[str]) -> list[bytes]:
         odd = [w for w in words if MARK in w or len(self.mark) != 1]  # by themselves
-        if odd:
-            words = sorted(set(words).difference(odd))
-        ids = self._library([f" {MARK} ".join([*words[k : k + TOGETHER], ""]) for k in range(0, len(words), TOGETHER)])
+        found = {word: ids.tobytes() for word, ids in zip(odd, self._library(odd), strict=True)}
+        even = [w for w in words if w not in found] if odd else words
+        ids = self._library([f" {MARK} ".join([*even[k : k + TOGETHER], ""]) for k in range(0, len(even), TOGETHER)])
         ids = np.concatenate([*ids, self.mark[:0]])
         ends = np.flatnonzero(ids == self.mark[0])
-        self._remember(words, ids, np.append(0, ends[:-1] + 1), ends)
-        for word, ids in zip(odd, self._library(odd), strict=True):
-            self.memo[word] = ids.tobytes()
+        found.update(zip(even, self._cut(ids, np.append(0, ends[:-1] + 1), ends), strict=True))
+        return [found[w] for w in words]
 
-    def _learn_letters(self, words: list[str]):
+    def _learn_letters(self, words: list[str]) -> list[bytes]:
         found = self.model.encode_batch_fast([" ".join(words[k : k + TOGETHER]) for k in range(0, len(words), TOGETHER)], add_special_tokens=False)
         ids = np.concatenate([np.array(got.ids, "<u2") for got in found])
         ends = np.flatnonzero(self.last[ids]) + 1
-        self._remember(words, ids, np.append(0, ends[:-1]), ends)
+        return self._cut(ids, np.append(0, ends[:-1]), ends)
 
-    def _remember(self, words: list[str], ids: np.ndarray, starts: np.ndarray, ends: np.ndarray):
+    def _cut(self, ids: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> list[bytes]:
         data = ids.tobytes()
-        for word, at, end in zip(words, (2 * starts[: len(words)]).tolist(), (2 * ends).tolist(), strict=True):
-            self.memo[word] = data[at:end]
+        return [data[at:end] for at, end in zip((2 * starts[: len(ends)]).tolist(), (2 * ends).tolist(), strict=True)]
 
     def _ids_of(self, pieces: pa.DictionaryArray, learn) -> pa.LargeBinaryArray:
         """Ids of each piece as bytes; no bytes for null."""
@@ -101,15 +100,14 @@ class WordEncoder:
         held = [*map(self.memo.get, texts), b""]
         missing = [k for k, ids in enumerate(held) if ids is None]
         again = [texts[k] for k in missing]
-        older = list(map(self.older.get, again))
-        self.memo.update((piece, ids) for piece, ids in zip(again, older, strict=True) if ids is not None)
-        unknown = [piece for piece, ids in zip(again, older, strict=True) if ids is None]
-        for at in range(0, len(unknown), 4096):
-            learn(unknown[at : at + 4096])
-        for k, piece in zip(missing, again, strict=True):
-            held[k] = self.memo[piece]
-        ids = pa.array(held, pa.large_binary())
-        return ids.take(pc.fill_null(pieces.indices, len(texts)))
+        known = list(map(self.older.get, again))
+        unknown = [piece for piece, ids in zip(again, known, strict=True) if ids is None]
+        learned = itertools.chain.from_iterable(learn(unknown[at : at + 4096]) for at in range(0, len(unknown), 4096))
+        known = [next(learned) if ids is None else ids for ids in known]
+        self.memo.update(zip(again, known, strict=True))
+        for k, ids in zip(missing, known, strict=True):
+            held[k] = ids
+        return pa.array(held, pa.large_binary()).take(pc.fill_null(pieces.indices, len(texts)))
 
     def _pieces(self, words: pa.Array) -> pa.LargeBinaryArray:
         """Ids of each word as bytes."""
