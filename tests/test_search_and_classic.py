@@ -72,3 +72,15 @@ def test_classic_feed(spark, shard):
         scored.sort()
         want = plain_picks([-s for s, *_ in scored], [x[3] for x in scored], 8)
         assert sorted(by[p]) == [(k + 1, scored[i][2], round(g, 6)) for k, (g, i) in enumerate(want)]
+
+
+def test_classic_feed_holds_the_first_items_of_classes(spark, monkeypatch):
+    held, make = [], classic.top_per_group
+    monkeypatch.setattr(classic, "top_per_group", lambda *a, **kw: held.append(make(*a, **kw)) or held[-1])
+    items = spark.range(4000).selectExpr("id AS item", "concat('n', id % 3) AS name", "'c' AS category", "concat('p', id % 4) AS producer", "'g' AS grape")
+    ratings = spark.createDataFrame([(1, 0, 5), (1, 12, 2), (1, 24, 3), (2, 3999, 1)], "profile long, item long, rating int")
+    got = classic.feed(ratings, items, n=8).orderBy("profile", "slot").collect()
+    assert held[0].count() == 4 * (8 + 2)  # of 4,000 items: a profile rated two of one class
+    # item 0 as the best liked, then the first of names of other producers, an equal gain first by score
+    assert [r.item for r in got if r.profile == 1][:1] == [0] and 12 not in [r.item for r in got if r.profile == 1]
+    assert [(r.item, r.score) for r in got if r.profile == 2] == [(0, 0.0), (3, 0.0), (6, 0.0), (9, 0.0), (12, -4.0), (15, -4.0), (18, -4.0), (21, -4.0)]
