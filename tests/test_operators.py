@@ -5,6 +5,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
+from larkspur.functions import digests
 from larkspur.functions import text as T
 from larkspur.functions import vectors as V
 from larkspur.operators import graph, matching, search
@@ -128,3 +129,17 @@ def test_tables_of_words_and_phrases(spark):
     row = df.select(T.folded(F.col("t"), T.FOLDED_WORDS).alias("folded"), T.translated(F.col("t"), T.TRANSLATED_PHRASES, "a-zâа-я0-9").alias("translated")).first()
     assert row.folded == "shato pino nuar kaberne sovinon bryut rezerv"
     assert row.translated == "château пино нуар каберне совиньон брют резерв"
+
+
+def test_digests_of_any_length():
+    rng = np.random.default_rng(0)
+    for size in (0, 1, 3, 4, 13, 51, 54, 55, 60):
+        names = rng.integers(0, 256, (5, size)).astype(np.uint8)
+        for suffix in (b":1", b":37", b":200"):
+            want = [int.from_bytes(hashlib.md5(name.tobytes() + suffix).digest()[:4], "big") for name in names]
+            assert digests.first_bits(names, size, suffix).tolist() == want
+
+
+def test_bootstrap_makes_no_row_a_draw(spark):
+    row = search.bootstrap_mean(spark.range(3000).select("id", F.lit(1.0).alias("x")).withColumnRenamed("id", "h"), rounds=20)
+    assert "Generate" not in row._jdf.queryExecution().optimizedPlan().toString() and row.first()["mean"] == 1.0
